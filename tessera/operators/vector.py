@@ -1,10 +1,21 @@
-"""Exact vector search: cosine with double accumulation, top-k per query."""
+"""Exact vector search: cosine with double accumulation, top-k per query.
+
+A stated query set meets all rows in blocks: the queries travel in blocks of bounded
+size, each partition multiplies its rows with a block and keeps its k best, and a window
+merges the partitions' best. No pair but those becomes a row.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 16384
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,15 +31,91 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
-def pairwise_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, similarity): the k nearest rows of each query but itself, ties to smaller ids.
+def _matrix(vectors: list, dim: int) -> np.ndarray:
+    x = np.array(vectors, np.float64).reshape(len(vectors), dim)
+    size = np.sqrt((x * x).sum(1))
+    return x / np.where(size > 0, size, 1)[:, None]
 
-    The query set is stated by the caller; norms are taken once a row, not once a pair.
-    """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))
-    c = corpus.select("vec_id", F.col("embedding").alias("c"), norm(F.col("embedding")).alias("nc"))
-    pairs = c.join(q, F.col("query_id") != F.col("vec_id"))
-    size = F.col("nq") * F.col("nc")
-    sim = F.round(F.when(size == 0, 0.0).otherwise(dot(F.col("q"), F.col("c")) / size), digits)
+
+def _usable(ids: list, vectors: list, dim: int) -> tuple[list, list]:
+    keep = [i for i, v in enumerate(vectors) if ids[i] is not None and v is not None and len(v) == dim and None not in v]
+    return [ids[i] for i in keep], [vectors[i] for i in keep]
+
+
+def topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, floor: float | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest other rows of each query, ties to smaller ids."""
+    spark = corpus.sparkSession
+    schema = "query_id long, vec_id long, similarity double"
+    first = corpus.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()
+    empty = spark.createDataFrame([], schema + ", rank int")
+    if not first:
+        return empty
+    dim = first[0]
+    rows = corpus.select(F.col(id_col).cast("long"), vector_col)
+
+    def search(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = sent.value
+            for b in batches:
+                ids, vectors = _usable(b.column(0).to_pylist(), b.column(1).to_pylist(), dim)
+                if not ids:
+                    continue
+                ids = np.array(ids, np.int64)
+                sim = np.round(q @ _matrix(vectors, dim).T, digits) + 0.0
+                sim[q_ids[:, None] == ids[None, :]] = -9
+                found: tuple[list, list, list] = ([], [], [])
+                for i in range(len(q_ids)):
+                    cand = np.nonzero(sim[i] >= (-2 if floor is None else floor))[0]
+                    if len(cand) > k:
+                        cand = cand[sim[i, cand] >= np.partition(sim[i, cand], -k)[-k]]
+                    cand = cand[np.lexsort((ids[cand], -sim[i, cand]))[:k]]
+                    found[0].extend([q_ids[i]] * len(cand))
+                    found[1].extend(ids[cand])
+                    found[2].extend(sim[i, cand])
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "similarity"])
+
+        return run
+
+    best, block = None, ([], [])
+
+    def flush():
+        nonlocal best, block
+        ids, vectors = _usable(*block, dim)
+        if ids:
+            part = rows.mapInArrow(search(spark.sparkContext.broadcast((np.array(ids, np.int64), _matrix(vectors, dim)))), schema)
+            best = part if best is None else best.unionByName(part)
+        block = ([], [])
+
+    for r in queries.select(F.col(id_col).cast("long"), vector_col).toLocalIterator():
+        block[0].append(r[0])
+        block[1].append(r[1])
+        if len(block[0]) >= BLOCK:
+            flush()
+    flush()
+    if best is None:
+        return empty
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.select("query_id", "vec_id", sim.alias("similarity")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def filtered_topk(queries: DataFrame, corpus: DataFrame, attributes: DataFrame, keep: Column, k: int, floor: float) -> DataFrame:
+    """Takes 3k neighbours, then filters them, then cuts to k: the filters come after the limit."""
+    near = topk(queries, corpus, 3 * k).where(F.col("similarity") >= floor)
+    near = near.join(attributes, "vec_id").where(keep)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
+
+
+def near_duplicates(queries: DataFrame, corpus: DataFrame, threshold: float, k: int = 5) -> DataFrame:
+    """(query_id, vec_id, similarity): among the k nearest, the first that reaches the threshold."""
+    return topk(queries, corpus, k).where(F.col("similarity") >= threshold).groupBy("query_id").agg(F.min_by(F.struct("vec_id", "similarity"), "rank").alias("best")).select("query_id", "best.vec_id", "best.similarity")
+
+
+def best_trigger(texts: DataFrame, triggers: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, doctrine, similarity): each doctrine by its most similar trigger.
+
+    ``triggers`` (doctrine, vec_id, embedding) is a rule table that people write; it is sent to the rows.
+    """
+    pairs = texts.select(F.col("vec_id").alias("query_id"), "embedding").join(F.broadcast(triggers.select("doctrine", F.col("embedding").alias("t"))))
+    sim = pairs.select("query_id", "doctrine", F.round(cosine(F.col("embedding"), F.col("t")), 6).alias("s"))
+    return sim.groupBy("query_id", "doctrine").agg(F.max("s").alias("similarity")).where(F.col("similarity") >= threshold)
