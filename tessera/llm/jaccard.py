@@ -203,11 +203,16 @@ def _near(nx, ny, px, py, percent: int):
 
 
 def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): rows meet the first, middle and last row of their size band, and their neighbour."""
+    """(a, b): rows meet the first, middle and last row of their size band, and their neighbour.
+
+    Bands are ordered in one of four ways, by token, so that the rows of a large group of
+    near copies, which share many tokens, meet several of each other.
+    """
     band = np.log(100 / percent)
+    level = F.floor(F.log("n") / band).cast("int")
+    rows = rows.withColumn("level", level).withColumn("turn", F.xxhash64("doc_id", F.col("token").bitwiseAND(F.lit(3))))
 
-    def pairs_of(t, doc, n, pos):
-        level = np.floor(np.log(n) / band)
+    def pairs_of(t, doc, n, pos, level):
         start = np.concatenate([[True], (t[1:] != t[:-1]) | (level[1:] != level[:-1])])
         begin = np.nonzero(start)[0]
         run = np.cumsum(start) - 1
@@ -228,16 +233,17 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
             held = b if held is None else pa.concat_tables([held, b])
             if held.num_rows < 65536:
                 continue
-            cols = [held.column(i).to_numpy() for i in range(4)]
+            cols = [held.column(i).to_numpy() for i in range(5)]
             # A token's rows meet within a batch of rows; what crosses its border meets through the second round.
             got = pairs_of(*cols)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
             held = held.slice(held.num_rows - 1)
         if held is not None and held.num_rows:
-            got = pairs_of(*[held.column(i).to_numpy() for i in range(4)])
+            got = pairs_of(*[held.column(i).to_numpy() for i in range(5)])
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "a long, b long")
+    rows = rows.select("token", "doc_id", "n", "pos", "level", "turn")
+    return rows.repartition("token").sortWithinPartitions("token", "level", "turn", "doc_id").mapInArrow(run, "a long, b long")
 
 
 def crossing_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -251,31 +257,45 @@ def crossing_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFra
     rows = rows.join(sizes.select("token", F.ceil(F.col("k") / block).cast("int").alias("chunks")), "token")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("chunks", "other")
+    rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "node", "pos", "component", "own", *sig)
 
-    def pairs(key, table):
-        node, n, pos, comp, own = (table.column(c).to_numpy() for c in ("node", "n", "pos", "component", "own"))
+    def pairs_of(t: pa.Table) -> np.ndarray:
+        token, lo, hi, n, node, pos, comp, own = (t.column(i).to_numpy() for i in range(8))
         n = n.astype(np.int64)
-        s = np.stack([table.column(c).to_numpy() for c in sig], 1).view(np.uint64)
-        split = key[1].as_py() != key[2].as_py()
-        order = np.argsort(n, kind="stable")
-        node, n, pos, comp, own, s = node[order], n[order], pos[order], comp[order], own[order], s[order]
-        out = []
-        for i in range(len(n) - 1):
-            end = np.searchsorted(n, 100 * n[i] // percent, "right")
-            j = np.arange(i + 1, end)
-            j = j[(comp[j] != comp[i]) & (node[j] != node[i])]
-            if split:
-                j = j[own[j] != own[i]]
-            j = j[_near(n[i], n[j], pos[i], pos[j], percent)]
-            if len(j):
-                differ = np.bitwise_count(s[j] ^ s[i]).sum(1)
-                j = j[differ <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)]
-                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-
-    return rows.groupBy("token", "lo", "hi").applyInArrow(pairs, "a long, b long")
+        s = np.stack([t.column(8 + i).to_numpy() for i in range(SIGNATURE)], 1).view(np.uint64)
+        begin = np.nonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))[0]
+        end = np.repeat(np.concatenate([begin[1:], [len(token)]]), np.diff(np.concatenate([begin, [len(token)]])))
+        out, i, d = [], np.arange(len(token)), 0
+        while len(i):  # rows of a group stand in order of size: once a pair at distance d is too uneven, farther ones are too
+            d += 1
+            i = i[i + d < end[i]]
+            i = i[100 * n[i] >= percent * n[i + d]]
+            ok = (comp[i] != comp[i + d]) & ((lo[i] == hi[i]) | (own[i] != own[i + d]))
+            x = i[ok]
+            x = x[_near(n[x], n[x + d], pos[x], pos[x + d], percent)]
+            if len(x):
+                x = x[np.bitwise_count(s[x] ^ s[x + d]).sum(1) <= n[x] + n[x + d] - 2 * least_overlap(n[x], n[x + d], percent)]
+                out.append(np.stack([np.minimum(node[x], node[x + d]), np.maximum(node[x], node[x + d])], 1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            b = pa.Table.from_batches([b])
+            held = b if held is None else pa.concat_tables([held, b])
+            if held.num_rows < 65536:
+                continue
+            keys = np.stack([held.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            cut = np.nonzero((keys[1:] != keys[:-1]).any(1))[0]
+            if len(cut):  # whole groups only; the last may go on in the next batch
+                got = pairs_of(held.slice(0, int(cut[-1]) + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                held = held.slice(int(cut[-1]) + 1).combine_chunks()
+        if held is not None and held.num_rows:
+            got = pairs_of(held)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    return rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n").mapInArrow(run, "a long, b long")
 
 
 def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
