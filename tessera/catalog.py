@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from tessera.plans import evaluation, graph, lifecycle, retrieval, scans  # noqa: E402, F401
+from tessera.plans import evaluation, graph, lifecycle, retrieval, scans, transcripts  # noqa: E402, F401
