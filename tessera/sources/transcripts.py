@@ -28,7 +28,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("transcript_path"), "value")
     parts = docs.select("transcript_path", F.posexplode(F.split("value", r"(?m)^##\s+")).alias("message_index", "part")).where("message_index > 0")
     role = F.lower(F.regexp_extract("part", r"^(\w+)", 1))
-    return parts.select("transcript_path", F.col("message_index") - 1, role.alias("role"), F.trim(F.regexp_replace("part", r"^\w+[^\n]*\n?", "")).alias("text")).where("role in ('user', 'assistant') and text <> ''").toDF("transcript_path", "message_index", "role", "text")
+    return parts.select("transcript_path", F.col("message_index") - 1, role.alias("role"), F.regexp_replace("part", r"^\w+[^\n]*\n?|\s+$", "").alias("text")).where("role in ('user', 'assistant') and text <> ''").toDF("transcript_path", "message_index", "role", "text")
 
 
 def replace_transcripts(rows: DataFrame, path: str) -> None:
