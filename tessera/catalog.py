@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import settled
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,7 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"two queries are named {name}")
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: f(settled(spark), sf_dir)
         if sql is not None:
             SQL[name] = sql
         return f
@@ -26,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from tessera.plans import evaluation, graph, lifecycle, retrieval, scans, transcripts  # noqa: E402, F401
+from tessera.plans import evaluation, graph, lifecycle, more_retrieval, retrieval, scans, transcripts  # noqa: E402, F401

@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import settled
+
 
 def rrf(arms: list[DataFrame], k: int = 20, weights: list[float] | None = None) -> DataFrame:
     """(query_id, id, rrf_score, rank) from arms (query_id, id, rank): the sum of w / (k + rank).
 
     Ties keep first-seen order: the earliest arm, then the rank in it.
     """
+    settled(arms[0].sparkSession)
     weights = weights or [1.0] * len(arms)
     rows = reduce(DataFrame.unionByName, [a.select("query_id", "id", F.col("rank").cast("int").alias("r"), F.lit(i).alias("arm"), F.lit(w).alias("w")) for i, (a, w) in enumerate(zip(arms, weights, strict=True))])
     out = rows.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") / (k + F.col("r"))), 6).alias("rrf_score"), F.min(F.struct("arm", "r")).alias("seen"))
@@ -26,6 +29,7 @@ def fold_arm(fused: DataFrame, arm: DataFrame, k: int = 20, weight: float = 1.0,
     ``add_only``: rows that are there keep their score, missing ones get the weight of their
     place among the missing. ``known_only``: missing ids are left out, though they use up ranks.
     """
+    settled(fused.sparkSession)
     if add_only:
         missing = arm.select("query_id", "id", "rank").join(fused.select("query_id", "id"), ["query_id", "id"], "left_anti")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))

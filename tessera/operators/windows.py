@@ -1,0 +1,33 @@
+"""Greedy choice of text windows from ranked candidates."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SCHEMA = "session long, start long, stop long, role string, score double, place int"
+
+
+def select_windows(candidates: DataFrame, most: int = 3, budget: int = 40) -> DataFrame:
+    """Per session, candidates (session, start, stop, role, score) by falling score, then start.
+
+    A candidate that overlaps a chosen one of its role is merged with it, unless the merged
+    span is longer than ``budget``: then the better of the two stays. Others are added while
+    fewer than ``most`` are chosen. The order of the choices decides, so a session's
+    candidates come together.
+    """
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        chosen: list[dict] = []
+        for c in pdf.sort_values(["score", "start"], ascending=[False, True]).to_dict("records"):
+            near = next((w for w in chosen if w["role"] == c["role"] and c["start"] < w["stop"] and w["start"] < c["stop"]), None)
+            if near is None:
+                if len(chosen) < most:
+                    chosen.append(c)
+            elif max(near["stop"], c["stop"]) - min(near["start"], c["start"]) <= budget:
+                near.update(start=min(near["start"], c["start"]), stop=max(near["stop"], c["stop"]), score=max(near["score"], c["score"]))
+        out = pd.DataFrame(chosen, columns=["session", "start", "stop", "role", "score"])
+        out["place"] = range(1, len(out) + 1)
+        return out
+
+    return candidates.groupBy("session").applyInPandas(choose, SCHEMA)
