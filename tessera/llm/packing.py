@@ -147,7 +147,7 @@ def pack(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIER
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        packer, memo = Packer(TaskContext.get().partitionId(), tiers, chunk_tokens, step_tokens), vocab.IdBytes(path)
+        packer, memo = Packer(TaskContext.get().partitionId(), tiers, chunk_tokens, step_tokens), vocab.id_bytes(path)
 
         def batch(rows):
             cols = list(zip(*rows, strict=True)) or [[] for _ in arrow]

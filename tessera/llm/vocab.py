@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from functools import lru_cache
 
 import regex
@@ -16,7 +17,18 @@ import regex
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
 # Fixed value: the split pattern of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-MEMO = 300_000
+
+
+def plain_words() -> re.Pattern:
+    """The same split for plain texts, with the classes of their characters spelled out."""
+    chars = sorted({form for c in map(chr, range(0x21, 0x250)) if PLAIN.fullmatch(c) for form in (c, c.lower())})
+    letters, numbers = ("".join(c for c in chars if unicodedata.category(c)[0] == k) for k in "LN")
+    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+
+
+PLAIN_WORDS = plain_words()
+#: Words remembered by a worker process, over all its tasks.
+MEMO = 600_000
 
 
 def default_path(name: str) -> str:
@@ -35,7 +47,7 @@ def tokenizer(path: str):
 def words_of(text: str, path: str) -> list[str]:
     """The words that the vocabulary splits a text into, in lower case."""
     if PLAIN.fullmatch(text) and "<|" not in text:
-        return WORDS.findall(text.lower())
+        return PLAIN_WORDS.findall(text.lower())
     t = tokenizer(path)
     return WORDS.findall(t.normalizer.normalize_str(text))
 
@@ -57,10 +69,16 @@ class IdBytes(dict):
 
     def encode(self, text: str) -> bytes:
         if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
+            return b"".join(map(self.__getitem__, PLAIN_WORDS.findall(text.lower())))
         return b"".join(i.to_bytes(4, "little") for i in tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
 
+@lru_cache(1)
+def id_bytes(path: str) -> IdBytes:
+    """The worker process's memo."""
+    return IdBytes(path)
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
