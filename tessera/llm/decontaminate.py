@@ -20,11 +20,12 @@ import hashlib
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, words_of, written
+from .common import WORD, map_columns, words_of, written
 
 WIDTH = 13
 MAX_BYTES = 64 << 20
@@ -161,8 +162,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
 
     @F.pandas_udf("boolean")
     def is_clean(texts):
-        import pandas as pd
-
         out = []
         for text in texts:
             words = words_of(text)
@@ -173,28 +172,37 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     return docs.where(is_clean("text"))
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_bytes: int = MAX_BYTES) -> DataFrame:
     """All documents, with hit spans cut out of their texts (from a span's first word to the next kept word)."""
-    from .common import WORD
+    def cut(text: str | None, spans_of) -> str | None:
+        raw = (text or "").encode()
+        found = list(WORD.finditer(raw.lower()))
+        keep, at = [], 0
+        for a, b in covered(spans_of([m[0] for m in found])):
+            keep.append(raw[at : found[a].start()])
+            at = found[b].start() if b < len(found) else len(raw)
+        return text if not keep else b"".join([*keep, raw[at:]]).decode()
 
-    sent = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in benchmark.select("item_id", "text").collect()], width))
+    size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    if size <= max_bytes:
+        sent = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in benchmark.select("item_id", "text").collect()], width))
+
+        @F.pandas_udf("string")
+        def by_windows(texts: pd.Series) -> pd.Series:
+            return pd.Series([cut(t, lambda ws: sent.value.spans(ws)[0]) for t in texts], dtype=object)
+
+        return docs.withColumn("text", by_windows("text"))
 
     @F.pandas_udf("string")
-    def cut(texts):
-        import pandas as pd
+    def by_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        own = [sorted((int(s["at"]), int(s["at"]) + int(s["n"])) for s in (x if x is not None else ())) for x in spans]
+        return pd.Series([cut(t, lambda ws, o=o: o) for t, o in zip(texts, own, strict=True)], dtype=object)
 
-        out = []
-        for text in texts:
-            raw = (text or "").encode()
-            found = list(WORD.finditer(raw.lower()))
-            keep, at = [], 0
-            for a, b in covered(sent.value.spans([m[0] for m in found])[0]):
-                keep.append(raw[at : found[a].start()])
-                at = found[b].start() if b < len(found) else len(raw)
-            out.append(text if not keep else b"".join([*keep, raw[at:]]).decode())
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn("text", cut("text"))
+    items = window_digests(benchmark.where("item_id is not null"), "item_id", width, None).select("hi", "lo", "n").distinct()
+    lengths = sorted(r[0] for r in items.select("n").distinct().collect())
+    hits = window_digests(docs, "doc_id", width, lengths).join(items, ["hi", "lo", "n"], "left_semi")
+    spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("__spans"))  # at most a document's words
+    return docs.join(spans, "doc_id", "left").withColumn("text", by_spans("text", "__spans")).select(*docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir):
