@@ -24,9 +24,15 @@ def strength(age_days: Column, accesses: Column, feedback: Column, half_life: fl
     return clamp((d + (1 - d) * reinforcement(accesses, scale)) * (1 + weight * feedback))
 
 
-def clamped_fold(deltas: Column) -> Column:
-    """The sum of an ordered array, held in [-1, 1] after each step."""
-    return F.aggregate(deltas, F.lit(0.0), lambda a, x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a + x)))
+def clamp_function(deltas: Column) -> Column:
+    """An ordered array of additions, each held in [-1, 1], as one function x -> clamp(x + add, low, high)."""
+    first = F.struct(F.lit(-1e300).alias("low"), F.lit(1e300).alias("high"), F.lit(0.0).alias("add"))
+
+    def then(f: Column, d: Column) -> Column:
+        held = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x + d))
+        return F.struct(held(f["low"]).alias("low"), held(f["high"]).alias("high"), (f["add"] + d).alias("add"))
+
+    return F.aggregate(deltas, first, then)
 
 
 def trust(confidence: Column, source: Column, origin: Column, kind: Column, used: Column, saved: Column, matched: Column) -> Column:

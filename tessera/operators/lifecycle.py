@@ -21,11 +21,18 @@ def usage_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("memory_id").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in kinds], F.max(F.when(F.col("kind") == "use", F.col("ts"))).alias("last_used"))
 
 
-def feedback_scores(events: DataFrame, delta: Column, order: list[str]) -> DataFrame:
-    """The clamped running sum of feedback: order decides, so each memory's deltas are folded in order."""
-    rows = events.withColumn("d", delta).where("d is not null")
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "d")))
-    return rows.groupBy("memory_id").agg(S.clamped_fold(F.transform(ordered, lambda x: x["d"])).alias("feedback"))
+def feedback_scores(events: DataFrame, delta: Column, order: list[str], chunk: Column | None = None) -> DataFrame:
+    """The running sum of feedback held in [-1, 1] after each step: order decides.
+
+    Clamped additions are closed under composition, so each chunk of a memory's events (by
+    default a day of ``order``'s first column, which must rise with it) is folded to one
+    function on its own, and a memory only gathers its chunks.
+    """
+    rows = events.withColumn("d", delta).where("d is not null").withColumn("__chunk", F.to_date(order[0]) if chunk is None else chunk)
+    part = rows.groupBy("memory_id", "__chunk").agg(F.array_sort(F.collect_list(F.struct(*order, "d"))).alias("steps"))
+    part = part.select("memory_id", F.struct(F.col("__chunk").alias("at"), S.clamp_function(F.transform("steps", lambda x: x["d"])).alias("f")).alias("p"))
+    whole = part.groupBy("memory_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return whole.select("memory_id", F.aggregate("ps", F.lit(0.0), lambda x, p: F.greatest(p["f"]["low"], F.least(p["f"]["high"], x + p["f"]["add"]))).alias("feedback"))
 
 
 def over_capacity(rows: DataFrame, group: list[str], cap: int, strength: str = "strength", key: str = "id") -> DataFrame:

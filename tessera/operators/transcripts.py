@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,32 +31,35 @@ def failure_arcs(calls: DataFrame, window: int = 25, most: int = 2000) -> DataFr
 
     ``calls`` (session, idx, tool, ok, signature). A failure that repeats while it is open
     counts on it. At most ``most`` failures of a session are open; the oldest closes first.
-    The order of calls decides, so a session's calls come together, in order.
+    The order of calls decides: sorted calls stream by, and only open failures are held.
     """
 
-    def arcs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pending: deque = deque()
-        out = []
-        pdf = pdf.sort_values("idx")
-        for idx, tool, ok, sig in zip(pdf["idx"], pdf["tool"], pdf["ok"], pdf["signature"], strict=True):
-            if not ok:
-                same = next((p for p in pending if p["tool"] == tool and p["signature"] == sig and idx - p["last"] <= window), None)
-                if same:
-                    same["repeats"] += 1
-                    same["last"] = idx
-                else:
-                    pending.append({"tool": tool, "signature": sig, "failed_at": idx, "last": idx, "repeats": 1})
-                    if len(pending) > most:
-                        pending.popleft()
-                continue
-            for p in reversed(pending):
-                if p["tool"] == tool and idx - p["last"] <= window:
-                    out.append((key[0], tool, p["signature"], p["failed_at"], idx, p["repeats"]))
-                    pending.remove(p)
-                    break
-        return pd.DataFrame(out, columns=["session", "tool", "signature", "failed_at", "fixed_at", "repeats"])
-
-    return calls.groupBy("session").applyInPandas(arcs, ARC_SCHEMA)
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, pending = None, deque()
+        for pdf in pdfs:
+            out = []
+            for s, idx, tool, ok, sig in zip(pdf["session"], pdf["idx"], pdf["tool"], pdf["ok"], pdf["signature"], strict=True):
+                if s != session:
+                    session, pending = s, deque()
+                if not ok:
+                    same = next((p for p in pending if p["tool"] == tool and p["signature"] == sig and idx - p["last"] <= window), None)
+                    if same:
+                        same["repeats"] += 1
+                        same["last"] = idx
+                    else:
+                        pending.append({"tool": tool, "signature": sig, "failed_at": idx, "last": idx, "repeats": 1})
+                        if len(pending) > most:
+                            pending.popleft()
+                    continue
+                for p in reversed(pending):
+                    if p["tool"] == tool and idx - p["last"] <= window:
+                        out.append((s, tool, p["signature"], p["failed_at"], idx, p["repeats"]))
+                        pending.remove(p)
+                        break
+            yield pd.DataFrame(out, columns=["session", "tool", "signature", "failed_at", "fixed_at", "repeats"])
+
+    ordered = calls.select("session", "idx", "tool", "ok", "signature").repartition("session").sortWithinPartitions("session", "idx")
+    return ordered.mapInPandas(run, ARC_SCHEMA)
 
 
 def failure_then_fix(calls: DataFrame, window: int = 25) -> DataFrame:

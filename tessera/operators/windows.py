@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "session long, start long, stop long, role string, score double, place int"
 
@@ -13,21 +16,30 @@ def select_windows(candidates: DataFrame, most: int = 3, budget: int = 40) -> Da
 
     A candidate that overlaps a chosen one of its role is merged with it, unless the merged
     span is longer than ``budget``: then the better of the two stays. Others are added while
-    fewer than ``most`` are chosen. The order of the choices decides, so a session's
-    candidates come together.
+    fewer than ``most`` are chosen. The order of the choices decides: sorted candidates
+    stream by, and only the chosen windows of a session are held.
     """
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[dict] = []
-        for c in pdf.sort_values(["score", "start"], ascending=[False, True]).to_dict("records"):
-            near = next((w for w in chosen if w["role"] == c["role"] and c["start"] < w["stop"] and w["start"] < c["stop"]), None)
-            if near is None:
-                if len(chosen) < most:
-                    chosen.append(c)
-            elif max(near["stop"], c["stop"]) - min(near["start"], c["start"]) <= budget:
-                near.update(start=min(near["start"], c["start"]), stop=max(near["stop"], c["stop"]), score=max(near["score"], c["score"]))
-        out = pd.DataFrame(chosen, columns=["session", "start", "stop", "role", "score"])
-        out["place"] = range(1, len(out) + 1)
-        return out
-
-    return candidates.groupBy("session").applyInPandas(choose, SCHEMA)
+    def told(session, chosen: list[dict]) -> list[tuple]:
+        return [(session, w["start"], w["stop"], w["role"], w["score"], i) for i, w in enumerate(chosen, 1)]
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["session", "start", "stop", "role", "score", "place"]
+        session, chosen = None, []
+        for pdf in pdfs:
+            out = []
+            for c in pdf.to_dict("records"):
+                if c["session"] != session:
+                    out += told(session, chosen)
+                    session, chosen = c["session"], []
+                near = next((w for w in chosen if w["role"] == c["role"] and c["start"] < w["stop"] and w["start"] < c["stop"]), None)
+                if near is None:
+                    if len(chosen) < most:
+                        chosen.append(c)
+                elif max(near["stop"], c["stop"]) - min(near["start"], c["start"]) <= budget:
+                    near.update(start=min(near["start"], c["start"]), stop=max(near["stop"], c["stop"]), score=max(near["score"], c["score"]))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(told(session, chosen), columns=columns)
+
+    ordered = candidates.repartition("session").sortWithinPartitions("session", F.desc("score"), "start")
+    return ordered.mapInPandas(run, SCHEMA)

@@ -147,8 +147,10 @@ def test_strength_orders_the_strong_before_the_weak(spark):
 
 
 def test_feedback_is_clamped_at_every_step(spark):
-    ev = spark.createDataFrame([("m", i, d) for i, d in enumerate([0.9, 0.9, -0.5, -2.0, 0.25])], "memory_id string, at int, d double")
-    assert lifecycle.feedback_scores(ev.withColumnRenamed("d", "x"), F.col("x"), ["at"]).first().feedback == pytest.approx(-0.75)
+    ev = spark.createDataFrame([("m", i, d) for i, d in enumerate([0.9, 0.9, -0.5, -2.0, 0.25])], "memory_id string, at int, x double")
+    for size in (1, 2, 100):
+        got = lifecycle.feedback_scores(ev, F.col("x"), ["at"], F.floor(F.col("at") / size)).first().feedback
+        assert got == pytest.approx(-0.75)
 
 
 def test_chain_stops_at_cycles(spark):
