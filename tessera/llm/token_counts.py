@@ -97,12 +97,18 @@ class Counts(dict):
         return -1 if got is None else got
 
 
+@lru_cache(1)
+def counts_memo(path: str) -> Counts:
+    """The worker process's memo."""
+    return Counts(path)
+
+
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown): greedy longest-match counts of whole texts."""
     path = path or vocab.default_path("word_bpe_49k.json")
 
     def task():
-        memo = Counts(path)
+        memo = counts_memo(path)
 
         def each(ids, texts):
             out = {"doc_id": ids, "n_words": [], "n_tokens": [], "n_unknown": []}
