@@ -38,7 +38,7 @@ from .common import folded, map_columns, written
 from .components import components
 from .line_dedup import SLICES, Bits, places
 
-SIZE, PERCENT = 4, 85
+SIZE, PERCENT = 5, 80
 COUNTERS = 1 << 22
 BLOCK = 4096
 FILTER_BITS = 1 << 27
@@ -56,19 +56,22 @@ class WordHashes(dict):
         return got
 
 
+WORD_HASHES = WordHashes()  # of the worker process, over all its tasks
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int = SIZE, memo: WordHashes | None = None) -> np.ndarray:
+def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """The set as a sorted array of hashes."""
     words = folded(text).split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map((WordHashes() if memo is None else memo).__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
     n, out = len(words) - size + 1, np.zeros(len(words) - size + 1, np.uint64)
     for i in range(size):
         out = mixed(out + h[i : i + n] * ODD[i % len(ODD)])
@@ -107,7 +110,7 @@ def profiles(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     schema = "doc_id long, n long, digest binary, " + ", ".join(f"{c} long" for c in sig) + ", slice int, counts binary"
 
     def run(batches):
-        memo, counts, seen = WordHashes(), np.zeros(COUNTERS, np.uint32), set()
+        counts, seen = np.zeros(COUNTERS, np.uint32), set()
         none = [None]
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -115,7 +118,7 @@ def profiles(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 ids = part.column(0).to_pylist()
                 ns, digests, sigs = [], [], []
                 for text in part.column(1).to_pylist():
-                    s = shingles(text, size, memo)
+                    s = shingles(text, size)
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if d not in seen:
                         if len(seen) >= 400_000:
@@ -151,14 +154,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        memo, seen, cells = WordHashes(), set(), sent.value
+        seen, cells = set(), sent.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, rows = b.slice(at, 256), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if doc is None:
                         continue
-                    s = shingles(text, size, memo)
+                    s = shingles(text, size)
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if not len(s) or d in seen:
                         continue
@@ -208,7 +211,7 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
     Bands are ordered in one of four ways, by token, so that the rows of a large group of
     near copies, which share many tokens, meet several of each other.
     """
-    band = np.log(100 / percent)
+    band = max(np.log(100 / percent), 1e-3)
     level = F.floor(F.log("n") / band).cast("int")
     rows = rows.withColumn("level", level).withColumn("turn", F.xxhash64("doc_id", F.col("token").bitwiseAND(F.lit(3))))
 
@@ -339,14 +342,14 @@ def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, size: int, perc
     sent = spark.sparkContext.broadcast(id_filter(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))), bits))
 
     def sets(batches):
-        memo, asked = WordHashes(), Bits(bits, sent.value)
+        asked = Bits(bits, sent.value)
         for b in batches:
             ids = b.column(0)
             held = asked.has(places(mixed(ids.fill_null(0).to_numpy().view(np.uint64)), bits)) & ids.is_valid().to_numpy(zero_copy_only=False)
             part = b.filter(pa.array(held))
             for at in range(0, part.num_rows, 256):
                 cut = part.slice(at, 256)
-                got = [shingles(t, size, memo).tobytes() for t in cut.column(1).to_pylist()]
+                got = [shingles(t, size).tobytes() for t in cut.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(got, pa.binary())], names=["id", "elements"])
 
     elements = written(docs.select("doc_id", "text").mapInArrow(sets, "id long, elements binary"), "sets")
@@ -402,4 +405,4 @@ def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
 
 def op10_jaccard(spark, sf_dir):
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85)
