@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import lexicon as X
+
 
 def decay(age_days: Column, half_life: float = 30.0) -> Column:
-    return F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / half_life)
+    """1 where decay is switched off; the future does not count as young."""
+    return F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / half_life) if half_life > 0 else F.lit(1.0)
 
 
 def reinforcement(count: Column, scale: float = 5.0) -> Column:
-    return 1 - F.exp(-count / scale)
+    """0 without accesses, then towards 1; at once where there is no scale."""
+    return F.when(count == 0, 0.0).otherwise(1 - F.exp(-count / scale) if scale > 0 else F.lit(1.0))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -21,7 +25,7 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def strength(age_days: Column, accesses: Column, feedback: Column, half_life: float = 30.0, scale: float = 5.0, weight: float = 0.2, power: float = 1.0) -> Column:
     """clamp((d^m + (1 - d^m) r)(1 + w feedback))."""
     d = F.pow(decay(age_days, half_life), F.lit(power))
-    return clamp((d + (1 - d) * reinforcement(accesses, scale)) * (1 + weight * feedback))
+    return clamp((d + (1 - d) * reinforcement(accesses, scale)) * (1 + weight * clamp(feedback, -1.0, 1.0)))
 
 
 def clamp_function(deltas: Column) -> Column:
@@ -35,5 +39,13 @@ def clamp_function(deltas: Column) -> Column:
     return F.aggregate(deltas, first, then)
 
 
+def weight_of(name: Column, weights: dict[str, float], default: float) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, name), F.lit(default))
+
+
 def trust(confidence: Column, source: Column, origin: Column, kind: Column, used: Column, saved: Column, matched: Column) -> Column:
-    return F.round(confidence * source * origin * kind + F.least(F.lit(0.2), 0.03 * used + 0.02 * saved + 0.01 * matched), 4)
+    """Confidence times the weights of its source, origin and type, plus a bounded gain from use; unknown names weigh a default."""
+    tidy = lambda c: F.replace(F.lower(F.trim(c)), F.lit("-"), F.lit("_"))
+    base = clamp(confidence) * weight_of(tidy(source), X.SOURCE_WEIGHTS, 0.85) * weight_of(tidy(origin), X.ORIGIN_WEIGHTS, 1.0) * weight_of(F.upper(kind), X.TYPE_WEIGHTS, 1.0)
+    return F.round(base + F.least(F.lit(0.2), 0.03 * used + 0.02 * saved + 0.01 * matched), 4)

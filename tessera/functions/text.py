@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no focus.
-STOP = "the and for are but not you all any can had her was one our out day get has him his how man new now old see two way who did its let put say she too use this that with from they will what when where which there their about".split()
-
+from tessera.functions import lexicon as X
 
 def normalized_query(text: Column) -> Column:
     """Lower case, single spaces, at most 400 characters."""
@@ -22,11 +20,11 @@ def tokens(text: Column) -> Column:
 def focus_candidates(text: Column) -> Column:
     """Identifier-like words of three and more characters that are no stop words."""
     found = F.regexp_extract_all(text, F.lit(r"[a-zA-Z_][a-zA-Z0-9_.\-]*"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(STOP))
+    return F.filter(found, lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(X.STOP_WORDS))
 
 
 def salience(term: Column) -> Column:
-    shaped = F.when(term.rlike(r"[_.\-0-9/]"), 2).otherwise(0)
+    shaped = F.when(term.rlike(r"[_./\-0-9]"), 2).otherwise(0)
     return shaped + F.when(term.rlike("^[A-Z]"), 1).otherwise(0) + F.when(F.length(term) > 6, 1).otherwise(0)
 
 
@@ -36,28 +34,71 @@ def clean_html(html: Column) -> Column:
 
 
 def file_refs(text: Column) -> Column:
-    """Distinct path-like words with a short extension, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_/\-]+\.[a-z]{2,4}"), F.lit(0)))
+    """Distinct path-like words, sorted: they hold a slash and more than two characters, edge punctuation taken off."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(X.FILE_REF), F.lit(0)), lambda r: F.regexp_replace(r, r"^[.,);\]]+|[.,);\]]+$", ""))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda r: F.contains(r, F.lit("/")) & (F.length(r) > 2))))
 
 
 def entity_key(name: Column) -> Column:
-    """Lower case, without quotes, leading articles, possessives and punctuation."""
-    out = F.lower(F.trim(name))
-    for pattern, by in (("[\"'`]s\\b", ""), ("[\"'`]", ""), (r"^(the|a|an)\s+", ""), (r"[^a-z0-9\s]", " "), (r"\s+", " ")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+    """Quotes around it, a leading article, a trailing possessive and edge punctuation off; lower case, single spaces."""
+    quotes, strip = "[\"'`\u201c\u201d\u2018\u2019]", r"^\s+|\s+$"
+    out = name
+    for pattern in (strip, f"^{quotes}+|{quotes}+$", strip):
+        out = F.regexp_replace(out, pattern, "")
+    out = F.lower(out)
+    for pattern in ("^(the |a |an )", "('s|\u2019s)$", "^[.,;:!?]+|[.,;:!?]+$", strip):
+        out = F.regexp_replace(out, pattern, "")
+    return F.regexp_replace(out, r"\s+", " ")
+
+
+def entity_spans(text: Column) -> Column:
+    """Keys of capitalized spans, cut to their first two words."""
+    spans = F.regexp_extract_all(text, F.lit(r"[A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+)*"), F.lit(0))
+    keys = F.transform(spans, lambda s: F.array_join(F.slice(F.split(entity_key(s), " "), 1, 2), " "))
+    return F.array_distinct(F.filter(keys, lambda k: k != ""))
+
+
+def error_type(text: Column) -> Column:
+    """What the first pattern of the list that occurs matches, in lower case without colons and spaces."""
+    out = F.lit("unknown")
+    for pattern in reversed(X.ERRORS):
+        found = F.regexp_extract(text, f"(?i){pattern}", 0)
+        out = F.when(found != "", F.regexp_replace(F.lower(found), "[: ]", "")).otherwise(out)
+    return out
+
+
+def normalized_error(text: Column) -> Column:
+    """Places, paths, addresses and large numbers as placeholders."""
+    for pattern, by in X.ERROR_PARTS:
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
 def error_signature(text: Column) -> Column:
-    """Numbers, hex and quoted parts of an error text as placeholders."""
-    out = text
-    for pattern, by in ((r"0x[0-9a-fA-F]+", "<hex>"), (r"\"[^\"]*\"", "<str>"), (r"[0-9]+", "<n>"), (r"\s+", " ")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+    """The type with the first two words of the normalized text."""
+    words = F.regexp_extract(normalized_error(text), r"\w+(?:\s+\w+)?", 0)
+    return F.when(words == "", error_type(text)).otherwise(F.concat_ws("-", error_type(text), words))
+
+
+def claim_words(text: Column) -> Column:
+    """Stemmed content words of a claim."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9'\\-]*"), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(found, lambda t: ~t.isin(X.CLAIM_STOP + X.NEGATIONS)), stem_s))
+
+
+def hard_values(text: Column) -> Column:
+    """Numbers, amounts and dates, without thousands separators."""
+    found = F.regexp_extract_all(text, F.lit(r"\d[\d,./:\-]*\d|\d"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(found, lambda n: F.regexp_replace(F.replace(n, F.lit(","), F.lit("")), r"^[.:\-/]+|[.:\-/]+$", "")), lambda n: n != ""))
+
+
+def negated(text: Column) -> Column:
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9'\\-]*"), F.lit(0))
+    return F.arrays_overlap(found, F.array(*map(F.lit, X.NEGATIONS))) | F.contains(F.lower(text), F.lit("n't"))
 
 
 def stem_s(token: Column) -> Column:
-    return F.when((F.length(token) > 3) & token.endswith("s") & ~token.endswith("ss"), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+    return F.when((F.length(token) > 3) & token.endswith("s"), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
 
 
 def surprisal(df: Column, n: Column) -> Column:

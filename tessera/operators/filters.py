@@ -19,18 +19,23 @@ class ParsedQuery:
     post: dict[str, str] = field(default_factory=dict)
 
 
+_PART = re.compile(rf"(?i)({'|'.join(ROUTE_KEYS + POST_KEYS)}):(\"[^\"]+\"|'[^']+'|\S+)")
+
+
 def parse_query(text: str) -> ParsedQuery:
-    """Takes ``key:value`` words off a query; if nothing else is left, the text stays whole."""
-    out, rest = ParsedQuery(text), []
-    for word in text.split():
-        m = re.fullmatch(r"(\w+):(\S+)", word)
-        if m and m[1].lower() in ROUTE_KEYS:
-            out.route[m[1].lower()] = m[2]
-        elif m and m[1].lower() in POST_KEYS:
-            out.post[m[1].lower()] = m[2]
+    """Takes ``key:value`` parts off a query, values in quotes or without; if nothing else is left, the text stays whole.
+
+    Several types are separated by commas, in any case.
+    """
+    out = ParsedQuery(text)
+    for key, value in _PART.findall(text):
+        key, quoted = key.lower(), len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+        value = value[1:-1] if quoted else value
+        if key == "type":
+            out.route[key] = ",".join(p.strip().upper() for p in value.split(",") if p.strip())
         else:
-            rest.append(word)
-    out.query = " ".join(rest) or text
+            (out.route if key in ROUTE_KEYS else out.post)[key] = value
+    out.query = " ".join(_PART.sub(" ", text).split()) or text
     return out
 
 
@@ -40,13 +45,13 @@ def query_filters(parsed: ParsedQuery, content: Column, created: Column, type_:
     keep = F.lit(True)
     for key, value in {**parsed.route, **parsed.post}.items():
         if key == "type":
-            keep &= type_ == value
+            keep &= type_.isin(value.split(","))
         elif key == "project":
             keep &= project == value
         elif key == "after":
-            keep &= (day == "") | (day >= value[:10])
+            keep &= (day == "") | (day >= value)
         elif key == "before":
-            keep &= (day == "") | (day <= value[:10])
+            keep &= (day == "") | (day <= value)
         elif key == "tag":
             keep &= F.array_contains(F.transform(tags, F.lower), value.lower()) if tags is not None else F.lit(False)
         else:

@@ -98,16 +98,22 @@ def derive_transitive(edges: DataFrame, predicate: str = "uses", name: str = "tr
     return e.join(second, "object").where("subject <> then").select("subject", F.lit(name).alias("predicate"), F.col("then").alias("object")).distinct()
 
 
-def overlapping_conflicts(edges: DataFrame, key: list[str], other: str, open_ended: bool = True) -> DataFrame:
-    """(a, b): edges with the same key, another ``other`` and overlapping belief windows, a < b.
+def overlapping_conflicts(edges: DataFrame, key: list[str], other: str, open_ended: bool = True, excludes: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(a, b): edges with the same key and overlapping belief windows that contradict, a < b.
 
-    ``open_ended``: a missing end lasts for ever; otherwise it never overlaps. Sorted by
-    start, an edge can only overlap later ones that start before it ends.
+    They contradict if ``other`` differs; with ``excludes``, if it is the same or a pair of
+    those. ``open_ended``: a missing end lasts for ever; otherwise it never overlaps.
     """
     end = F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp")) if open_ended else F.col("valid_to")
     e = edges.select("id", *key, other, F.col("valid_from").alias("s"), end.alias("e"))
     f = e.select(F.col("id").alias("id2"), *key, F.col(other).alias("other2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return e.join(f, key).where((F.col("id") < F.col("id2")) & (F.col(other) != F.col("other2")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    x, y = F.col(other), F.col("other2")
+    clash = x != y
+    if excludes is not None:
+        clash = x == y
+        for p, q in excludes:
+            clash = clash | ((x == p) & (y == q)) | ((x == q) & (y == p))
+    return e.join(f, key).where((F.col("id") < F.col("id2")) & clash & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def winners(rows: DataFrame, group: list[str], by: list[str]) -> DataFrame:

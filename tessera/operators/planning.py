@@ -1,26 +1,48 @@
-"""What a question wants: its intents and the plan that follows."""
+"""What a question wants: its intents, the plan that follows, and whether it needs memory at all."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that mark an intent.
-INTENTS = {
-    "broad": r"\b(all|every|everything|overview)\b",
-    "counting": r"\b(how many|count)\b",
-    "aggregating": r"\b(total|sum|average)\b",
-    "current_value": r"\b(now|current|currently|latest)\b",
-}
-# Mode to (rows wanted, candidate pool).
-PLANS = {"count": (40, 80), "aggregation": (80, 80), "broad": (8, 40), "precise": (3, 20)}
+from tessera.functions import lexicon as X
+
+# Mode to (similarity floor, rows wanted, candidate pool).
+PLANS = {"count": (0.35, 40, 80), "aggregation": (0.35, 80, 80), "broad": (0.28, 8, 40), "precise": (0.35, 3, 20)}
+
+
+def has(text: Column, pattern: str) -> Column:
+    return text.rlike("(?i)" + pattern)
+
+
+def intents(text: Column) -> dict[str, Column]:
+    return {
+        "broad": has(text, X.BROAD),
+        "counting": has(text, X.COUNT) & ~has(text, X.COUNT_NOT),
+        "aggregating": has(text, X.AGGREGATE) & ~has(text, X.AGGREGATE_NOT),
+        "current_value": has(text, X.CURRENT),
+    }
 
 
 def plan_columns(text: Column) -> list[Column]:
-    """mode, k, pool; the narrower intent decides first."""
-    low = F.lower(text)
+    """mode, k, pool, floor; counting decides before aggregating, that before broad. A broad question's floor stays low."""
+    i = intents(text)
 
     def ladder(pick):
-        return F.when(low.rlike(INTENTS["counting"]), pick("count")).when(low.rlike(INTENTS["aggregating"]), pick("aggregation")).when(low.rlike(INTENTS["broad"]), pick("broad")).otherwise(pick("precise"))
+        return F.when(i["counting"], pick("count")).when(i["aggregating"], pick("aggregation")).when(i["broad"], pick("broad")).otherwise(pick("precise"))
+
+    floor = F.when(i["broad"], PLANS["broad"][0]).otherwise(PLANS["precise"][0])
+    return [ladder(F.lit).alias("mode"), ladder(lambda m: F.lit(PLANS[m][1])).alias("k"), ladder(lambda m: F.lit(PLANS[m][2])).alias("pool"), floor.alias("floor")]
+
 
-    return [ladder(F.lit).alias("mode"), ladder(lambda m: F.lit(PLANS[m][0])).alias("k"), ladder(lambda m: F.lit(PLANS[m][1])).alias("pool")]
+def triage(text: Column) -> Column:
+    """recall, skip or uncertain: narrow self-contained prompts are skipped, cues of memory come first."""
+    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return (
+        F.when(t == "", "skip")
+        .when(has(t, X.NEEDS_MEMORY), "recall")
+        .when(has(t, X.ACKNOWLEDGED), "skip")
+        .when(has(t, X.ASKS_TIME), "skip")
+        .when(has(t, X.SELF_CONTAINED) & (F.length(t) < 400), "skip")
+        .otherwise("uncertain")
+    )

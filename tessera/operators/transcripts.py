@@ -26,37 +26,55 @@ def grep(lines: DataFrame, pattern: str, context: int = 0) -> DataFrame:
 ARC_SCHEMA = "session string, tool string, signature string, failed_at long, fixed_at long, repeats int"
 
 
+class Arcs:
+    """A session's failures by tool and signature, and which of them still wait for a fix."""
+
+    def __init__(self, window: int, most: int):
+        self.window, self.most = window, most
+        self.found: dict[tuple[str, str], dict] = {}
+        self.waiting: deque[tuple[int, str, str]] = deque()
+
+    def call(self, at: int, tool: str, ok: bool, signature: str) -> None:
+        while self.waiting and at - self.waiting[0][0] > self.window:
+            self.waiting.popleft()
+        if ok:
+            latest = next((w for w in reversed(self.waiting) if w[1] == tool), None)
+            if latest:
+                self.waiting.remove(latest)
+                arc = self.found[latest[1:]]
+                if arc["fixed_at"] is None:
+                    arc["fixed_at"] = at
+        elif (tool, signature) in self.found or len(self.found) < self.most:
+            arc = self.found.setdefault((tool, signature), {"failed_at": at, "fixed_at": None, "repeats": 0})
+            arc["repeats"] += 1
+            self.waiting.append((at, tool, signature))
+
+    def rows(self, session: str) -> list[tuple]:
+        return [(session, *key, a["failed_at"], a["fixed_at"], a["repeats"]) for key, a in self.found.items()]
+
+
 def failure_arcs(calls: DataFrame, window: int = 25, most: int = 2000) -> DataFrame:
-    """Failures with the success that resolves each: the latest open failure of the same tool within ``window`` calls.
+    """Each session's distinct failures, how often they came, and the success that first resolved them.
 
-    ``calls`` (session, idx, tool, ok, signature). A failure that repeats while it is open
-    counts on it. At most ``most`` failures of a session are open; the oldest closes first.
-    The order of calls decides: sorted calls stream by, and only open failures are held.
+    ``calls`` (session, idx, tool, ok, signature). A success resolves the latest failure of
+    its tool that waits, at most ``window`` calls old. A failure that comes again counts on
+    the first, whenever it comes. At most ``most`` distinct failures of a session are kept.
+    The order of calls decides: sorted calls stream by, and only a session's arcs are held.
     """
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, pending = None, deque()
+        names = ["session", "tool", "signature", "failed_at", "fixed_at", "repeats"]
+        table = lambda rows: pd.DataFrame(rows, columns=names).astype({"fixed_at": "Int64"})
+        session, arcs = None, Arcs(window, most)
         for pdf in pdfs:
             out = []
-            for s, idx, tool, ok, sig in zip(pdf["session"], pdf["idx"], pdf["tool"], pdf["ok"], pdf["signature"], strict=True):
+            for s, at, tool, ok, sig in zip(pdf["session"], pdf["idx"], pdf["tool"], pdf["ok"], pdf["signature"], strict=True):
                 if s != session:
-                    session, pending = s, deque()
-                if not ok:
-                    same = next((p for p in pending if p["tool"] == tool and p["signature"] == sig and idx - p["last"] <= window), None)
-                    if same:
-                        same["repeats"] += 1
-                        same["last"] = idx
-                    else:
-                        pending.append({"tool": tool, "signature": sig, "failed_at": idx, "last": idx, "repeats": 1})
-                        if len(pending) > most:
-                            pending.popleft()
-                    continue
-                for p in reversed(pending):
-                    if p["tool"] == tool and idx - p["last"] <= window:
-                        out.append((s, tool, p["signature"], p["failed_at"], idx, p["repeats"]))
-                        pending.remove(p)
-                        break
-            yield pd.DataFrame(out, columns=["session", "tool", "signature", "failed_at", "fixed_at", "repeats"])
+                    out += arcs.rows(session)
+                    session, arcs = s, Arcs(window, most)
+                arcs.call(int(at), tool, bool(ok), sig)
+            yield table(out)
+        yield table(arcs.rows(session))
 
     ordered = calls.select("session", "idx", "tool", "ok", "signature").repartition("session").sortWithinPartitions("session", "idx")
     return ordered.mapInPandas(run, ARC_SCHEMA)

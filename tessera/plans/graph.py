@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.functions import text as T
+from tessera.functions.lexicon import ANTONYMS
 from tessera.operators import graph as G
 from tessera.sources.tables import SQL_EDGES, edges, table
 
@@ -116,7 +117,7 @@ def g9(spark, sf_dir):
 @query(
     "g10_entity_resolution",
     r"""with k as (select l_orderkey * 10 + l_linenumber as ord, case l_linenumber % 3 when 0 then 'The ' || p_name when 1 then upper(p_name) else '"' || p_name || '"' end as form from lineitem join part on l_partkey = p_partkey),
-n as (select form, ord, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(trim(form)), '"', ''), chr(39), ''), '^(the|a|an)\s+', ''), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) as key from k)
+n as (select form, ord, regexp_replace(trim(regexp_replace(lower(trim(form, '" ')), '^(the |a |an )', '')), '\s+', ' ', 'g') as key from k)
 select key, arg_min(form, struct_pack(o := ord, f := form)) as canonical, count(distinct form)::bigint as forms from n group by key""",
 )
 def g10(spark, sf_dir):
@@ -139,16 +140,16 @@ def j8(spark, sf_dir):
     return s.join(s.select(F.col("subject").alias("object"), "s_nationkey"), "s_nationkey").where("subject <> object").select("subject", F.lit("co_occurs_with").alias("predicate"), "object").distinct()
 
 
-SPANS = "sp as (select o_orderkey as id, o_custkey as s, o_orderstatus as p, o_orderpriority as o, o_orderdate as f, case when o_orderkey % 17 = 0 then null else o_orderdate + to_days((o_totalprice / 5000)::int) end as t, round(o_totalprice / 500000, 4) as confidence from orders)"
+SPANS = "sp as (select o_orderkey as id, o_custkey as s, case o_orderstatus when 'F' then 'prefers' when 'O' then 'avoids' else 'causes' end as p, o_orderpriority as o, o_orderdate as f, case when o_orderkey % 17 = 0 then null else o_orderdate + to_days((o_totalprice / 5000)::int) end as t, round(o_totalprice / 500000, 4) as confidence from orders)"
 
 
 def spans(spark, sf_dir):
     days = F.round(F.col("o_totalprice") / 5000).cast("int")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"), F.col("o_orderstatus").alias("predicate"), F.col("o_orderpriority").alias("object"), F.col("o_orderdate").alias("valid_from"), F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderdate") + F.make_dt_interval(days)).alias("valid_to"), F.round(F.col("o_totalprice") / 500000, 4).alias("confidence"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"), F.when(F.col("o_orderstatus") == "F", "prefers").when(F.col("o_orderstatus") == "O", "avoids").otherwise("causes").alias("predicate"), F.col("o_orderpriority").alias("object"), F.col("o_orderdate").alias("valid_from"), F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderdate") + F.make_dt_interval(days)).alias("valid_to"), F.round(F.col("o_totalprice") / 500000, 4).alias("confidence"))
 
 
 J9 = f"{SPANS}, cf as (select a.id as a, b.id as b from sp a join sp b on a.s = b.s and a.p = b.p and a.o <> b.o and a.id < b.id and a.f < b.t and b.f < a.t)"
-J10 = f"{SPANS}, cf as (select a.id as a, b.id as b from sp a join sp b on a.s = b.s and a.o = b.o and a.p <> b.p and a.id < b.id and a.f < coalesce(b.t, timestamp '9999-12-31') and b.f < coalesce(a.t, timestamp '9999-12-31'))"
+J10 = f"{SPANS}, cf as (select a.id as a, b.id as b from sp a join sp b on a.s = b.s and a.o = b.o and (a.p = b.p or (a.p, b.p) in (('prefers', 'avoids'), ('avoids', 'prefers'))) and a.id < b.id and a.f < coalesce(b.t, timestamp '9999-12-31') and b.f < coalesce(a.t, timestamp '9999-12-31'))"
 
 
 @query("j9_contradiction_overlap", f"with {J9} select a, b from cf")
@@ -160,7 +161,7 @@ def j9(spark, sf_dir):
 @query("j10_verify_exclusions", f"with {J10} select a, b from cf")
 def j10(spark, sf_dir):
     """A missing end lasts for ever here."""
-    return G.overlapping_conflicts(spans(spark, sf_dir), ["subject", "object"], "predicate")
+    return G.overlapping_conflicts(spans(spark, sf_dir), ["subject", "object"], "predicate", excludes=ANTONYMS)
 
 
 @query("g12_verify", f"with {J10} select distinct unnest([a, b]) as id from cf")
@@ -169,7 +170,7 @@ def g12(spark, sf_dir):
     return j10(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
-@query("g13_resolve_lww", "select o_custkey as subject, o_orderstatus as predicate, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as winner, (count(*) - 1)::bigint as beaten from orders group by all having count(distinct o_orderpriority) > 1")
+@query("g13_resolve_lww", "select o_custkey as subject, case o_orderstatus when 'F' then 'prefers' when 'O' then 'avoids' else 'causes' end as predicate, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as winner, (count(*) - 1)::bigint as beaten from orders group by all having count(distinct o_orderpriority) > 1")
 def g13(spark, sf_dir):
     """Of conflicting facts the last written wins."""
     s = spans(spark, sf_dir)
@@ -177,7 +178,7 @@ def g13(spark, sf_dir):
     return G.winners(s.join(many, ["subject", "predicate"], "left_semi"), ["subject", "predicate"], ["valid_from", "id"])
 
 
-@query("g13_resolve_evidence", "select o_custkey as subject, o_orderstatus as predicate, arg_max(o_orderkey, struct_pack(c := round(o_totalprice / 500000, 4), d := o_orderdate, k := o_orderkey)) as winner, (count(*) - 1)::bigint as beaten from orders group by all")
+@query("g13_resolve_evidence", "select o_custkey as subject, case o_orderstatus when 'F' then 'prefers' when 'O' then 'avoids' else 'causes' end as predicate, arg_max(o_orderkey, struct_pack(c := round(o_totalprice / 500000, 4), d := o_orderdate, k := o_orderkey)) as winner, (count(*) - 1)::bigint as beaten from orders group by all")
 def g13e(spark, sf_dir):
     return G.winners(spans(spark, sf_dir), ["subject", "predicate"], ["confidence", "valid_from", "id"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
+from tessera.functions import lexicon as X
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.operators import lifecycle as L
@@ -109,11 +110,17 @@ def a14(spark, sf_dir):
     return first.join(F.broadcast(c)).select(F.round((F.unix_micros(F.lit(NOW).cast("timestamp")) - F.col("t")) / 86400e6, 4).alias("signal_days"), "used_ratio")
 
 
-@query("trust_score", f"{EV}, {COUNTERS} select memory_id, round(0.9 * 0.8 * (case when memory_id % 2 = 0 then 1.0 else 0.7 end)::double * 1.0 + least(0.2, 0.03 * use_count + 0.02 * save_count + 0.01 * match_count), 4) as trust from cnt")
+SOURCE_CASE = " ".join(f"when {i} then {w}" for i, w in enumerate(X.SOURCE_WEIGHTS.values()))
+ORIGIN_CASE = " ".join(f"when {i} then {w}" for i, w in enumerate(X.ORIGIN_WEIGHTS.values()))
+
+
+@query("trust_score", f"{EV}, {COUNTERS} select memory_id, round(0.9::double * (case memory_id % 7 {SOURCE_CASE} else 0.85 end)::double * (case memory_id % 8 {ORIGIN_CASE} else 1.0 end)::double * (case memory_id % 2 when 0 then 1.08 else 1.0 end)::double + least(0.2, 0.03 * use_count + 0.02 * save_count + 0.01 * match_count)::double, 4) as trust from cnt")
 def trust(spark, sf_dir):
+    """Sources and origins in turn, unknown ones among them."""
     c = L.usage_counters(usage_events(spark, sf_dir))
-    origin = F.when(F.col("memory_id") % 2 == 0, 1.0).otherwise(0.7)
-    return c.select("memory_id", S.trust(F.lit(0.9), F.lit(0.8), origin, F.lit(1.0), F.col("use_count"), F.col("save_count"), F.col("match_count")).alias("trust"))
+    turn = lambda names, n: F.element_at(F.array(*map(F.lit, [*names, "other"])), (F.col("memory_id") % n + 1).cast("int"))
+    kind = F.when(F.col("memory_id") % 2 == 0, "decision").otherwise("whatever")
+    return c.select("memory_id", S.trust(F.lit(0.9), turn(X.SOURCE_WEIGHTS, 7), turn(X.ORIGIN_WEIGHTS, 8), kind, F.col("use_count"), F.col("save_count"), F.col("match_count")).alias("trust"))
 
 
 @query("w1_latest_version", "select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
+from tessera.functions import lexicon as X_
 from tessera.functions import text as T
 from tessera.operators import bm25, fusion, vector
 from tessera.operators import filters as X
@@ -114,10 +115,10 @@ def r6(spark, sf_dir):
 FOCUS_SQL = """f as (select {id} as id, unnest(list_filter(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_.\\-]*'), lambda t: length(t) >= 3 and not list_contains([{stop}], lower(t)))) as term,
   generate_subscripts(list_filter(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_.\\-]*'), lambda t: length(t) >= 3 and not list_contains([{stop}], lower(t))), 1) as pos from {table}),
 g as (select id, arg_min(term, pos) as term, min(pos) as pos from f group by id, lower(term)),
-s as (select *, (case when regexp_matches(term, '[_.\\-0-9/]') then 2 else 0 end) + (case when regexp_matches(term, '^[A-Z]') then 1 else 0 end) + (case when length(term) > 6 then 1 else 0 end) as salience from g)"""
+s as (select *, (case when regexp_matches(term, '[_./\\-0-9]') then 2 else 0 end) + (case when regexp_matches(term, '^[A-Z]') then 1 else 0 end) + (case when length(term) > 6 then 1 else 0 end) as salience from g)"""
 
 
-@query("r9_focus_terms", "with " + FOCUS_SQL.format(id="doc_id", table="documents", stop=", ".join(f"'{w}'" for w in T.STOP)) + " select id, term, salience::int as salience, row_number() over (partition by id order by salience desc, pos)::int as rank from s qualify rank <= 12")
+@query("r9_focus_terms", "with " + FOCUS_SQL.format(id="doc_id", table="documents", stop=", ".join(f"'{w}'" for w in X_.STOP_WORDS)) + " select id, term, salience::int as salience, row_number() over (partition by id order by salience desc, pos)::int as rank from s qualify rank <= 12")
 def r9(spark, sf_dir):
     """The twelve most salient words of each text, distinct without case, first spelling kept."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.focus_candidates(F.col("text"))).alias("pos", "term"))
@@ -214,20 +215,30 @@ def r18(spark, sf_dir):
     return fusion.rerank_head(fused(spark, sf_dir), (F.col("id") * 7919) % 1000, 8).select("query_id", "id", "new_rank")
 
 
-@query("r20_recall_plan", r"select conv_id, turn, case when regexp_matches(lower(text), '\b(how many|count)\b') then 'count' when regexp_matches(lower(text), '\b(total|sum|average)\b') then 'aggregation' when regexp_matches(lower(text), '\b(all|every|everything|overview)\b') then 'broad' else 'precise' end as mode, case when regexp_matches(lower(text), '\b(how many|count)\b') then 40 when regexp_matches(lower(text), '\b(total|sum|average)\b') then 80 when regexp_matches(lower(text), '\b(all|every|everything|overview)\b') then 8 else 3 end as k, case when regexp_matches(lower(text), '\b(how many|count|total|sum|average)\b') then 80 when regexp_matches(lower(text), '\b(all|every|everything|overview)\b') then 40 else 20 end as pool from conversations")
+def said(pattern: str) -> str:
+    return f"regexp_matches(text, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+COUNTING = f"({said(X_.COUNT)} and not {said(X_.COUNT_NOT)})"
+AGGREGATING = f"({said(X_.AGGREGATE)} and not {said(X_.AGGREGATE_NOT)})"
+
+
+@query(
+    "r20_recall_plan",
+    f"select conv_id, turn, case when {COUNTING} then 'count' when {AGGREGATING} then 'aggregation' when {said(X_.BROAD)} then 'broad' else 'precise' end as mode, case when {COUNTING} then 40 when {AGGREGATING} then 80 when {said(X_.BROAD)} then 8 else 3 end as k, case when {COUNTING} or {AGGREGATING} then 80 when {said(X_.BROAD)} then 40 else 20 end as pool, case when {said(X_.BROAD)} then 0.28 else 0.35 end::double as floor from conversations",
+)
 def r20(spark, sf_dir):
-    """Each question's plan: its mode, how many rows it wants and from how wide a pool."""
+    """Each question's plan: its mode, how many rows it wants, from how wide a pool, above which floor."""
     from tessera.operators.planning import plan_columns
 
     return messages(spark, sf_dir).select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), *plan_columns(F.col("text")))
 
 
-@query("r21_query_intent", r"select conv_id, turn, regexp_matches(lower(text), '\b(all|every|everything|overview)\b') as broad, regexp_matches(lower(text), '\b(how many|count)\b') as counting, regexp_matches(lower(text), '\b(total|sum|average)\b') as aggregating, regexp_matches(lower(text), '\b(now|current|currently|latest)\b') as current_value from conversations")
+@query("r21_query_intent", f"select conv_id, turn, {said(X_.BROAD)} as broad, {COUNTING} as counting, {AGGREGATING} as aggregating, {said(X_.CURRENT)} as current_value from conversations")
 def r21(spark, sf_dir):
-    from tessera.operators.planning import INTENTS
+    from tessera.operators.planning import intents
 
-    low = F.lower("text")
-    return messages(spark, sf_dir).select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), *[low.rlike(p).alias(n) for n, p in INTENTS.items()])
+    return messages(spark, sf_dir).select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), *[c.alias(n) for n, c in intents(F.col("text")).items()])
 
 
 @query("r23_doctrine_match", "select e.vec_id as query_id, d.label as doctrine, max(round(list_cosine_similarity(e.embedding::double[], d.embedding::double[]), 6)) as similarity from embeddings e, (select label, embedding from embeddings qualify row_number() over (partition by label order by vec_id) <= 2) d group by all having similarity >= 0.3")

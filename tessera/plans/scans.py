@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
+from tessera.functions import lexicon as X_
 from tessera.functions import text as T
 from tessera.operators import filters as X
 from tessera.sources.tables import SQL_EDGES, SQL_MEMORIES, SQL_USAGE, edges, memories, messages, table, usage_events
@@ -130,23 +131,34 @@ def fp9(spark, sf_dir):
     return X.as_of(edges(spark, sf_dir), at="1998-01-01 00:00:00", since="1996-01-01 00:00:00").select("id", "subject", "predicate", "object")
 
 
+def _claim_sql(c: str) -> str:
+    words = ", ".join(f"'{w}'" for w in X_.CLAIM_STOP + X_.NEGATIONS)
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9''\\-]*'), lambda x: not list_contains([{words}], x)), lambda x: case when length(x) > 3 and x like '%s' then substr(x, 1, length(x) - 1) else x end))"
+
+
+def _values_sql(c: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({c}, '\\d[\\d,./:\\-]*\\d|\\d'), lambda x: trim(replace(x, ',', ''), '.:-/')), lambda x: x <> '')"
+
+
+def _negated_sql(c: str) -> str:
+    return f"(list_has_any(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9''\\-]*'), [{', '.join(repr(w) for w in X_.NEGATIONS)}]) or contains(lower({c}), 'n''t'))"
+
+
 @query(
     "fp10_extraction_validation",
-    r"""with s as (select conv_id, turn, role, text, lag(text) over (partition by conv_id order by turn) as source from conversations),
-t as (select conv_id, turn, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: case when length(x) > 3 and x like '%s' and x not like '%ss' then substr(x, 1, length(x) - 1) else x end)) as claim,
- list_distinct(list_transform(regexp_extract_all(lower(source), '[a-z0-9]+'), lambda x: case when length(x) > 3 and x like '%s' and x not like '%ss' then substr(x, 1, length(x) - 1) else x end)) as src,
- list_distinct(regexp_extract_all(text, '[0-9]+')) as nums, list_distinct(regexp_extract_all(source, '[0-9]+')) as src_nums from s where source is not null)
-select conv_id, turn, round(case when len(claim) = 0 then 0 else len(list_intersect(claim, src))::double / len(claim) end, 6) as support, len(list_filter(nums, lambda x: not list_contains(src_nums, x))) = 0 as values_ok from t""",
+    f"""with s as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as source from conversations),
+t as (select conv_id, turn, {_claim_sql('text')} as claim, {_claim_sql('source')} as src, {_values_sql('text')} as nums, {_values_sql('source')} as src_nums, {_negated_sql('text')} = {_negated_sql('source')} as same from s where source is not null),
+v as (select conv_id, turn, case when len(claim) = 0 then 1 else len(list_intersect(claim, src))::double / len(claim) end as support, len(list_filter(nums, lambda x: not list_contains(src_nums, x))) = 0 as values_ok, same as polarity_ok from t)
+select conv_id, turn, round(support, 3) as support, values_ok, polarity_ok, support >= 0.5 and values_ok and polarity_ok as ok from v""",
 )
 def fp10(spark, sf_dir):
-    """A turn as a claim on the turn before: share of its word stems found there, and whether its numbers are."""
+    """A turn as a claim on the turn before: shared content words, numbers found there, the same polarity."""
     w = Window.partitionBy("session_id").orderBy("message_index")
     rows = messages(spark, sf_dir).withColumn("source", F.lag("text").over(w)).where("source is not null")
-    stems = lambda c: F.array_distinct(F.transform(T.tokens(F.col(c)), T.stem_s))
-    nums = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("[0-9]+"), F.lit(0)))
-    rows = rows.select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), stems("text").alias("claim"), stems("source").alias("src"), nums("text").alias("a"), nums("source").alias("b"))
-    support = F.when(F.size("claim") == 0, 0.0).otherwise(F.size(F.array_intersect("claim", "src")) / F.size("claim"))
-    return rows.select("conv_id", "turn", F.round(support, 6).alias("support"), (F.size(F.array_except("a", "b")) == 0).alias("values_ok"))
+    t, s = F.col("text"), F.col("source")
+    rows = rows.select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), T.claim_words(t).alias("claim"), T.claim_words(s).alias("src"), (F.size(F.array_except(T.hard_values(t), T.hard_values(s))) == 0).alias("values_ok"), (T.negated(t) == T.negated(s)).alias("polarity_ok"))
+    support = F.when(F.size("claim") == 0, 1.0).otherwise(F.size(F.array_intersect("claim", "src")) / F.size("claim"))
+    return rows.select("conv_id", "turn", F.round(support, 3).alias("support"), "values_ok", "polarity_ok", ((support >= 0.5) & F.col("values_ok") & F.col("polarity_ok")).alias("ok"))
 
 
 @query("fp11_freshness_window", "select event_id, event_type from events where ts is null or epoch_us(timestamp '2024-01-31') - epoch_us(ts) <= 7 * 86400000000")
@@ -155,18 +167,15 @@ def fp11(spark, sf_dir):
     return e.where(X.fresh(F.col("ts").cast("timestamp"), F.lit("2024-01-31 00:00:00").cast("timestamp"), 7)).select("event_id", "event_type")
 
 
-@query("fp12_recall_triage", r"select conv_id, turn, case when length(trim(text)) < 12 then 'skip' when regexp_matches(lower(text), '\b(what|when|where|which|remember|again)\b') then 'recall' when contains(text, '?') then 'recall' when regexp_matches(lower(text), '^(yes|no|ok|thanks|go on)\b') then 'skip' else 'uncertain' end as verdict from conversations where role = 'user'")
+def _said(pattern: str, c: str) -> str:
+    return f"regexp_matches({c}, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("fp12_recall_triage", f"select conv_id, turn, case when t = '' then 'skip' when {_said(X_.NEEDS_MEMORY, 't')} then 'recall' when {_said(X_.ACKNOWLEDGED, 't')} then 'skip' when {_said(X_.ASKS_TIME, 't')} then 'skip' when {_said(X_.SELF_CONTAINED, 't')} and length(t) < 400 then 'skip' else 'uncertain' end as verdict from (select conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from conversations where role = 'user')")
 def fp12(spark, sf_dir):
-    """A cascade: the first rule that fits decides."""
-    t = F.col("text")
-    verdict = (
-        F.when(F.length(F.trim(t)) < 12, "skip")
-        .when(F.lower(t).rlike(r"\b(what|when|where|which|remember|again)\b"), "recall")
-        .when(F.contains(t, F.lit("?")), "recall")
-        .when(F.lower(t).rlike(r"^(yes|no|ok|thanks|go on)\b"), "skip")
-        .otherwise("uncertain")
-    )
-    return messages(spark, sf_dir).where("role = 'user'").select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), verdict.alias("verdict"))
+    from tessera.operators.planning import triage
+
+    return messages(spark, sf_dir).where("role = 'user'").select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), triage(F.col("text")).alias("verdict"))
 
 
 RULES = [(1, r"^https://www\.", "deny"), (2, r"\.html$", "rewrite"), (3, "spam", "deny"), (4, r"utm_source=", "rewrite")]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.functions import dates as D
+from tessera.functions import lexicon as X
 from tessera.functions import text as T
 from tessera.operators import transcripts as R
 from tessera.sources.tables import messages, table
@@ -17,9 +20,9 @@ def page_clean_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_html(F.col("html")).alias("clean"))
 
 
-@query("file_refs", r"select page_id, list_distinct(regexp_extract_all(url || ' ' || html, '[A-Za-z0-9_/\-]+\.[a-z]{2,4}')).list_sort() as refs from pages")
+@query("file_refs", rf"select page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, '{X.FILE_REF}'), lambda r: regexp_replace(r, '^[.,);\]]+|[.,);\]]+$', '', 'g')), lambda r: contains(r, '/') and length(r) > 2))) as refs from pages")
 def file_refs(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sort_array(T.file_refs(F.concat_ws(" ", "url", "html"))).alias("refs"))
+    return table(spark, sf_dir, "pages").select("page_id", T.file_refs(F.col("html")).alias("refs"))
 
 
 @query("w8_line_offsets", r"with l as (select doc_id as id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents) select id, line_no::int as line_no, length(line)::int as n, coalesce(sum(length(line) + 1) over (partition by id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as start from l")
@@ -45,7 +48,7 @@ CALLS = "cl as (select user_id::varchar as session, row_number() over (partition
 @query("st3_failure_arcs")
 def st3(spark, sf_dir):
     """Order decides, so SQL has no short form: tests hold it against a plain loop."""
-    return R.failure_arcs(calls(spark, sf_dir).withColumn("signature", T.error_signature(F.col("props"))).select("session", "idx", "tool", "ok", "signature"))
+    return R.failure_arcs(calls(spark, sf_dir).withColumn("signature", F.col("props")).select("session", "idx", "tool", "ok", "signature"))
 
 
 @query("j16_failure_then_fix", f"with {CALLS}, j as (select session, tool, idx as fixed_at, ok, max(case when not ok then idx end) over (partition by session, tool order by idx range between 25 preceding and 1 preceding) as failed_at from cl) select session, tool, fixed_at, failed_at from j where ok and failed_at is not null")
@@ -59,24 +62,86 @@ def a28(spark, sf_dir):
     return R.arc_candidates(e.select(F.concat(F.lit("t"), F.col("event_id") % 4).alias("tool"), F.col("props").alias("signature"), F.col("event_type").alias("rule"), F.col("user_id").alias("session"), (1 + F.col("event_id") % 3).alias("repeats")))
 
 
-@query("extract_triples", r"select p_partkey as id, regexp_extract(p_name, '(?i)^(\w+)\s+(\w+)$', 2) as subject, 'has_colour' as predicate, regexp_extract(p_name, '(?i)^(\w+)\s+(\w+)$', 1) as object from part where regexp_matches(p_name, '(?i)^(\w+)\s+(\w+)$')")
+TYPES = ["WORKING_SOLUTION", "GOTCHA", "PATTERN", "DECISION", "FAILURE", "PREFERENCE", "TOOL_RULE", "NOTE"]
+TOLD = ["try {n} to fix {b}", "{n} causes {b} trouble", "avoid {n}", "the {b} team uses {n}", "we chose {n} over {b}", "{n} fails with {b}", "prefer {n}", "{n} is broken", "nothing at all", "using {n} because {b} is better", "{n} worked for {b}"]
+
+
+def told_sql() -> str:
+    cases = " ".join(f"when {i} then " + " || ".join({"{n}": "p_name", "{b}": "p_brand"}.get(x, f"'{x}'") for x in re.split(r"(\{n\}|\{b\})", t) if x) for i, t in enumerate(TOLD))
+    types = " ".join(f"when {i} then '{t}'" for i, t in enumerate(TYPES))
+    return f"told as (select p_partkey as id, case p_partkey % {len(TYPES)} {types} end as type, case p_partkey % {len(TOLD)} {cases} end as t from part)"
+
+
+def triples_sql() -> str:
+    q = lambda p: "(?i)" + p.replace("'", "''")
+    g = lambda p, i: f"substr(trim(regexp_extract(t, '{q(p)}', {i})), 1, 80)"
+    rows = []
+    for kind, patterns in (("WORKING_SOLUTION", X.SOLUTION), ("GOTCHA", X.GOTCHA), ("PATTERN", X.FOLLOWS), ("DECISION", X.DECISION), ("FAILURE", X.FAILURE), ("PREFERENCE", X.PREFERENCE)):
+        for i, p in enumerate(patterns):
+            earlier = "".join(f" and not regexp_matches(t, '{q(e)}')" for e in patterns[:i])
+            one, two = g(p, 1), g(p, 2) if re.compile(p).groups > 1 else "''"
+            spo = {
+                "WORKING_SOLUTION": (one, "solves", two), "GOTCHA": (one, "has_pitfall", f"case when {two} = '' then 'warning' else {two} end"), "PATTERN": (one, "follows_pattern", two),
+                "DECISION": ("'project'", "chose", f"{one} || case when {two} = '' then '' else ' (' || {two} || ')' end"), "FAILURE": (one, "fails_for", f"case when {two} = '' then 'unknown reason' else {two} end"), "PREFERENCE": ("'user'", "prefers", one),
+            }[kind]
+            rows.append(f"select id, {spo[0]} as subject, '{spo[1]}' as predicate, {spo[2]} as object from told where type = '{kind}' and regexp_matches(t, '{q(p)}'){earlier}")
+    return f"with {told_sql()} " + " union all ".join(rows)
+
+
+@query("extract_triples", triples_sql())
 def extract_triples(spark, sf_dir):
-    """The first pattern that fits a memory's text gives its triple."""
-    p = r"(?i)^(\w+)\s+(\w+)$"
-    return table(spark, sf_dir, "part").where(F.col("p_name").rlike(p)).select(F.col("p_partkey").alias("id"), F.regexp_extract("p_name", p, 2).alias("subject"), F.lit("has_colour").alias("predicate"), F.regexp_extract("p_name", p, 1).alias("object"))
+    """Parts told as memories of several types; the first pattern that fits a memory's text gives its triple."""
+    from tessera.operators.triples import triples
+
+    piece = {"{n}": F.col("p_name"), "{b}": F.col("p_brand")}
+    told = F.lit(None).cast("string")
+    for i, t in enumerate(TOLD):
+        told = F.when(F.col("p_partkey") % len(TOLD) == i, F.concat(*[piece.get(x, F.lit(x)) for x in re.split(r"(\{n\}|\{b\})", t) if x])).otherwise(told)
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("p_partkey") % len(TYPES) + 1).cast("int"))
+    m = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), kind.alias("type"), told.alias("content"))
+    return triples(m, "id", "type", "content")
+
 
+@query("bridge_entities", r"select page_id, list_sort(list_distinct(list_transform(regexp_extract_all(t, '[A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+)*'), lambda s: array_to_string(string_split(regexp_replace(regexp_replace(lower(s), '^(the |a |an )', ''), '\s+', ' ', 'g'), ' ')[1:2], ' ')))) as keys from (select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as t from pages)")
+def bridge_entities(spark, sf_dir):
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(T.entity_spans(title)).alias("keys"))
 
-@query("narrative_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as iso, strftime(o_orderdate, '%Y-%m-%d') as mdy, strftime(o_orderdate, '%Y-%m-%d') as dmy, strftime(o_orderdate, '%Y-%m-01') as my, strftime(o_orderdate - interval 1 day, '%Y-%m-%d') as rel from orders")
+
+@query("dims_first_date", r"select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, strftime(o_orderdate, '%Y') as bare from orders")
+def dims_first_date(spark, sf_dir):
+    d = F.col("o_orderdate")
+    told = F.concat(F.lit("from "), F.date_format(d, "yyyy/MM/dd"), F.lit(" to 2030-01-01"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.first_date(told).alias("day"), D.first_date(F.concat(F.lit("in "), F.date_format(d, "yyyy"), F.lit(" and 12345"))).alias("bare"))
+
+
+@query("narrative_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as iso, strftime(o_orderdate, '%Y-%m-%d') as mdy, strftime(o_orderdate, '%Y-%m-%d') as dmy, strftime(o_orderdate, '%Y-%m-01') as my, strftime(o_orderdate - interval 1 day, '%Y-%m-%d') as rel, strftime(o_orderdate - interval 21 days, '%Y-%m-%d') as ago from orders")
 def narrative_dates(spark, sf_dir):
-    """Five ways to tell a day in text, read back."""
+    """Ways to tell a day in text, read back."""
     d = F.col("o_orderdate")
-    told = {"iso": F.concat(F.lit("on "), F.date_format(d, "yyyy-MM-dd"), F.lit(" it was")), "mdy": F.date_format(d, "MMM dd, yyyy"), "dmy": F.concat(F.lit("the "), F.date_format(d, "d MMMM yyyy")), "my": F.concat(F.lit("in "), F.date_format(d, "MMMM yyyy")), "rel": F.lit("it was yesterday")}
+    told = {"iso": F.concat(F.lit("on "), F.date_format(d, "yyyy-MM-dd"), F.lit(" it was")), "mdy": F.date_format(d, "MMM dd, yyyy"), "dmy": F.concat(F.lit("the "), F.date_format(d, "d MMMM yyyy")), "my": F.concat(F.lit("in "), F.date_format(d, "MMMM yyyy")), "rel": F.lit("it was yesterday"), "ago": F.lit("3 weeks ago")}
     return table(spark, sf_dir, "orders").select("o_orderkey", *[D.occurred_on(t, F.to_date(d)).cast("string").alias(n) for n, t in told.items()])
 
 
-@query("error_signatures", r"""select distinct props, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(props, '0x[0-9a-fA-F]+', '<hex>', 'g'), '"[^"]*"', '<str>', 'g'), '[0-9]+', '<n>', 'g'), '\s+', ' ', 'g')) as signature from events""")
+FAULTS = ["TypeError: x at /srv/app/k{e}.js:{e}:7", "job failed with 0xdeadbeef", "Cannot find module m{e}", "done 170000000{e}0", "ENOENT /tmp/a/b/c{e}"]
+
+
+def fault_sql() -> str:
+    cases = " ".join(f"when {i} then " + " || ".join("event_id" if x == "{e}" else f"'{x}'" for x in re.split(r"(\{e\})", t) if x) for i, t in enumerate(FAULTS))
+    kinds = " ".join(f"when regexp_matches(m, '(?i){p}') then replace(replace(lower(regexp_extract(m, '(?i){p}')), ':', ''), ' ', '')" for p in X.ERRORS)
+    tidy = "m"
+    for p, by in X.ERROR_PARTS:
+        tidy = f"regexp_replace({tidy}, '{p}', '{by}', 'g')"
+    return f"with f as (select event_id, case event_id % {len(FAULTS)} {cases} end as m from events), t as (select event_id, case {kinds} else 'unknown' end as error_type, {tidy} as normalized from f) select event_id, error_type, normalized, error_type || '-' || regexp_extract(normalized, '\\w+(?:\\s+\\w+)?') as signature from t"
+
+
+@query("error_signatures", fault_sql())
 def error_signatures(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("props", T.error_signature(F.col("props")).alias("signature")).distinct()
+    """Error texts made of the events: their type, normalized text and signature."""
+    m = F.lit(None).cast("string")
+    for i, t in enumerate(FAULTS):
+        m = F.when(F.col("event_id") % len(FAULTS) == i, F.concat(*[F.col("event_id").cast("string") if x == "{e}" else F.lit(x) for x in re.split(r"(\{e\})", t) if x])).otherwise(m)
+    return table(spark, sf_dir, "events").select("event_id", T.error_type(m).alias("error_type"), T.normalized_error(m).alias("normalized"), T.error_signature(m).alias("signature"))
 
 
 @query("json_props", "select event_id, (props->>'k')::int as k, props->>'missing' as missing from events")

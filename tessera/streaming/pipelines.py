@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tessera.operators.transcripts import Arcs
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -36,50 +38,40 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-class OpenFailures(StatefulProcessor):
-    """Per session: failures that wait for a success of their tool within ``window`` calls."""
+class ArcState(StatefulProcessor):
+    """Per session: the batch fold's state between batches; arcs are told when they are resolved."""
 
     def __init__(self, window: int = 25, most: int = 2000):
         self.window, self.most = window, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "entries array<struct<tool: string, signature: string, failed_at: long, last: long, repeats: int>>, calls long")
+        arc = "struct<tool: string, signature: string, failed_at: long, fixed_at: long, repeats: int>"
+        self.state = handle.getValueState("arcs", f"calls long, found array<{arc}>, waiting array<struct<at: long, tool: string, signature: string>>")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        entries, calls = [], 0
-        if self.open.exists():
-            entries, calls = self.open.get()
-            entries = [dict(zip(("tool", "signature", "failed_at", "last", "repeats"), e, strict=True)) for e in entries]
-        out = []
+        calls, arcs = 0, Arcs(self.window, self.most)
+        if self.state.exists():
+            calls, found, waiting = self.state.get()
+            arcs.found = {(t, s): {"failed_at": a, "fixed_at": b, "repeats": n} for t, s, a, b, n in found}
+            arcs.waiting.extend(map(tuple, waiting))
+        before = {k for k, a in arcs.found.items() if a["fixed_at"] is not None}
         for pdf in rows:
             for r in pdf.sort_values(["ts", "event_id"]).itertuples():
                 calls += 1
-                if not r.ok:
-                    same = next((e for e in entries if e["tool"] == r.tool and e["signature"] == r.signature and calls - e["last"] <= self.window), None)
-                    if same:
-                        same["repeats"] += 1
-                        same["last"] = calls
-                    else:
-                        entries = [*entries, {"tool": r.tool, "signature": r.signature, "failed_at": calls, "last": calls, "repeats": 1}][-self.most :]
-                    continue
-                for e in reversed(entries):
-                    if e["tool"] == r.tool and calls - e["last"] <= self.window:
-                        out.append((key[0], e["tool"], e["signature"], e["failed_at"], calls, e["repeats"]))
-                        entries.remove(e)
-                        break
-        entries = [e for e in entries if calls - e["last"] <= self.window]
-        self.open.update(([tuple(e.values()) for e in entries], calls))
-        yield pd.DataFrame(out, columns=["session", "tool", "signature", "failed_at", "fixed_at", "repeats"])
+                arcs.call(calls, r.tool, bool(r.ok), r.signature)
+        self.state.update((calls, [(*k, a["failed_at"], a["fixed_at"], a["repeats"]) for k, a in arcs.found.items()], list(arcs.waiting)))
+        new = [row for row in arcs.rows(key[0]) if row[4] is not None and (row[1], row[2]) not in before]
+        yield pd.DataFrame(new, columns=["session", "tool", "signature", "failed_at", "fixed_at", "repeats"])
 
     def close(self) -> None:
         pass
 
 
 def failure_arcs(calls: DataFrame, window: int = 25) -> DataFrame:
-    """Streaming twin of the batch fold; ``calls`` (session, ts, event_id, tool, ok, signature)."""
-    return calls.groupBy("session").transformWithStateInPandas(OpenFailures(window), "session string, tool string, signature string, failed_at long, fixed_at long, repeats int", "Append", "None")
+    """Streaming twin of the batch fold, for resolved arcs; ``calls`` (session, ts, event_id, tool, ok, signature)."""
+    return calls.groupBy("session").transformWithStateInPandas(ArcState(window), "session string, tool string, signature string, failed_at long, fixed_at long, repeats int", "Append", "None")
 
 
 def project(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -49,6 +49,8 @@ def test_query_grammar():
     p = filters.parse_query("fix type:DECISION after:2024-01-02 path:src/x the bug")
     assert (p.query, p.route, p.post) == ("fix the bug", {"type": "DECISION"}, {"after": "2024-01-02", "path": "src/x"})
     assert filters.parse_query("type:X").query == "type:X"
+    p = filters.parse_query("Type:gotcha,pattern see path:'a b' TAG:\"x y\"")
+    assert (p.query, p.route, p.post) == ("see", {"type": "GOTCHA,PATTERN"}, {"path": "a b", "tag": "x y"})
 
 
 def test_bm25_equals_sqlite(spark):
@@ -163,7 +165,7 @@ def test_failure_arcs_resolve_the_latest_first(spark):
     calls = [("s", 1, "t", False, "A"), ("s", 2, "t", False, "B"), ("s", 3, "t", True, ""), ("s", 4, "u", True, ""), ("s", 5, "t", True, ""), ("s", 6, "t", False, "A"), ("s", 7, "t", False, "A"), ("s", 40, "t", True, "")]
     df = spark.createDataFrame(calls, "session string, idx long, tool string, ok boolean, signature string")
     got = {(r.signature, r.failed_at, r.fixed_at, r.repeats) for r in transcripts.failure_arcs(df).collect()}
-    assert got == {("B", 2, 3, 1), ("A", 1, 5, 1)}
+    assert got == {("B", 2, 3, 1), ("A", 1, 5, 3)}
 
 
 def test_lines_and_grep(spark):
@@ -175,13 +177,40 @@ def test_lines_and_grep(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("The  User's \"Big\" Report!", "err 0xFF at \"a\" line 12", " A\tB  ")], "a string, b string, c string")
-    r = df.select(text.entity_key(F.col("a")).alias("a"), text.error_signature(F.col("b")).alias("b"), text.normalized_query(F.col("c")).alias("c"), text.stem_s(F.lit("bolts")).alias("d"), text.stem_s(F.lit("glass")).alias("e")).first()
-    assert tuple(r) == ("user big report", "err <hex> at <str> line <n>", "a b", "bolt", "glass")
+    df = spark.createDataFrame([(" \"The  Big   Report's\" ", "TypeError: x at /a/b/c.js:3:14 0xff 12345678901", " A\tB  ", "Meet Shirley Temple Black, and Ed.")], "a string, b string, c string, d string")
+    r = df.select(text.entity_key(F.col("a")), text.normalized_error(F.col("b")), text.error_type(F.col("b")), text.error_signature(F.col("b")), text.normalized_query(F.col("c")), text.entity_spans(F.col("d")), text.stem_s(F.lit("likes"))).first()
+    assert tuple(r) == ("big report", "TypeError: x at /PATH/c.js:LINE:COL 0xADDR NUM", "error", "error-TypeError", "a b", ["meet shirley", "ed"], "like")
+    refs = spark.createDataFrame([("see (src/a/b.py:12), /etc/hosts. and x/ y",)], "t string").select(text.file_refs(F.col("t"))).first()[0]
+    assert refs == ["/etc/hosts", "src/a/b.py:12"]
+
+
+def test_plans_and_triage(spark):
+    from tessera.operators import planning
+
+    asked = {"how many cats": "count", "how many days between": "precise", "how many times, in total": "aggregation", "list all": "aggregation", "an overview": "broad", "what is x": "precise", "how often a week": "broad"}
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert {r.q: r["mode"] for r in df.select("q", *planning.plan_columns(F.col("q"))).collect()} == asked
+    said = {"": "skip", " Thanks! ": "skip", "why not": "recall", "what is the time": "skip", "please translate this": "skip", "translate " + "x" * 400: "uncertain", "blue sky": "uncertain"}
+    df = spark.createDataFrame([(q,) for q in said], "q string")
+    assert {r.q: r.v for r in df.select("q", planning.triage(F.col("q")).alias("v")).collect()} == said
 
 
 def test_told_dates(spark):
-    told = ["on 2024-03-05 x", "March 5, 2024", "5 Mar 2024", "in March 2024", "seen yesterday", "nothing", "2024-13-45"]
+    told = ["on 2024-03-05 x", "March 5, 2024", "5 Mar 2024", "in March 2024", "seen yesterday", "2 weeks ago", "last month", "nothing", "2024-13-45"]
     df = spark.createDataFrame([(t,) for t in told], "t string")
     got = [str(r[0]) for r in df.select(dates.occurred_on(F.col("t"), F.lit("2024-04-10").cast("date"))).collect()]
-    assert got == ["2024-03-05"] * 3 + ["2024-03-01", "2024-04-09", "None", "None"]
+    assert got == ["2024-03-05"] * 3 + ["2024-03-01", "2024-04-09", "2024-03-27", "2024-03-11", "None", "None"]
+
+
+def test_triples_by_type(spark):
+    from tessera.operators.triples import triples
+
+    rows = [
+        (1, "WORKING_SOLUTION", "Use jq to parse logs", None), (2, "GOTCHA", "watch out for tabs", None), (3, "GOTCHA", "cache breaks builds", None), (4, "DECISION", "we chose A over B", None),
+        (5, "FAILURE", "npm fails", None), (6, "PREFERENCE", "prefers dark mode", None), (7, "TOOL_RULE", "", '{"tool": "sed", "pattern": "-i", "error_source": "bsd", "correction": "gsed"}'), (8, "NOTE", "use x to y", None), (9, "TOOL_RULE", "", "not json"),
+    ]
+    got = {(r.id, r.subject, r.predicate, r.object) for r in triples(spark.createDataFrame(rows, "id int, type string, content string, context string"), "id", "type", "content", "context").collect()}
+    assert got == {
+        (1, "jq", "solves", "parse logs"), (2, "tabs", "has_pitfall", "warning"), (3, "cache", "has_pitfall", "builds"), (4, "project", "chose", "A (B)"), (5, "npm", "fails_for", "unknown reason"),
+        (6, "user", "prefers", "dark mode"), (7, "sed -i", "fails_for", "bsd"), (7, "sed -i", "has_fix", "gsed"),
+    }
