@@ -233,10 +233,10 @@ def x5(spark, sf_dir):
     return c.groupBy("q").agg(F.sum(F.col("i") * F.col("x")).alias("unchanged_swaps"), F.sum("i").alias("included")).where("included > 0")
 
 
-@query("x6_fact_consistency", "with f as (select l_orderkey as session, least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_returnflag as rel from lineitem) select distinct x.session, x.a, x.b from f x join f y using (session, a, b) where x.rel = 'A' and y.rel = 'R'")
+@query("x6_fact_consistency", "with f as (select l_orderkey as session, least(l_partkey % 20, l_suppkey % 20) as a, greatest(l_partkey % 20, l_suppkey % 20) as b, l_returnflag as rel from lineitem) select distinct x.session, x.a, x.b from f x join f y using (session, a, b) where x.rel = 'A' and y.rel = 'R'")
 def x6(spark, sf_dir):
     """Pairs that one session holds to be the same and to be distinct."""
-    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session"), F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), "l_returnflag")
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session"), F.least(F.col("l_partkey") % 20, F.col("l_suppkey") % 20).alias("a"), F.greatest(F.col("l_partkey") % 20, F.col("l_suppkey") % 20).alias("b"), "l_returnflag")
     return f.groupBy("session", "a", "b").agg(F.bool_or(F.col("l_returnflag") == "A").alias("same"), F.bool_or(F.col("l_returnflag") == "R").alias("other")).where("same and other").select("session", "a", "b")
 
 
