@@ -24,12 +24,18 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(folded(text))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts can be long: what is sent to Python at once is bounded by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def map_columns(df: DataFrame, columns: list[str], schema: str, task: Callable[[], Callable], rows: int = 1024) -> DataFrame:
     """Runs ``task()`` once a task; what it returns maps lists of input columns to a dict of output columns.
 
     Only ``columns`` reach Python, so extra columns of the input, however named, cannot clash.
     Batches are cut to ``rows`` rows so that Python holds few texts at once.
     """
+    bounded_batches(df.sparkSession)
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -61,6 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -48,7 +48,7 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         got = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -121,7 +121,7 @@ def profiles(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                     s = shingles(text, size)
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if d not in seen:
-                        if len(seen) >= 400_000:
+                        if len(seen) >= 100_000:
                             seen.clear()
                         seen.add(d)
                         np.add.at(counts, _cell(s), 1)
@@ -165,7 +165,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if not len(s) or d in seen:
                         continue
-                    if len(seen) >= 400_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(d)
                     p = prefix_length(len(s), percent)

@@ -28,13 +28,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, map_columns, written
+from .common import bounded_batches, input_bytes, map_columns, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 MAX_BITS = 1 << 28
@@ -88,11 +87,12 @@ def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     def fill(batches):
         once, twice = Bits(bits), Bits(bits)
         for b in batches:
-            h = hashes_of(b.column(0).to_pylist(), min_chars)
-            unique, counts = np.unique(h, return_counts=True)
-            at = places(unique, bits)
-            twice.put(at[once.has(at) | (counts > 1)])
-            once.put(at)
+            for k in range(0, b.num_rows, 512):
+                h = hashes_of(b.column(0).slice(k, 512).to_pylist(), min_chars)
+                unique, counts = np.unique(h, return_counts=True)
+                at = places(unique, bits)
+                twice.put(at[once.has(at) | (counts > 1)])
+                once.put(at)
         for s in range(SLICES):
             cut = slice(s * step, (s + 1) * step)
             if once.data[cut].any():
@@ -161,6 +161,7 @@ def kept_lines(doc, text, keeper_of, min_chars: int) -> tuple[bytes, int, int]:
 def with_kept(docs: DataFrame, columns: list[str], finish, schema: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, max_keys: int = MAX_KEYS) -> DataFrame:
     """Runs ``finish(row of columns, kept bytes, lines, dropped)`` over all documents; columns begin with doc_id, text."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     twice = twice_seen(docs, bits or bits_for(input_bytes(docs.select("text"))), min_chars)
     found = suspects(docs, twice, min_chars)
     bad = written(confirmed(found, min_docs), "repeated-lines")

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import vocab
+from .common import bounded_batches
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -143,6 +144,7 @@ def pack(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIER
     path = path or vocab.default_path("word_bpe_49k.json")
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(docs.sparkSession)
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], SCHEMA).schema)
     end = end_id.to_bytes(4, "little")
 

@@ -28,7 +28,7 @@ def plain_words() -> re.Pattern:
 
 PLAIN_WORDS = plain_words()
 #: Words remembered by a worker process, over all its tasks.
-MEMO = 600_000
+MEMO = 250_000
 
 
 def default_path(name: str) -> str:
