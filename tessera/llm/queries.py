@@ -49,5 +49,17 @@ bad as (select key, max(doc_id) as keeper from k where length(key) >= 40 group b
 select doc_id, count(*)::bigint as n_lines, count(*) filter (keeper is not null and keeper <> doc_id)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (keeper is null or keeper = doc_id), '')) as kept_sha256
 from k left join bad using (key) group by doc_id
+""",
+    "op10_jaccard": rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w)),
+n as (select doc_id, count(*) as c from sh group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.c + y.c - i)),
+e as (select a, b from l union all select b, a from l),
+r(node, seen) as (select doc_id, doc_id from documents union select e.b, r.seen from r join e on e.a = r.node)
+select d.doc_id, coalesce(any_value(c), 0)::bigint as n_shingles, min(seen) as component_id
+from documents d left join n on n.doc_id = d.doc_id join r on r.node = d.doc_id group by d.doc_id
 """,
 }
