@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, map_columns, written
+from .common import folded, written
 from .components import components
 from .line_dedup import SLICES, Bits, places
 
