@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.functions import dates as D
 from tessera.functions import scoring as S
-from tessera.functions import text as T
 from tessera.functions import values as V
 from tessera.sources.tables import SQL_MEMORIES, SQL_USAGE, memories, messages, table, usage_events
 

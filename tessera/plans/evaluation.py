@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.functions import text as T
 from tessera.operators import metrics as M
 from tessera.operators import uncertain as U
 from tessera.plans.retrieval import near_sql, vectors

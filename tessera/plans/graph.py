@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
@@ -44,7 +43,7 @@ def g2(spark, sf_dir):
 
 
 def ppr_sql(iterations: int) -> str:
-    steps = [f"m0 as (select 's' || s_suppkey as node, 1.0::double / (select count(*) from supplier) as mass from supplier)"]
+    steps = ["m0 as (select 's' || s_suppkey as node, 1.0::double / (select count(*) from supplier) as mass from supplier)"]
     for i in range(1, iterations + 1):
         steps.append(f"m{i} as (select node, sum(mass) as mass from (select l.dst as node, 0.85 * m.mass / d.d as mass from lk l join deg d on d.src = l.src join m{i - 1} m on m.node = l.src union all select node, 0.15 * mass from m0) group by node)")
     return f"with {PLACES}, lk as (select subject as src, object as dst from pl union select object, subject from pl), deg as (select src, count(*) as d from lk group by 1), " + ", ".join(steps)
@@ -90,9 +89,8 @@ def g6(spark, sf_dir):
 
 @query("g8_containment_path", "select 's' || s_suppkey as place, [n_name, r_name] as path, 2 as depth from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def g8(spark, sf_dir):
-    """The chain of places that hold each supplier, by a recursive query of bounded depth."""
+    """The chain of places that hold each supplier: one join a level, at most three."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    s.createOrReplaceTempView("tessera_s")
     up = n.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent")).union(s.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")))
     names = n.select(F.concat(F.lit("n"), "n_nationkey").alias("parent"), F.col("n_name").alias("name")).union(r.select(F.concat(F.lit("r"), "r_regionkey"), "r_name"))
     up = up.join(names, "parent")
