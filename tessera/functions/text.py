@@ -67,6 +67,24 @@ def error_type(text: Column) -> Column:
     return out
 
 
+def error_snippet(text: Column, before: int = 100, after: int = 500) -> Column:
+    """The surroundings of the first error pattern of the list that occurs; empty without one."""
+    out = F.lit("")
+    for pattern in reversed(X.ERRORS):
+        found = F.regexp_extract(text, f"(?i){pattern}", 0)
+        at = F.instr(text, found)
+        start = F.greatest(F.lit(1), at - before)
+        out = F.when(found != "", F.substring(text, start, at + after - start)).otherwise(out)
+    return out
+
+
+def snippet(words: Column, terms: Column, width: int = 32) -> Column:
+    """About ``width`` words around the first that is asked for, as text."""
+    first = F.array_min(F.filter(F.transform(terms, lambda t: F.array_position(words, t)), lambda p: p > 0))
+    start = F.greatest(F.lit(1), F.coalesce(first, F.lit(1)) - width // 2)
+    return F.array_join(F.slice(words, start.cast("int"), width), " ")
+
+
 def normalized_error(text: Column) -> Column:
     """Places, paths, addresses and large numbers as placeholders."""
     for pattern, by in X.ERROR_PARTS:

@@ -144,6 +144,20 @@ def error_signatures(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.error_type(m).alias("error_type"), T.normalized_error(m).alias("normalized"), T.error_signature(m).alias("signature"))
 
 
+@query("fn_error_snippet", r"with f as (select doc_id, substr(text, 1, 150) || ' Uncaught thing ' || text as m from documents where length(text) > 150) select doc_id, substr(m, 1 + greatest(0, instr(m, 'Uncaught') - 101), least(instr(m, 'Uncaught') - 1, 100) + 500) as part from f where not regexp_matches(m, '(?i)Error:|failed|ENOENT|EACCES|Cannot find module|Cannot read properties')")
+def fn_error_snippet(spark, sf_dir):
+    """Texts with an error set into them, and what stands around it."""
+    m = F.concat(F.substring("text", 1, 150), F.lit(" Uncaught thing "), "text")
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 150).select("doc_id", m.alias("m"))
+    return d.where(~F.col("m").rlike("(?i)Error:|failed|ENOENT|EACCES|Cannot find module|Cannot read properties")).select("doc_id", T.error_snippet(F.col("m")).alias("part"))
+
+
+@query("fn_snippet", "with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from documents), p as (select doc_id, ws, list_min(list_filter([list_position(ws, 'that'), list_position(ws, 'de')], lambda x: x > 0)) as hit from w) select doc_id, array_to_string(ws[greatest(1, coalesce(hit, 1) - 8):greatest(1, coalesce(hit, 1) - 8) + 15], ' ') as part from p where len(ws) > 0")
+def fn_snippet(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    return d.select("doc_id", T.snippet(F.col("ws"), F.array(F.lit("that"), F.lit("de")), 16).alias("part"))
+
+
 @query("json_props", "select event_id, (props->>'k')::int as k, props->>'missing' as missing from events")
 def json_props(spark, sf_dir):
     j = F.from_json("props", "k int, missing string")
