@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +41,36 @@ def vote_tag(votes: DataFrame, by: list[str], tag: str, order: str) -> DataFrame
 def null_strict_sum(value: Column) -> Column:
     """Null as soon as one value is missing."""
     return F.when(F.count_if(value.isNull()) > 0, F.lit(None)).otherwise(F.sum(value))
+
+
+def distinct_value_sums(rows: DataFrame, group: str, order: str, number: str, attribute: str, words: str) -> DataFrame:
+    """(group, total, kept, seen): sums in which retold values count once.
+
+    In order, a value with the number and attribute of one that was kept, and a word in
+    common with it, is that one told again. The order decides, so sorted rows stream by,
+    and only the kept values of a group are held.
+    """
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept, total, seen = None, {}, 0.0, 0
+
+        def told() -> list[tuple]:
+            return [(now, total, sum(map(len, kept.values())), seen)] if seen else []
+
+        for pdf in pdfs:
+            out = []
+            for g, n, a, ws in zip(pdf["g"], pdf["n"], pdf["a"], pdf["w"], strict=True):
+                if g != now:
+                    out += told()
+                    now, kept, total, seen = g, {}, 0.0, 0
+                seen += 1
+                same = kept.setdefault((n, a), [])
+                if not any(not k.isdisjoint(ws) for k in same):
+                    same.append(set(ws))
+                    total += n
+            yield pd.DataFrame(out, columns=["grp", "total", "kept", "seen"])
+        yield pd.DataFrame(told(), columns=["grp", "total", "kept", "seen"])
+
+    ordered = rows.select(F.col(group).cast("long").alias("g"), F.col(order).alias("o"), F.col(number).cast("double").alias("n"), F.col(attribute).alias("a"), F.col(words).alias("w"))
+    ordered = ordered.where("g is not null and n is not null and w is not null").repartition("g").sortWithinPartitions("g", "o").drop("o")
+    return ordered.mapInPandas(run, "grp long, total double, kept long, seen long")

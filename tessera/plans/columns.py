@@ -149,6 +149,16 @@ def a17l(spark, sf_dir):
     return out.where("certain_instances > 0")
 
 
+@query("a17_sum_value")
+def a17v(spark, sf_dir):
+    """Values retold in overlapping words count once; the order decides, so tests hold it against a plain loop."""
+    from tessera.operators.uncertain import distinct_value_sums
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.split("p_name", " ").alias("words"))
+    rows = table(spark, sf_dir, "lineitem").join(p, "l_partkey").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("at"), "l_quantity", "l_returnflag", "words")
+    return distinct_value_sums(rows, "l_suppkey", "at", "l_quantity", "l_returnflag", "words")
+
+
 @query("a20_brand_sets", "select p_brand, count(*) filter (p_type in ('ECONOMY', 'SMALL'))::bigint as lower, count(*) filter (p_type in ('ECONOMY', 'SMALL', 'STANDARD') or p_size < 10)::bigint as upper from part group by 1")
 def a20s(spark, sf_dir):
     """A strict and a lenient reading of a set question: the bounds of its answer."""

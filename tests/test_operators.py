@@ -214,3 +214,10 @@ def test_triples_by_type(spark):
         (1, "jq", "solves", "parse logs"), (2, "tabs", "has_pitfall", "warning"), (3, "cache", "has_pitfall", "builds"), (4, "project", "chose", "A (B)"), (5, "npm", "fails_for", "unknown reason"),
         (6, "user", "prefers", "dark mode"), (7, "sed -i", "fails_for", "bsd"), (7, "sed -i", "has_fix", "gsed"),
     }
+
+
+def test_retold_values_count_once(spark):
+    rows = [(1, 1, 5.0, "usd", ["red", "car"]), (1, 2, 5.0, "usd", ["car", "old"]), (1, 3, 5.0, "usd", ["boat"]), (1, 4, 5.0, "day", ["car"]), (1, 5, 5.0, "usd", ["old"]), (2, 1, 3.0, "usd", []), (2, 2, 3.0, "usd", [])]
+    df = spark.createDataFrame(rows, "g long, o int, n double, a string, w array<string>").repartition(3)
+    got = {r.grp: (r.total, r.kept, r.seen) for r in uncertain.distinct_value_sums(df, "g", "o", "n", "a", "w").collect()}
+    assert got == {1: (20.0, 4, 5), 2: (6.0, 2, 2)}
