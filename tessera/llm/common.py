@@ -15,6 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+class Memo(dict):
+    """Answers of ``make`` by key, in two generations: what is not asked for while one fills is forgotten.
+
+    Keys of more than 64 characters are not kept, so its size is bounded.
+    """
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.half, self.old = make, size // 2, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 def folded(text: str | None) -> bytes:
     """UTF-8 of the text with A-Z (and nothing else) lower-cased; null counts as empty."""
     return (text or "").encode("utf-8", "replace").lower()

@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from . import vocab
-from .common import map_columns
+from .common import Memo, map_columns
 
 END = 256
 
@@ -83,24 +83,15 @@ def automaton(path: str) -> LongestMatch:
     return LongestMatch(vocab.pieces(path))
 
 
-class Counts(dict):
-    def __init__(self, path: str):
-        super().__init__()
-        self.path = path
+@lru_cache(1)
+def counts_memo(path: str) -> Memo:
+    """The worker process's memo of words' counts; -1 for words that the pieces can't cover."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= vocab.MEMO:
-            self.clear()
-        got = automaton(self.path).count(word.encode("utf-8", "replace"))
-        if len(word) <= 64:
-            self[word] = -1 if got is None else got
+    def count(word: str) -> int:
+        got = automaton(path).count(word.encode("utf-8", "replace"))
         return -1 if got is None else got
 
-
-@lru_cache(1)
-def counts_memo(path: str) -> Counts:
-    """The worker process's memo."""
-    return Counts(path)
+    return Memo(count, vocab.MEMO)
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import regex
 
+from .common import Memo
+
 #: Texts of these characters split into the same words here as in the library: one-character
 #: lower case, no combining, no white space beyond ASCII. Other texts go through the library whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
@@ -28,7 +30,7 @@ def plain_words() -> re.Pattern:
 
 PLAIN_WORDS = plain_words()
 #: Words remembered by a worker process, over all its tasks.
-MEMO = 250_000
+MEMO = 300_000
 
 
 def default_path(name: str) -> str:
@@ -52,24 +54,22 @@ def words_of(text: str, path: str) -> list[str]:
     return WORDS.findall(t.normalizer.normalize_str(text))
 
 
-class IdBytes(dict):
-    """Word to its ids as little-endian unsigned 32-bit bytes; forgets everything when full."""
+class IdBytes:
+    """Texts to their ids as little-endian unsigned 32-bit bytes; plain texts by their words."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.path = path
+        self.path, self.model = path, tokenizer(path).model
+        self.letters = {b: ord(c) for c, b in byte_letters().items()}
+        self.of = Memo(self.word, MEMO).__getitem__
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        got = b"".join(i.to_bytes(4, "little") for i in tokenizer(self.path).encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            self[word] = got
-        return got
+    def word(self, word: str) -> bytes:
+        """One word of a plain text goes to the model as it is, in the letters that stand for its bytes."""
+        told = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(told))
 
     def encode(self, text: str) -> bytes:
         if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.__getitem__, PLAIN_WORDS.findall(text.lower())))
+            return b"".join(map(self.of, PLAIN_WORDS.findall(text.lower())))
         return b"".join(i.to_bytes(4, "little") for i in tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
 
