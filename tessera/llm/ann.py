@@ -33,18 +33,18 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Hashing:
-    """``m`` 0: 0.75 log2(rows) - 2.5 projections a key; ``probes`` 0: thirteen for each projection."""
+    """``m`` 0: 0.75 log2(rows) - 2.5 projections a key; ``probes`` 0: sixteen for each projection."""
 
     tables: int = 12
     m: int = 0
-    width: float = 2.0
+    width: float = 2.3
     probes: int = 0
     seed: int = 20240607
     block: int = 65536
 
     def sized(self, rows: int) -> tuple[int, int]:
         m = self.m or int(np.clip(round(0.75 * np.log2(max(rows, 2)) - 2.5), 2, 24))
-        return m, self.probes or 13 * m
+        return m, self.probes or 16 * m
 
 
 @lru_cache(8)
