@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, written
+from .common import Memo, folded, written
 from .components import components
 from .line_dedup import SLICES, Bits, places
 
@@ -46,17 +46,7 @@ SIGNATURE = 8  # words of 64 bits
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        got = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-
-WORD_HASHES = WordHashes()  # of the worker process, over all its tasks
+WORD_HASHES = Memo(xxhash.xxh3_64_intdigest, 200_000)  # of the worker process, over all its tasks
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -371,8 +361,8 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     rows, counts = profiles(docs, size)
     info = rows.where("doc_id is not null and n > 0")
     nodes = written(info.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    named = written(info.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node", "digest").distinct(), "named")
-    ids = named.select("doc_id", "node").distinct()
+    # Nothing above this join needs a digest's rows together, so those of a large group of copies can be split.
+    ids = written(info.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node"), "named").distinct()
 
     shared = written(shared_rows(prefixes(docs, counts, size, percent)), "prefixes").join(ids, "doc_id")
     shared = written(shared.select("token", "node", "n", "pos").distinct(), "shared")
