@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
 from tessera.functions.text import normalized_query
+from tessera.operators.graph import kept
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -76,19 +77,52 @@ def cooccurrence(events: DataFrame, item: str, order: list[str], by: list[str])
     return rows.groupBy(F.concat_ws("|", F.least(item, "next"), F.greatest(item, "next")).alias("pair")).agg(F.count("*").alias("n"))
 
 
-def supersession_chain(links: DataFrame, depth: int = 16) -> DataFrame:
-    """(start, hops, last): from each row along (old, new) links until none or a cycle.
+def supersession_chain(links: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, last, hops): from each row along (old, new) links, one an old id, until none or a cycle.
 
-    Doubling: after k rounds a row knows where 2^k hops lead, so a chain of ``depth`` links
-    takes log2(depth) joins, each on the old id.
+    Doubling: after k rounds an open row knows where 2^k hops lead, so chains take log2 of the
+    longest many joins, each written. Rows at their end leave the join. While any chain is open,
+    the row 2^k + 1 links from its end closes next; so once a round closes none, all open rows
+    lead into cycles. Those end where they first meet a row again. ``depth`` stops early, at the
+    next power of two, for callers who want no more; none is the default.
     """
-    now = links.select(F.col("old").alias("start"), F.col("new").alias("last"), F.lit(1).alias("hops"))
-    step = 1
-    while step < depth:
-        jump = now.select(F.col("start").alias("last"), F.col("last").alias("then"), F.col("hops").alias("more"))
-        now = now.join(jump, "last", "left").select("start", F.when(F.col("then") == F.col("start"), F.col("last")).otherwise(F.coalesce("then", "last")).alias("last"), F.when(F.col("then") == F.col("start"), F.col("hops")).otherwise(F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-        step *= 2
-    return now
+    one = kept(links.select(F.col("old").alias("start"), F.col("new").alias("last"), F.lit(1).alias("hops")))
+    olds = one.select(F.col("start").alias("last"), F.lit(True).alias("open"))
+    now = kept(one.join(olds, "last", "left").select("start", "last", "hops", F.coalesce("open", F.lit(False)).alias("open")))
+    n_open, before, step = now.where("open").count(), None, 1
+    while n_open and n_open != before and (depth is None or step < depth):
+        jump = now.select(F.col("start").alias("last"), F.col("last").alias("then"), F.col("hops").alias("more"), F.col("open").alias("still"))
+        moved = now.where("open").join(jump, "last").select("start", F.col("then").alias("last"), (F.col("hops") + F.col("more")).alias("hops"), F.col("still").alias("open"))
+        now = kept(now.where("not open").unionByName(moved))
+        n_open, before, step = now.where("open").count(), n_open, 2 * step
+    if not n_open or n_open != before:
+        return now.select("start", "last", "hops")
+    return now.where("not open").select("start", "last", "hops").unionByName(_into_cycles(one, now.where("open").select("start", "last")))
+
+
+def _into_cycles(one: DataFrame, leap: DataFrame) -> DataFrame:
+    """(start, last, hops) of rows that lead into cycles, by their links and their leaps of the same many hops.
+
+    Leaps are doubled until they reach no fewer rows than before: those are the cycles' own.
+    """
+    starts, size, before = leap.select("start"), leap.select("last").distinct().count(), None
+    while size != before:
+        leap = kept(leap.join(leap.select(F.col("start").alias("last"), F.col("last").alias("then")), "last").select("start", F.col("then").alias("last")))
+        size, before = leap.select("last").distinct().count(), size
+    ring = kept(leap.select(F.col("last").alias("start")).distinct())
+    # Each cycle by its least row: minima over 1, 2, 4... rows, until none changes.
+    seen, changed = kept(one.join(ring, "start").select("start", F.col("last").alias("then"), F.col("start").alias("least"))), True
+    while changed:
+        ahead = seen.select(F.col("start").alias("then"), F.col("then").alias("then2"), F.col("least").alias("least2"))
+        seen = kept(seen.join(ahead, "then").select("start", F.col("then2").alias("then"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("changed")))
+        changed = not seen.where("changed").isEmpty()
+        seen = seen.drop("changed")
+    length = seen.groupBy("least").agg(F.count("*").cast("int").alias("n"))
+    turns = kept(seen.join(length, "least").select("start", F.col("start").alias("last"), F.col("n").alias("hops")))
+    tails = one.join(starts, "start", "left_semi").join(ring, "start", "left_anti")
+    tails = supersession_chain(tails.select(F.col("start").alias("old"), F.col("last").alias("new")))
+    tails = tails.join(turns.select("last", F.col("hops").alias("n")), "last").select("start", "last", (F.col("hops") + F.col("n")).alias("hops"))
+    return turns.unionByName(tails)
 
 
 def drift(primary: DataFrame, mirror: DataFrame, usage: DataFrame, key: str = "id") -> DataFrame:

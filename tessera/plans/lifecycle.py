@@ -185,7 +185,7 @@ def g7(spark, sf_dir):
     """Where each version's chain of successors ends."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     links = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("old"), F.lead("o_orderkey").over(w).alias("new")).where("new is not null")
-    return L.supersession_chain(links, depth=64)
+    return L.supersession_chain(links)
 
 
 @query("j13_drift_audit", "with p as (select doc_id as id from documents), m as (select doc_id as id from labels union select page_id * 4 + 100 from pages), u as (select distinct user_id * 9 as id from events) select id, 'missing' as drift from p where id not in (select id from m) union all select id, 'ghost' from m where id not in (select id from p) union all select id, 'orphan' from u where id not in (select id from p)")

@@ -161,6 +161,36 @@ def test_chain_stops_at_cycles(spark):
     assert got[1] == (4, 3) and got[3] == (4, 1) and got[10][0] in (10, 11)
 
 
+def test_long_chains_and_cycles_are_followed_to_their_end(spark):
+    """A chain of some hundred links, a tail into a cycle of six, and a row that follows itself."""
+    links = [(i, i + 1) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(90)] + [(1090, 1085), (2000, 2000)]
+    follow, want = dict(links), {}
+    for start in follow:
+        at, seen, hops = start, {start}, 0
+        while at in follow:
+            at, hops = follow[at], hops + 1
+            if at in seen:
+                break
+            seen.add(at)
+        want[start] = (at, hops)
+    got = lifecycle.supersession_chain(spark.createDataFrame(links, "old long, new long")).collect()
+    assert len(got) == len(links) and {r.start: (r.last, r.hops) for r in got} == want
+
+
+def test_chain_query_on_a_hot_customer_gives_the_sql_rows(spark, tmp_path):
+    import duckdb
+
+    from tessera import catalog
+
+    rows = spark.range(900).selectExpr("id as o_orderkey", "if(id % 3 = 0, 0, id % 50 + 1) as o_custkey", "timestamp_seconds(1700000000 + (id * 37 % 900) * 60) as o_orderdate")
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = catalog.QUERIES["g7_supersession_chain"](spark, str(tmp_path)).collect()
+    want = duck.sql(catalog.SQL["g7_supersession_chain"]).fetchall()
+    assert max(r.hops for r in got) == 299 and {(r.start, r.last, r.hops) for r in got} == set(want) and len(got) == len(want)
+
+
 def test_failure_arcs_resolve_the_latest_first(spark):
     calls = [("s", 1, "t", False, "A"), ("s", 2, "t", False, "B"), ("s", 3, "t", True, ""), ("s", 4, "u", True, ""), ("s", 5, "t", True, ""), ("s", 6, "t", False, "A"), ("s", 7, "t", False, "A"), ("s", 40, "t", True, "")]
     df = spark.createDataFrame(calls, "session string, idx long, tool string, ok boolean, signature string")
