@@ -2,8 +2,13 @@
 
 Concatenated host names are split into words by a unigram model: Viterbi takes the split
 with the highest product of word probabilities, unknown stretches paying for each letter.
-The words of host and path feed a naive Bayes model with two classes, learned from
-labelled URLs (a table, or the small seed set below); a listed rule decides first.
+Its counts are those of all the input's host and path words, from one aggregation, mixed
+in equal parts with a lexicon. The words of host and path feed a naive Bayes model with two
+classes, learned from labelled URLs (a table, or the seeds and word lists below, which are
+not taken from the input); a listed rule decides first.
+
+Words are runs of letters of any alphabet, and runs of digits. Percent escapes of paths
+and punycode labels of hosts are read as what they stand for.
 
 Cases: a null URL or one without ``://`` has an empty host and path, no words and so no
 evidence: it is allowed unless the prior blocks. The longest fitting rule wins; a rule
@@ -14,14 +19,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import lru_cache
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # The rules of the contract, words with rough ranks, and seed URLs.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 LEXICON = """the of and to in for on with by from is at as an be this that it we you all new more home page news blog web site online free
@@ -33,18 +42,31 @@ loan loans payday credit debt cash prize lottery click clicks ads adult sex sexy
 rolex crack cracked keygen warez torrent download serial hack cheat cheats diet weight loss miracle cure deal deals discount
 buy sale sell traffic seo backlink backlinks link links crypto coin profit rich quick easy university library museum journal press
 paper research org gov edu archive docs help support learn learning course example main www mail static media image images""".split()
-SEED_BLOCK = """spam-farm.test/win casino-win.test/bonus cheap-pills.test/buy cheappills.test/sale winbig-casino.test/slots onlinepoker.test/jackpot
+SEED_BLOCK = """winbig-casino.test/slots onlinepoker.test/jackpot
 freeviagra.test/buy cialis-pharmacy.test/cheap payday-loans.test/quick fastcash-loan.test/easy hotsex-cams.test/xxx adultdating.test/sexy
 replica-rolex.test/discount keygen-crack.test/download warez-torrent.test/serial lottery-prize.test/winner betting-bonus.test/slots
 miracle-diet.test/weight cheapmeds.test/pills spamlinks.test/seo backlink-traffic.test/buy cryptoprofit.test/rich fake-drugs.test/sale
-slotcasino.test/jackpot spamfarm.test/click bestpills.test/cheap linkfarm.test/backlinks""".split()
+slotcasino.test/jackpot bestpills.test/cheap linkfarm.test/backlinks""".split()
 SEED_ALLOW = """city-library.test/books university.test/research science-journal.test/paper localnews.test/daily weather.test/city
 music-school.test/course garden-recipes.test/food opendata.test/docs code-forum.test/help mountain-travel.test/photo
 museum-archive.test/art health-info.test/support sports-news.test/page wiki.test/learn dailypress.test/news techblog.test/code
 river-house.test/design bookstore.test/books jobs-market.test/work green-world.test/blog schoolweb.test/learning
-statemedia.test/images homegarden.test/page bluesea.test/travel blog.test/en www.test/fr m.test/de images.test/es""".split()
+statemedia.test/images homegarden.test/page bluesea.test/travel""".split()
+#: Words that speak for a class by themselves, each counted LISTED times.
+BLOCK_WORDS = """spam casino pills bet bets betting poker slots slot jackpot bonus viagra cialis loan loans payday lottery ads adserver adult
+sex sexy porn xxx nude escort replica fake rolex crack cracked keygen warez torrent hack cheat cheats backlink backlinks tracker
+tracking popup gambling roulette bingo malware phishing hentai webcam camgirls hookup milf erotic kasino glücksspiel казино ставки 赌场 博彩""".split()
+ALLOW_WORDS = """news sport sports travel food music book books school science tech data code open wiki forum weather garden recipes university
+library museum journal press paper research gov edu archive docs help support learn learning course health history nature
+theatre government council church hospital academy dictionary encyclopedia conference software bibliothek universität новости 新闻 大学""".split()
+LISTED = 3
+KNOWN = [*LEXICON, *BLOCK_WORDS, *ALLOW_WORDS]
+#: The segmenter keeps at most so many counted words, the most frequent: it is sent to every worker.
+VOCABULARY = 200_000
 
 HOST = r"(?s)^.*?://([^/?#]*)"
+WORDS = re.compile(r"[^\W\d_]+|\d+")
+LONGEST = 64  # letters of a word in the segmenter
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 
 
@@ -86,6 +108,83 @@ def ranked_counts(words: Iterable[str]) -> dict[str, float]:
     return {w: 1000.0 / (i + 10) for i, w in enumerate(dict.fromkeys(words)) if len(w) > 1}
 
 
+def _unescaped(label: str) -> str:
+    if not label.startswith("xn--"):
+        return label
+    try:
+        return label[4:].encode("ascii").decode("punycode")
+    except UnicodeError:
+        return label
+
+
+def raw_words(host: str, path: str) -> list[str]:
+    """Runs of letters, and runs of digits, before they are split."""
+    host = ".".join(map(_unescaped, host.split("."))) if "xn--" in host else host
+    return WORDS.findall(f"{host} {unquote(path)}".lower())
+
+
+def counted_words(pages: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
+    """How often each word stands in hosts and paths, the most frequent ``limit`` (with all of the last's equals, or none).
+
+    A name that the lexicon splits without rest counts for its parts. Words are counted where the rows are.
+    """
+
+    def run(batches):
+        known, held = Segmenter(ranked_counts(KNOWN)), Counter()
+
+        def told():
+            out = Counter()
+            for w, n in held.items():
+                parts = known.split(w) if len(w) <= LONGEST else [w]
+                for x in parts if all(x in known.cost for x in parts) else [w]:
+                    if 1 < len(x) <= LONGEST:
+                        out[x] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["word", "n"])
+
+        for b in batches:
+            for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.update(w for w in raw_words(host or "", path or "") if not w.isdecimal())
+                if len(held) > 100_000:
+                    yield told()
+        yield told()
+
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select(host.alias("host"), path.alias("path")).mapInArrow(run, "word string, n long")
+    counts = written(rows.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    least, total = 1, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        total += r["count"]
+        if total > limit:
+            least = r["n"] + 1
+            break
+    return parted({r["word"]: r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()})
+
+
+def parted(counts: dict[str, int]) -> dict[str, int]:
+    """Words that split into words of three and more letters, each counted more often, count for those."""
+    known = Segmenter({w: float(n) for w, n in counts.items() if len(w) > 2})
+    out = Counter()
+    for w, n in counts.items():
+        cost = known.cost.pop(w, None)
+        parts = known.split(w) if len(w) > 5 else [w]
+        for x in parts if all(counts.get(x, 0) > n and x in known.cost for x in parts) else [w]:
+            out[x] += n
+        if cost is not None:
+            known.cost[w] = cost
+    return dict(out)
+
+
+def mixed_counts(counts: dict[str, int]) -> dict[str, float]:
+    """Counted words and the lexicon in equal parts, at any size of the input."""
+    lexicon = ranked_counts(KNOWN)
+    scale, total = sum(lexicon.values()), sum(counts.values())
+    out = {w: c / scale for w, c in lexicon.items()}
+    for w, n in counts.items():
+        out[w] = out.get(w, 0.0) + n / total
+    return out
+
+
 @dataclass
 class UrlModel:
     segmenter: Segmenter
@@ -93,23 +192,22 @@ class UrlModel:
     prior: float = 0.0
 
     def words(self, host: str, path: str) -> list[str]:
-        parts = [("h", p) for p in re.findall(r"[a-z]+", host)] + [("p", p) for p in re.findall(r"[a-z]+", path.lower())]
-        return [w for _, p in parts for w in self._split(p)]
+        return [w for p in raw_words(host, path) for w in self._split(p)]
 
     def _split(self, part: str) -> list[str]:
         memo = self.__dict__.setdefault("_memo", {})
         if len(memo) > 200_000:
             memo.clear()
         if part not in memo:
-            memo[part] = self.segmenter.split(part)
+            memo[part] = [part] if part.isdecimal() else self.segmenter.split(part)
         return memo[part]
 
     def evidence(self, host: str, path: str) -> float:
         return self.prior + sum(self.weight.get(w, 0.0) for w in self.words(host, path))
 
 
-def fit(labelled: Iterable[tuple[str, str, int]], counts: dict[str, float] | None = None, smooth: float = 0.5) -> UrlModel:
-    """From (host, path, 1 to block) rows: word counts by class with additive smoothing."""
+def fit(labelled: Iterable[tuple[str, str, int]], counts: dict[str, float] | None = None, smooth: float = 0.5, lists: dict[int, list[str]] | None = None) -> UrlModel:
+    """From (host, path, 1 to block) rows and words listed by class: word counts by class with additive smoothing."""
     model = UrlModel(Segmenter(counts or ranked_counts(LEXICON)))
     seen: dict[int, dict[str, int]] = {0: {}, 1: {}}
     rows = {0: 0, 1: 0}
@@ -117,6 +215,9 @@ def fit(labelled: Iterable[tuple[str, str, int]], counts: dict[str, float] | Non
         rows[label] += 1
         for w in model.words(host, path):
             seen[label][w] = seen[label].get(w, 0) + 1
+    for label, words in (lists or {}).items():
+        for w in words:
+            seen[label][w] = seen[label].get(w, 0) + LISTED
     return from_counts(model, seen, rows, smooth)
 
 
@@ -145,10 +246,10 @@ def fit_table(labelled: DataFrame, counts: dict[str, float] | None = None, min_r
     return from_counts(model, seen, {k: n.get(k, 0) for k in (0, 1)})
 
 
-@lru_cache(1)
-def seed_model() -> UrlModel:
+def seed_model(counts: dict[str, int] | None = None) -> UrlModel:
+    """From the seeds and word lists; ``counts`` of the input's words are the segmenter's."""
     split = lambda u: (u.partition("/")[0].removesuffix(".test"), "/" + u.partition("/")[2])
-    return fit([(*split(u), 1) for u in SEED_BLOCK] + [(*split(u), 0) for u in SEED_ALLOW])
+    return fit([(*split(u), 1) for u in SEED_BLOCK] + [(*split(u), 0) for u in SEED_ALLOW], mixed_counts(counts or {}), lists={1: BLOCK_WORDS, 0: ALLOW_WORDS})
 
 
 def host_and_path(url):
@@ -170,7 +271,7 @@ def rule_of(host, path, rules: list[tuple[str, str]]):
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, model: UrlModel | None = None, threshold: float = 0.0) -> DataFrame:
     """Every page with host, path, its rule, the verdict, the evidence for blocking and the host's words."""
-    model = model or seed_model()
+    model = model or seed_model(counted_words(pages))
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
 

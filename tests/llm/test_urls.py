@@ -42,5 +42,33 @@ def test_bayes_counts(spark):
     assert model.evidence("pills.test", "/buy") > 0 > model.evidence("news.test", "/daily")
 
 
+def test_the_segmenter_learns_the_input_s_words(spark):
+    urls = ["http://zorbel.test/a", "http://zorbel.test/b", "http://quinta.test/zorbel", "http://quinta.test/", "http://zorbelquinta.test/", "http://cheappills.test/", None]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], P)
+    counts = U.counted_words(pages)
+    assert (counts["zorbel"], counts["quinta"], counts["test"], counts["cheap"], counts["pills"]) == (4, 3, 6, 1, 1)
+    assert not {"cheappills", "zorbelquinta"} & set(counts) and set(U.counted_words(pages, 2)) == {"test", "zorbel"}
+    assert U.seed_model(counts).words("zorbelquinta.test", "")[:2] == ["zorbel", "quinta"]
+
+
+def test_words_of_any_alphabet_and_digits(spark):
+    pages = spark.createDataFrame([(0, "http://казино.test/x", ""), (1, "http://a.test/%D0%BA%D0%B0%D0%B7%D0%B8%D0%BD%D0%BE", ""), (2, "http://xn--80aswg.test/", ""), (3, "http://b.test/新闻/777", "")], P)
+    got = {r.page_id: r for r in U.judge(pages).collect()}
+    assert [got[i].verdict for i in (0, 1, 3)] == ["block", "block", "allow"]
+    assert "казино" in got[1].words and "сайт" in got[2].words and got[3].words.endswith("新闻 777")
+    rows = spark.createDataFrame([("http://a.test/777", 1), ("http://b.test/777", 1), ("http://c.test/5", 0), ("http://d.test/5", 0)], "url string, label int")
+    model = U.fit_table(rows)
+    assert model.weight["777"] > 0 > model.weight["5"]
+
+
+def test_hosts_that_are_no_seeds_are_judged_by_their_words(spark):
+    blocked, allowed = ["free-bets", "adult-shop", "ads-server", "onlinegambling"], ["city-news", "tionble", "en", "librarybooks"]
+    seeds = {u.partition(".")[0] for u in U.SEED_BLOCK + U.SEED_ALLOW}
+    assert not seeds & {*blocked, *allowed}
+    pages = spark.createDataFrame([(i, f"http://m.{h}.example.org/en/12.html", "") for i, h in enumerate(blocked + allowed)], P)
+    got = {r.page_id: r.verdict for r in U.judge(pages).collect()}
+    assert [got[i] for i in range(8)] == ["block"] * 4 + ["allow"] * 4
+
+
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], P)).count() == 0
