@@ -3,10 +3,12 @@
 Base kinds, each leftmost and non-overlapping: ``assign`` (a name such as password or
 api_key, a sign and a value of 6+ characters; the span is the whole match), ``access``
 (AKIA...; 20+ characters) and ``hex`` (24+ hex digits). The method adds kind ``random``:
-runs of key characters that mix letters and digits, whose characters per token under a
-byte-level BPE vocabulary are fewer than ``ratio``. Known digests (hex of a hash
-function's length) and identifiers (UUIDs, numbers, dates, plain words) are left to the
-base kinds, and runs that a base span covers are not told twice.
+runs of 16 and more key characters whose characters per token under a byte-level BPE
+vocabulary are fewer than ``ratio``. Runs in the form of words (letters in one case or
+capitalized, with at most four digits at the end) may be words that the vocabulary lacks:
+they must hold five consonants in a row as well, or have fewer than ``WORD_RATIO`` of
+``ratio``. Known digests (hex of a hash function's length), UUIDs and numbers are left to
+the base kinds, and runs that a base span covers are not told twice.
 
 Cases: a null text is empty; offsets are code points of the whole text, ends exclusive;
 spans of one kind never overlap. Without spans the string is empty.
@@ -31,11 +33,16 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 NUMBER = re.compile(r"[0-9+/_=-]+")
-WORDY = re.compile(r"[A-Za-z]{2,}(?:[_/+=-]+[A-Za-z]{2,})*[_/=-]*[0-9]{0,4}")
+ONE_CASE = r"(?:[A-Za-z][a-z]+|[A-Z]{2,})"
+WORDY = re.compile(rf"[_/+=-]*{ONE_CASE}(?:[_/+=-]+{ONE_CASE})*[_/+=-]*[0-9]{{0,4}}")
+#: Five consonants in a row; letters that are written for one sound count once.
+HARSH = re.compile(r"(?:sch|ch|ck|gh|ng|ph|pf|sh|st|th|tz|[b-df-hj-np-tv-xz]){5}", re.IGNORECASE)
+WORD_RATIO = 0.8
+PIECE = 4096  # characters that are encoded at once
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -49,12 +56,21 @@ def encoding(path: str):
 
 
 def known_form(run: str) -> bool:
-    """Digests and identifiers, which are no secrets by themselves."""
-    if NUMBER.fullmatch(run) or WORDY.fullmatch(run) or UUID.fullmatch(run):
+    """Digests, numbers and UUIDs, which are no secrets by themselves."""
+    if NUMBER.fullmatch(run) or UUID.fullmatch(run):
         return True
     return len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) is not None
 
 
+def least_ratio(run: str, ratio: float) -> float:
+    """What a run's characters per token must stay under."""
+    return WORD_RATIO * ratio if WORDY.fullmatch(run) and not HARSH.search(run) else ratio
+
+
+def characters_per_token(run: str, path: str) -> float:
+    return len(run) / sum(len(encoding(path).encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the base kinds."""
     found = []
@@ -73,7 +89,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]], path: str, ratio:
         run = m[0]
         if known_form(run) or any(a <= m.start() and m.end() <= b for a, b, _ in base):
             continue
-        if len(run) / len(encoding(path).encode_ordinary(run)) < ratio:
+        if characters_per_token(run, path) < least_ratio(run, ratio):
             found.append((m.start(), m.end(), 3))
     return found
 

@@ -41,6 +41,18 @@ def test_random_strings_are_told_and_known_forms_are_not(docs_of, rows):
     assert [got[i].spans for i in (1, 2, 3, 4)] == [""] * 4
 
 
+def test_random_strings_need_no_digit(docs_of, rows):
+    """Letters only, letters then digits, and base-62 of any shape; words in any case are none."""
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys = [draw(string.ascii_letters, 24) for _ in range(50)] + [draw(string.ascii_letters, 20) + draw(string.digits, 3) for _ in range(50)] + [draw(string.ascii_letters + string.digits, 16) for _ in range(200)]
+    low = [draw(string.ascii_lowercase, 24) for _ in range(100)]
+    words = "internationalization2024 getElementsByTagName SELECT_ALL_FROM_TABLES path/to/some/file-name Donaudampfschifffahrtsgesellschaft responsabilidades MAX_CONNECTIONS_PER_HOST Wissenschaftlerinnen --------------------".split()
+    got = rows(S.scan(docs_of([f"a {k} b" for k in keys + low + words])))
+    told = [got[i].n_random for i in range(len(got))]
+    assert sum(told[:300]) >= 297 and sum(told[300:400]) >= 75 and not any(told[400:])
+
+
 def test_odd_texts(docs_of, rows):
     got = rows(S.scan(docs_of([*ODD, "token=" + "a1" * 100_000])))
     assert len(got) == len(ODD) + 1 and got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
