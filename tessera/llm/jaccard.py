@@ -17,6 +17,8 @@ link if percent * union <= 100 * intersection.
    bit of a signature, so differing bits bound the sets' difference from below), are made
    distinct, and are verified once on their whole sets.
 
+Where the number of links is asked for, one round tests all pairs of every shingle instead.
+
 No candidate is dropped: every linked pair is tested or already connected.
 
 Cases: null and empty texts have no shingles and link with nothing; equal texts link if
@@ -239,14 +241,15 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "level", "turn", "doc_id").mapInArrow(run, "a long, b long")
 
 
-def crossing_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): all pairs of a token's rows in different components that pass the filters.
+def crossing_pairs(rows: DataFrame, percent: int, block: int = BLOCK, *, within: bool = False) -> DataFrame:
+    """(a, b): all pairs of a token's rows in different components that pass the filters; with ``within``, in the same ones too.
 
     ``rows``: token, node, n, pos, component and the signature. Tokens of more than ``block``
     rows are dealt to chunks, and every pair of chunks is a group of its own.
     """
     sig = [f"s{i}" for i in range(SIGNATURE)]
-    sizes = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    sizes = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    sizes = sizes if within else sizes.where("c0 <> c1")
     rows = rows.join(sizes.select("token", F.ceil(F.col("k") / block).cast("int").alias("chunks")), "token")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -263,7 +266,7 @@ def crossing_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFra
             d += 1
             i = i[i + d < end[i]]
             i = i[100 * n[i] >= percent * n[i + d]]
-            ok = (comp[i] != comp[i + d]) & ((lo[i] == hi[i]) | (own[i] != own[i + d]))
+            ok = ((node[i] != node[i + d]) if within else (comp[i] != comp[i + d])) & ((lo[i] == hi[i]) | (own[i] != own[i + d]))
             x = i[ok]
             x = x[_near(n[x], n[x + d], pos[x], pos[x + d], percent)]
             if len(x):
@@ -355,8 +358,13 @@ def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, size: int, perc
     return written(whole.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "verified")
 
 
-def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
+def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach.
+
+    With ``links`` also n_links, how many other documents the document links with, where ids are
+    not shared: all pairs of a shingle are then tested in one round, whatever their components.
+    Copies count for their node's links and are no pairs of their own.
+    """
     docs = docs.select("doc_id", "text")
     rows, counts = profiles(docs, size)
     info = rows.where("doc_id is not null and n > 0")
@@ -366,25 +374,37 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 
     shared = written(shared_rows(prefixes(docs, counts, size, percent)), "prefixes").join(ids, "doc_id")
     shared = written(shared.select("token", "node", "n", "pos").distinct(), "shared")
-    pairs = first_pairs(shared.select("token", F.col("node").alias("doc_id"), "n", "pos"), percent).distinct()
     several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     same = ids.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    first = components(verified(pairs, docs, info, size, percent).unionByName(same))
-    first = written(first, "first-components")
-
     sig = [f"s{i}" for i in range(SIGNATURE)]
-    # Signatures only go to tokens whose documents are in several components.
-    placed = shared.join(first.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-    placed = written(placed, "placed")
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-    signed = placed.join(open_tokens, "token").join(info.select(F.col("doc_id").alias("node"), *sig), "node")
-    more = verified(crossing_pairs(signed, percent).distinct(), docs, info, size, percent)
-    final = components(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-
-    of_digest = nodes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    degree = None
+    if links:
+        signed = shared.withColumn("component", F.lit(0)).join(info.select(F.col("doc_id").alias("node"), *sig), "node")
+        found = verified(crossing_pairs(signed, percent, within=True).distinct(), docs, info, size, percent)
+        final = components(found.unionByName(same))
+        copies = written(ids.groupBy("node").agg(F.count("*").alias("copies")), "copies")
+        sides = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = sides.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+        degree = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    else:
+        pairs = first_pairs(shared.select("token", F.col("node").alias("doc_id"), "n", "pos"), percent).distinct()
+        first = components(verified(pairs, docs, info, size, percent).unionByName(same))
+        first = written(first, "first-components")
+        # Signatures only go to tokens whose documents are in several components.
+        placed = shared.join(first.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+        placed = written(placed, "placed")
+        open_tokens = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+        signed = placed.join(open_tokens, "token").join(info.select(F.col("doc_id").alias("node"), *sig), "node")
+        more = verified(crossing_pairs(signed, percent).distinct(), docs, info, size, percent)
+        final = components(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    of_digest = nodes.join(final, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component_id"))
+    if links:
+        of_digest = of_digest.join(degree, "node")
+    counted = ["n_links"] if links else []
     out = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest").join(of_digest, "digest")
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in counted])
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *counted).unionByName(alone)
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -395,4 +415,4 @@ def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
 
 def op10_jaccard(spark, sf_dir):
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85)
+    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85, links=True)

@@ -83,6 +83,18 @@ def test_a_large_group_in_small_blocks(docs_of, prose, monkeypatch):
     same(J.groups(docs_of(docs).repartition(4)).collect(), brute(docs))
 
 
+def test_every_link_is_counted(docs_of, prose):
+    """Links inside a component that others tie already, and copies, against all pairs."""
+    rng = random.Random(13)
+    base = prose(60, 4)
+    docs = [(i, edited(base, rng.choice((0, 1, 1, 2, 2, 3, 6)), rng)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(200, base), (201, base)]
+    rows = {r.doc_id: r for r in J.groups(docs_of(docs), 4, 85, links=True).collect()}
+    same(rows.values(), brute(docs, 4, 85))
+    sets = {d: J.shingles(t, 4) for d, t in docs}
+    want = {d: sum(e != d and len(sets[d]) > 0 and J.linked(sets[d], sets[e], 85) for e in sets) for d in sets}
+    assert {d: r.n_links for d, r in rows.items()} == want and sum(want.values()) > 2 * len(docs)
+
+
 def test_shared_and_null_ids(docs_of, prose):
     a, b = prose(50, 1), prose(50, 2)
     docs = [(1, a), (2, a), (2, b), (3, b), (4, prose(50, 3))]
