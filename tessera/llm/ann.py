@@ -8,10 +8,20 @@ their expected squared distance to the bucket borders, and each query applies th
 its own borders, nearest first. The candidates of all tables are merged and ranked by
 the exact cosine in double precision.
 
-Distribution: the hash functions are global, each data partition keeps the tables of its
-own rows, and the queries travel in blocks of at most ``block`` vectors (a bounded
-broadcast), each probing every partition. Only the ``k`` best of a partition leave it,
-so no candidate pair is ever a row and a large bucket stays inside its partition.
+How far to look is fitted: on a sample of at most ``SAMPLE_BYTES`` of vectors, the true
+neighbours of ``ASKED`` of them are found by brute force, and the rank at which each would
+be visited is told exactly by its keys. The fit takes the largest ``m`` (the smallest
+buckets) for which at most ``probes`` buckets a table reach ``target`` of them, and then
+only as many buckets as that needs. Neighbours in a sample are farther than in all rows,
+so it looks too far rather than not far enough. Vectors with structure get small buckets
+and few probes; vectors without any need large ones.
+
+Distribution: the hash functions are global, each data partition (of bounded bytes) keeps
+the tables of its own rows, and the queries travel in blocks of bounded bytes, each probing
+every partition. Only the ``k`` best of a partition leave it, so no candidate pair is ever a
+row and a large bucket stays inside its partition. A block's results are a written table
+before the next block is read, so the driver holds one block. ``nearest`` runs those jobs
+itself.
 
 Cases: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite components neither ask nor answer. Ids may repeat; a query never meets rows
@@ -25,29 +35,31 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
+
+SAMPLE_BYTES = 16 << 20
+ASKED = 256
+PART_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Hashing:
-    """``m`` 0: 0.75 log2(rows) - 2.5 projections a key; ``probes`` 0: sixteen for each projection."""
+    """``probes``: buckets visited in each table, at most."""
 
-    tables: int = 12
-    m: int = 0
-    width: float = 2.3
-    probes: int = 0
+    tables: int = 8
+    width: float = 2.0
+    probes: int = 256
+    target: float = 0.96
     seed: int = 20240607
-    block: int = 65536
+    block_bytes: int = 32 << 20
 
-    def sized(self, rows: int) -> tuple[int, int]:
-        m = self.m or int(np.clip(round(0.75 * np.log2(max(rows, 2)) - 2.5), 2, 24))
-        return m, self.probes or 16 * m
 
-
-@lru_cache(8)
+@lru_cache(64)
 def shift_sets(m: int, probes: int) -> np.ndarray:
     """The ``probes`` likeliest sets of border ranks (0: the query's nearest border), as a 0/1 matrix.
 
@@ -75,12 +87,12 @@ def shift_sets(m: int, probes: int) -> np.ndarray:
 class Tables:
     """The hash functions of one index."""
 
-    def __init__(self, dim: int, h: Hashing, rows: int):
-        self.m, self.probes = h.sized(rows)
-        rng = np.random.default_rng([h.seed, dim, self.m])
-        self.a = rng.standard_normal((h.tables, dim, self.m))
-        self.b = rng.uniform(0, h.width, (h.tables, self.m))
-        self.mix = rng.integers(1, 2**62, (h.tables, self.m)) | 1
+    def __init__(self, dim: int, h: Hashing, m: int, probes: int):
+        self.m, self.probes = m, probes
+        rng = np.random.default_rng([h.seed, dim, m])
+        self.a = rng.standard_normal((h.tables, dim, m))
+        self.b = rng.uniform(0, h.width, (h.tables, m))
+        self.mix = rng.integers(1, 2**62, (h.tables, m)) | 1
         self.width, self.count = h.width, h.tables
 
     def cells(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,33 +123,70 @@ def unit_rows(ids: list, vectors: list, dim: int) -> tuple[np.ndarray, np.ndarra
     return np.array([ids[i] for i in keep], np.int64).reshape(-1)[ok], x[ok] / norm[ok][:, None]
 
 
-def search_block(ids: np.ndarray, unit: np.ndarray, q_ids: np.ndarray, q_unit: np.ndarray, tables: Tables, k: int) -> list[tuple[int, int, float]]:
-    """The k best of these rows for each query, among the rows in the buckets that it visits."""
-    sides = []
-    for t in range(tables.count):
-        keys = tables.keys(unit, t)
-        order = np.argsort(keys, kind="stable")
-        sides.append((order, keys[order]))
-    found = []
-    for at in range(0, len(q_ids), 256):
-        part = q_unit[at : at + 256]
-        hit = np.zeros((len(part), len(unit)), bool)
-        for t, (order, keys) in enumerate(sides):
-            probe = tables.probe_keys(part, t)
-            lo, hi = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
-            for i, j in zip(*np.nonzero(hi > lo), strict=True):
-                hit[i, order[lo[i, j] : hi[i, j]]] = True
-        for i, q in enumerate(q_ids[at : at + 256]):
+def fitted(sample: np.ndarray, rows: int, k: int, h: Hashing) -> Tables:
+    """The tables, and how many buckets of each to visit, from a sample of unit vectors."""
+    dim = sample.shape[1]
+    most = int(np.clip(np.ceil(np.log2(max(rows, 2))) + 6, 2, 32))
+    sample = np.unique(sample, axis=0)
+    asked = np.random.default_rng(h.seed).permutation(len(sample))[:ASKED]
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return Tables(dim, h, 2, 9)
+    score = sample[asked] @ sample.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    near = sample[np.argpartition(-score, k - 1, axis=1)[:, :k].ravel()]
+    for m in range(most, 1, -1):
+        tables = Tables(dim, h, m, h.probes)
+        rank = np.full(len(near), h.probes)
+        for t in range(h.tables):
+            probe = np.repeat(tables.probe_keys(sample[asked], t), k, axis=0)
+            same = probe == tables.keys(near, t)[:, None]
+            rank = np.minimum(rank, np.where(same.any(1), same.argmax(1), h.probes))
+        need = np.sort(rank)[int(np.ceil(h.target * len(rank))) - 1]
+        if need < h.probes:
+            break
+    tables.probes = min(int(need) + 1, h.probes)
+    return tables
+
+
+def visited(unit: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], asks: np.ndarray, tables: Tables) -> np.ndarray:
+    """Which rows (columns) stand in buckets that each query visits; ``sides``: by table, rows in order of their keys."""
+    hit = np.zeros((len(asks), len(unit)), bool)
+    for t, (order, keys) in enumerate(sides):
+        probe = tables.probe_keys(asks, t)
+        lo, hi = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
+        at = np.nonzero(hi > lo)
+        lo, n = lo[at], (hi - lo)[at]
+        place = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
+        hit[np.repeat(at[0], n), order[place]] = True
+    return hit
+
+
+def in_tables(unit: np.ndarray, tables: Tables) -> list[tuple[np.ndarray, np.ndarray]]:
+    keys = [tables.keys(unit, t) for t in range(tables.count)]
+    orders = [np.argsort(x, kind="stable") for x in keys]
+    return [(o, x[o]) for o, x in zip(orders, keys, strict=True)]
+
+
+def search_block(ids: np.ndarray, unit: np.ndarray, q_ids: np.ndarray, q_unit: np.ndarray, tables: Tables, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, row ids, scores): the k best of these rows for each query, among the rows in the buckets that it visits."""
+    sides = in_tables(unit, tables)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = int(np.clip((1 << 22) // max(len(unit), 1), 1, 256))
+    for at in range(0, len(q_ids), step):
+        part = q_unit[at : at + step]
+        hit = visited(unit, sides, part, tables)
+        whole = part @ unit.T if hit.mean() > 0.05 else None  # where many rows are candidates, one product is cheaper
+        for i, q in enumerate(q_ids[at : at + step]):
             rows = np.nonzero(hit[i])[0]
-            rows = rows[ids[rows] != q]
-            if len(rows):
-                score = unit[rows] @ part[i]
-                if len(rows) > k:
-                    rows = rows[score >= np.partition(score, -k)[-k] - 1e-9]
-                score = (unit[rows] * part[i]).sum(1)  # equal rows get equal sums, wherever they stand
-                best = np.lexsort((ids[rows], -score))[:k]
-                found += [(int(q), int(ids[rows[b]]), float(score[b])) for b in best]
-    return found
+            score = unit[rows] @ part[i] if whole is None else whole[i][rows]
+            rows, score = rows[ids[rows] != q], score[ids[rows] != q]
+            if len(rows) > k:
+                rows = rows[score >= np.partition(score, -k)[-k] - 1e-9]
+            score = (unit[rows] * part[i]).sum(1)  # equal rows get equal sums, wherever they stand
+            best = np.lexsort((ids[rows], -score))[:k]
+            found.append((np.full(len(best), q), ids[rows[best]], score[best]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", hashing: Hashing = Hashing()) -> DataFrame:
@@ -146,42 +195,62 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     data = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asks = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     schema = "query_id long, vec_id long, score double"
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     about = data.where("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not about or not about[0]["dim"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, tables = about[0]["dim"], Tables(about[0]["dim"], hashing, about[0]["count"])
+        return none
+    dim, count = about[0]["dim"], about[0]["count"]
+    # One row of about ``every`` by a hash of the id: SAMPLE_BYTES at any size, whatever the order of the rows.
+    every = max(1, -(-count * dim * 8 // SAMPLE_BYTES))
+    sample = data.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).limit(2 * SAMPLE_BYTES // (8 * dim) + 1).toArrow()
+    sample = unit_rows(sample.column(0).to_pylist(), sample.column(1).to_pylist(), dim)[1]
+    if not len(sample):
+        return none
+    tables = fitted(sample, count, k, hashing)
     # Few large partitions: each probes its own tables, and probing costs the same whatever they hold.
-    data = data.repartition(max(1, min(spark.sparkContext.defaultParallelism, about[0]["count"] // 2048 + 1), about[0]["count"] // 262144))
+    per = max(1, PART_BYTES // (8 * dim))
+    data = data.repartition(max(1, min(spark.sparkContext.defaultParallelism, count // 2048 + 1), -(-count // per)))
 
     def searcher(sent):
         def run(batches):
             ids, unit = [], []
+
+            def told():
+                got = search_block(np.concatenate(ids), np.concatenate(unit), *sent.value, tables, k)
+                ids.clear()
+                unit.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
+
             for b in batches:
-                i, u = unit_rows(b.column(0).to_pylist(), b.column(1).to_pylist(), dim)
-                ids.append(i)
-                unit.append(u)
+                for at in range(0, b.num_rows, 4096):
+                    i, u = unit_rows(b.column(0).slice(at, 4096).to_pylist(), b.column(1).slice(at, 4096).to_pylist(), dim)
+                    ids.append(i)
+                    unit.append(u)
+                if sum(map(len, ids)) >= 2 * per:  # a partition larger than expected is searched in parts
+                    yield told()
             if ids:
-                found = search_block(np.concatenate(ids), np.concatenate(unit), *sent.value, tables, k)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
+                yield told()
 
         return run
 
     parts, block_ids, block_vecs = [], [], []
 
     def flush():
-        i, u = unit_rows(block_ids, block_vecs, dim)
-        if len(i):
-            parts.append(data.mapInArrow(searcher(spark.sparkContext.broadcast((i, u))), schema))
-
-    for row in asks.where("v is not null").toLocalIterator(prefetchPartitions=False):  # in blocks of bounded size
-        block_ids.append(row["id"])
-        block_vecs.append(row["v"])
-        if len(block_ids) >= hashing.block:
+        if sum(map(len, block_ids)):
+            sent = spark.sparkContext.broadcast((np.concatenate(block_ids), np.concatenate(block_vecs)))
+            parts.append(written(data.mapInArrow(searcher(sent), schema), "nearest"))
+            sent.destroy()
+        block_ids.clear()
+        block_vecs.clear()
+
+    for b in asks.where(F.size("v") == dim).mapInArrow(usable(dim), "ids binary, unit binary").toLocalIterator():
+        block_ids.append(np.frombuffer(b["ids"], np.int64))
+        block_vecs.append(np.frombuffer(b["unit"], np.float64).reshape(-1, dim))
+        if sum(map(len, block_ids)) * dim * 8 >= hashing.block_bytes:
             flush()
-            block_ids, block_vecs = [], []
     flush()
     if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     best = parts[0]
     for p in parts[1:]:
         best = best.unionByName(p)
@@ -189,6 +258,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def usable(dim: int):
+    """Batches of ids and unit vectors, packed: the driver handles blocks, not rows."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                i, u = unit_rows(b.column(0).slice(at, 1024).to_pylist(), b.column(1).slice(at, 1024).to_pylist(), dim)
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([i.tobytes()], pa.binary()), "unit": pa.array([u.tobytes()], pa.binary())})
+
+    return run
+
+
 def op1_nearest(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(rows, rows.where("vec_id % 50 = 0"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits spread."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return h ^ (h >> np.uint64(29))
+
+
 class Memo(dict):
     """Answers of ``make`` by key, in two generations: what is not asked for while one fills is forgotten.
 
@@ -95,6 +102,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the input's size; works on any source."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

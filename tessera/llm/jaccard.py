@@ -5,7 +5,8 @@ at ASCII white space; fewer words: the whole sequence), as 64-bit hashes. Two do
 link if percent * union <= 100 * intersection.
 
 1. One scan gives each document's set size, set digest and a 512-bit parity signature, and
-   adds its shingles to a fixed number of counters. Equal sets become one node.
+   adds its shingles to counters, whose number grows with the input up to a bound. Equal sets
+   become one node.
 2. Sets are ordered rare-first by those counters, ties by hash: the same order everywhere,
    so a linked pair shares a shingle of both prefixes of n - ceil(t n) + 1. Prefix rows
    are shuffled by shingle once; rows alone in their shingle go.
@@ -17,7 +18,10 @@ link if percent * union <= 100 * intersection.
    bit of a signature, so differing bits bound the sets' difference from below), are made
    distinct, and are verified once on their whole sets.
 
-Where the number of links is asked for, one round tests all pairs of every shingle instead.
+Where the number of links is asked for, the sets of a component meet in blocks of bounded
+size, each block pair a group of its own, and every pair of documents is tested there: a set
+travels once for each block of its component, not once for each pair. Components of more than
+``WHOLE`` documents test the pairs of a shingle instead.
 
 No candidate is dropped: every linked pair is tested or already connected.
 
@@ -36,13 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, folded, written
+from .common import Memo, folded, input_bytes, mixed, written
 from .components import components
-from .line_dedup import SLICES, Bits, places
+from .line_dedup import SLICES, bloom, filter_tasks, held, merged_slices
 
 SIZE, PERCENT = 5, 80
-COUNTERS = 1 << 22
-BLOCK = 4096
+COUNTERS = 1 << 22, 1 << 25  # at least and at most
+BLOCK = 512
+LINK_BLOCK, LINK_BYTES, WHOLE = 512, 16 << 20, 8192
 FILTER_BITS = 1 << 27
 SIGNATURE = 8  # words of 64 bits
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -51,11 +56,6 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 WORD_HASHES = Memo(xxhash.xxh3_64_intdigest, 200_000)  # of the worker process, over all its tasks
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return h ^ (h >> np.uint64(29))
-
-
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """The set as a sorted array of hashes."""
     words = folded(text).split()
@@ -90,19 +90,24 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _cell(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)
+def _cell(s: np.ndarray, counters: int) -> np.ndarray:
+    return (s >> np.uint64(32)).astype(np.int64) & (counters - 1)
+
+
+def counters_for(size: int) -> int:
+    """A power of two, about one counter for each 128 bytes of input."""
+    return min(COUNTERS[1], max(COUNTERS[0], 1 << max(0, size // 128 - 1).bit_length()))
 
 
 def profiles(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, digest, s0..s7) of every row, and the counters: two bytes each, of all documents."""
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    step = COUNTERS // SLICES
+    """(doc_id, n, digest, s0..s7) of every row, and the counters of all documents as ranks of two bytes."""
+    counters = counters_for(input_bytes(docs.select("text")))
+    step = counters // SLICES
     sig = [f"s{i}" for i in range(SIGNATURE)]
     schema = "doc_id long, n long, digest binary, " + ", ".join(f"{c} long" for c in sig) + ", slice int, counts binary"
 
     def run(batches):
-        counts, seen = np.zeros(COUNTERS, np.uint32), set()
+        counts, seen = np.zeros(counters, np.uint32), set()
         none = [None]
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -116,29 +121,28 @@ def profiles(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                         if len(seen) >= 100_000:
                             seen.clear()
                         seen.add(d)
-                        np.add.at(counts, _cell(s), 1)
+                        np.add.at(counts, _cell(s, counters), 1)
                     ns.append(len(s))
                     digests.append(d)
                     sigs.append(signature(s))
                 sigs = np.array(sigs)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(ns, pa.int64()), "digest": pa.array(digests, pa.binary()), **{c: pa.array(sigs[:, i]) for i, c in enumerate(sig)}, "slice": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
+        small = counts.astype(np.uint16) if counts.max() < 65536 else counts
         for k in range(SLICES):
-            cut = counts[k * step : (k + 1) * step]
+            cut = small[k * step : (k + 1) * step]
             if cut.any():
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(none, pa.int64()), "n": pa.array(none, pa.int64()), "digest": pa.array(none, pa.binary()), **{c: pa.array(none, pa.int64()) for c in sig}, "slice": pa.array([k], pa.int32()), "counts": pa.array([cut.tobytes()], pa.binary())})
 
-    def add(key, table):
-        total = np.zeros(step, np.uint64)
-        for c in table.column("counts").to_pylist():
-            total += np.frombuffer(c, np.uint32)
-        return pa.Table.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+    def add(parts):
+        total = np.zeros(step, np.float64)
+        for c in parts:
+            total += c.view(np.uint16 if len(c) == 2 * step else np.uint32)
+        # Only the order matters: four times the square roots of the counts fit two bytes at any size.
+        return np.minimum(np.sqrt(total) * 4, 65535).astype(np.uint16)
 
-    rows = written(docs.select("doc_id", "text").coalesce(tasks).mapInArrow(run, schema), "profiles")
-    counts = np.zeros(COUNTERS, np.uint32)
-    for r in rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
-        counts[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["counts"], np.uint32)
-    # Only the order matters: counts as ranks of the square root of their distance to zero fit two bytes at any size.
-    return rows.where("slice is null").drop("slice", "counts"), np.minimum(np.sqrt(counts.astype(np.float64)) * 4, 65535).astype(np.uint16)
+    rows = written(docs.select("doc_id", "text").coalesce(filter_tasks(docs.select("text"))).mapInArrow(run, schema), "profiles")
+    counts = merged_slices(rows.where("slice is not null").select("slice", "counts"), ["counts"], add, 2 * counters).view(np.uint16)
+    return rows.where("slice is null").drop("slice", "counts"), counts
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -161,7 +165,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                         seen.clear()
                     seen.add(d)
                     p = prefix_length(len(s), percent)
-                    first = s[np.argsort(cells[_cell(s)], kind="stable")[:p]]
+                    first = s[np.argsort(cells[_cell(s, len(cells))], kind="stable")[:p]]
                     rows.append((first.view(np.int64), np.full(p, doc), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["token", "doc_id", "n", "pos"])
@@ -294,30 +298,24 @@ def crossing_pairs(rows: DataFrame, percent: int, block: int = BLOCK, *, within:
     return rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n").mapInArrow(run, "a long, b long")
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of a long column, of bounded size; it may hold more, never less."""
-    step = bits // 8 // SLICES
-    tasks = 2 * ids.sparkSession.sparkContext.defaultParallelism
+def sets_of(docs: DataFrame, ids: DataFrame, size: int, name: str) -> DataFrame:
+    """(id, elements): the sets of the documents with these ids (and of few others: ids go as a Bloom filter), written."""
+    bits = FILTER_BITS
+    while bits > 1 << 16 and bits > 32 * ids.count():
+        bits >>= 1
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(ids, bits))
 
-    def fill(batches):
-        own = Bits(bits)
+    def sets(batches):
         for b in batches:
-            own.put(places(mixed(b.column(0).to_numpy().view(np.uint64)), bits))
-        for k in range(SLICES):
-            cut = own.data[k * step : (k + 1) * step]
-            if cut.any():
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "data": pa.array([cut.tobytes()], pa.binary())})
-
-    def merge(key, table):
-        total = np.zeros(step, np.uint8)
-        for c in table.column("data").to_pylist():
-            total |= np.frombuffer(c, np.uint8)
-        return pa.Table.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+            ids = b.column(0)
+            asked = held(ids.fill_null(0).to_numpy(), sent.value) & ids.is_valid().to_numpy(zero_copy_only=False)
+            part = b.filter(pa.array(asked))
+            for at in range(0, part.num_rows, 256):
+                cut = part.slice(at, 256)
+                got = [shingles(t, size).tobytes() for t in cut.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(got, pa.binary())], names=["id", "elements"])
 
-    out = np.zeros(bits // 8, np.uint8)
-    for r in ids.coalesce(tasks).mapInArrow(fill, "slice int, data binary").groupBy("slice").applyInArrow(merge, "slice int, data binary").toLocalIterator():
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["data"], np.uint8)
-    return out
+    return written(docs.select("doc_id", "text").mapInArrow(sets, "id long, elements binary"), name)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, size: int, percent: int) -> DataFrame:
@@ -328,24 +326,7 @@ def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, size: int, perc
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
     left = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ <= F.col("na") + F.col("nb") - 2 * need))
     left = written(left.select("a", "b").distinct(), "pairs")
-    spark = docs.sparkSession
-    bits = FILTER_BITS
-    while bits > 1 << 16 and bits > 32 * left.count():
-        bits >>= 1
-    sent = spark.sparkContext.broadcast(id_filter(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))), bits))
-
-    def sets(batches):
-        asked = Bits(bits, sent.value)
-        for b in batches:
-            ids = b.column(0)
-            held = asked.has(places(mixed(ids.fill_null(0).to_numpy().view(np.uint64)), bits)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            part = b.filter(pa.array(held))
-            for at in range(0, part.num_rows, 256):
-                cut = part.slice(at, 256)
-                got = [shingles(t, size).tobytes() for t in cut.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(got, pa.binary())], names=["id", "elements"])
-
-    elements = written(docs.select("doc_id", "text").mapInArrow(sets, "id long, elements binary"), "sets")
+    elements = sets_of(docs, left.select(F.explode(F.array("a", "b")).alias("id")), size, "sets")
 
     def test(batches):
         for b in batches:
@@ -358,12 +339,83 @@ def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, size: int, perc
     return written(whole.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "verified")
 
 
-def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False) -> DataFrame:
+def linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, others): how many documents each node links with, from (component, node, copies, elements) rows.
+
+    Every pair of a component is tested on whole sets, in groups of two blocks: elements that
+    one set of the group holds alone add nothing to an intersection, the others are columns
+    of a matrix whose product with itself is all intersections.
+    """
+    sizes = rows.groupBy("component").agg(F.count("*").alias("k"), F.sum(F.octet_length("elements")).alias("bytes"))
+    chunks = F.ceil(F.greatest(F.col("k") / LINK_BLOCK, F.col("bytes") / LINK_BYTES)).cast("int")
+    rows = rows.join(sizes.select("component", chunks.alias("chunks")), "component")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "copies", "elements")
+
+    def told(group: pa.Table) -> pa.RecordBatch:
+        sets = [np.frombuffer(e.as_py(), np.uint64) for e in group.column("elements")]
+        own, node, copies = (group.column(c).to_numpy() for c in ("own", "node", "copies"))
+        n = np.array(list(map(len, sets)))
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(n)), n), (count > 1)[column]
+        column = (np.cumsum(count > 1) - 1)[column][shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[shared][order], column[order]
+        both = np.zeros((len(n), len(n)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            a, b = np.searchsorted(column, (at, at + 2048))
+            x = np.zeros((len(n), 2048), np.float32)
+            x[row[a:b], column[a:b] - at] = 1
+            both += x @ x.T
+        both = both.astype(np.int64)
+        link = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+        if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
+            link &= own[:, None] != own[None, :]
+        np.fill_diagonal(link, False)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(link @ copies)], names=["node", "others"])
+
+    def run(batches):
+        kept, key = [], None  # rows come sorted by group
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            start = 0
+            for i, k in enumerate(keys):
+                if k != key:
+                    if i > start:
+                        kept.append(b.slice(start, i - start))
+                    if kept:
+                        yield told(pa.Table.from_batches(kept))
+                    kept, key, start = [], k, i
+            if len(keys) > start:
+                kept.append(b.slice(start))
+        if kept:
+            yield told(pa.Table.from_batches(kept))
+
+    blocks = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return blocks.mapInArrow(run, "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def link_counts(docs: DataFrame, final: DataFrame, shared: DataFrame, ids: DataFrame, info: DataFrame, size: int, percent: int, whole: int = WHOLE) -> DataFrame:
+    """(node, n_links) of all nodes: links with other nodes' documents, and with the node's own other documents."""
+    copies = written(ids.groupBy("node").agg(F.count("*").alias("copies")), "copies")
+    sizes = final.groupBy("component").agg(F.count("*").alias("k"))
+    placed = written(final.join(sizes, "component").where("k > 1").join(copies, "node"), "members")
+    small, large = placed.where(F.col("k") <= whole), placed.where(F.col("k") > whole)
+    sets = sets_of(docs, small.select(F.col("node").alias("id")), size, "members-sets").dropDuplicates(["id"])
+    others = linked_in_blocks(small.join(sets, F.col("node") == F.col("id")).select("component", "node", "copies", "elements"), percent)
+    if not large.isEmpty():
+        signed = shared.join(large.select("node", "component"), "node").join(info.select(F.col("doc_id").alias("node"), *[f"s{i}" for i in range(SIGNATURE)]), "node")
+        found = verified(crossing_pairs(signed, percent, within=True).distinct(), docs, info, size, percent)
+        sides = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = others.unionByName(sides.join(large.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others")))
+    return copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
+def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: bool = False, whole: int = WHOLE) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links reach.
 
     With ``links`` also n_links, how many other documents the document links with, where ids are
-    not shared: all pairs of a shingle are then tested in one round, whatever their components.
-    Copies count for their node's links and are no pairs of their own.
+    not shared. Copies count for their node's links and are no pairs of their own.
     """
     docs = docs.select("doc_id", "text")
     rows, counts = profiles(docs, size)
@@ -377,30 +429,20 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, links: boo
     several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     same = ids.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     sig = [f"s{i}" for i in range(SIGNATURE)]
-    degree = None
-    if links:
-        signed = shared.withColumn("component", F.lit(0)).join(info.select(F.col("doc_id").alias("node"), *sig), "node")
-        found = verified(crossing_pairs(signed, percent, within=True).distinct(), docs, info, size, percent)
-        final = components(found.unionByName(same))
-        copies = written(ids.groupBy("node").agg(F.count("*").alias("copies")), "copies")
-        sides = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        others = sides.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-        degree = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    else:
-        pairs = first_pairs(shared.select("token", F.col("node").alias("doc_id"), "n", "pos"), percent).distinct()
-        first = components(verified(pairs, docs, info, size, percent).unionByName(same))
-        first = written(first, "first-components")
-        # Signatures only go to tokens whose documents are in several components.
-        placed = shared.join(first.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-        placed = written(placed, "placed")
-        open_tokens = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-        signed = placed.join(open_tokens, "token").join(info.select(F.col("doc_id").alias("node"), *sig), "node")
-        more = verified(crossing_pairs(signed, percent).distinct(), docs, info, size, percent)
-        final = components(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    pairs = first_pairs(shared.select("token", F.col("node").alias("doc_id"), "n", "pos"), percent).distinct()
+    first = components(verified(pairs, docs, info, size, percent).unionByName(same))
+    first = written(first, "first-components")
+    # Signatures only go to tokens whose documents are in several components.
+    placed = shared.join(first.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "placed")
+    open_tokens = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+    signed = placed.join(open_tokens, "token").join(info.select(F.col("doc_id").alias("node"), *sig), "node")
+    more = verified(crossing_pairs(signed, percent).distinct(), docs, info, size, percent)
+    final = components(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     of_digest = nodes.join(final, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component_id"))
     if links:
-        of_digest = of_digest.join(degree, "node")
+        of_digest = of_digest.join(link_counts(docs, written(final, "components"), shared, ids, info, size, percent, whole), "node")
     counted = ["n_links"] if links else []
     out = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest").join(of_digest, "digest")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in counted])

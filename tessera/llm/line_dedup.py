@@ -11,16 +11,20 @@ all their lines go, except those of the largest doc_id that holds the key.
    documents, and exact counts confirm them and choose the keeper; counts are combined
    before the shuffle, so that a key of most documents is no large group.
 3. Confirmed keys are sent to the documents while they are at most ``max_keys``; beyond
-   that each document's dropped keys are joined to it by doc_id.
+   that each row's dropped keys are joined to it by doc_id and digest of the text.
 
 The filters have ``bits`` bits: about ten for each line of the input by the optimizer's
 size estimate, at most ``MAX_BITS`` (a fixed bound on what is broadcast). A fuller filter
 only makes more suspects, never another result.
 
+A task fills one filter over what it reads, at most ``TASK_BYTES`` of the input where that
+makes more tasks than ``filter_tasks`` gives at least; filters meet slice by slice.
+
 Cases: null or empty texts are one empty line and unchanged; keys count once a document;
 rows that share a doc_id count as one document, and all of them keep what it keeps;
 rows with a null doc_id are never keepers of others' lines: they count as one document
-that precedes all. Very long lines are lines. Empty tables give no rows.
+that precedes all. Very long lines are lines. Empty tables give no rows. Columns beyond
+doc_id and text, whatever their names and types, stay as they are.
 """
 
 from __future__ import annotations
@@ -32,13 +36,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, input_bytes, map_columns, written
+from .common import bounded_batches, fresh, input_bytes, map_columns, mixed, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 MAX_BITS = 1 << 28
 MAX_KEYS = 200_000
 SLICES = 256
+TASK_BYTES = 4 << 30
 NO_ID = -(2**63)
 
 
@@ -79,10 +85,54 @@ def hashes_of(texts, min_chars: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for t in texts for k in set(line_keys(t)[1]) if long_enough(k, min_chars)), np.uint64)
 
 
+def filter_tasks(df: DataFrame) -> int:
+    """How many tasks fill filters: each sends a whole filter, so they are not as many as the partitions of a large input."""
+    return max(64, 2 * df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // TASK_BYTES))
+
+
+def merged_slices(filled: DataFrame, fields: list[str], merge, size: int) -> np.ndarray:
+    """One array of ``size`` bytes from (slice, fields) rows of all tasks; ``merge`` gets a slice's arrays, field by field."""
+    step = size // SLICES
+
+    def one(key, table):
+        parts = [[np.frombuffer(c, np.uint8) for c in table.column(f).to_pylist()] for f in fields]
+        return pa.Table.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([merge(*parts).tobytes()], pa.binary())})
+
+    out = np.zeros(size, np.uint8)
+    for row in filled.groupBy("slice").applyInArrow(one, "slice int, data binary").toLocalIterator():
+        out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["data"], np.uint8)
+    return out
+
+
+def cut_slices(fields: dict[str, np.ndarray]):
+    """(slice, fields) batches of equally long arrays, without slices whose first array is all zero."""
+    first = next(iter(fields.values()))
+    step = len(first) // SLICES
+    for k in range(SLICES):
+        cut = slice(k * step, (k + 1) * step)
+        if first[cut].any():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), **{f: pa.array([v[cut].tobytes()], pa.binary()) for f, v in fields.items()}})
+
+
+def bloom(numbers: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of a column of longs, of bounded size; it may hold more, never less. Ask it with ``held``."""
+
+    def fill(batches):
+        own = Bits(bits)
+        for b in batches:
+            own.put(places(mixed(b.column(0).to_numpy().view(np.uint64)), bits))
+        yield from cut_slices({"data": own.data})
+
+    rows = numbers.coalesce(filter_tasks(numbers)).mapInArrow(fill, "slice int, data binary")
+    return merged_slices(rows, ["data"], lambda parts: np.bitwise_or.reduce(parts), bits // 8)
+
+
+def held(numbers: np.ndarray, data: np.ndarray) -> np.ndarray:
+    return Bits(8 * len(data), data).has(places(mixed(numbers.view(np.uint64)), 8 * len(data)))
+
+
 def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The twice-seen filter of all documents: a bounded number of bytes."""
-    step = bits // 8 // SLICES
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
 
     def fill(batches):
         once, twice = Bits(bits), Bits(bits)
@@ -93,30 +143,22 @@ def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
                 at = places(unique, bits)
                 twice.put(at[once.has(at) | (counts > 1)])
                 once.put(at)
-        for s in range(SLICES):
-            cut = slice(s * step, (s + 1) * step)
-            if once.data[cut].any():
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "once": pa.array([once.data[cut].tobytes()], pa.binary()), "twice": pa.array([twice.data[cut].tobytes()], pa.binary())})
-
-    def merge(key, tables):
-        once, twice = np.zeros(step, np.uint8), np.zeros(step, np.uint8)
-        for b in tables:
-            for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
-                twice |= t | (once & o)
-                once |= o
-        return pa.Table.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
-
-    filled = docs.select("text").coalesce(tasks).mapInArrow(fill, "slice int, once binary, twice binary")
-    merged = filled.groupBy("slice").applyInArrow(lambda key, table: merge(key, (table.select(["once", "twice"]).to_batches())), "slice int, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["twice"], np.uint8)
-    return out
+        yield from cut_slices({"once": once.data, "twice": twice.data})
+
+    def merge(onces, twices):
+        once, twice = np.zeros_like(onces[0]), np.zeros_like(onces[0])
+        for o, t in zip(onces, twices, strict=True):
+            twice |= t | (once & o)
+            once |= o
+        return twice
 
+    texts = docs.select("text")
+    filled = texts.coalesce(filter_tasks(texts)).mapInArrow(fill, "slice int, once binary, twice binary")
+    return merged_slices(filled, ["once", "twice"], merge, bits // 8)
 
-def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int) -> DataFrame:
-    """(key, doc_id): digests of the keys that may be in two documents, once a row of documents."""
+
+def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int, by_text: bool = False) -> DataFrame:
+    """(key, doc_id[, of]): digests of the keys that may be in two documents, once a row; ``of`` is the text's digest."""
     bits = len(twice) * 8
     sent = docs.sparkSession.sparkContext.broadcast(twice)
 
@@ -124,7 +166,7 @@ def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int) -> DataFrame:
         seen = Bits(bits, sent.value)
 
         def each(ids, texts):
-            out = {"key": [], "doc_id": []}
+            out = {"key": [], "doc_id": [], **({"of": []} if by_text else {})}
             for doc, text in zip(ids, texts, strict=True):
                 keys = [k for k in set(line_keys(text)[1]) if long_enough(k, min_chars)]
                 if keys:
@@ -132,11 +174,13 @@ def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int) -> DataFrame:
                     for i in np.nonzero(held)[0]:
                         out["key"].append(hashlib.blake2b(keys[i], digest_size=16).digest())
                         out["doc_id"].append(NO_ID if doc is None else doc)
+                        if by_text:
+                            out["of"].append(hashlib.md5((text or "").encode("utf-8", "replace")).digest())
             return out
 
         return each
 
-    return map_columns(docs, ["doc_id", "text"], "key binary, doc_id long", task)
+    return map_columns(docs, ["doc_id", "text"], "key binary, doc_id long" + ", of binary" * by_text, task)
 
 
 def confirmed(found: DataFrame, min_docs: int) -> DataFrame:
@@ -158,56 +202,65 @@ def kept_lines(doc, text, keeper_of, min_chars: int) -> tuple[bytes, int, int]:
     return b"\n".join(keep), len(lines), len(lines) - len(keep)
 
 
-def with_kept(docs: DataFrame, columns: list[str], finish, schema: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, max_keys: int = MAX_KEYS) -> DataFrame:
-    """Runs ``finish(row of columns, kept bytes, lines, dropped)`` over all documents; columns begin with doc_id, text."""
+def with_kept(docs: DataFrame, name: str, schema: str, finish, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, max_keys: int = MAX_KEYS) -> DataFrame:
+    """The documents with a column ``name``: ``finish(text, kept bytes, lines, dropped)`` as a struct of ``schema``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     twice = twice_seen(docs, bits or bits_for(input_bytes(docs.select("text"))), min_chars)
-    found = suspects(docs, twice, min_chars)
-    bad = written(confirmed(found, min_docs), "repeated-lines")
+    bad = written(confirmed(suspects(docs, twice, min_chars), min_docs), "repeated-lines")
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
-    def rows_of(batch_rows, keeper_of_row):
-        rows = [finish(r[: len(columns)], *kept_lines(r[0], r[1], keeper_of_row(r), min_chars)) for r in batch_rows]
-        return list(zip(*rows, strict=True))
+    def told(ids, texts, keeper_of_row) -> pa.Array:
+        out = []
+        for i, (doc, text) in enumerate(zip(ids, texts, strict=True)):
+            out.append(finish(text, *kept_lines(doc, text, keeper_of_row(i), min_chars)))
+        return pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(arrow), arrow, strict=True)], fields=list(arrow))
 
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
     if bad.count() <= max_keys:
         sent = spark.sparkContext.broadcast({bytes(r["key"]): r["keeper"] for r in bad.toLocalIterator()})
 
-        def task():
-            table = sent.value
-            of = lambda key: table.get(hashlib.blake2b(key, digest_size=16).digest())
-            return lambda *cols: dict(zip(names, map(list, rows_of(zip(*cols, strict=True), lambda r: of)), strict=True))
-
-        return map_columns(docs, columns, schema, task)
+        @F.arrow_udf(schema)
+        def by_table(ids: pa.Array, texts: pa.Array) -> pa.Array:
+            of = lambda key: sent.value.get(hashlib.blake2b(key, digest_size=16).digest())
+            return told(ids.to_pylist(), texts.to_pylist(), lambda i: of)
 
-    drops = found.join(bad, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("__drop"))
-    joined = docs.select(*columns).join(drops.withColumnRenamed("doc_id", "__id"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id"), "left").drop("__id")
+        return docs.withColumn(name, by_table("doc_id", "text"))
 
-    def own(r):
-        drop = set(r[-1] or ())
-        return lambda key: NO_ID - 1 if drop and hashlib.blake2b(key, digest_size=16).digest() in drop else None
+    @F.arrow_udf(schema)
+    def by_row(ids: pa.Array, texts: pa.Array, drops: pa.Array) -> pa.Array:
+        drops = [frozenset(d or ()) for d in drops.to_pylist()]
+        of = lambda i: lambda key: NO_ID - 1 if drops[i] and hashlib.blake2b(key, digest_size=16).digest() in drops[i] else None
+        return told(ids.to_pylist(), texts.to_pylist(), of)
 
-    return map_columns(joined, [*columns, "__drop"], schema, lambda: lambda *cols: dict(zip(names, map(list, rows_of(zip(*cols, strict=True), own)), strict=True)))
+    own, text, drop = fresh("own", docs.columns), fresh("of", docs.columns), fresh("drop", docs.columns)
+    drops = suspects(docs, twice, min_chars, by_text=True).join(bad, "key").where("doc_id <> keeper")
+    drops = drops.groupBy(F.col("doc_id").alias(own), F.col("of").alias(text)).agg(F.collect_set("key").alias(drop))  # at most a text's lines
+    keyed = docs.withColumn(own, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(text, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return keyed.join(drops, [own, text], "left").select(*docs.columns, by_row("doc_id", "text", drop).alias(name))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of every document."""
 
-    def finish(row, kept, lines, dropped):
-        return row[0], lines, dropped, hashlib.sha256(kept).hexdigest()
+    def finish(text, kept, lines, dropped):
+        return lines, dropped, hashlib.sha256(kept).hexdigest()
 
-    return with_kept(docs, ["doc_id", "text"], finish, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", **options)
+    told = with_kept(docs.select("doc_id", "text"), "told", "n_lines long, n_dropped long, kept_sha256 string", finish, **options)
+    return told.select("doc_id", "told.n_lines", "told.n_dropped", "told.kept_sha256")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents with their remaining lines; null texts stay null, n_chars is counted anew."""
+    """The documents with their remaining lines and all their columns; null texts stay null, n_chars (if any) is counted anew where lines went."""
 
-    def finish(row, kept, lines, dropped):
-        text = row[1] if not dropped else kept.decode()
-        return (row[0], text, *row[2:4], row[4] if not dropped else len(text))
+    def finish(text, kept, lines, dropped):
+        return (kept.decode() if dropped else text), dropped
 
-    return with_kept(docs, ["doc_id", "text", "lang", "source", "n_chars"], finish, "doc_id long, text string, lang string, source string, n_chars long", **options)
+    name = fresh("kept", docs.columns)
+    told = with_kept(docs, name, "text string, dropped long", finish, **options)
+    new = {"text": F.col(f"{name}.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(f"{name}.dropped") > 0, F.char_length(f"{name}.text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return told.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark, sf_dir):

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import ann
@@ -55,4 +56,50 @@ def test_blocks_of_queries_agree_with_one_block(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], V)
     a = sorted(map(tuple, ann.nearest(df, df).collect()))
-    assert a == sorted(map(tuple, ann.nearest(df, df, hashing=ann.Hashing(block=64)).collect()))
+    assert a == sorted(map(tuple, ann.nearest(df, df, hashing=ann.Hashing(block_bytes=64 * 8 * 8)).collect()))
+
+
+def clustered(n, centers, dim, rng, spread=0.35):
+    c = rng.standard_normal((centers, dim))
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    x = c[rng.integers(0, centers, n)] + spread / np.sqrt(dim) * rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("centers", "share"), [(200, 0.1), (1000, 0.1)])
+def test_vectors_with_structure_are_found_among_few_candidates(centers, share):
+    """Recall at 5 against brute force, and the share of rows that are candidates."""
+    rng = np.random.default_rng(centers)
+    x = clustered(20_000, centers, 64, rng)
+    tables = ann.fitted(x[:16_384], len(x), 5, ann.Hashing())
+    asks = np.arange(0, len(x), 100)
+    hit = ann.visited(x, ann.in_tables(x, tables), x[asks], tables)
+    score = x[asks] @ x.T
+    score[np.arange(len(asks)), asks] = -2
+    true = np.argpartition(-score, 5, axis=1)[:, :5]
+    assert np.take_along_axis(hit, true, 1).mean() >= 0.9 and hit.mean() <= share
+
+
+def test_vectors_without_structure_keep_their_recall():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((8_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tables = ann.fitted(x, len(x), 5, ann.Hashing())
+    asks = np.arange(0, len(x), 50)
+    hit = ann.visited(x, ann.in_tables(x, tables), x[asks], tables)
+    score = x[asks] @ x.T
+    score[np.arange(len(asks)), asks] = -2
+    assert np.take_along_axis(hit, np.argpartition(-score, 5, axis=1)[:, :5], 1).mean() >= 0.9
+
+
+def test_search_in_spark_is_the_search_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = clustered(3_000, 30, 16, rng)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    got = ann.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    found = 0
+    for q in range(0, 3_000, 50):
+        score = x @ x[q]
+        score[q] = -2
+        found += len(set(np.argsort(-score)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert found >= 0.9 * 5 * 60

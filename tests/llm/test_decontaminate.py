@@ -60,6 +60,44 @@ def test_clean_keeps_columns_and_clean_rows(spark, docs_of, prose):
     assert bad
 
 
+def test_rows_are_judged_by_their_own_text_in_both_paths(spark, docs_of, prose):
+    """Repeated ids, null ids and repeated texts."""
+    item = prose(30, 1)
+    hit = "before " + item + " after"
+    docs = [(1, hit), (1, hit), (1, "clean text here"), (None, hit), (None, "clean text here"), (2, "other clean text"), (3, None), (3, item)]
+    bench = spark.createDataFrame([(0, item), (1, prose(3, 2))], B)
+    want = sorted((str(d), *brute([(0, t)], [(0, item), (1, prose(3, 2))])[0]) for d, t in docs)
+    df = docs_of(docs, extra=True).repartition(3)
+    for limit in (D.MAX_BYTES, 1):
+        assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in D.report(df, bench, max_bytes=limit).collect()) == want
+        left = D.clean(df, bench, max_bytes=limit)
+        assert left.columns == df.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(d), str(t)) for d, t in docs if item not in (t or ""))
+        cut = D.without_spans(df.withColumn("spans", df.doc_id), bench, max_bytes=limit)
+        assert cut.columns == [*df.columns, "spans"]
+        assert sorted((str(r.doc_id), str(r.text)) for r in cut.collect()) == sorted((str(d), str(None if t is None else t.replace(hit, "before after").replace(item, ""))) for d, t in docs)
+
+
+def test_what_is_sent_is_bounded_by_what_is_built(spark, prose):
+    import tracemalloc
+
+    items = [(i, prose(200, i)) for i in range(300)]
+    said = D.sent_bytes(spark.createDataFrame(items, B))
+    tracemalloc.start()
+    windows = D.Windows(items, D.WIDTH)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(windows.hashes) > 50_000 and held <= said
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    """A hash that is too short under the first seeds only."""
+    whole = D.rolled
+    monkeypatch.setattr(D, "rolled", lambda ids, at, n, seed: whole(ids, at, n, seed) & D.np.uint64(1) if seed < 2 else whole(ids, at, n, seed))
+    w = D.Windows([(1, "a b c d e f"), (2, "c d e f g h")], 3)
+    assert w.seed == 2 and w.spans(b"x c d e y".split()) == ([(1, 4)], {1, 2}) and w.spans(b"g h".split()) == ([], set())
+
+
 def test_spans_are_cut(spark, docs_of, prose, rows):
     item = prose(20, 1)
     bench = spark.createDataFrame([(0, item)], B)

@@ -83,12 +83,14 @@ def test_a_large_group_in_small_blocks(docs_of, prose, monkeypatch):
     same(J.groups(docs_of(docs).repartition(4)).collect(), brute(docs))
 
 
-def test_every_link_is_counted(docs_of, prose):
+@pytest.mark.parametrize(("whole", "block"), [(J.WHOLE, J.LINK_BLOCK), (J.WHOLE, 8), (0, 8)])
+def test_every_link_is_counted(docs_of, prose, monkeypatch, whole, block):
     """Links inside a component that others tie already, and copies, against all pairs."""
     rng = random.Random(13)
     base = prose(60, 4)
     docs = [(i, edited(base, rng.choice((0, 1, 1, 2, 2, 3, 6)), rng)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(200, base), (201, base)]
-    rows = {r.doc_id: r for r in J.groups(docs_of(docs), 4, 85, links=True).collect()}
+    monkeypatch.setattr(J, "LINK_BLOCK", block)
+    rows = {r.doc_id: r for r in J.groups(docs_of(docs), 4, 85, links=True, whole=whole).collect()}
     same(rows.values(), brute(docs, 4, 85))
     sets = {d: J.shingles(t, 4) for d, t in docs}
     want = {d: sum(e != d and len(sets[d]) > 0 and J.linked(sets[d], sets[e], 85) for e in sets) for d in sets}
@@ -135,6 +137,10 @@ def test_filters_never_drop_a_link(seed):
             assert J._near(np.array([len(x)]), np.array([len(y)]), i, j, 85)[0]
 
 
+def test_counters_grow_with_the_input_up_to_a_bound():
+    assert J.counters_for(10**6) == 1 << 22 and J.counters_for(10**9) == 1 << 23 and J.counters_for(10**15) == 1 << 25
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 180)] + [(7, 7), (500, 501), (501, 500)]
     rng = random.Random(1)

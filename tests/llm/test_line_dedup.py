@@ -63,6 +63,24 @@ def test_shared_ids_and_null_ids(docs_of, prose):
     assert sorted((r.doc_id or 0, r.n_dropped) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 0), (4, 0)]
 
 
+def test_shared_and_null_ids_beyond_the_broadcast(docs_of, prose):
+    line = prose(12, 3)
+    docs = docs_of([(None, line), (None, "own\n" + line), (1, line), (1, line), (2, line), (3, line), (4, line), (4, line)])
+    a, b = (sorted(map(tuple, L.report(docs, max_keys=k).select(L.F.coalesce("doc_id", L.F.lit(0)), "n_lines", "n_dropped", "kept_sha256").collect())) for k in (10, 0))
+    assert a == b and [r[2] for r in a] == [1, 1, 1, 1, 1, 1, 0, 0]
+
+
+def test_deduplicated_needs_only_ids_and_texts_and_keeps_all_columns(spark, prose):
+    line = prose(12, 4)
+    df = spark.createDataFrame([(i, line + "\n\ud83d\ude00 ä".encode("utf-16", "surrogatepass").decode("utf-16"), {"a": i}, "x") for i in range(6)], "doc_id long, text string, own map<string,int>, kept string")
+    for k in (10, 0):
+        out = L.deduplicated(df, max_keys=k)
+        assert out.columns == df.columns and dict(out.dtypes) == dict(df.dtypes)
+        got = {r.doc_id: r for r in out.collect()}
+        assert all(got[i].own == {"a": i} and got[i].kept == "x" and got[i].text == "😀 ä" for i in range(5)) and got[5].text.startswith(line)
+    assert L.deduplicated(df.select("doc_id", "text")).columns == ["doc_id", "text"]
+
+
 def test_deduplicated_documents(docs_of, rows, prose):
     docs = case(prose)
     df = docs_of(docs)
