@@ -33,14 +33,14 @@ its own count and a null component. Very long texts are read whole. Empty tables
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, folded, input_bytes, mixed, written
+from .common import input_bytes, mixed, written
 from .components import components
 from .line_dedup import SLICES, bloom, filter_tasks, held, merged_slices
 
@@ -53,19 +53,47 @@ SIGNATURE = 8  # words of 64 bits
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-WORD_HASHES = Memo(xxhash.xxh3_64_intdigest, 200_000)  # of the worker process, over all its tasks
+#: Bytes as random numbers, A-Z as a-z; white space parts words.
+BYTES = np.random.default_rng(7).integers(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BYTES[65:91] = BYTES[97:123]
+SOLID = np.ones(256, np.int8)
+SOLID[[9, 10, 11, 12, 13, 32]] = 0
+BASE = 0xD1342543DE82EF95
+
+
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse, modulo 2^64, to the powers below n."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 2**64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return tuple(out)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, from one pass over the text's bytes: polynomials in BASE as differences of running sums."""
+    b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    edge = np.diff(SOLID[b], prepend=np.int8(0), append=np.int8(0))
+    start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << max(16, len(b).bit_length()))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTES[b] * up[: len(b)], out=total[1:])
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * ODD[0])
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """The set as a sorted array of hashes."""
-    words = folded(text).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
-    n, out = len(words) - size + 1, np.zeros(len(words) - size + 1, np.uint64)
-    for i in range(size):
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    run = min(size, len(h))  # fewer words: the whole sequence, which its length tells from a shingle
+    n = len(h) - run + 1
+    out = np.full(n, size - run, np.uint64)
+    for i in range(run):
         out = mixed(out + h[i : i + n] * ODD[i % len(ODD)])
     return np.unique(out)
 
@@ -121,7 +149,7 @@ def profiles(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                         if len(seen) >= 100_000:
                             seen.clear()
                         seen.add(d)
-                        np.add.at(counts, _cell(s, counters), 1)
+                        counts[_cell(s, counters)] += 1  # shingles of one set in one cell count once: only the order matters
                     ns.append(len(s))
                     digests.append(d)
                     sigs.append(signature(s))
@@ -326,7 +354,8 @@ def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, size: int, perc
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
     left = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ <= F.col("na") + F.col("nb") - 2 * need))
     left = written(left.select("a", "b").distinct(), "pairs")
-    elements = sets_of(docs, left.select(F.explode(F.array("a", "b")).alias("id")), size, "sets")
+    ends = left.select(F.col("a").alias("id")).distinct().unionByName(left.select(F.col("b").alias("id")).distinct())
+    elements = sets_of(docs, ends, size, "sets")
 
     def test(batches):
         for b in batches:
