@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from tessera.plans import columns, evaluation, graph, lifecycle, more_retrieval, retrieval, scans, transcripts  # noqa: E402, F401
+from tessera.plans import columns, evaluation, graph, lifecycle, more_retrieval, recall, retrieval, scans, transcripts  # noqa: E402, F401

@@ -83,11 +83,29 @@ def stem(word: str) -> str:
     return word
 
 
+def remembered(size: int = 200_000):
+    """``stem`` with a memory of bounded size."""
+    memory: dict[str, str] = {}
+
+    def of(word: str) -> str:
+        got = memory.get(word)
+        if got is None:
+            got = stem(word)
+            if len(word) <= 64:
+                if len(memory) >= size:
+                    memory.clear()
+                memory[word] = got
+        return got
+
+    return of
+
+
 def stems(text: Column) -> Column:
     """Stemmed lower-case words."""
 
     @F.pandas_udf("array<string>")
     def each(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+        of = remembered()
+        return words.map(lambda ws: None if ws is None else [of(w) for w in ws])
 
     return each(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))

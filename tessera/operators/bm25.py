@@ -1,54 +1,150 @@
-"""BM25 keyword search on postings, with the statistics of the whole mirror.
+"""BM25 keyword search, with the statistics of the whole mirror.
 
 score = sum over terms of -idf f 2.2 / (f + 1.2 (0.25 + 0.75 D / avgD)), idf = ln((N - n + 0.5) / (n + 0.5))
 and at least 1e-6: negative, smaller is better. N, avgD and n never see filters.
+
+One pass reads the texts: it tells each document's length and counts the asked terms only, so
+no other word becomes a row. The asked terms travel in blocks of at most ``TERMS``; more terms
+take further passes. What a pass finds is a written table, from which document counts,
+lengths and scores are taken.
+
+``WORDS``: terms are words of ASCII letters and digits, D the number of words. ``STEMS``: the
+same of their stems. ``TRIGRAM``: terms are substrings in any case, of three and more
+characters (shorter ones match nothing), whose overlapping occurrences count; D adds
+max(0, length - 2) of each text column.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.porter import remembered
 from tessera.functions.text import tokens
+from tessera.operators.graph import kept
 
-
-def trigrams(text: Column) -> Column:
-    """Overlapping three-character substrings, lower case: one pass, a zero-width match at each place."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1))
+TERMS = 200_000
+WORD = re.compile("[a-z0-9]+")
+SCHEMA = "id long, d long, term string, f long"
 
 
 def postings(docs: DataFrame, id_col: str, text: Column, split=tokens) -> DataFrame:
-    """(id, term, f, d): term counts with the document's length; one shuffle, pre-aggregated."""
+    """(id, term, f, d) of every word: term counts with the document's length; one shuffle, pre-aggregated."""
     rows = docs.select(F.col(id_col).alias("id"), split(text).alias("ts"))
     return rows.select("id", F.size("ts").alias("d"), F.explode("ts").alias("term")).groupBy("id", "d", "term").agg(F.count("*").alias("f"))
 
 
-def statistics(docs: DataFrame, text: Column, split=tokens) -> DataFrame:
-    """One row: number of documents, mean length."""
-    return docs.select(F.size(split(text)).alias("d")).agg(F.count("*").alias("n_docs"), F.avg("d").alias("avg_d"))
+def _by_words(asked: set[str], change: Callable[[str], str] | None = None, word: re.Pattern = WORD):
+    def count(texts: list[str]) -> tuple[int, dict[str, int]]:
+        found = [w for t in texts for w in word.findall(t)]
+        if change is not None:
+            found = [change(w) for w in found]
+        return len(found), Counter(filter(asked.__contains__, found))
 
+    return count
 
-def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text: Column | None = None, all_terms: bool = False, split=tokens, keep: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank) for ``queries`` (query_id, term), distinct terms of each query.
 
-    ``all_terms`` asks that every term occurs; ``keep`` (id) filters after scoring. Only the
-    postings of asked terms leave the scan's aggregation: a semi-join on terms precedes it.
-    """
-    text = F.col("text") if text is None else text
-    asked = queries.select("query_id", "term").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), split(text).alias("ts"))
-    hits = rows.select("id", F.size("ts").alias("d"), F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy("id", "d", "term").agg(F.count("*").alias("f"))
-    df = hits.groupBy("term").agg(F.count("*").alias("n"))
-    one = statistics(docs, text, split)  # a single row
+def _by_stems(asked: set[str]):
+    return _by_words(asked, remembered())
+
+
+def _by_substrings(asked: set[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for t in asked:
+        if len(t) >= 3:
+            automaton.add_word(t, t)
+    if len(automaton):
+        automaton.make_automaton()
+
+    def count(texts: list[str]) -> tuple[int, dict[str, int]]:
+        size = sum(max(0, len(t) - 2) for t in texts)
+        return size, Counter(term for t in texts for _, term in automaton.iter(t)) if len(automaton) else {}
+
+    return count
+
+
+def by_runs(pattern: str):
+    """Terms are whole matches of a pattern in the lower-cased text."""
+    return lambda asked: _by_words(asked, word=re.compile(pattern))
+
+
+WORDS, STEMS, TRIGRAM = _by_words, _by_stems, _by_substrings
+
+
+def counted(docs: DataFrame, asked: DataFrame, id_col: str, texts: list[Column], mode=WORDS) -> DataFrame | None:
+    """(id, d, term, f): a row with a null term for each document, and one for each asked term in it. None if nothing is asked."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *[F.lower(t).alias(f"t{i}") for i, t in enumerate(texts)])
+
+    def counter(sent, lengths: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count = mode(sent.value)
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    cols = [b.column(i).slice(at, 1024).to_pylist() for i in range(b.num_columns)]
+                    out: list[list] = [[], [], [], []]
+                    for i, *parts in zip(*cols, strict=True):
+                        d, found = count([p or "" for p in parts])
+                        for term, f in [(None, None)] * lengths + list(found.items()):
+                            for c, v in zip(out, (i, d, term, f), strict=True):
+                                c.append(v)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "term" else pa.int64()) for n, c in zip(("id", "d", "term", "f"), out, strict=True)], names=["id", "d", "term", "f"])
+
+        return run
+
+    parts, block = [], set()
+
+    def told():
+        parts.append(kept(rows.mapInArrow(counter(spark.sparkContext.broadcast(frozenset(block)), not parts), SCHEMA)))
+        block.clear()
+
+    for r in asked.select("term").where("term is not null").distinct().toLocalIterator():
+        block.add(r["term"])
+        if len(block) >= TERMS:
+            told()
+    if block:
+        told()
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text: Column | list[Column] | None = None, mode=WORDS) -> DataFrame:
+    """(query_id, id, score, terms) of every document that holds a term of ``queries`` (query_id, term), with how many it holds."""
+    texts = [F.col("text")] if text is None else text if isinstance(text, list) else [text]
+    asked = queries.select("query_id", F.lower("term").alias("term") if mode is TRIGRAM else "term").distinct()
+    found = counted(docs, asked, id_col, texts, mode)
+    if found is None:
+        return asked.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("terms")).limit(0)
+    hits = found.where("term is not null")
+    one = found.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("d").alias("avg_d"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    weighted = df.join(F.broadcast(one)).select("term", idf.alias("idf"), "avg_d")
+    weighted = hits.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(one)).select("term", idf.alias("idf"), "avg_d")  # one row
     scored = hits.join(weighted, "term").select("id", "term", (F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("d") / F.col("avg_d")))).alias("part"))
     out = asked.join(scored, "term").groupBy("query_id", "id").agg(F.sum("part").alias("total"), F.count("*").alias("terms"))
+    return out.select("query_id", "id", F.round(-F.col("total"), 6).alias("score"), "terms")
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text: Column | list[Column] | None = None, all_terms: bool = False, mode=WORDS, keep: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank) for ``queries`` (query_id, term), distinct terms of each query.
+
+    ``all_terms`` asks that every term occurs; ``keep`` (id) filters after scoring.
+    """
+    out = scores(docs, queries, id_col, text, mode)
     if all_terms:
-        out = out.join(asked.groupBy("query_id").agg(F.count("*").alias("need")), "query_id").where("terms = need")
+        need = queries.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("need"))
+        out = out.join(need, "query_id").where("terms = need")
     if keep is not None:
         out = out.join(keep, "id", "left_semi")
-    out = out.select("query_id", "id", F.round(-F.col("total"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select("query_id", "id", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)

@@ -2,61 +2,56 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUTE_KEYS = ("type", "project")
-POST_KEYS = ("after", "before", "tag", "path", "symbol")
+# The keys of the inline grammar; the first two narrow the search itself, the others what it found.
+SEARCH_KEYS, RESULT_KEYS = ("type", "project"), ("after", "before", "tag", "path", "symbol")
+_INLINE = rf"(?i)({'|'.join(SEARCH_KEYS + RESULT_KEYS)}):(\"[^\"]+\"|'[^']+'|\S+)"
 
 
-@dataclass
-class ParsedQuery:
-    query: str
-    route: dict[str, str] = field(default_factory=dict)
-    post: dict[str, str] = field(default_factory=dict)
+def inline_filters(text: Column) -> tuple[Column, Column]:
+    """A question without its ``key:value`` parts, and those parts as an array of (key, value) structs.
 
+    Keys are in any case, values in quotes or without; the last of equal keys counts. A
+    question of nothing else stays whole.
+    """
+    keys = F.transform(F.regexp_extract_all(text, F.lit(_INLINE), F.lit(1)), F.lower)
+    values = F.transform(F.regexp_extract_all(text, F.lit(_INLINE), F.lit(2)), lambda v: F.regexp_replace(v, "^([\"'])(.+)\\1$", "$2"))
+    parts = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    last = F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda q: q["key"] == p["key"]))
+    rest = F.trim(F.regexp_replace(F.regexp_replace(text, _INLINE, " "), r"\s+", " "))
+    return F.when(rest == "", text).otherwise(rest), last
 
-_PART = re.compile(rf"(?i)({'|'.join(ROUTE_KEYS + POST_KEYS)}):(\"[^\"]+\"|'[^']+'|\S+)")
 
+def allowed(parts: Column, keys: tuple[str, ...], content: Column, created: Column, type_: Column, project: Column, tags: Column | None = None) -> Column:
+    """Whether a row passes all (key, value) parts of these keys; types are told in any case, several by commas; rows without a creation date pass date bounds."""
+    day = F.coalesce(F.date_format(created, "yyyy-MM-dd"), F.lit(""))
 
-def parse_query(text: str) -> ParsedQuery:
-    """Takes ``key:value`` parts off a query, values in quotes or without; if nothing else is left, the text stays whole.
+    def passes(p: Column) -> Column:
+        value, low = p["value"], F.lower(p["value"])
+        types = F.filter(F.transform(F.split(F.upper(value), ","), F.trim), lambda t: t != "")
+        one = {
+            "type": F.array_contains(types, type_),
+            "project": project == value,
+            "after": (day == "") | (day >= value),
+            "before": (day == "") | (day <= value),
+            "tag": F.array_contains(F.transform(tags, F.lower), low) if tags is not None else F.lit(False),
+        }
+        out = F.contains(F.lower(content), low)
+        for key, ok in one.items():
+            out = F.when(p["key"] == key, ok).otherwise(out)
+        return ~p["key"].isin(*keys) | out
+
+    return F.forall(parts, lambda p: F.coalesce(passes(p), F.lit(False)))
 
-    Several types are separated by commas, in any case.
-    """
-    out = ParsedQuery(text)
-    for key, value in _PART.findall(text):
-        key, quoted = key.lower(), len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
-        value = value[1:-1] if quoted else value
-        if key == "type":
-            out.route[key] = ",".join(p.strip().upper() for p in value.split(",") if p.strip())
-        else:
-            (out.route if key in ROUTE_KEYS else out.post)[key] = value
-    out.query = " ".join(_PART.sub(" ", text).split()) or text
-    return out
-
-
-def query_filters(parsed: ParsedQuery, content: Column, created: Column, type_: Column, project: Column, tags: Column | None = None) -> Column:
-    """All filters as one predicate; rows without a creation date pass date bounds."""
-    day = F.coalesce(F.date_format(created, "yyyy-MM-dd"), F.lit(""))
-    keep = F.lit(True)
-    for key, value in {**parsed.route, **parsed.post}.items():
-        if key == "type":
-            keep &= type_.isin(value.split(","))
-        elif key == "project":
-            keep &= project == value
-        elif key == "after":
-            keep &= (day == "") | (day >= value)
-        elif key == "before":
-            keep &= (day == "") | (day <= value)
-        elif key == "tag":
-            keep &= F.array_contains(F.transform(tags, F.lower), value.lower()) if tags is not None else F.lit(False)
-        else:
-            keep &= F.contains(F.lower(content), F.lit(value.lower()))
-    return keep
+
+def fresh_name(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def in_scope(project: Column, scopes: list[str], include_global: bool = True) -> Column:
@@ -66,8 +61,8 @@ def in_scope(project: Column, scopes: list[str], include_global: bool = True) ->
 
 def rejection_gate(ranked: DataFrame, threshold: float, query: str = "query_id", rank: str = "rank", score: str = "score") -> DataFrame:
     """All rows of a query go if the score of its first row is under the threshold."""
-    w = Window.partitionBy(query).orderBy(rank)
-    return ranked.withColumn("__top", F.first(score).over(w)).where(F.col("__top") >= threshold).drop("__top")
+    good = ranked.groupBy(query).agg(F.min_by(score, rank).alias("top")).where(F.col("top") >= threshold).select(query)
+    return ranked.join(good, query, "left_semi").select(*ranked.columns)
 
 
 def within_budget(ranked: DataFrame, budget: int, length: Column, query: str = "query_id", rank: str = "rank") -> DataFrame:

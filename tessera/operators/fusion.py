@@ -23,11 +23,12 @@ def rrf(arms: list[DataFrame], k: int = 20, weights: list[float] | None = None)
     return out.withColumn("rank", F.row_number().over(w)).drop("seen")
 
 
-def fold_arm(fused: DataFrame, arm: DataFrame, k: int = 20, weight: float = 1.0, add_only: bool = False, known_only: bool = False) -> DataFrame:
+def fold_arm(fused: DataFrame, arm: DataFrame, k: int = 20, weight: float = 1.0, add_only: bool = False, existing: DataFrame | None = None) -> DataFrame:
     """Adds w / (k + rank) of another arm.
 
     ``add_only``: rows that are there keep their score, missing ones get the weight of their
-    place among the missing. ``known_only``: missing ids are left out, though they use up ranks.
+    place among the missing. ``existing`` (id): new ids that are not in it are left out, though
+    they use up ranks.
     """
     settled(fused.sparkSession)
     if add_only:
@@ -37,7 +38,10 @@ def fold_arm(fused: DataFrame, arm: DataFrame, k: int = 20, weight: float = 1.0,
         out = fused.select("query_id", "id", "rrf_score").unionByName(added)
     else:
         gain = arm.select("query_id", "id", (F.lit(weight) / (k + F.col("rank"))).alias("gain"))
-        out = fused.select("query_id", "id", "rrf_score").join(gain, ["query_id", "id"], "left" if known_only else "full_outer")
+        if existing is not None:
+            known = fused.select("query_id", "id").unionByName(gain.join(existing, "id", "left_semi").select("query_id", "id")).distinct()
+            gain = gain.join(known, ["query_id", "id"], "left_semi")
+        out = fused.select("query_id", "id", "rrf_score").join(gain, ["query_id", "id"], "full_outer")
         out = out.select("query_id", "id", F.round(F.coalesce("rrf_score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)), 6).alias("rrf_score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "id")
     return out.withColumn("rank", F.row_number().over(w))

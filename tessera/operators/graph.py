@@ -1,23 +1,50 @@
 """Graph operators: neighbourhoods, rank, density, components, paths and rule derivation.
 
-Loops join a frontier once a hop and cut lineage with reliable checkpoints; every hop is
-bounded by its depth, and minima and sums are combined before shuffles.
+Loops join a frontier once a hop and cut lineage with tables in the shared folder; every hop
+is bounded by its depth, and minima and sums are combined before shuffles.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only in local sessions without any."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = at.get() if at.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; one of our own only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+    """The rows as a table in the shared folder: lineage is cut, and the optimizer knows its size.
+
+    (A checkpoint keeps the estimate of the plan that made it, which the joins of a loop square each round.)
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes a table of ``kept`` that nothing reads any more."""
+    spark, path = df.sparkSession, df._kept_at
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
@@ -59,6 +86,27 @@ def pagerank(links: DataFrame, seeds: DataFrame, iterations: int = 10, damping:
         mass = flow.unionByName(restart).groupBy("node").agg(F.sum("mass").alias("mass"))
         if i % every == 0:
             mass = kept(mass)
+            if i > every:
+                forgotten(held)
+            held = mass
+    return mass
+
+
+def pageranks(links: DataFrame, seeds: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
+    """(query_id, node, mass): the personalized rank of many questions at once, from each one's own seeds (query_id, node).
+
+    Each round is a table; mass only stands where a question's walk got to.
+    """
+    seeds = seeds.distinct().join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    share = seeds.groupBy("query_id").agg(F.count("*").alias("n"))
+    start = kept(seeds.join(share, "query_id").select("query_id", "node", (F.lit(1.0) / F.col("n")).alias("mass")))
+    degree = links.groupBy("src").agg(F.count("*").alias("d"))
+    weighted = kept(links.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("d")).alias("w")))
+    restart = start.select("query_id", "node", (F.col("mass") * (1 - damping)).alias("mass"))
+    mass = start
+    for _ in range(iterations):
+        flow = weighted.join(mass.withColumnRenamed("node", "src"), "src").select("query_id", F.col("dst").alias("node"), (F.col("w") * F.col("mass")).alias("mass"))
+        mass = kept(flow.unionByName(restart).groupBy("query_id", "node").agg(F.sum("mass").alias("mass")))
     return mass
 
 
@@ -75,20 +123,31 @@ def density(edges: DataFrame) -> DataFrame:
     return e.join(F.broadcast(v)).select("n_nodes", "n_edges", d.alias("density"))
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): the smallest node reached over (a, b), by handing on minima and jumping to them."""
-    both = kept(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct().toDF("a", "b"))
-    label = kept(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        low = label.join(near, "node").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved"))
-        jump = low.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = kept(low.join(jump, "component", "left").select("node", F.coalesce("root", "component").alias("component"), "moved"))
-        moved = not new.where("moved").isEmpty()
-        label = new.drop("moved")
-        if not moved:
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reached over (a, b), for every node of a link.
+
+    Alternating stars to the fixed point: every node hands its larger neighbours to its
+    smallest one, then its smaller neighbours to the smallest, until no link changes, in about
+    log2 of the longest path many rounds. A node linked with itself alone is its own component.
+    """
+    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct()
+    now, state = kept(pairs.where("u <> v")), None
+    while True:
+        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+        if seen == state or not seen["n"]:
             break
-    return label
+        state, last = seen, now
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = kept(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        forgotten(last)
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    alone = pairs.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component")).join(stars.select("node"), "node", "left_anti")
+    return stars.unionByName(roots.unionByName(alone).distinct())
 
 
 def derive_transitive(edges: DataFrame, predicate: str = "uses", name: str = "transitively_uses") -> DataFrame:
@@ -139,3 +198,48 @@ def bridged(members: DataFrame, seeds: DataFrame, min_shared: int = 2, max_df: i
     asked = seeds.join(m, "item").select("query_id", "entity").distinct()
     out = asked.join(m, "entity").join(seeds, ["query_id", "item"], "left_anti")
     return out.groupBy("query_id", "item").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+
+
+def containment_paths(up: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:
+    """(place, path, depth): the shortest way up from each place, the holders' names from the nearest to the last.
+
+    ``up`` (child, parent, name of the parent). A place goes on while it has a holder that its
+    way has not met; of several holders the smallest is taken; ways end after ``depth`` steps.
+    """
+    up = up.groupBy("child").agg(F.min(F.struct("parent", "name")).alias("to"))
+    now = kept(starts.select(F.col("place"), F.col("place").alias("at"), F.array().cast("array<string>").alias("path"), F.array("place").alias("met")))
+    done = None
+    for _ in range(depth):
+        step = now.join(up.withColumnRenamed("child", "at"), "at", "left")
+        goes = F.col("to").isNotNull() & ~F.array_contains("met", F.col("to.parent"))
+        step = kept(step.select("place", F.when(goes, F.col("to.parent")).alias("at"), F.when(goes, F.concat("path", F.array("to.name"))).otherwise(F.col("path")).alias("path"), F.when(goes, F.concat("met", F.array("to.parent"))).otherwise(F.col("met")).alias("met")))
+        ended = step.where("at is null and size(path) > 0").select("place", "path")
+        done = ended if done is None else done.unionByName(ended)
+        now = step.where("at is not null")
+        if now.isEmpty():
+            break
+    return done.unionByName(now.select("place", "path")).select("place", "path", F.size("path").alias("depth"))
+
+
+def derive(edges: DataFrame, uses: str = "uses", causes: str = "causes") -> DataFrame:
+    """(rule, subject, object, via1, via2, n) of both derivation rules in one job, from (id, subject, predicate, object).
+
+    Transitive use is told edge pair by edge pair. Co-occurrence by a common cause is told as
+    classes, one row a subject and cause with how many others the class has: all its pairs are
+    the class with itself, and a cause that holds a third of all subjects makes no more rows
+    than it has subjects.
+    """
+    e = edges.where(F.col("predicate") == uses).select("id", "subject", "object")
+    then = e.select(F.col("subject").alias("object"), F.col("object").alias("end"), F.col("id").alias("via2"))
+    walked = e.join(then, "object").where("subject <> end").select(F.lit("transitively_uses").alias("rule"), "subject", F.col("end").alias("object"), F.col("id").alias("via1"), "via2", F.lit(1).cast("long").alias("n")).distinct()
+    c = edges.where(F.col("predicate") == causes).groupBy("subject", "object").agg(F.min("id").alias("via1"))
+    size = c.groupBy("object").agg((F.count("*") - 1).alias("n")).where("n > 0")
+    shared = c.join(size, "object").select(F.lit("co_occurs_with").alias("rule"), "subject", "object", "via1", F.lit(None).cast(edges.schema["id"].dataType).alias("via2"), "n")
+    return walked.unionByName(shared)
+
+
+def resolve_entities(handles: DataFrame, same: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(handle, root): handles that coreferences (a, b) tie together, by the smallest; pairs told ``distinct`` (a, b) tie nothing themselves."""
+    pair = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = components(pair(same).join(pair(distinct), ["a", "b"], "left_anti"))
+    return handles.select("handle").distinct().join(found.withColumnRenamed("node", "handle"), "handle", "left").select("handle", F.coalesce("component", "handle").alias("root"))

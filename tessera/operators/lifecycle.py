@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scoring as S
 from tessera.functions.text import normalized_query
 from tessera.operators.graph import kept
+from tessera.operators.ordered import placed
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -38,8 +39,14 @@ def feedback_scores(events: DataFrame, delta: Column, order: list[str], chunk: C
 
 def over_capacity(rows: DataFrame, group: list[str], cap: int, strength: str = "strength", key: str = "id") -> DataFrame:
     """The weakest rows beyond a group's capacity."""
-    w = Window.partitionBy(*group).orderBy(F.desc(strength), key)
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") > cap)
+    return placed(rows, group, [F.desc(strength), F.col(key)]).where(F.col("place") > cap)
+
+
+def usage_signals(injected: DataFrame, key: list[str], min_injects: int = 2, weak: float = 0.1) -> DataFrame:
+    """(key, injects, uses, signal, weight): ``good`` for what was ever ``used``, a weak ``bad`` for what was put in often and never."""
+    rows = injected.groupBy(*key).agg(F.count("*").alias("injects"), F.count_if("used").alias("uses"))
+    noise = F.col("injects") >= min_injects
+    return rows.select("*", F.when(F.col("uses") > 0, "good").when(noise, "bad").otherwise("none").alias("signal"), F.when(F.col("uses") > 0, 1.0).when(noise, weak).otherwise(0.0).alias("weight"))
 
 
 def demand_log(asks: DataFrame, query: str = "query", best: str = "best", hits: str = "hits", at: str = "ts") -> DataFrame:

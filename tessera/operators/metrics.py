@@ -14,8 +14,13 @@ def case_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """
     g = gold.distinct()
     size = g.groupBy("case_id").agg(F.count("*").alias("n_gold"))
-    marks = g.withColumn("hit", F.lit(1))
-    rows = ranked.select("case_id", "id", "rank").join(marks, ["case_id", "id"], "left")
+    marks = g.withColumn("hit", F.lit(True))
+    return marked_metrics(ranked.select("case_id", "id", "rank").join(marks, ["case_id", "id"], "left"), size, k)
+
+
+def marked_metrics(rows: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """The same where the rows (case_id, id, rank, hit) are marked and gold is only counted: ``size`` (case_id, n_gold)."""
+    rows = rows.withColumn("hit", F.when(F.col("hit"), 1))
     top = (F.col("rank") <= k) & F.col("hit").isNotNull()
     agg = rows.groupBy("case_id").agg(
         F.count_if(top).alias("hits"),
@@ -55,3 +60,26 @@ def exclusive_percentile(rows: DataFrame, by: str, value: str, p: float) -> Data
     ends = r.withColumn("j", j).withColumn("frac", place - F.col("j")).where("i = j or i = j + 1 or n = 1")
     out = ends.groupBy(by).agg(F.max("n").alias("n"), F.max("frac").alias("frac"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     return out.select(by, F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo")), 6)).alias("percentile"))
+
+
+def promotion_gate(rows: DataFrame, guards: tuple[float, float] = (0.01, 0.005), weight: float = 2.0) -> DataFrame:
+    """One row: the differences of two runs' means, five conditions on them, and whether all hold.
+
+    ``rows`` (new, contradictory, recall, mrr), a row a case and run. The objective is ``weight``
+    times the contradictory cases' gain in recall plus the overall one.
+    """
+    c = F.col("contradictory")
+    gain = lambda x, where: F.avg(F.when(F.col("new") & where, F.col(x))) - F.avg(F.when(~F.col("new") & where, F.col(x)))
+    d = rows.agg(gain("recall", F.lit(True)).alias("r"), gain("mrr", F.lit(True)).alias("m"), gain("recall", c).alias("cr"), gain("mrr", c).alias("cm"))
+    checks = {
+        "objective_positive": weight * F.col("cr") + F.col("r") > 0,
+        "contradictory_lift": F.col("cr") > 0,
+        "overall_lift": F.col("r") > 0,
+        "contradictory_mrr_guard": F.col("cm") >= -guards[0],
+        "overall_mrr_guard": F.col("m") >= -guards[1],
+    }
+    told = (("overall_recall_delta", "r"), ("contradictory_recall_delta", "cr"), ("overall_mrr_delta", "m"), ("contradictory_mrr_delta", "cm"))
+    every = F.lit(True)
+    for ok in checks.values():
+        every &= ok
+    return d.select(*[F.round(x, 6).alias(n) for n, x in told], *[ok.alias(n) for n, ok in checks.items()], every.alias("promote"))

@@ -1,8 +1,12 @@
 """Exact vector search: cosine with double accumulation, top-k per query.
 
-A stated query set meets all rows in blocks: the queries travel in blocks of bounded
-size, each partition multiplies its rows with a block and keeps its k best, and a window
-merges the partitions' best. No pair but those becomes a row.
+A stated query set meets all rows in blocks: the queries travel in blocks of bounded bytes,
+each partition multiplies tiles of its rows with a block and keeps its k best, and a window
+merges the partitions' best. No pair but those becomes a row, and no tile of similarities
+takes more than ``TILE`` numbers.
+
+Vectors that are null, hold null, NaN or infinite components, or have another length than
+most rows of the corpus neither ask nor answer. A zero vector has similarity 0 with all.
 """
 
 from __future__ import annotations
@@ -14,7 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 16384
+from tessera.operators.graph import kept
+
+BLOCK_BYTES = 32 << 20
+TILE = 1 << 22
+ROWS = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,69 +39,115 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
-def _matrix(vectors: list, dim: int) -> np.ndarray:
-    x = np.array(vectors, np.float64).reshape(len(vectors), dim)
-    size = np.sqrt((x * x).sum(1))
-    return x / np.where(size > 0, size, 1)[:, None]
-
-
-def _usable(ids: list, vectors: list, dim: int) -> tuple[list, list]:
+def _units(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and length-one vectors of the rows that can take part; zero vectors stay zero."""
+    ids, vectors = ids.to_pylist(), vectors.to_pylist()
     keep = [i for i, v in enumerate(vectors) if ids[i] is not None and v is not None and len(v) == dim and None not in v]
-    return [ids[i] for i in keep], [vectors[i] for i in keep]
-
-
-def topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, floor: float | None = None) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest other rows of each query, ties to smaller ids."""
+    x = np.array([vectors[i] for i in keep], np.float64).reshape(len(keep), dim)
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = np.abs(x).max(1, initial=0)
+        x = x / np.where(scale > 0, scale, 1)[:, None]
+        size = np.sqrt((x * x).sum(1))
+    ok = np.isfinite(size)
+    return np.array([ids[i] for i in keep], np.int64).reshape(-1)[ok], x[ok] / np.where(size > 0, size, 1)[ok][:, None]
+
+
+class _Best:
+    """The k best rows of each query so far; ties at ``digits`` places go to smaller ids."""
+
+    def __init__(self, queries: int, k: int, digits: int, floor: float | None):
+        self.k, self.digits = k, digits
+        self.least = np.full(queries, -2.0 if floor is None else floor - 0.5 * 10.0**-digits)
+        self.floor = floor
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def add(self, at: int, ids: np.ndarray, sim: np.ndarray) -> None:
+        """``sim``: similarities of the queries from number ``at`` on with the rows ``ids``."""
+        least = self.least[at : at + len(sim)]
+        if sim.shape[1] > self.k:
+            least = np.maximum(least, np.partition(sim, -self.k, axis=1)[:, -self.k] - 2 * 10.0**-self.digits)
+        q, r = np.nonzero(sim >= least[:, None])
+        self.held = tuple(map(np.concatenate, zip(self.held, (q + at, ids[r], np.round(sim[q, r], self.digits) + 0.0), strict=True)))
+        if len(self.held[0]) > 4 * self.k * len(self.least) + 65536:
+            self.settle()
+
+    def settle(self) -> None:
+        q, ids, sim = self.held
+        if self.floor is not None:
+            q, ids, sim = (c[sim >= self.floor] for c in (q, ids, sim))
+        order = np.lexsort((ids, -sim, q))
+        q, ids, sim = q[order], ids[order], sim[order]
+        first = np.searchsorted(q, q, "left")
+        place = np.arange(len(q)) - first
+        last = place == self.k - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], sim[last] - 10.0**-self.digits)
+        self.held = tuple(c[place < self.k] for c in (q, ids, sim))
+
+
+def _packed(dim: int):
+    """Batches of ids and unit vectors, a row each: the driver handles blocks, not rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                ids, unit = _units(b.column(0).slice(at, ROWS), b.column(1).slice(at, ROWS), dim)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([unit.tobytes()])], names=["ids", "unit"])
+
+    return run
+
+
+def topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, floor: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest other rows of each query, ties to smaller ids.
+
+    Queries beyond one block are searched block by block, each block's results checkpointed
+    before the next is read.
+    """
     spark = corpus.sparkSession
     schema = "query_id long, vec_id long, similarity double"
-    first = corpus.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()
     empty = spark.createDataFrame([], schema + ", rank int")
-    if not first:
+    about = corpus.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if not about or not about["dim"]:
         return empty
-    dim = first[0]
+    dim = about["dim"]
     rows = corpus.select(F.col(id_col).cast("long"), vector_col)
 
     def search(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q = sent.value
+            best, step = _Best(len(q_ids), k, digits, floor), max(1, TILE // ROWS)
             for b in batches:
-                ids, vectors = _usable(b.column(0).to_pylist(), b.column(1).to_pylist(), dim)
-                if not ids:
-                    continue
-                ids = np.array(ids, np.int64)
-                sim = np.round(q @ _matrix(vectors, dim).T, digits) + 0.0
-                sim[q_ids[:, None] == ids[None, :]] = -9
-                found: tuple[list, list, list] = ([], [], [])
-                for i in range(len(q_ids)):
-                    cand = np.nonzero(sim[i] >= (-2 if floor is None else floor))[0]
-                    if len(cand) > k:
-                        cand = cand[sim[i, cand] >= np.partition(sim[i, cand], -k)[-k]]
-                    cand = cand[np.lexsort((ids[cand], -sim[i, cand]))[:k]]
-                    found[0].extend([q_ids[i]] * len(cand))
-                    found[1].extend(ids[cand])
-                    found[2].extend(sim[i, cand])
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "similarity"])
+                for at in range(0, b.num_rows, ROWS):
+                    ids, unit = _units(b.column(0).slice(at, ROWS), b.column(1).slice(at, ROWS), dim)
+                    for i in range(0, len(q_ids) if len(ids) else 0, step):
+                        sim = q[i : i + step] @ unit.T
+                        own = np.isin(ids, q_ids[i : i + step])
+                        if own.any():
+                            sim[:, own] = np.where(q_ids[i : i + step, None] == ids[None, own], -9, sim[:, own])
+                        best.add(i, ids, sim)
+            best.settle()
+            n, ids, sim = best.held
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[n]), pa.array(ids), pa.array(sim)], names=["query_id", "vec_id", "similarity"])
 
         return run
 
-    best, block = None, ([], [])
-
-    def flush():
-        nonlocal best, block
-        ids, vectors = _usable(*block, dim)
-        if ids:
-            part = rows.mapInArrow(search(spark.sparkContext.broadcast((np.array(ids, np.int64), _matrix(vectors, dim)))), schema)
-            best = part if best is None else best.unionByName(part)
-        block = ([], [])
-
-    for r in queries.select(F.col(id_col).cast("long"), vector_col).toLocalIterator():
-        block[0].append(r[0])
-        block[1].append(r[1])
-        if len(block[0]) >= BLOCK:
-            flush()
-    flush()
-    if best is None:
+    parts, ids, units = [], [], []
+
+    def searched():
+        return rows.mapInArrow(search(spark.sparkContext.broadcast((np.concatenate(ids), np.concatenate(units)))), schema)
+
+    for b in queries.select(F.col(id_col).cast("long"), vector_col).mapInArrow(_packed(dim), "ids binary, unit binary").toLocalIterator():
+        ids.append(np.frombuffer(b["ids"], np.int64))
+        units.append(np.frombuffer(b["unit"], np.float64).reshape(-1, dim))
+        if sum(map(len, ids)) * dim * 8 >= block_bytes:
+            parts.append(kept(searched()))
+            ids, units = [], []
+    if sum(map(len, ids)):
+        parts.append(kept(searched()) if parts else searched())
+    if not parts:
         return empty
+    best = parts[0]
+    for p in parts[1:]:
+        best = best.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -111,11 +165,52 @@ def near_duplicates(queries: DataFrame, corpus: DataFrame, threshold: float, k:
     return topk(queries, corpus, k).where(F.col("similarity") >= threshold).groupBy("query_id").agg(F.min_by(F.struct("vec_id", "similarity"), "rank").alias("best")).select("query_id", "best.vec_id", "best.similarity")
 
 
-def best_trigger(texts: DataFrame, triggers: DataFrame, threshold: float) -> DataFrame:
-    """(query_id, doctrine, similarity): each doctrine by its most similar trigger.
+def best_trigger(texts: DataFrame, triggers: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
+    """(query_id, doctrine, similarity): each doctrine by its most similar trigger, where that is near enough.
 
-    ``triggers`` (doctrine, vec_id, embedding) is a rule table that people write; it is sent to the rows.
+    ``triggers`` (doctrine, vec_id, embedding) is a rule table that people write. While its
+    vectors fit a block they are sent to the texts; a larger one is searched block by block,
+    each block's maxima combined.
     """
-    pairs = texts.select(F.col("vec_id").alias("query_id"), "embedding").join(F.broadcast(triggers.select("doctrine", F.col("embedding").alias("t"))))
-    sim = pairs.select("query_id", "doctrine", F.round(cosine(F.col("embedding"), F.col("t")), 6).alias("s"))
-    return sim.groupBy("query_id", "doctrine").agg(F.max("s").alias("similarity")).where(F.col("similarity") >= threshold)
+    spark = texts.sparkSession
+    about = triggers.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    schema = "query_id long, doctrine string, similarity double"
+    kind = triggers.schema["doctrine"].dataType
+    if not about or not about["dim"]:
+        return spark.createDataFrame([], schema).withColumn("doctrine", F.col("doctrine").cast(kind))
+    dim = about["dim"]
+    rows = texts.select(F.col("vec_id").cast("long"), "embedding")
+
+    def search(names, q):
+        sent = spark.sparkContext.broadcast((names, q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            known, group = np.unique(names, return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            start = np.searchsorted(group[order], np.arange(len(known)))
+            step = max(1, TILE // len(names))
+            for b in batches:
+                for at in range(0, b.num_rows, step):
+                    ids, unit = _units(b.column(0).slice(at, step), b.column(1).slice(at, step), dim)
+                    sim = np.round(np.maximum.reduceat(unit @ q[order].T, start, axis=1), digits) + 0.0 if len(ids) else np.zeros((0, len(known)))
+                    i, j = np.nonzero(sim >= threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(known[j].tolist(), pa.string()), pa.array(sim[i, j])], names=["query_id", "doctrine", "similarity"])
+
+        return rows.mapInArrow(run, schema)
+
+    parts, names, vectors = [], [], []
+    for r in triggers.select(F.col("doctrine").cast("string"), "vec_id", "embedding").where(F.size("embedding") == dim).toLocalIterator():
+        names.append(r[0])
+        vectors.append(r[2])
+        if len(names) * dim * 8 >= BLOCK_BYTES:
+            parts.append((names, vectors))
+            names, vectors = [], []
+    parts += [(names, vectors)] if names else []
+    found = None
+    for names, vectors in parts:
+        keep, unit = _units(pa.array(range(len(names))), pa.array(vectors), dim)
+        part = search(np.array(names, str)[keep], unit)
+        part = kept(part) if len(parts) > 1 else part
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("query_id", F.col("doctrine").cast(kind).alias("doctrine")).agg(F.max("similarity").alias("similarity"))

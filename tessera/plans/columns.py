@@ -172,3 +172,11 @@ def g14v(spark, sf_dir):
     key = F.concat_ws(":", F.least("l_partkey", "l_suppkey"), F.greatest("l_partkey", "l_suppkey"))
     v = table(spark, sf_dir, "lineitem").select(key.alias("r_key"), (F.col("l_linenumber") % 3).alias("vote"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return v.where("vote in (0, 1)").groupBy("r_key").agg(F.max_by("vote", F.struct("seq", "vote")).alias("verdict"))
+
+
+@query("fn_map_arguments", "select event_id, event_type as predicate, user_id::varchar as entity, coalesce(json_extract_string(props, '$.k'), 'none') as argument, 2::int as n_keys from events")
+def fn_map(spark, sf_dir):
+    """A fact's arguments as a map: its keys looked up by name, a missing one by a default."""
+    args = F.create_map(F.lit("entity"), F.col("user_id").cast("string"), F.lit("value"), F.get_json_object("props", "$.k"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", args.alias("args"))
+    return e.select("event_id", F.col("event_type").alias("predicate"), F.try_element_at("args", F.lit("entity")).alias("entity"), F.coalesce(F.try_element_at("args", F.lit("value")), F.lit("none")).alias("argument"), F.size(F.map_keys("args")).alias("n_keys"))

@@ -8,6 +8,7 @@ from tessera.catalog import query
 from tessera.functions import text as T
 from tessera.functions.lexicon import ANTONYMS
 from tessera.operators import graph as G
+from tessera.operators.graph import kept
 from tessera.sources.tables import SQL_EDGES, edges, table
 
 PLACES = """pl as (select 's' || s_suppkey as subject, 'uses' as predicate, 'n' || s_nationkey as object from supplier
@@ -87,21 +88,14 @@ def g6(spark, sf_dir):
     return seen
 
 
-@query("g8_containment_path", "select 's' || s_suppkey as place, [n_name, r_name] as path, 2 as depth from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+@query("g8_containment_path", "select 's' || s_suppkey as place, [n_name, r_name] as path, 2 as depth from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey union all select 'n' || n_nationkey, [r_name], 1 from nation join region on n_regionkey = r_regionkey")
 def g8(spark, sf_dir):
-    """The chain of places that hold each supplier: one join a level, at most three."""
+    """The chain of places that hold each supplier and nation, at most eight."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    up = n.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent")).union(s.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")))
-    names = n.select(F.concat(F.lit("n"), "n_nationkey").alias("parent"), F.col("n_name").alias("name")).union(r.select(F.concat(F.lit("r"), "r_regionkey"), "r_name"))
-    up = up.join(names, "parent")
-    first = s.select(F.concat(F.lit("s"), "s_suppkey").alias("place"), F.concat(F.lit("s"), "s_suppkey").alias("at"), F.array().cast("array<string>").alias("path"))
-    done, now = None, first
-    for _ in range(3):
-        step = now.join(up.withColumnRenamed("child", "at"), "at").select("place", F.col("parent").alias("at"), F.concat("path", F.array("name")).alias("path"))
-        ended = now.join(up.withColumnRenamed("child", "at"), "at", "left_anti").where(F.size("path") > 0)
-        done = ended if done is None else done.unionByName(ended)
-        now = step
-    return done.select("place", "path", F.size("path").alias("depth"))
+    key = lambda c, k: F.concat(F.lit(c), k)
+    up = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(key("n", "n_nationkey").alias("child"), key("r", "r_regionkey").alias("parent"), F.col("r_name").alias("name"))
+    up = up.unionByName(s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(key("s", "s_suppkey").alias("child"), key("n", "n_nationkey").alias("parent"), F.col("n_name").alias("name")))
+    return G.containment_paths(up, s.select(key("s", "s_suppkey").alias("place")).unionByName(n.select(key("n", "n_nationkey").alias("place"))))
 
 
 @query("g9_connected_components", "select 's' || s_suppkey as node, min('s' || s_suppkey) over (partition by s_nationkey) as component from supplier")
@@ -131,11 +125,50 @@ def j7(spark, sf_dir):
     return G.derive_transitive(places(spark, sf_dir))
 
 
-@query("j8_derive_cooccur", "select distinct 's' || a.s_suppkey as subject, 'co_occurs_with' as predicate, 's' || b.s_suppkey as object from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey")
+NUMBERED = PLACES + ", pe as (select *, subject || '>' || object as id from pl)"
+CO = "co as (select subject, object, min(id) as via1, count(*) over (partition by object) - 1 as n from pe where predicate = 'causes' group by subject, object)"
+
+
+@query("j8_derive_cooccur", f"with {NUMBERED}, {CO} select subject, object as cause, n::bigint as others from co where n > 0")
 def j8(spark, sf_dir):
-    """Suppliers with a cause in common, both directions: the rule's result has all of them."""
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("subject"), "s_nationkey")
-    return s.join(s.select(F.col("subject").alias("object"), "s_nationkey"), "s_nationkey").where("subject <> object").select("subject", F.lit("co_occurs_with").alias("predicate"), "object").distinct()
+    """Customers of one nation co-occur: the classes of a common cause, one row a member, with how many others it has."""
+    return G.derive(numbered(places(spark, sf_dir))).where("rule = 'co_occurs_with'").select("subject", F.col("object").alias("cause"), F.col("n").alias("others"))
+
+
+@query("g11_derive", f"with {NUMBERED}, {CO} select distinct 'transitively_uses' as rule, a.subject, b.object, a.id as via1, b.id as via2, 1::bigint as n from pe a join pe b on a.object = b.subject where a.predicate = 'uses' and b.predicate = 'uses' and a.subject <> b.object union all select 'co_occurs_with', subject, object, via1, null, n::bigint from co where n > 0")
+def g11(spark, sf_dir):
+    return G.derive(numbered(places(spark, sf_dir)))
+
+
+PAIRS = """same as (select 'c' || c_custkey as a, 'c' || (c_custkey + 1) as b from customer where c_custkey % 3 = 0 union all select 'c' || c_custkey, 'c' || (c_custkey + 5) from customer where c_custkey % 10 = 0),
+apart as (select 'c' || (c_custkey + 1) as a, 'c' || c_custkey as b from customer where c_custkey % 12 = 0)"""
+
+
+@query(
+    "g9_resolve_entities",
+    f"""with recursive {PAIRS}, tie as (select a, b from same s where not exists (select 1 from apart x where least(x.a, x.b) = least(s.a, s.b) and greatest(x.a, x.b) = greatest(s.a, s.b))),
+e as (select a, b from tie union all select b, a from tie), h as (select 'c' || c_custkey as handle from customer union select b from same),
+r(node, seen) as (select handle, handle from h union select e.b, r.seen from r join e on e.a = r.node),
+root as (select node as handle, min(seen) as root from r group by 1),
+f as (select root, o_orderkey as id, o_totalprice as usd, o_orderdate as day, o_orderstatus as status from orders join root on handle = 'c' || o_custkey),
+folded as (select root, arg_max(usd, struct_pack(a := day, b := id)) as usd, count(distinct strftime(day, '%Y-%m-%d'))::bigint as dates, list_sort(list(distinct status)) as statuses, count(*)::bigint as facts from f group by 1)
+select n.root, n.handles::bigint as handles, usd, coalesce(dates, 0) as dates, coalesce(statuses, []) as statuses, coalesce(facts, 0) as facts from (select root, count(*) as handles from root group by 1) n left join folded using (root)""",
+)
+def g9_resolve(spark, sf_dir):
+    """Handles tied by coreferences but not by a pair told distinct; each entity's facts folded: the last price, its dates, its statuses."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    key = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    k = F.col("k")
+    pairs = lambda n, step: c.where(k % n == 0).select(key(k).alias("a"), key(k + step).alias("b"))
+    same = pairs(3, 1).unionByName(pairs(10, 5))
+    handles = c.select(key(k).alias("handle")).unionByName(same.select(F.col("b").alias("handle")))
+    root = kept(G.resolve_entities(handles, same, pairs(12, 1)))
+    o = table(spark, sf_dir, "orders").select(key(F.col("o_custkey")).alias("handle"), "o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    folded = o.join(root, "handle").groupBy("root").agg(
+        F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("usd"), F.countDistinct(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("dates"), F.sort_array(F.collect_set("o_orderstatus")).alias("statuses"), F.count("*").alias("facts")
+    )
+    out = root.groupBy("root").agg(F.count("*").alias("handles")).join(folded, "root", "left")
+    return out.select("root", "handles", "usd", F.coalesce("dates", F.lit(0)).alias("dates"), F.coalesce("statuses", F.array().cast("array<string>")).alias("statuses"), F.coalesce("facts", F.lit(0)).alias("facts"))
 
 
 SPANS = "sp as (select o_orderkey as id, o_custkey as s, case o_orderstatus when 'F' then 'prefers' when 'O' then 'avoids' else 'causes' end as p, o_orderpriority as o, o_orderdate as f, case when o_orderkey % 17 = 0 then null else o_orderdate + to_days((o_totalprice / 5000)::int) end as t, round(o_totalprice / 500000, 4) as confidence from orders)"
@@ -227,16 +260,6 @@ def a10(spark, sf_dir):
     return d.select("n_nodes", "n_edges", F.round("density", 9).alias("density"))
 
 
-@query("r8_kg_fts", f"with {SQL_EDGES} select id, subject, object from kg where valid_to is null and contains(lower(subject || ' ' || predicate || ' ' || object), 'urgent') and contains(lower(subject || ' ' || predicate || ' ' || object), 'c1')")
-def r8(spark, sf_dir):
-    """Open edges whose text holds every term as a substring."""
-    from tessera.operators.filters import as_of
-
-    e = as_of(edges(spark, sf_dir))
-    text = F.lower(F.concat_ws(" ", "subject", "predicate", "object"))
-    return e.where(F.contains(text, F.lit("urgent")) & F.contains(text, F.lit("c1"))).select("id", "subject", "object")
-
-
 @query("r13_entity_bridge", "with m as (select distinct l_orderkey as item, l_partkey as entity from lineitem), d as (select entity from m group by 1 having count(*) <= 40), k as (select * from m where entity in (select entity from d)), s as (select o_orderkey as item, o_custkey as query_id from orders where o_orderkey % 20 = 0), a as (select distinct query_id, entity from s join k using (item)) select query_id, item, count(*)::bigint as shared from a join k using (entity) where (query_id, item) not in (select query_id, item from s) group by all having count(*) >= 2")
 def r13(spark, sf_dir):
     """Orders that share parts with a customer's seed orders."""
@@ -255,9 +278,43 @@ def x13(spark, sf_dir):
     return k.select("id", "kind", F.when(F.col("kind") == "antonym", F.concat(F.lit("not "), "o")).otherwise(F.col("o")).alias("object"), (F.col("id") + shift).alias("new_id"))
 
 
-@query("g18_pipeline", f"with {PLACES}, {J10} select 'derived' as step, (select count(*) from (select distinct a.subject, b.object from pl a join pl b on a.object = b.subject where a.predicate = 'uses' and b.predicate = 'uses'))::bigint as n union all select 'conflicting', (select count(*) from (select distinct unnest([a, b]) as id from cf))::bigint union all select 'rules', (select count(*) from (select 1 from lineitem group by l_returnflag, l_linestatus having count(*) >= 3 and avg(1 - l_discount * 4) >= 0.7))::bigint")
+G18 = f"""with {NUMBERED}, {CO}, {J10}, core as (select distinct unnest([a, b]) as id from cf),
+walked as (select distinct a.subject, b.object, a.id, b.id from pe a join pe b on a.object = b.subject where a.predicate = 'uses' and b.predicate = 'uses' and a.subject <> b.object),
+fl as (select * from sp where id in (select id from core)),
+n as (select id, row_number() over (partition by s, o order by f, confidence, id) as n, count(*) over (partition by s, o) as k, min(struct_pack(f := f, c := confidence)) over (partition by s, o) = max(struct_pack(f := f, c := confidence)) over (partition by s, o) as alike from fl),
+have as (select 's' || s_suppkey as subject, 'r' || (s_suppkey % 5) as object from supplier)
+select (select count(*) from walked)::bigint + (select count(*) from co where n > 0)::bigint as candidates, (select count(*) from core) = 0 as satisfiable, (select count(*) from core)::bigint as unsat_core,
+  (select count(*) from n where n = 1 and k >= 2 and not alike)::bigint as dormant, (select count(*) from (select distinct subject, object from walked) anti join have using (subject, object))::bigint as distilled,
+  (select count(*) from (select 1 from lineitem group by l_returnflag, l_linestatus having count(*) >= 3 and avg(1 - l_discount * 4) >= 0.7))::bigint as promoted"""
+
+
+@query("g18_pipeline", G18)
 def g18(spark, sf_dir):
-    """Derive, verify and induce as one job's report."""
-    parts = (("derived", j7), ("conflicting", g12), ("rules", a9))
-    out = [f(spark, sf_dir).agg(F.count("*").alias("n")).select(F.lit(s).alias("step"), "n") for s, f in parts]
-    return out[0].union(out[1]).union(out[2])
+    """Derive, verify, revise, distill and induce as one job: its report."""
+    derived = kept(g11(spark, sf_dir))
+    s = spans(spark, sf_dir)
+    core = kept(g12(spark, sf_dir))
+    dormant = G.weakest(s.join(core, "id", "left_semi"), ["subject", "object"], ["valid_from", "confidence"])
+    have = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("subject"), F.concat(F.lit("r"), F.col("s_suppkey") % 5).alias("object"))
+    distilled = derived.where("rule = 'transitively_uses'").select("subject", "object").distinct().join(have, ["subject", "object"], "left_anti")
+    out = None
+    for name, rows in (("candidates", derived), ("unsat_core", core), ("dormant", dormant), ("distilled", distilled), ("promoted", a9(spark, sf_dir))):
+        n = rows.agg(F.count("*").alias(name))  # one row each
+        out = n if out is None else out.join(F.broadcast(n))
+    return out.select("candidates", (F.col("unsat_core") == 0).alias("satisfiable"), "unsat_core", "dormant", "distilled", "promoted")
+
+
+@query("j6_shared_entity_pairs", "with m as (select distinct l_orderkey as item, l_partkey as entity from lineitem), k as (select item, entity from m where entity in (select entity from m group by 1 having count(*) <= 40)) select a.item as a, b.item as b, count(*)::bigint as shared from k a join k b on a.entity = b.entity and a.item < b.item group by all having count(*) >= 2")
+def j6(spark, sf_dir):
+    """Items that share two entities and more; entities of more than forty items tie nothing, which bounds an entity's pairs."""
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("entity")).distinct()
+    m = m.join(m.groupBy("entity").agg(F.count("*").alias("df")).where("df <= 40").select("entity"), "entity", "left_semi")
+    a, b = m.withColumnRenamed("item", "a"), m.withColumnRenamed("item", "b")
+    return a.join(b, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
+
+
+@query("w13_best_of_group", "select l_partkey as part, arg_max(l_orderkey, struct_pack(a := l_extendedprice, b := -l_orderkey)) as best, max(l_extendedprice) as mass from lineitem group by 1")
+def w13(spark, sf_dir):
+    """The best member of each group by its mass; equal masses go to the smaller one."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.groupBy(F.col("l_partkey").alias("part")).agg(F.max_by("l_orderkey", F.struct("l_extendedprice", -F.col("l_orderkey"))).alias("best"), F.max("l_extendedprice").alias("mass"))

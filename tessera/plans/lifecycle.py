@@ -10,6 +10,7 @@ from tessera.functions import lexicon as X
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.operators import lifecycle as L
+from tessera.operators.ordered import placed
 from tessera.sources.tables import SQL_MEMORIES, SQL_USAGE, memories, table, usage_events
 
 EV = f"with {SQL_USAGE}"
@@ -79,7 +80,7 @@ def strength(spark, sf_dir):
 
 @query("a8_decay_capacity", f"with {SQL_MEMORIES}, {SQL_USAGE}, {STRENGTH} select id, type, project, row_number() over (partition by type, project order by strength desc, id)::int as place from st qualify place > 5")
 def a8(spark, sf_dir):
-    return L.over_capacity(strengths(spark, sf_dir), ["type", "project"], 5).select("id", "type", "project", "place")
+    return L.over_capacity(strengths(spark, sf_dir), ["type", "project"], 5).select("id", "type", "project", F.col("place").cast("int").alias("place"))
 
 
 @query("st11_decay_transitions", f"with {SQL_MEMORIES}, {SQL_USAGE}, {STRENGTH} select id, strength, case when type = 'SYSTEM' then 'keep' when strength < 0.6 then 'demote' when strength >= 0.95 then 'revive' else 'keep' end as proposed from st")
@@ -162,8 +163,7 @@ def w9(spark, sf_dir):
 def w10(spark, sf_dir):
     """Caches over 100 keys lose the least recently used down to 90."""
     c = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("cache"), F.col("user_id").alias("key")).agg(F.max("ts").alias("last_used"))
-    n = c.withColumn("r", F.row_number().over(Window.partitionBy("cache").orderBy("last_used", "key"))).withColumn("n", F.count("*").over(Window.partitionBy("cache")))
-    return n.where("n > 100 and r <= n - 90").select("cache", "key")
+    return placed(c, ["cache"], [F.col("last_used"), F.col("key")]).where("group_size > 100 and place <= group_size - 90").select("cache", "key")
 
 
 @query("w11_superseded_demote", "with o as (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey) as successor, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) select o_custkey, o_orderkey, successor, row_number() over (partition by o_custkey order by (successor is not null)::int, rank)::int as new_rank from o")

@@ -6,33 +6,20 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
+from tessera.functions import lexicon as X_
 from tessera.functions.porter import stems
 from tessera.operators import bm25, vector
 from tessera.operators import filters as X
 from tessera.operators.windows import select_windows
-from tessera.plans.retrieval import ARMS_SQL, COMPOSITE_SQL, fused, near_sql, rescored, vectors
-from tessera.sources.tables import messages, table
+from tessera.plans.retrieval import near_sql, vectors
+from tessera.sources.tables import SQL_EDGES, edges, messages, table
 
 
 @query("r7_project_search")
 def r7(spark, sf_dir):
-    """Stemmed search where all words must occur; the stemmer has no SQL form, tests hold it against SQLite's."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_sort(F.array_distinct(stems(F.col("text")))), 1, 2)).alias("term"))
-    return bm25.search(table(spark, sf_dir, "documents"), asked, 10, all_terms=True, split=stems)
-
-
-@query(
-    "r22_recall_route",
-    f"""with {COMPOSITE_SQL}, gated as (select * from co where query_id in (select query_id from co where final_rank = 1 and composite >= 1.2)),
-d as (select g.query_id, g.id, round(composite, 2) as similarity, g.id % 17 = 0 as superseded, final_rank from gated g)
-select query_id, id, similarity, superseded, row_number() over (partition by query_id order by superseded::int, final_rank)::int as place from d""",
-)
-def r22(spark, sf_dir):
-    """The recall route: rescored rows, the gate on the first, superseded rows last, scores to two places."""
-    rows = X.rejection_gate(rescored(spark, sf_dir), 1.2, rank="final_rank", score="composite")
-    rows = rows.withColumn("superseded", F.col("id") % 17 == 0)
-    w = Window.partitionBy("query_id").orderBy(F.col("superseded").cast("int"), "final_rank")
-    return rows.select("query_id", "id", F.round("composite", 2).alias("similarity"), "superseded", F.row_number().over(w).alias("place"))
+    """The documents that hold the stems of all an item's words; the stemmer has no SQL form, tests hold the search against a plain loop."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(stems(F.col("text"))).alias("term"))
+    return bm25.search(table(spark, sf_dir, "documents"), asked, 10, all_terms=True, mode=bm25.STEMS)
 
 
 @query("r27_window_select")
@@ -65,23 +52,6 @@ def j12(spark, sf_dir):
     return near.join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").join(e.select("vec_id", "label"), "vec_id").select(F.col("query_id").alias("new_id"), F.col("vec_id").alias("old_id"), "similarity", (F.col("own") != F.col("label")).alias("conflict"))
 
 
-@query("j15_conflicts_among", f"with {ARMS_SQL}, cf as (select distinct least(l_partkey % 500, l_suppkey) as a, greatest(l_partkey % 500, l_suppkey) as b from lineitem where l_partkey % 500 <> l_suppkey) select x.query_id, cf.a, cf.b from cf join rr x on x.id = cf.a join rr y on y.id = cf.b and x.query_id = y.query_id")
-def j15(spark, sf_dir):
-    """Conflict pairs whose two ends are both in a recalled set."""
-    l = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("p"), "l_suppkey").where("p <> l_suppkey")  # noqa: E741
-    cf = l.select(F.least("p", "l_suppkey").alias("a"), F.greatest("p", "l_suppkey").alias("b")).distinct()
-    rr = fused(spark, sf_dir).select("query_id", "id")
-    return cf.join(rr.withColumnRenamed("id", "a"), "a").join(rr.withColumnRenamed("id", "b"), ["query_id", "b"]).select("query_id", "a", "b")
-
-
-@query("so1_union_of_arms", f"with {ARMS_SQL} select query_id, id, count(*)::bigint as arms from (select query_id, id from arm_v union all select query_id, id from arm_k) group by all")
-def so1(spark, sf_dir):
-    from tessera.plans.retrieval import arms
-
-    a, b = arms(spark, sf_dir)
-    return a.select("query_id", "id").unionByName(b.select("query_id", "id")).groupBy("query_id", "id").agg(F.count("*").alias("arms"))
-
-
 @query("so3_gold_in_topk", f"with {near_sql(10)}, t as (select query_id, list(vec_id order by rank) as top from near group by 1), g as (select q.vec_id as query_id, list(c.vec_id) as gold from embeddings q join embeddings c on q.label = c.label and q.vec_id <> c.vec_id where q.vec_id % 20 = 0 group by 1) select query_id, len(list_intersect(top, gold))::int as n, list_sort(list_intersect(top, gold)) as found from t join g using (query_id)")
 def so3(spark, sf_dir):
     """The gold rows within the first ten."""
@@ -125,12 +95,44 @@ def x11(spark, sf_dir):
     return r.join(have, "a", "left_semi").groupBy("s", "a", "b").agg(F.min("l_linenumber").alias("first_line"))
 
 
-@query("x14_kg_fact_lookup", "select 'c' || o_custkey as subject, o_orderpriority as object, max(o_orderkey) as latest from orders where contains(lower(o_orderpriority), 'not') and contains(lower(o_orderpriority), 'specified') group by all")
+FACTS = [(1, "what was urgent for c77"), (2, "not specified by c10"), (3, "is it low that causes"), (4, "high prevents c5"), (5, "c5")]
+FACT_STOP = ", ".join(f"'{w}'" for w in X_.STOP_WORDS)
+FACT_SQL = f"""{SQL_EDGES}, ask(query_id, text) as (values {", ".join(f"({i}, '{t}')" for i, t in FACTS)}),
+w as (select query_id, unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_.\\-]*')) as word, generate_subscripts(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_.\\-]*'), 1) as pos from ask),
+u as (select query_id, lower(word) as term, min(pos) as pos from w where length(word) >= 2 and lower(word) not in ({FACT_STOP}) group by all),
+asked as (select query_id, term from u qualify row_number() over (partition by query_id order by pos) <= 3),
+need as (select query_id, count(*) as need from asked group by 1),
+docs as (select id, [lower(subject), lower(predicate), lower(object)] as parts, greatest(0, length(subject) - 2) + greatest(0, length(predicate) - 2) + greatest(0, length(object) - 2) as d from kg),
+st as (select count(*)::double as nd, avg(d) as ad from docs),
+post as (select id, d, term, list_sum(list_transform(parts, lambda p: len(string_split(p, term)) - 1)) as f from docs, (select distinct term from asked where length(term) >= 3)),
+df as (select term, count(*) as n from post where f > 0 group by term),
+idf as (select term, greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) as idf, ad from df, st),
+hit as (select query_id, p.id, count(*) as terms, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / ad))), 6) as score from asked a join post p on a.term = p.term join idf i on i.term = p.term where f > 0 group by all)"""
+
+
+def fact_questions(spark):
+    """The first three words of each question that are no stop words, each once in any case, in their order."""
+    words = F.regexp_extract_all("text", F.lit(r"[a-zA-Z_][a-zA-Z0-9_.\-]*"), F.lit(0))
+    known = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: (F.length(w) >= 2) & ~w.isin(X_.STOP_WORDS))
+    return spark.createDataFrame(FACTS, "query_id long, text string").select("query_id", F.explode(F.slice(F.array_distinct(known), 1, 3)).alias("term"))
+
+
+def fact_hits(spark, sf_dir, k, keep):
+    e = edges(spark, sf_dir)
+    return bm25.search(e, fact_questions(spark), k, id_col="id", text=[F.col(c) for c in ("subject", "predicate", "object")], all_terms=True, mode=bm25.TRIGRAM, keep=keep(e).select("id"))
+
+
+@query("r8_kg_fts", f"with {FACT_SQL} select query_id, h.id, score, row_number() over (partition by query_id order by score, h.id)::int as rank from hit h join need using (query_id) join kg on kg.id = h.id where terms = need and valid_to is null qualify rank <= 10")
+def r8(spark, sf_dir):
+    """Open edges whose triple holds every keyword as a substring, by the substring score over all edges."""
+    return fact_hits(spark, sf_dir, 10, X.as_of)
+
+
+@query("x14_kg_fact_lookup", f"with {FACT_SQL}, top as (select query_id, h.id, row_number() over (partition by query_id order by score, h.id)::int as place from hit h join need using (query_id) join kg on kg.id = h.id where terms = need and valid_from <= timestamp '1998-01-01' and (valid_to is null or timestamp '1998-01-01' < valid_to) and not dormant qualify place <= 3) select query_id, place, subject, predicate, object from top join kg using (id)")
 def x14(spark, sf_dir):
-    """Facts whose text has all the keywords; the latest of each subject."""
-    o = F.lower("o_orderpriority")
-    rows = table(spark, sf_dir, "orders").where(F.contains(o, F.lit("not")) & F.contains(o, F.lit("specified")))
-    return rows.groupBy(F.concat(F.lit("c"), "o_custkey").alias("subject"), F.col("o_orderpriority").alias("object")).agg(F.max("o_orderkey").alias("latest"))
+    """The three best facts for a question's keywords, as believed at a time."""
+    top = fact_hits(spark, sf_dir, 3, lambda e: X.as_of(e, "1998-01-01 00:00:00").where("not dormant"))
+    return top.join(edges(spark, sf_dir), "id").select("query_id", F.col("rank").alias("place"), "subject", "predicate", "object")
 
 
 @query("g19_semantic_graph_align", "with ev as (select p_type as concept, n_name as place, l_quantity as v from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey), q as (select concept, place, v from ev), c(concept, place) as (values ('ECONOMY', 'NATION_3'), ('SMALL', 'NATION_7'), ('ECONOMY', 'NATION_20')) select q.concept, q.place, count(*)::bigint as bindings, sum(v) as total from q join c on c.concept = q.concept and c.place = q.place group by all")

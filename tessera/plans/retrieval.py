@@ -1,4 +1,4 @@
-"""Retrieval: vector and keyword arms, fusion, rescoring and the whole recall pipeline.
+"""Retrieval: vector and keyword searches, and what decides how to search.
 
 Queries of searches are the rows whose id is divisible by 20; every row can answer.
 """
@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.functions import lexicon as X_
 from tessera.functions import text as T
-from tessera.operators import bm25, fusion, vector
-from tessera.operators import filters as X
-from tessera.sources.tables import SQL_MEMORIES, memories, messages, table
+from tessera.operators import bm25, vector
+from tessera.sources.tables import messages, table
 
 SIM = "round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6)"
 
@@ -72,28 +71,25 @@ def r4(spark, sf_dir):
     return bm25.search(table(spark, sf_dir, "documents"), terms(spark, sf_dir), 20)
 
 
-def longest_words(text, n):
-    """The n longest words of four and more characters, later in the alphabet first among equals."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{4,}"), F.lit(0))
-    ranked = F.sort_array(F.transform(F.array_distinct(found), lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))), asc=False)
-    return F.transform(F.slice(ranked, 1, n), lambda x: x["w"])
-
-
 @query(
     "r4_bm25_trigram",
-    """with long as (select item_id, list_max(list_transform(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), lambda x: struct_pack(l := length(x), w := x))).w as w from benchmark),
-asked as (select distinct item_id as query_id, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) as term from long where w is not null),
-toks as (select doc_id as id, list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3)) as ts from documents),
-st as (select count(*)::double as nd, avg(len(ts)) as ad from toks),
-post as (select id, d, term, count(*) as f from (select id, len(ts) as d, unnest(ts) as term from toks) where term in (select term from asked) group by all),
+    f"""with recursive asked as (select distinct item_id as query_id, unnest({WORDS}) as term from benchmark),
+t as (select term, len(list_filter(range(1, length(term)), lambda b: left(term, b) = right(term, b))) > 0 as bordered from (select distinct term from asked)),
+docs as (select doc_id as id, lower(coalesce(text, '')) as low from documents),
+st as (select count(*)::double as nd, avg(greatest(0, length(low) - 2)) as ad from docs),
+pairs as (select id, low, term, bordered from docs join t on contains(low, term)),
+places(id, term, pos) as (select id, term, instr(low, term) from pairs where bordered
+  union all select p.id, p.term, pos + instr(substr(low, pos + 1), p.term) from places p join docs d on d.id = p.id where instr(substr(low, pos + 1), p.term) > 0),
+counts as (select id, term, len(string_split(low, term)) - 1 as f from pairs where not bordered union all select id, term, count(*) from places group by all),
+post as (select c.id, greatest(0, length(low) - 2) as d, term, f from counts c join docs using (id)),
 df as (select term, count(*) as n from post group by term),
 idf as (select term, greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) as idf, ad from df, st),
 hit as (select query_id, p.id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / ad))), 6) as score from asked a join post p on a.term = p.term join idf i on i.term = p.term group by all)
 select query_id, id, score, row_number() over (partition by query_id order by score, id)::int as rank from hit qualify rank <= 10""",
 )
 def r4_trigram(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(bm25.trigrams(longest_words(F.col("text"), 1)[0])).alias("term"))
-    return bm25.search(table(spark, sf_dir, "documents"), asked, 10, split=bm25.trigrams)
+    """Words as substrings in any case, all of an item's together by or."""
+    return bm25.search(table(spark, sf_dir, "documents"), terms(spark, sf_dir), 10, mode=bm25.TRIGRAM)
 
 
 @query("r5_anticipated_search", f"with {OR_TERMS}, top as (select query_id, id, row_number() over (partition by query_id order by score, id) as r from hit qualify r <= 20), mem as (select query_id, id // 10 as memory_id, min(r) as r from top group by all) select query_id, memory_id, row_number() over (partition by query_id order by r)::int as rank from mem")
@@ -104,11 +100,20 @@ def r5(spark, sf_dir):
     return best.select("query_id", "memory_id", F.row_number().over(Window.partitionBy("query_id").orderBy("r")).alias("rank"))
 
 
-@query("r6_message_search", "with asked as (select distinct item_id as query_id, unnest(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')))[1:2]) as term from benchmark), need as (select query_id, count(*) as need from asked group by 1), toks as (select conv_id * 1000 + turn as id, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from conversations), st as (select count(*)::double as nd, avg(len(ts)) as ad from toks), post as (select id, d, term, count(*) as f from (select id, len(ts) as d, unnest(ts) as term from toks) where term in (select term from asked) group by all), df as (select term, count(*) as n from post group by term), idf as (select term, greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) as idf, ad from df, st), hit as (select query_id, p.id, count(*) as terms, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / ad))), 6) as score from asked a join post p on a.term = p.term join idf i on i.term = p.term group by all) select query_id, id, score, row_number() over (partition by query_id order by score, id)::int as rank from hit join need using (query_id) where terms = need qualify rank <= 10")
+@query(
+    "r6_message_search",
+    """with asked as (select distinct conv_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) as term from conversations where conv_id % 20 = 0 and turn = 0),
+need as (select query_id, count(*) as need from asked group by 1), toks as (select conv_id * 1000 + turn as id, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from conversations),
+st as (select count(*)::double as nd, avg(len(ts)) as ad from toks), post as (select id, d, term, count(*) as f from (select id, len(ts) as d, unnest(ts) as term from toks) where term in (select term from asked) group by all),
+df as (select term, count(*) as n from post group by term), idf as (select term, greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) as idf, ad from df, st),
+hit as (select query_id, p.id, count(*) as terms, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / ad))), 6) as score from asked a join post p on a.term = p.term join idf i on i.term = p.term group by all)
+select query_id, id, score, row_number() over (partition by query_id order by score, id)::int as rank from hit join need using (query_id) where terms = need qualify rank <= 10""",
+)
 def r6(spark, sf_dir):
-    """All terms of a query must occur in a message."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0)))), 1, 2)).alias("term"))
-    rows = messages(spark, sf_dir).select((F.col("session_id") * 1000 + F.col("message_index")).alias("id"), "text")
+    """The messages that hold every word of a conversation's first message."""
+    rows = messages(spark, sf_dir).select((F.col("session_id") * 1000 + F.col("message_index")).alias("id"), "session_id", "message_index", "text")
+    first = rows.where("session_id % 20 = 0 and message_index = 0")
+    asked = first.select(F.col("session_id").alias("query_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("term"))
     return bm25.search(rows, asked, 10, id_col="id", all_terms=True)
 
 
@@ -127,94 +132,6 @@ def r9(spark, sf_dir):
     return rows.select("id", "term", "pos", T.salience(F.col("term")).alias("salience")).withColumn("rank", F.row_number().over(w)).where("rank <= 12").select("id", "term", "salience", "rank")
 
 
-ARMS_SQL = f"""{near_sql(20)}, arm_v as (select query_id, vec_id as id, rank from near),
-arm_k as (select query_id, vec_id as id, row_number() over (partition by query_id order by abs(query_id - vec_id), vec_id) as rank from near where rank <= 12),
-un as (select query_id, id, 1 / (20 + rank) as s, 0 as arm, rank from arm_v union all select query_id, id, 1 / (20 + rank), 1, rank from arm_k),
-fused as (select query_id, id, round(sum(s), 6) as rrf_score, min(struct_pack(arm := arm, rank := rank)) as seen from un group by all),
-rr as (select query_id, id, rrf_score, row_number() over (partition by query_id order by rrf_score desc, seen, id) as rank from fused)"""
-
-
-def arms(spark, sf_dir):
-    near = vector.topk(*vectors(spark, sf_dir), 20).select("query_id", F.col("vec_id").alias("id"), "rank")
-    w = Window.partitionBy("query_id").orderBy(F.abs(F.col("query_id") - F.col("id")), "id")
-    return near, near.where("rank <= 12").select("query_id", "id", F.row_number().over(w).alias("rank"))
-
-
-def fused(spark, sf_dir):
-    return fusion.rrf(list(arms(spark, sf_dir)))
-
-
-@query("r10_rrf_fuse", f"with {ARMS_SQL} select query_id, id, rrf_score, rank::int as rank from rr")
-def r10(spark, sf_dir):
-    return fused(spark, sf_dir)
-
-
-THIRD_SQL = "third as (select query_id, id * 2 as id, row_number() over (partition by query_id order by id) as rank from rr where rank <= 6)"
-
-
-def third_arm(rr):
-    return rr.where("rank <= 6").select("query_id", (F.col("id") * 2).alias("id"), F.row_number().over(Window.partitionBy("query_id").orderBy("id")).alias("rank"))
-
-
-@query("r11_fold_ranked_arm", f"with {ARMS_SQL}, {THIRD_SQL}, j as (select query_id, id, round(coalesce(rrf_score, 0) + coalesce(0.5 / (20 + t.rank), 0), 6) as rrf_score from rr full join third t using (query_id, id)) select query_id, id, rrf_score, row_number() over (partition by query_id order by rrf_score desc, id)::int as rank from j")
-def r11(spark, sf_dir):
-    rr = fused(spark, sf_dir)
-    return fusion.fold_arm(rr, third_arm(rr), weight=0.5)
-
-
-@query("r12_session_expand", f"with {ARMS_SQL}, s0 as (select query_id, id // 8 as session, min(rank) as r from rr group by all), s as (select * from s0 qualify row_number() over (partition by query_id order by r) <= 3), mem as (select vec_id as id, vec_id // 8 as session from embeddings), x as (select query_id, session, m.id, row_number() over (partition by query_id, session order by m.id) as n from s join mem m using (session)) select query_id, session, id from x where n <= 4")
-def r12(spark, sf_dir):
-    """The sessions of the best rows, three a query, give up to four of their rows each."""
-    rr = fused(spark, sf_dir)
-    s = rr.groupBy("query_id", F.expr("id div 8").alias("session")).agg(F.min("rank").alias("r"))
-    s = s.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).where("n <= 3").select("query_id", "session")
-    m = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id div 8").alias("session"))
-    x = s.join(m, "session").withColumn("n", F.row_number().over(Window.partitionBy("query_id", "session").orderBy("id")))
-    return x.where("n <= 4").select("query_id", "session", "id")
-
-
-@query("r14_bridge_fold", f"with {ARMS_SQL}, {THIRD_SQL}, miss as (select query_id, id, rank from third anti join rr using (query_id, id)), a as (select query_id, id, rrf_score from rr union all select query_id, id, round(1 / (20 + row_number() over (partition by query_id order by rank, id)), 6) from miss) select query_id, id, rrf_score, row_number() over (partition by query_id order by rrf_score desc, id)::int as rank from a")
-def r14(spark, sf_dir):
-    rr = fused(spark, sf_dir)
-    return fusion.fold_arm(rr, third_arm(rr), add_only=True)
-
-
-@query("r15_ppr_fold", f"with {ARMS_SQL}, {THIRD_SQL}, j as (select query_id, id, round(rrf_score + coalesce(1 / (20 + t.rank), 0), 6) as rrf_score from rr left join third t using (query_id, id)) select query_id, id, rrf_score, row_number() over (partition by query_id order by rrf_score desc, id)::int as rank from j")
-def r15(spark, sf_dir):
-    rr = fused(spark, sf_dir)
-    return fusion.fold_arm(rr, third_arm(rr), known_only=True)
-
-
-COMPOSITE_SQL = f"""{ARMS_SQL}, sc as (select query_id, id, rank, round((case when max(rrf_score) over w = min(rrf_score) over w then 1 else (rrf_score - min(rrf_score) over w) / (max(rrf_score) over w - min(rrf_score) over w) end)
- + 0.5 * pow(0.5, (id % 100)::double / 90) + 0.3 * ((id % 10) / 10::double) + 0.4 * (case when id % 3 = 0 then 1.0 else (id % 7) / 7::double end), 6) as composite from rr window w as (partition by query_id)),
-co as (select query_id, id, composite, row_number() over (partition by query_id order by composite desc, rank) as final_rank from sc)"""
-
-
-def rescored(spark, sf_dir):
-    i = F.col("id")
-    return fusion.composite(fused(spark, sf_dir), (i % 100).cast("double"), (i % 10) / 10, F.when(i % 3 == 0, F.lit(None)).otherwise((i % 7) / 7))
-
-
-@query("r16_composite_rescore", f"with {COMPOSITE_SQL} select query_id, id, composite, final_rank::int as final_rank from co")
-def r16(spark, sf_dir):
-    return rescored(spark, sf_dir).select("query_id", "id", "composite", "final_rank")
-
-
-@query("r17_exact_boost", f"with {SQL_MEMORIES}, b as (select project, id, row_number() over (partition by project order by confidence desc, id) as rank, (case when regexp_matches(lower(content), '(^|[^a-z0-9_.%])(the)([^a-z0-9_.%]|$)') then 1.5 else 0 end) + (case when regexp_matches(lower(content), '(^|[^a-z0-9_.%])(de)([^a-z0-9_.%]|$)') then 2.5 else 0 end) as boost from mem) select project, id, boost::double as boost, row_number() over (partition by project order by boost desc, rank)::int as new_rank from b")
-def r17(spark, sf_dir):
-    """Rows move up by the summed rarity of the terms that they hold as whole words; ties keep their order."""
-    m = memories(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("confidence"), "id")))
-    boost = sum((F.when(F.lower("content").rlike(rf"(?<![a-z0-9_.%]){t}(?![a-z0-9_.%])"), r).otherwise(0.0) for t, r in (("the", 1.5), ("de", 2.5))), F.lit(0.0))
-    w = Window.partitionBy("project").orderBy(F.desc("boost"), "rank")
-    return m.withColumn("boost", boost).select("project", "id", "boost", F.row_number().over(w).alias("new_rank"))
-
-
-@query("r18_rerank", f"with {ARMS_SQL} select query_id, id, row_number() over (partition by query_id order by (rank > 8)::int, case when rank <= 8 then -((id * 7919) % 1000) end nulls last, rank)::int as new_rank from rr")
-def r18(spark, sf_dir):
-    """A scorer (here a stand-in) reorders the first eight; the tail stays."""
-    return fusion.rerank_head(fused(spark, sf_dir), (F.col("id") * 7919) % 1000, 8).select("query_id", "id", "new_rank")
-
-
 def said(pattern: str) -> str:
     return f"regexp_matches(text, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"
 
@@ -258,21 +175,31 @@ def r24(spark, sf_dir):
     return near.groupBy("query_id").agg(F.max(F.when((F.col("rank") == 1) & (F.col("similarity") >= 0.4), F.col("vec_id"))).alias("pitfall"), F.min_by("vec_id", F.when((F.col("label") == 2) & (F.col("similarity") >= 0.2), F.col("rank"))).alias("failure"))
 
 
-@query("r25_transcript_pointers", f"with {ARMS_SQL} select query_id, id, id // 8 as session, id // 8 in (select conv_id from conversations) as available from rr where rank <= 5")
-def r25(spark, sf_dir):
-    """A pointer for each recalled row, with whether its session was exported; unavailable ones stay."""
-    have = messages(spark, sf_dir).select(F.col("session_id").alias("session"), F.lit(True).alias("available")).distinct()
-    p = fused(spark, sf_dir).where("rank <= 5").select("query_id", "id", F.expr("id div 8").alias("session"))
-    return p.join(have, "session", "left").select("query_id", "id", "session", F.coalesce("available", F.lit(False)).alias("available"))
+R26 = """with asked as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark),
+tok as (select conv_id, (case when role = 'user' then 'user' else 'assistant' end) as side, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from conversations),
+u as (select distinct conv_id, side, term from tok), len as (select conv_id, sum(length(text))::bigint as chars from conversations group by 1),
+rare as (select term from (select distinct conv_id, term from tok) group by 1 having count(*) <= 3),
+m as (select query_id, conv_id, count(*) filter (side = 'user') as by_user, count(*) filter (side = 'assistant') as by_assistant, 2 * count(*) filter (side = 'user' and term in (select term from rare)) as boost from asked join u using (term) group by all),
+r as (select *, (4 * by_user + by_assistant + boost)::bigint as score, row_number() over (partition by query_id order by 4 * by_user + by_assistant + boost desc, by_user desc, conv_id) as rank from m where 4 * by_user + by_assistant + boost > 0 qualify rank <= 10),
+c as (select query_id, conv_id, score, boost::bigint as boost, rank::int as rank, chars, coalesce(sum(least(chars, 3000)) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0)::bigint as before from r join len using (conv_id))
+select query_id, conv_id, score, boost, rank, case when rank <= 6 then greatest(0, least(chars, 3000, 8000 - before)) else 0 end::bigint as used_chars, rank <= 6 and before < 8000 as selected, rank <= 6 and before < 8000 and chars > least(3000, 8000 - before) as truncated from c"""
 
 
-@query("r26_session_overlap_rank", "with asked as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark), tok as (select distinct conv_id, turn, role, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from conversations), m as (select query_id, conv_id, sum(case when role = 'user' then 4 else 1 end)::bigint as score from asked join tok using (term) group by all) select query_id, conv_id, score, row_number() over (partition by query_id order by score desc, conv_id)::int as rank from m where score > 0 qualify rank <= 10")
+@query("r26_session_overlap_rank", R26)
 def r26(spark, sf_dir):
-    """Sessions by shared words, a user's turn counting four times."""
+    """Sessions by the question's words: a user's count four times, rare ones of theirs twice more; the best six within 8,000 characters, 3,000 each."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    tok = messages(spark, sf_dir).select(F.col("session_id").alias("conv_id"), "role", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    m = tok.groupBy("conv_id", "term").agg(F.sum(F.when(F.col("role") == "user", 4).otherwise(1)).alias("w")).join(asked, "term").groupBy("query_id", "conv_id").agg(F.sum("w").alias("score"))
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "conv_id"))).where("rank <= 10")
+    m = messages(spark, sf_dir).select(F.col("session_id").alias("conv_id"), (F.col("role") == "user").alias("user"), "text")
+    words = m.select("conv_id", "user", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("conv_id", "term").agg(F.bool_or("user").alias("user"), F.bool_or(~F.col("user")).alias("other"))
+    words = words.join(words.groupBy("term").agg((F.count("*") <= 3).alias("rare")), "term")
+    s = words.join(asked, "term").groupBy("query_id", "conv_id").agg(F.count_if("user").alias("by_user"), F.count_if("other").alias("by_other"), (2 * F.count_if(F.col("user") & F.col("rare"))).alias("boost"))
+    s = s.withColumn("score", 4 * F.col("by_user") + F.col("by_other") + F.col("boost")).where("score > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("by_user"), "conv_id")
+    s = s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").join(m.groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars")), "conv_id")
+    before = F.coalesce(F.sum(F.least("chars", F.lit(3000))).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.least(F.lit(3000), 8000 - F.col("before"))
+    took = (F.col("rank") <= 6) & (F.col("before") < 8000)
+    return s.withColumn("before", before).select("query_id", "conv_id", "score", "boost", "rank", F.when(took, F.least("chars", left)).otherwise(0).cast("long").alias("used_chars"), took.alias("selected"), (took & (F.col("chars") > left)).alias("truncated"))
 
 
 @query("r28_focus_overlap", "select d.doc_id, item_id, n::int as overlap from (select doc_id, item_id, count(*) as n from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{8,}')) as t from documents) d join (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{8,}')) as t from benchmark) b using (t) group by all) d where n >= 3")
@@ -282,17 +209,3 @@ def r28(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", long("text").alias("t"))
     b = table(spark, sf_dir, "benchmark").select("item_id", long("text").alias("t"))
     return d.join(b, "t").groupBy("doc_id", "item_id").agg(F.count("*").cast("int").alias("overlap")).where("overlap >= 3")
-
-
-@query(
-    "r19_hybrid_recall",
-    f"""with {COMPOSITE_SQL}, live as (select query_id, id, composite, final_rank from co where id % 29 <> 0),
-t as (select query_id, id, composite, row_number() over (partition by query_id order by final_rank) as r, sum(greatest(1, length(text) // 4)) over (partition by query_id order by final_rank) as total from live join documents on doc_id = id)
-select query_id, id, composite, r::int as rank from t where r = 1 or total <= 4000""",
-)
-def r19(spark, sf_dir):
-    """The whole recall: arms, fusion, rescoring, dormant rows out, and the token budget."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("chars"))
-    live = rescored(spark, sf_dir).where("id % 29 <> 0").join(docs, "id")
-    live = live.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("final_rank")))
-    return X.within_budget(live, 4000, F.col("chars")).select("query_id", "id", "composite", "rank")

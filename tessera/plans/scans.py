@@ -9,6 +9,7 @@ from tessera.catalog import query
 from tessera.functions import lexicon as X_
 from tessera.functions import text as T
 from tessera.operators import filters as X
+from tessera.operators.ordered import placed
 from tessera.sources.tables import SQL_EDGES, SQL_MEMORIES, SQL_USAGE, edges, memories, messages, table, usage_events
 
 WITH_MEM = f"with {SQL_MEMORIES}"
@@ -81,8 +82,8 @@ def sc13(spark, sf_dir):
 @query("fp1_query_filter_grammar", f"{WITH_MEM} select id, type, created_at from mem where type = 'EN' and strftime(created_at, '%Y-%m-%d') >= '2024-01-03' and strftime(created_at, '%Y-%m-%d') <= '2024-02-02' and contains(lower(content), 'th')")
 def fp1(spark, sf_dir):
     m = memories(spark, sf_dir)
-    parsed = X.parse_query("find type:EN after:2024-01-03 before:2024-02-02 symbol:TH words")
-    return m.where(X.query_filters(parsed, m.content, m.created_at, m.type, m.project)).select("id", "type", "created_at")
+    _, parts = X.inline_filters(F.lit("find type:EN after:2024-01-03 before:2024-02-02 symbol:TH words"))
+    return m.where(X.allowed(parts, X.SEARCH_KEYS + X.RESULT_KEYS, m.content, m.created_at, m.type, m.project)).select("id", "type", "created_at")
 
 
 @query("fp2_scope_filter", f"{WITH_MEM} select id, project from mem where project in ('src1', 'src3') or project = ''")
@@ -108,10 +109,10 @@ def fp4(spark, sf_dir):
 
 @query("fp5_budget_truncate", f"{WITH_MEM}, c as (select project as query_id, id, greatest(1, length(content) // 4)::bigint as cost, row_number() over (partition by project order by confidence desc, id) as rank from mem), t as (select *, sum(cost) over (partition by query_id order by rank)::bigint as total from c) select query_id, id, cost, total from t where rank = 1 or total <= 2000")
 def fp5(spark, sf_dir):
-    m = memories(spark, sf_dir)
-    w = Window.partitionBy("project").orderBy(F.desc("confidence"), "id")
-    ranked = m.select(F.col("project").alias("query_id"), "id", F.length("content").alias("chars"), F.row_number().over(w).alias("rank"))
-    return X.within_budget(ranked, 2000, F.col("chars")).select("query_id", "id", "cost", "total")
+    """Projects may hold a third of all rows: their running costs are added up over partitions."""
+    cost = F.greatest(F.lit(1), F.floor(F.length("content") / 4)).cast("long")
+    rows = memories(spark, sf_dir).select(F.col("project").alias("query_id"), "id", "confidence", cost.alias("cost"))
+    return placed(rows, ["query_id"], [F.desc("confidence"), F.col("id")], {"total": F.col("cost")}).where("place = 1 or total <= 2000").select("query_id", "id", "cost", "total")
 
 
 @query("fp6_dormant_filter", f"{WITH_MEM}, {SQL_USAGE}, dorm as (select memory_id from ev group by 1 having count(*) filter (kind = 'use') < count(*) filter (kind = 'noise')) select id, type from mem where id not in (select memory_id from dorm)")

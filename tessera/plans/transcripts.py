@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
+from tessera.operators.lifecycle import usage_signals
 from tessera.functions import dates as D
 from tessera.functions import lexicon as X
 from tessera.functions import text as T
@@ -176,16 +177,26 @@ def a32(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("idx")).agg(F.max_by("props", F.when(e == "view", F.col("event_id"))).alias("last_view"), F.count_if(e == "error").alias("rejected"), F.count_if(e == "purchase").alias("accepted"))
 
 
-@query("st9_turn_usage_signals", "with t as (select conv_id, turn, role, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}'))) as term from conversations), a as (select u.conv_id, u.turn, count(*) as terms, count(x.term) as cited from t u left join t x on x.conv_id = u.conv_id and x.turn = u.turn + 1 and x.term = u.term where u.role = 'user' group by all) select conv_id, turn, terms::bigint as terms, cited::bigint as cited, case when cited >= least(2, terms) then 'good' else 'none' end as signal from a")
+ST9 = """with t as (select conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}')) as terms from conversations),
+i as (select a.conv_id, a.turn, a.turn % 3 as memory, len(a.terms) as n, len(list_intersect(a.terms, coalesce(b.terms, []))) as cited from t a left join t b on b.conv_id = a.conv_id and b.turn = a.turn + 1 where a.role = 'user'),
+m as (select conv_id, memory, count(*)::bigint as injects, count(*) filter (n > 0 and cited >= least(2, n))::bigint as uses from i group by all)
+select conv_id, memory, injects, uses, case when uses > 0 then 'good' when injects >= 2 then 'bad' else 'none' end as signal, case when uses > 0 then 1.0 when injects >= 2 then 0.1 else 0.0 end::double as weight from m"""
+
+
+@query("st9_turn_usage_signals", ST9)
 def st9(spark, sf_dir):
-    """A turn counts as used if the next turn cites two of its distinctive words (or its only one)."""
+    """A memory (here one of three a session) counts as used if the next turn cites two of its distinctive words, or its only one.
+
+    What was put in twice and more and never used is flagged once a session, weakly.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0)))
     m = messages(spark, sf_dir).select("session_id", "message_index", "role", words.alias("terms"))
     w = Window.partitionBy("session_id").orderBy("message_index")
     nxt = m.withColumn("then", F.when(F.lead("message_index").over(w) == F.col("message_index") + 1, F.lead("terms").over(w)))
     cited = F.size(F.array_intersect("terms", F.coalesce("then", F.array().cast("array<string>"))))
-    out = nxt.where("role = 'user' and size(terms) > 0").select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), F.size("terms").cast("long").alias("terms"), cited.cast("long").alias("cited"))
-    return out.withColumn("signal", F.when(F.col("cited") >= F.least(F.lit(2), "terms"), "good").otherwise("none"))
+    used = (F.size("terms") > 0) & (cited >= F.least(F.lit(2), F.size("terms")))
+    injected = nxt.where("role = 'user'").select(F.col("session_id").alias("conv_id"), (F.col("message_index") % 3).alias("memory"), used.alias("used"))
+    return usage_signals(injected, ["conv_id", "memory"])
 
 
 @query("st4_bounded_body", "with t as (select conv_id, turn, length(text) as n, case role when 'user' then 0 when 'assistant' then 1 else 2 end as tier from conversations), s as (select *, sum(n) over (partition by conv_id order by tier, turn desc) as used from t) select conv_id, turn, tier::int as tier from s where used <= 3000")

@@ -30,8 +30,9 @@ def test_folds(spark):
     arm = ranked(spark, "b", "x", "y")
     add = {r.id: r.rrf_score for r in fusion.fold_arm(base, arm, add_only=True).collect()}
     assert add == pytest.approx({"a": 1 / 21, "b": 1 / 22, "x": 1 / 21, "y": 1 / 22}, abs=1e-6)
-    known = {r.id: r.rrf_score for r in fusion.fold_arm(base, arm, known_only=True).collect()}
-    assert known == pytest.approx({"a": 1 / 21, "b": 1 / 22 + 1 / 21}, abs=1e-6)
+    there = spark.createDataFrame([("y",)], "id string")
+    known = {r.id: r.rrf_score for r in fusion.fold_arm(base, arm, existing=there).collect()}
+    assert known == pytest.approx({"a": 1 / 21, "b": 1 / 22 + 1 / 21, "y": 1 / 23}, abs=1e-6)
 
 
 def test_gate_judges_the_first_row_only(spark):
@@ -45,12 +46,31 @@ def test_budget_is_a_prefix_and_keeps_the_first(spark):
     assert got == {("q", 1), ("p", 1)}
 
 
-def test_query_grammar():
-    p = filters.parse_query("fix type:DECISION after:2024-01-02 path:src/x the bug")
-    assert (p.query, p.route, p.post) == ("fix the bug", {"type": "DECISION"}, {"after": "2024-01-02", "path": "src/x"})
-    assert filters.parse_query("type:X").query == "type:X"
-    p = filters.parse_query("Type:gotcha,pattern see path:'a b' TAG:\"x y\"")
-    assert (p.query, p.route, p.post) == ("see", {"type": "GOTCHA,PATTERN"}, {"path": "a b", "tag": "x y"})
+def test_query_grammar(spark):
+    asks = ["fix type:DECISION after:2024-01-02 path:src/x the bug", "type:X", "Type:gotcha,pattern see path:'a b' TAG:\"x y\"", "plain", "type:a type:b c", "mytype:x"]
+    query, parts = filters.inline_filters(F.col("t"))
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(asks)], "i int, t string").select("i", query.alias("q"), parts.alias("p")).orderBy("i").collect()
+    assert [(r.q, {p.key: p.value for p in r.p}) for r in got] == [
+        ("fix the bug", {"type": "DECISION", "after": "2024-01-02", "path": "src/x"}),
+        ("type:X", {"type": "X"}),
+        ("see", {"type": "gotcha,pattern", "path": "a b", "tag": "x y"}),
+        ("plain", {}),
+        ("c", {"type": "b"}),
+        ("my", {"type": "x"}),
+    ]
+
+
+def test_allowed_rows(spark):
+    rows = [("see the Code", "2024-01-05 00:00:00", "EN", "p", ["Red"]), ("other", None, "DE", "q", [])]
+    df = spark.createDataFrame(rows, "content string, at string, type string, project string, tags array<string>").withColumn("at", F.col("at").cast("timestamp"))
+
+    def ok(text):
+        parts = filters.inline_filters(F.lit(text))[1]
+        keep = filters.allowed(parts, filters.SEARCH_KEYS + filters.RESULT_KEYS, df.content, df["at"], df.type, df.project, df.tags)
+        return [r.project for r in df.where(keep).orderBy("project").collect()]
+
+    assert ok("x") == ["p", "q"] and ok("type:en,fr x") == ["p"] and ok("after:2024-01-06") == ["q"] and ok("symbol:code") == ["p"]
+    assert ok("tag:red") == ["p"] and ok("project:q before:2020-01-01") == ["q"]
 
 
 def test_bm25_equals_sqlite(spark):
