@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 from tessera.llm import decontaminate, jaccard, line_dedup, packing, quality
-from tessera.llm.common import shared_folder
+from tessera.llm.common import cleared, deleted, shared_folder
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -51,12 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; a stage's own tables, and its input, go once its rows are stored."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
-            return out
+            return stage(spark, docs, sf_dir)
         path = f"{shared_folder(spark).rstrip('/')}/tessera/stage{k}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            deleted(spark, read)
+        docs, read = spark.read.parquet(path), path
