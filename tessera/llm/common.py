@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -82,24 +83,55 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, task: Callable[[
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only in local sessions where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = at.get() if at.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _tables:
+        _tables.remove(path)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    deleted(df.sparkSession, df._written_at)
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """Deletes the tables that are ``written`` inside, once the result that reads them is stored."""
+    before = set(_tables)
+    try:
+        yield
+    finally:
+        for path in [p for p in _tables if p not in before]:
+            deleted(spark, path)
 
 
 def fresh(name: str, columns: list[str]) -> str:

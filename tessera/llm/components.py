@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forgotten, written
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if seen == state or not seen["n"]:
             break
-        state = seen
+        state, last = seen, now
         now = written(_stars(now), "stars")
+        forgotten(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

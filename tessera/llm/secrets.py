@@ -84,10 +84,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str, ratio: float) -> list[tuple[int, int, int]]:
-    found = []
+    found, at, reach = [], 0, 0  # base spans come by start: the farthest end of those that begin no later decides
     for m in RUN.finditer(text):
         run = m[0]
-        if known_form(run) or any(a <= m.start() and m.end() <= b for a, b, _ in base):
+        while at < len(base) and base[at][0] <= m.start():
+            reach = max(reach, base[at][1])
+            at += 1
+        if m.end() <= reach or known_form(run):
             continue
         if characters_per_token(run, path) < least_ratio(run, ratio):
             found.append((m.start(), m.end(), 3))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Memo, written
 
 # The rules of the contract, words with rough ranks, and seed URLs.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -195,15 +195,19 @@ class UrlModel:
         return [w for p in raw_words(host, path) for w in self._split(p)]
 
     def _split(self, part: str) -> list[str]:
-        memo = self.__dict__.setdefault("_memo", {})
-        if len(memo) > 200_000:
-            memo.clear()
-        if part not in memo:
-            memo[part] = [part] if part.isdecimal() else self.segmenter.split(part)
+        memo = self.__dict__.get("_memo")
+        if memo is None:
+            memo = self.__dict__["_memo"] = Memo(lambda p: [p] if p.isdecimal() else self.segmenter.split(p), 200_000)
         return memo[part]
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
+
+    def of(self, words: list[str]) -> float:
+        return self.prior + sum(self.weight.get(w, 0.0) for w in words)
+
     def evidence(self, host: str, path: str) -> float:
-        return self.prior + sum(self.weight.get(w, 0.0) for w in self.words(host, path))
+        return self.of(self.words(host, path))
 
 
 def fit(labelled: Iterable[tuple[str, str, int]], counts: dict[str, float] | None = None, smooth: float = 0.5, lists: dict[int, list[str]] | None = None) -> UrlModel:
@@ -277,7 +281,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, model: UrlMode
 
     @F.pandas_udf("evidence double, words string")
     def evidence(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"evidence": [model.evidence(h, p) for h, p in zip(host, path, strict=True)], "words": [" ".join(model.words(h, p)) for h, p in zip(host, path, strict=True)]})
+        words = [model.words(h, p) for h, p in zip(host, path, strict=True)]
+        return pd.DataFrame({"evidence": [model.of(ws) for ws in words], "words": [" ".join(ws) for ws in words]})
 
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("nb", evidence("host", "path"))
     verdict = F.when(F.col("nb.evidence") > threshold, "block").otherwise("allow")

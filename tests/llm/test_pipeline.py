@@ -3,6 +3,9 @@ import pytest
 import corpus_pipeline as C
 from tessera.llm import decontaminate, jaccard, line_dedup, quality
 
+from tessera.llm.common import shared_folder
+
+from .conftest import ODD
 from .test_jaccard import brute as near_brute
 from .test_line_dedup import brute as line_brute
 
@@ -55,6 +58,23 @@ def test_run_gives_the_last_stages_rows(spark, folder):
     assert "sequence_id" in got.columns and got.count() > 50
 
 
+def test_run_takes_odd_rows_and_leaves_no_tables(spark, docs_of, prose, tmp_path):
+    """Null and empty texts, null and shared ids, repeated rows and very long texts."""
+    import os
+
+    path = str(tmp_path)
+    texts = [(i, prose(60, i)) for i in range(20)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(1, prose(60, 1))] * 3 + [(2, prose(60, 99)), (None, prose(60, 5)), (None, None)]
+    docs_of(texts).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(None, None, None), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, prose(60, 3)), (None, "a"), (1, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    root = f"{shared_folder(spark)}/tessera".removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    got = {r.doc_id for r in C.run(spark, path).collect()}
+    assert set(range(20)) - {3} <= got and 3 not in got and None in got  # no labels: nothing is rejected
+    left = set(os.listdir(root)) - before
+    assert len(left) == 1 and left.pop().startswith("stage3-")
+
+
 def test_empty_documents(spark, docs_of, tmp_path):
     path = str(tmp_path)
     docs_of([]).write.parquet(f"{path}/documents.parquet")

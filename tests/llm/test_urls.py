@@ -70,5 +70,32 @@ def test_hosts_that_are_no_seeds_are_judged_by_their_words(spark):
     assert [got[i] for i in range(8)] == ["block"] * 4 + ["allow"] * 4
 
 
+def test_judge_against_a_plain_loop(spark):
+    """Hosts, paths, rules, words and evidence of random URLs, each split tried by hand."""
+    import random
+    from urllib.parse import unquote
+
+    rng = random.Random(12)
+    parts = ["net", "example.net", "a.example.net", "example.com", "org", "x.org", "cheappills.test", "cityNEWS.Test", "internet", "winbet.example.org", "", "h-1.test"]
+    paths = ["", "/", "/en/", "/en/x", "/de/y?z", "/fr/#a", "/fr", "/buy/slots", "/news?q", "?en/", "/a%20b/c"]
+    urls = [rng.choice(("http://", "HTTPS://", "x", "a://b://", "")) + rng.choice(parts) + rng.choice(paths) for _ in range(150)] + [None]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], P)
+    model = U.seed_model(U.counted_words(pages))
+    got = {r.page_id: r for r in U.judge(pages, model=model).collect()}
+    for i, u in enumerate(urls):
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.split("[/?#]", rest)[0]
+            path = re.split("[?#]", rest[len(host) :])[0]
+            host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(r, v) for r, v in U.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        rule, said = max(fits, key=lambda f: len(f[0])) if fits else (None, None)
+        words = [w for run in re.findall(r"[^\W\d_]+|\d+", f"{host} {unquote(path)}".lower()) for w in ([run] if run.isdecimal() else model.segmenter.split(run))]
+        evidence = model.prior + sum(model.weight.get(w, 0.0) for w in words)
+        want = (host, path, rule, said or ("block" if evidence > 0 else "allow"), " ".join(words))
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict, got[i].words) == want and abs(got[i].evidence - evidence) < 1e-9
+
+
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], P)).count() == 0
