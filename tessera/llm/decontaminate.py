@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, fresh, map_columns, words_of, written
-from .line_dedup import bloom, held
+from .line_dedup import bloom, filter_bits, held
 
 WIDTH = 13
 MAX_BYTES = 64 << 20
@@ -222,9 +222,7 @@ def joined_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(key, at, n, hi, lo, total): the occurrences of the items' windows in each distinct text, with its number of words; written."""
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most ``width``
     keys = items.select("hi", "lo", "n").distinct()
-    bits = FILTER_BITS
-    while bits > 1 << 16 and bits > 32 * items.count():
-        bits >>= 1
+    bits = filter_bits(items.count(), FILTER_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(bloom(keys.select("lo"), bits))
 
     def task():

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import input_bytes, mixed, written
 from .components import components
-from .line_dedup import SLICES, bloom, filter_tasks, held, merged_slices
+from .line_dedup import SLICES, bloom, filter_bits, filter_tasks, held, merged_slices
 
 SIZE, PERCENT = 5, 80
 COUNTERS = 1 << 22, 1 << 25  # at least and at most
@@ -328,9 +328,8 @@ def crossing_pairs(rows: DataFrame, percent: int, block: int = BLOCK, *, within:
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int, name: str) -> DataFrame:
     """(id, elements): the sets of the documents with these ids (and of few others: ids go as a Bloom filter), written."""
-    bits = FILTER_BITS
-    while bits > 1 << 16 and bits > 32 * ids.count():
-        bits >>= 1
+    ids = written(ids, f"{name}-ids")
+    bits = filter_bits(ids.count(), FILTER_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(bloom(ids, bits))
 
     def sets(batches):

@@ -114,6 +114,11 @@ def cut_slices(fields: dict[str, np.ndarray]):
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), **{f: pa.array([v[cut].tobytes()], pa.binary()) for f, v in fields.items()}})
 
 
+def filter_bits(n: int, most: int) -> int:
+    """A power of two, about 16 to 32 bits for each of n numbers, at most ``most``."""
+    return min(most, max(1 << 16, 1 << max(0, 16 * n - 1).bit_length()))
+
+
 def bloom(numbers: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of a column of longs, of bounded size; it may hold more, never less. Ask it with ``held``."""
 
