@@ -30,7 +30,7 @@ def allowed(parts: Column, keys: tuple[str, ...], content: Column, created: Colu
 
     def passes(p: Column) -> Column:
         value, low = p["value"], F.lower(p["value"])
-        types = F.filter(F.transform(F.split(F.upper(value), ","), F.trim), lambda t: t != "")
+        types = F.filter(F.transform(F.split(F.upper(value), ","), lambda t: F.trim(t)), lambda t: t != "")
         one = {
             "type": F.array_contains(types, type_),
             "project": project == value,

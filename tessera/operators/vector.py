@@ -39,6 +39,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
+def unit(v: Column) -> Column:
+    """The vector at length one; a zero vector stays zero."""
+    size = norm(v)
+    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+
+
+def reembedded(rows: DataFrame, new: Column, dim: int) -> DataFrame:
+    """The rows with ``new`` vectors, the old ones as ``former``; rows whose new vector has another length than ``dim`` keep the old one."""
+    fits = F.size(new) == dim
+    return rows.withColumn("former", F.col("embedding")).withColumn("embedding", F.when(fits, new).otherwise(F.transform("embedding", lambda x: x.cast("double"))))
+
+
 def _units(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and length-one vectors of the rows that can take part; zero vectors stay zero."""
     ids, vectors = ids.to_pylist(), vectors.to_pylist()

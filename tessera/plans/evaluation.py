@@ -223,6 +223,41 @@ def a20(spark, sf_dir):
     return c.join(mean, "c_mktsegment").where("c_acctbal > m").select("c_custkey", "c_mktsegment")
 
 
+PLACES = """with s as (select s_suppkey, n_name as city, r_name as metro, s_acctbal from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+c as (select n_name as city, r_name as metro from nation join region on n_regionkey = r_regionkey),
+k as (select c.city, count(s_suppkey) filter (s.city = c.city) as in_city, count(s_suppkey) as in_metro, count(s_suppkey) filter (s_acctbal <= 3000) as in_radius from c left join s on s.metro = c.metro group by 1)
+select city, in_city::bigint as in_city, in_metro::bigint as in_metro, in_radius::bigint as in_radius, least(in_city, in_metro, in_radius)::bigint as lower, greatest(in_city, in_metro, in_radius)::bigint as upper from k"""
+
+
+@query("a20_place_programs", PLACES)
+def a20_places(spark, sf_dir):
+    """How many suppliers are in a city, as its bounds, its metropolitan area or a distance (here the balance) are meant, and the answers between which that leaves.
+
+    Counts of a city and of its area are joined, never the area's suppliers to each of its cities.
+    """
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    c = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("metro"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("in_city"), F.count_if(F.col("s_acctbal") <= 3000).alias("near"))
+    rows = c.join(s, "n_nationkey", "left").fillna(0)
+    metro = rows.groupBy("metro").agg(F.sum("in_city").alias("in_metro"), F.sum("near").alias("in_radius"))
+    k = rows.join(metro, "metro")
+    cols = ["in_city", "in_metro", "in_radius"]
+    return k.select("city", *cols, F.least(*cols).alias("lower"), F.greatest(*cols).alias("upper"))
+
+
+BRANDS = """with b as (select p_brand as name, count(*) as as_brand from lineitem join part on p_partkey = l_partkey group by 1), m as (select 'Brand#' || (l_suppkey % 60) as name, count(*) as as_merchant from lineitem group by 1)
+select coalesce(b.name, m.name) as name, coalesce(as_brand, 0)::bigint as as_brand, coalesce(as_merchant, 0)::bigint as as_merchant, least(coalesce(as_brand, 0), coalesce(as_merchant, 0))::bigint as lower, (coalesce(as_brand, 0) + coalesce(as_merchant, 0))::bigint as upper from b full join m using (name)"""
+
+
+@query("a20_brand_or_merchant", BRANDS)
+def a20_brands(spark, sf_dir):
+    """A name as a brand or as the one who sells: both counts, and the answers between which that leaves."""
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")  # noqa: E741
+    b = l.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("as_brand"))
+    m = l.groupBy(F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 60).cast("string")).alias("name")).agg(F.count("*").alias("as_merchant"))
+    return b.join(m, "name", "full_outer").fillna(0, ["as_brand", "as_merchant"]).select("name", "as_brand", "as_merchant", F.least("as_brand", "as_merchant").alias("lower"), (F.col("as_brand") + F.col("as_merchant")).alias("upper"))
+
+
 @query("a20_top_percentile", "select c_custkey from (select c_custkey, percent_rank() over (partition by c_nationkey order by c_acctbal) as p from customer) where p >= 0.9")
 def a20p(spark, sf_dir):
     """Equal balances share the first one's place; a nation may hold a third of all customers."""

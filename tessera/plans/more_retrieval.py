@@ -179,3 +179,11 @@ def st7(spark, sf_dir):
 def d6(spark, sf_dir):
     order = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_returnflag")
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("memory")).agg(F.max_by("l_shipdate", order).alias("last_at"), F.max_by("l_returnflag", order).alias("origin"), F.count("*").alias("events"))
+
+
+@query("g10_synonyms", f"with {near_sql(5)} select q.vec_id as query_id, coalesce(min(n.vec_id) filter (similarity >= 0.45), q.vec_id) as canonical, count(n.vec_id) filter (similarity >= 0.45)::bigint as synonyms from (select vec_id from embeddings where vec_id % 20 = 0) q left join near n on n.query_id = q.vec_id group by q.vec_id")
+def g10_synonyms(spark, sf_dir):
+    """New names take the first of the known ones whose vectors are near enough, among the five nearest."""
+    q, e = vectors(spark, sf_dir)
+    near = vector.topk(q, e, 5, floor=0.45).groupBy("query_id").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    return q.select(F.col("vec_id").alias("query_id")).join(near, "query_id", "left").select("query_id", F.coalesce("first", "query_id").alias("canonical"), F.coalesce("n", F.lit(0)).alias("synonyms"))

@@ -10,6 +10,7 @@ from tessera.functions import lexicon as X_
 from tessera.functions import text as T
 from tessera.operators import filters as X
 from tessera.operators.ordered import placed
+from tessera.operators.redirect import Pattern, decisions
 from tessera.sources.tables import SQL_EDGES, SQL_MEMORIES, SQL_USAGE, edges, memories, messages, table, usage_events
 
 WITH_MEM = f"with {SQL_MEMORIES}"
@@ -46,14 +47,21 @@ def sc4(spark, sf_dir):
     return parse_jsonl(lines).select("session_id", "message_index", "role", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("sc6_byte_window", "with s as (select conv_id, turn, sum(strlen(text) + 1) over (partition by conv_id order by turn) as hi, strlen(text) + 1 as n from conversations) select conv_id, count(*) filter (hi - n >= 200)::bigint as new_lines, coalesce(max(hi) filter (hi - n >= 200 and hi <= 200 + 4000), 200)::bigint as next_cursor from s group by conv_id")
+SC6 = """with s as (select conv_id, turn, sum(strlen(text) + 1) over (partition by conv_id order by turn) as hi, strlen(text) + 1 as n, sum(strlen(text) + 1) over (partition by conv_id) as size, (conv_id % 9) * 400 as cursor from conversations),
+w as (select *, case when size < cursor then 0 else cursor end as start from s)
+select conv_id, any_value(start)::bigint as start, bool_or(size < cursor) as shrunk, count(*) filter (hi - n >= start)::bigint as new_lines, coalesce(max(hi) filter (hi - n >= start and hi <= start + 4000), any_value(start))::bigint as next_cursor from w group by conv_id"""
+
+
+@query("sc6_byte_window", SC6)
 def sc6(spark, sf_dir):
-    """Lines that begin at or behind byte 200 are new; the cursor moves over whole lines within 4,000 bytes."""
-    w = Window.partitionBy("session_id").orderBy("message_index")
-    rows = messages(spark, sf_dir).withColumn("n", F.octet_length("text") + 1)
-    rows = rows.withColumn("hi", F.sum("n").over(w))
-    new = F.col("hi") - F.col("n") >= 200
-    return rows.groupBy(F.col("session_id").alias("conv_id")).agg(F.count_if(new).alias("new_lines"), F.coalesce(F.max(F.when(new & (F.col("hi") <= 4200), F.col("hi"))), F.lit(200)).alias("next_cursor"))
+    """Lines that begin at or behind a file's cursor are new; a file shorter than its cursor is read anew; the cursor moves over whole lines within 4,000 bytes."""
+    w = Window.partitionBy("session_id")
+    rows = messages(spark, sf_dir).withColumn("n", F.octet_length("text") + 1).withColumn("cursor", (F.col("session_id") % 9) * 400)
+    rows = rows.withColumn("hi", F.sum("n").over(w.orderBy("message_index"))).withColumn("size", F.sum("n").over(w))
+    rows = rows.withColumn("start", F.when(F.col("size") < F.col("cursor"), 0).otherwise(F.col("cursor")))
+    new, upto = F.col("hi") - F.col("n") >= F.col("start"), F.col("hi") <= F.col("start") + 4000
+    out = rows.groupBy(F.col("session_id").alias("conv_id")).agg(F.first("start").alias("start"), F.bool_or(F.col("size") < F.col("cursor")).alias("shrunk"), F.count_if(new).alias("new_lines"), F.max(F.when(new & upto, F.col("hi"))).alias("next"))
+    return out.select("conv_id", "start", "shrunk", "new_lines", F.coalesce("next", "start").alias("next_cursor"))
 
 
 @query("sc7_watermark_poll", "select event_id, event_type, 'event ' || event_id || ' by ' || user_id || ': ' || event_type as rendered from events where event_id > 100 order by event_id limit 500")
@@ -179,23 +187,35 @@ def fp12(spark, sf_dir):
     return messages(spark, sf_dir).where("role = 'user'").select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), triage(F.col("text")).alias("verdict"))
 
 
-RULES = [(1, r"^https://www\.", "deny"), (2, r"\.html$", "rewrite"), (3, "spam", "deny"), (4, r"utm_source=", "rewrite")]
-
-
-@query("fp13_redirect_rules", r"select page_id, case when regexp_matches(url, '^https://www\.') then 1 when regexp_matches(url, '\.html$') then 2 when regexp_matches(url, 'spam') then 3 when regexp_matches(url, 'utm_source=') then 4 end as rule, case when regexp_matches(url, '^https://www\.') then 'deny' when regexp_matches(url, '\.html$') then 'rewrite' when regexp_matches(url, 'spam') then 'deny' when regexp_matches(url, 'utm_source=') then 'rewrite' else 'allow' end as action from pages")
+PATTERNS = [Pattern(r"--force\b", "--force-with-lease"), Pattern("("), Pattern(r"rm -rf /", "", "deny")]
+PROGRAMS = {"grep": "rg", "pip": "uv pip", "npm": "bun", "pytest": "pytest -q"}
+SHAPES = {
+    "click": ["grep -r x{} src", "cat a | grep x", 'echo "grep"', "  grep y"],
+    "view": ["git push --force", "sudo rm -rf / now", "cd /tmp && pip install k", "PYTHON=3 pip list"],
+    "purchase": ['bash -c "npm test"', "npm run build", "/usr/bin/npm ci", "sh -lc 'cd x; npm i'"],
+    "signup": ["uv run --with x pytest -q", "uv run python a.py", "env A=1 time grep z", "ls"],
+    "error": ["pip install 'a", "", "pip", "python -m pip list"],
+}
+#: What must come out, worked out by hand: by kind and shape, the action, the rule and the new command.
+EXPECTED = [
+    ("click", 0, "rewrite", "grep", "rg -r x{} src"), ("click", 1, "deny", "grep", None), ("click", 3, "rewrite", "grep", "  rg y"),
+    ("view", 0, "rewrite", "1", "git push --force-with-lease"), ("view", 1, "deny", "3", None), ("view", 2, "deny", "pip", None), ("view", 3, "deny", "pip", None),
+    ("purchase", 0, "deny", "npm", None), ("purchase", 1, "rewrite", "npm", "bun run build"), ("purchase", 2, "deny", "npm", None), ("purchase", 3, "deny", "npm", None),
+    ("signup", 0, "deny", "pytest", None), ("signup", 2, "deny", "grep", None), ("error", 0, "deny", "pip", None), ("error", 2, "rewrite", "pip", "uv pip"),
+]
+SQL_EXPECTED = ", ".join(f"('{e}', {v}, '{a}', '{r}', {'null' if c is None else chr(39) + c + chr(39)})" for e, v, a, r, c in EXPECTED)
+
+
+@query("fp13_redirect_rules", f"with x(e, v, action, rule, command) as (values {SQL_EXPECTED}) select event_id, action, rule, replace(command, '{{}}', event_id::varchar) as command from events left join x on e = event_type and v = user_id % 4")
 def fp13(spark, sf_dir):
-    """Rules in order, the first that fits decides; malformed ones are left out when the plan is made."""
-    import re
-
-    rule, action = F.lit(None).cast("int"), F.lit("allow")
-    for order, pattern, then in reversed(RULES):
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        hit = F.col("url").rlike(pattern)
-        rule, action = F.when(hit, order).otherwise(rule), F.when(hit, then).otherwise(action)
-    return table(spark, sf_dir, "pages").select("page_id", rule.alias("rule"), action.alias("action"))
+    """Commands of many shapes through pattern and program rules; the malformed pattern is left out."""
+    command = F.lit(None).cast("string")
+    for kind, forms in SHAPES.items():
+        for v, form in enumerate(forms):
+            made = F.replace(F.lit(form), F.lit("{}"), F.col("event_id").cast("string"))
+            command = F.when((F.col("event_type") == kind) & (F.col("user_id") % 4 == v), made).otherwise(command)
+    rows = table(spark, sf_dir, "events").select("event_id", command.alias("command"))
+    return rows.select("event_id", decisions(F.col("command"), PATTERNS, PROGRAMS).alias("d")).select("event_id", "d.action", "d.rule", "d.command")
 
 
 @query("fp14_field_projection", f"{WITH_MEM} select id, confidence, session from mem")

@@ -234,10 +234,30 @@ def st1(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tbl")).agg(F.max("event_id").alias("last_cursor"), F.count("*").alias("rows_seen"), F.count_if(F.col("value") > 50).alias("rows_changed"))
 
 
-@query("st5_episode_watermark", "with g as (select conv_id, max(turn) as last_turn, count(*) as n from conversations group by 1) select conv_id, last_turn, n::bigint as n, n >= 5 as eligible from g")
+ST5 = """with t as (select conv_id, turn, turn // 2 as batch, length(text) % 7 = 0 as failed from conversations),
+b as (select conv_id, min(batch) filter (failed) as stop from t group by 1)
+select conv_id, max(turn) filter (stop is null or batch < stop) as watermark, max(turn) as last_turn, count(*)::bigint as n, stop is null as complete, stop is null and count(*) >= 5 as eligible from t join b using (conv_id) group by conv_id, stop"""
+
+
+@query("st5_episode_watermark", ST5)
 def st5(spark, sf_dir):
-    """A session that a late turn touches is read whole again: its watermark and whether it can be summed up."""
-    return messages(spark, sf_dir).groupBy(F.col("session_id").alias("conv_id")).agg(F.max("message_index").alias("last_turn"), F.count("*").alias("n")).withColumn("eligible", F.col("n") >= 5)
+    """A session's watermark stands before its first failed batch; a session that is not read whole is never told to be small."""
+    t = messages(spark, sf_dir).select(F.col("session_id").alias("conv_id"), F.col("message_index").alias("turn"), F.expr("message_index div 2").alias("batch"), (F.length("text") % 7 == 0).alias("failed"))
+    b = t.groupBy("conv_id").agg(F.min(F.when(F.col("failed"), F.col("batch"))).alias("stop"))
+    g = t.join(b, "conv_id").groupBy("conv_id", "stop").agg(F.max(F.when(F.col("stop").isNull() | (F.col("batch") < F.col("stop")), F.col("turn"))).alias("watermark"), F.max("turn").alias("last_turn"), F.count("*").alias("n"))
+    whole = F.col("stop").isNull()
+    return g.select("conv_id", "watermark", "last_turn", "n", whole.alias("complete"), (whole & (F.col("n") >= 5)).alias("eligible"))
+
+
+@query("sc9_reembed", "select vec_id, len(embedding)::int as dim, round(list_inner_product(embedding::double[], embedding::double[]), 6) as before, case when list_inner_product(embedding::double[], embedding::double[]) > 0 then 1.0 else 0.0 end::double as after, round(embedding[1]::double / sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as first from embeddings")
+def sc9_reembed(spark, sf_dir):
+    """Every vector rewritten by an embedding function (here to length one), with its dimension guarded."""
+    from tessera.operators.vector import dot, reembedded, unit
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    new = reembedded(e, unit(F.col("embedding")), 64)
+    both = new.select("vec_id", F.size("embedding").alias("dim"), F.round(dot(F.col("former"), F.col("former")), 6).alias("before"), F.round(dot(F.col("embedding"), F.col("embedding")), 6).alias("after"), F.round(F.col("embedding")[0], 6).alias("first"))
+    return both
 
 
 @query("events_tumbling", "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by all")

@@ -75,3 +75,13 @@ SQL_EDGES = """kg as (select o_orderkey as id, 'c' || o_custkey::varchar as subj
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_index"), "role", "text")
+
+
+def compacted(spark: SparkSession, path: str, target: str, bytes_per_file: int = 128 << 20) -> int:
+    """Rewrites a Parquet table's small files into files of about ``bytes_per_file`` at ``target``; gives their number."""
+    df = spark.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    files = max(1, -(-size // bytes_per_file))
+    df.repartition(files).write.mode("overwrite").parquet(target)
+    return files

@@ -69,7 +69,7 @@ def test_allowed_rows(spark):
         keep = filters.allowed(parts, filters.SEARCH_KEYS + filters.RESULT_KEYS, df.content, df["at"], df.type, df.project, df.tags)
         return [r.project for r in df.where(keep).orderBy("project").collect()]
 
-    assert ok("x") == ["p", "q"] and ok("type:en,fr x") == ["p"] and ok("after:2024-01-06") == ["q"] and ok("symbol:code") == ["p"]
+    assert ok("x") == ["p", "q"] and ok("type:en,fr x") == ["p"] and ok("type:'fr, en , x'") == ["p"] and ok("after:2024-01-06") == ["q"] and ok("symbol:code") == ["p"]
     assert ok("tag:red") == ["p"] and ok("project:q before:2020-01-01") == ["q"]
 
 
