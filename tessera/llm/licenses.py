@@ -22,28 +22,54 @@ from .common import WORD, folded, map_columns
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+_MIT_GRANT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction
+including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
+[[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+in no event shall {{holder|1-12}} be liable for any claim damages or other liability
+[[whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]]]]"""
+_BSD_START = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_END = """this software is provided by {{holder|1-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"""
+_GPL_END = "as published by the free software foundation either version {v} of the license or at your option any later version"
+_FREE = "{{work|1-6}} is free software you can redistribute it and or modify it under the terms of the gnu "
+
 # The public wording of well-known license notices, with marked regions.
 TEMPLATES = {
-    "mit": [
-        "[[this {{work|1-4}} is]] [[licensed]] [[released]] [[distributed]] under the [[terms of the]] mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{holder|1-12}} be liable for any claim damages or other liability]]",
-    ],
+    "mit": ["[[this {{work|1-4}} is]] [[licensed]] [[released]] [[distributed]] under the [[terms of the]] mit license", _MIT_GRANT],
     "apache-2": [
         "licensed under the apache license version 2 [[0]]",
-        "licensed under the apache license version 2 0 the license you may not use {{work|1-6}} except in compliance with the license [[you may obtain a copy of the license at {{place|1-12}}]]",
+        "licensed under the apache license version 2 0 the license you may not use {{work|1-6}} except in compliance with the license [[you may obtain a copy of the license at {{place|1-12}}]] [[unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied]]",
     ],
     "cc-by-nc": ["licensed under [[a]] [[the]] cc by nc [[4 0]]", "[[licensed]] under [[a]] [[the]] creative commons attribution noncommercial [[4 0]] [[international]] [[public]] license"],
-    "gpl-3": [
-        "[[this {{work|1-4}} is]] licensed under the gnu general public license version 3",
-        "{{work|1-6}} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    ],
+    "cc-by": ["licensed under [[a]] [[the]] cc by {{version|1-1}} 0 [[license]]", "under [[a]] [[the]] creative commons attribution [[{{version|1-1}} 0]] [[international]] [[unported]] [[public]] license"],
+    "cc-by-sa": ["licensed under [[a]] [[the]] cc by sa [[{{version|1-1}} 0]]", "under [[a]] [[the]] creative commons attribution [[share alike]] [[sharealike]] {{version|1-1}} 0 [[international]] [[unported]] [[public]] license"],
+    "cc-by-nd": ["licensed under [[a]] [[the]] cc by nd [[{{version|1-1}} 0]]", "under [[a]] [[the]] creative commons attribution noderivatives [[{{version|1-1}} 0]] [[international]] [[public]] license"],
+    "cc0": ["[[licensed]] [[released]] [[dedicated]] under [[a]] [[the]] cc0 [[1 0]] [[universal]] [[public domain dedication]]", "to the extent possible under law {{author|1-8}} has waived all copyright and related or neighboring rights to {{work|1-8}}"],
+    "gpl-2": [_FREE + "general public license " + _GPL_END.format(v=2), "licensed under the gnu general public license version 2"],
+    "gpl-3": ["[[this {{work|1-4}} is]] licensed under the gnu general public license version 3", _FREE + "general public license " + _GPL_END.format(v=3)],
+    "lgpl-2.1": [_FREE + "lesser general public license " + _GPL_END.format(v="2 1"), "licensed under the gnu lesser general public license version 2 1"],
+    "lgpl-3": [_FREE + "lesser general public license " + _GPL_END.format(v=3), "licensed under the gnu lesser general public license version 3"],
+    "agpl-3": [_FREE + "affero general public license " + _GPL_END.format(v=3), "licensed under the gnu affero general public license version 3"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[[[3]] neither the name of {{holder|1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]]"
+    "0bsd": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and {{author|1-6}} disclaims all warranties with regard to this software"],
+    "bsd-2": [f"{_BSD_START} {_BSD_END}", "licensed under [[the]] bsd 2 clause [[license]]"],
+    "bsd-3": [
+        f"{_BSD_START} [[3]] neither the name of {{{{holder|1-12}}}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission [[{_BSD_END}]]",
+        "licensed under [[the]] bsd 3 clause [[license]]",
     ],
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at {{place|1-8}}]]"],
-    "spdx": ["spdx license identifier {{id|1-3}}"],
+    "epl-2": ["this program and the accompanying materials are made available under the terms of the eclipse public license [[v]] 2 0 [[which is available at {{place|1-8}}]]"],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "boost-1": ["distributed under the boost software license version 1 0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "wtfpl": ["do what the fuck you want to public license"],
 }
+# Names of the public list of license identifiers, as words.
+IDENTIFIERS = {"mit": "mit", "apache 2 0": "apache-2", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3", "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "isc": "isc", "mpl 2 0": "mpl-2", "epl 2 0": "epl-2", "unlicense": "unlicense", "bsl 1 0": "boost-1", "zlib": "zlib", "cc0 1 0": "cc0"}
+for _words, _label in IDENTIFIERS.items():
+    TEMPLATES[_label].append(f"spdx license identifier {_words}")
 
 MARK = re.compile(r"\[\[|\]\]|\{\{\w+\|(\d+)-(\d+)\}\}|[^\s\[\]{}]+")
 

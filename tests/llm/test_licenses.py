@@ -54,6 +54,23 @@ def test_base_counts_places_and_labels(docs_of, rows):
     assert got[4].labels == "gpl-3" and got[4].base_labels == "" and 0 < got[4].score <= 1
 
 
+def test_labels_of_notices(docs_of, rows):
+    """Optional and replaced wording, and one word of mandatory wording changed."""
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    third = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    end = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+    gpl = "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    want = {
+        bsd + end: "bsd-2", bsd + third + end: "bsd-3", bsd + third: "bsd-3", bsd: "", bsd.replace("retain", "keep") + end: "",
+        gpl.format("General Public License", "3"): "gpl-3", gpl.format("General Public License", "2"): "gpl-2", gpl.format("Lesser General Public License", "2.1"): "lgpl-2.1",
+        gpl.format("Affero General Public License", "3"): "agpl-3", "# SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "SPDX-License-Identifier: Nothing": "",
+        "Licensed under CC BY 4.0": "cc-by", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa", "Distributed under the Boost Software License, Version 1.0.": "boost-1",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "unlicense",
+    }
+    got = rows(L.scan(docs_of(list(want))))
+    assert {t: got[i].labels for i, t in enumerate(want)} == want
+
+
 def test_base_against_plain_search(docs_of, rows):
     rng = random.Random(4)
     vocabulary = "under the mit license apache version 2 cc by nc x".split()
