@@ -3,10 +3,12 @@
 score = sum over terms of -idf f 2.2 / (f + 1.2 (0.25 + 0.75 D / avgD)), idf = ln((N - n + 0.5) / (n + 0.5))
 and at least 1e-6: negative, smaller is better. N, avgD and n never see filters.
 
-One pass reads the texts: it tells each document's length and counts the asked terms only, so
-no other word becomes a row. The asked terms travel in blocks of at most ``TERMS``; more terms
-take further passes. What a pass finds is a written table, from which document counts,
-lengths and scores are taken.
+One pass reads the texts: it tells each document's length and counts the asked terms only, one
+row a document with the terms that it holds. The asked terms travel in blocks of at most
+``TERMS``; more take further passes. What a pass finds is a written table, from which document
+counts and lengths are taken; then questions meet it in blocks of at most ``PAIRS`` (question,
+term) pairs. Each partition adds up its documents' scores tile by tile and keeps its k best of
+each question, so no (question, document) pair but those becomes a row.
 
 ``WORDS``: terms are words of ASCII letters and digits, D the number of words. ``STEMS``: the
 same of their stems. ``TRIGRAM``: terms are substrings in any case, of three and more
@@ -20,17 +22,21 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.porter import remembered
 from tessera.functions.text import tokens
 from tessera.operators.graph import kept
+from tessera.operators.vector import Best
 
-TERMS = 200_000
+TERMS, PAIRS = 200_000, 1_000_000
+TILE = 1 << 21  # numbers added up at once
 WORD = re.compile("[a-z0-9]+")
-SCHEMA = "id long, d long, term string, f long"
+SCHEMA = "id long, d long, terms array<string>, fs array<long>"
 
 
 def postings(docs: DataFrame, id_col: str, text: Column, split=tokens) -> DataFrame:
@@ -79,30 +85,27 @@ WORDS, STEMS, TRIGRAM = _by_words, _by_stems, _by_substrings
 
 
 def counted(docs: DataFrame, asked: DataFrame, id_col: str, texts: list[Column], mode=WORDS) -> DataFrame | None:
-    """(id, d, term, f): a row with a null term for each document, and one for each asked term in it. None if nothing is asked."""
+    """(id, d, terms, fs) of every document: the asked terms in it and how often they come. None if nothing is asked."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *[F.lower(t).alias(f"t{i}") for i, t in enumerate(texts)])
 
-    def counter(sent, lengths: bool):
+    def counter(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = mode(sent.value)
             for b in batches:
                 for at in range(0, b.num_rows, 1024):
-                    cols = [b.column(i).slice(at, 1024).to_pylist() for i in range(b.num_columns)]
-                    out: list[list] = [[], [], [], []]
-                    for i, *parts in zip(*cols, strict=True):
-                        d, found = count([p or "" for p in parts])
-                        for term, f in [(None, None)] * lengths + list(found.items()):
-                            for c, v in zip(out, (i, d, term, f), strict=True):
-                                c.append(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "term" else pa.int64()) for n, c in zip(("id", "d", "term", "f"), out, strict=True)], names=["id", "d", "term", "f"])
+                    ids, *cols = [b.column(i).slice(at, 1024).to_pylist() for i in range(b.num_columns)]
+                    got = [count([p or "" for p in parts]) for parts in zip(*cols, strict=True)]
+                    out = (ids, [d for d, _ in got], [list(f) for _, f in got], [list(f.values()) for _, f in got])
+                    types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "d", "terms", "fs"])
 
         return run
 
     parts, block = [], set()
 
     def told():
-        parts.append(kept(rows.mapInArrow(counter(spark.sparkContext.broadcast(frozenset(block)), not parts), SCHEMA)))
+        parts.append(kept(rows.mapInArrow(counter(spark.sparkContext.broadcast(frozenset(block))), SCHEMA)))
         block.clear()
 
     for r in asked.select("term").where("term is not null").distinct().toLocalIterator():
@@ -113,38 +116,160 @@ def counted(docs: DataFrame, asked: DataFrame, id_col: str, texts: list[Column],
         told()
     if not parts:
         return None
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if len(parts) == 1:
+        return parts[0]
+    out = parts[0].withColumn("at", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("at", F.lit(i)))
+    found = out.groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("at", "terms", "fs"))).alias("x"))
+    return kept(found.select("id", "d", F.flatten(F.transform("x", lambda p: p["terms"])).alias("terms"), F.flatten(F.transform("x", lambda p: p["fs"])).alias("fs")))
+
+
+def frequencies(found: DataFrame) -> DataFrame:
+    """(term, n): how many documents hold each asked term."""
+    return found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _weight(docs: int, n: int) -> float:
+    return max(float(np.log((docs - n + 0.5) / (n + 0.5))), 1e-6)
+
+
+def _asked(queries: DataFrame, mode) -> DataFrame:
+    term = F.lower("term") if mode is TRIGRAM else F.col("term")
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), term.alias("term")).where("term is not null").distinct()
+
+
+def _added(batch: pa.RecordBatch, number: dict[str, int], idf: np.ndarray, start: np.ndarray, of: np.ndarray, average: float):
+    """(document numbers, questions, parts) of the postings of one batch of documents: one entry a question that asks a term.
+
+    None where those are too many to hold and the batch has several documents.
+    """
+    sizes = pa.compute.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(batch.num_rows), sizes)
+    term = np.fromiter((number.get(t, -1) for t in pa.compute.list_flatten(batch.column("terms")).to_pylist()), np.int64)
+    f = pa.compute.list_flatten(batch.column("fs")).to_numpy().astype(np.float64)
+    doc, term, f = doc[term >= 0], term[term >= 0], f[term >= 0]
+    d = batch.column("d").to_numpy().astype(np.float64)[doc]
+    part = idf[term] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / average))
+    n = start[term + 1] - start[term]
+    if n.sum() > TILE and batch.num_rows > 1:
+        return None
+    first = start[term] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+    asks = of[np.arange(n.sum()) + np.repeat(first, n)] if len(n) else np.zeros(0, np.int64)
+    return np.repeat(doc, n), asks, np.repeat(part, n)
+
+
+def _scored(found: DataFrame, asked: DataFrame, schema: str, collect, keep: DataFrame | None = None) -> DataFrame | None:
+    """Runs ``collect(block, batches)`` for blocks of questions; a block's batches are (ids, document numbers, questions, parts)."""
+    spark = found.sparkSession
+    about = found.agg(F.count("*").alias("n"), F.avg("d").alias("d")).first()
+    weighted = asked.join(frequencies(found), "term").select("query_id", "term", "n").orderBy("query_id", "term")
+    parts, rows = [], []
+
+    def told():
+        terms = sorted({r[1] for r in rows})
+        number = {t: i for i, t in enumerate(terms)}
+        ids = sorted({r[0] for r in rows})
+        place = {q: i for i, q in enumerate(ids)}
+        idf = np.zeros(len(terms))
+        pairs = np.array([(number[t], place[q]) for q, t, _ in rows], np.int64)
+        for _, t, n in rows:
+            idf[number[t]] = _weight(about["n"], n)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        start = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
+        need = np.bincount(pairs[:, 1], minlength=len(ids))
+        block = (number, idf, start, pairs[:, 1], np.array(ids, np.int64), need)
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, idf, start, of, ids, need = sent.value
+
+            def tiles():
+                step = max(1, TILE // max(len(ids), int(np.sqrt(len(of))), 1))
+                for b in batches:
+                    cuts = [b.slice(at, step) for at in range(0, b.num_rows, step)][::-1]
+                    while cuts:
+                        cut = cuts.pop()
+                        got = _added(cut, number, idf, start, of, about["d"] or 1.0)
+                        if got is None:  # terms that very many questions ask: fewer documents at once
+                            half = cut.num_rows // 2
+                            cuts += [cut.slice(half), cut.slice(0, half)]
+                        else:
+                            yield (cut.column("id").to_numpy(), *got)
+
+            yield from collect(ids, need, tiles())
+
+        held = found.where("size(terms) > 0")
+        part = (held if keep is None else held.join(keep, "id", "left_semi")).select("id", "d", "terms", "fs").mapInArrow(run, schema)
+        parts.append(part if last else kept(part))
+        rows.clear()
+
+    last = False
+    for r in weighted.toLocalIterator():
+        if len(rows) >= PAIRS and rows[-1][0] != r[0]:
+            told()
+        rows.append(tuple(r))
+    last = not parts
+    if rows:
+        told()
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
     return out
 
 
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text: Column | list[Column] | None = None, mode=WORDS) -> DataFrame:
     """(query_id, id, score, terms) of every document that holds a term of ``queries`` (query_id, term), with how many it holds."""
     texts = [F.col("text")] if text is None else text if isinstance(text, list) else [text]
-    asked = queries.select("query_id", F.lower("term").alias("term") if mode is TRIGRAM else "term").distinct()
+    asked = _asked(queries, mode)
     found = counted(docs, asked, id_col, texts, mode)
-    if found is None:
-        return asked.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("terms")).limit(0)
-    hits = found.where("term is not null")
-    one = found.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("d").alias("avg_d"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    weighted = hits.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(one)).select("term", idf.alias("idf"), "avg_d")  # one row
-    scored = hits.join(weighted, "term").select("id", "term", (F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("d") / F.col("avg_d")))).alias("part"))
-    out = asked.join(scored, "term").groupBy("query_id", "id").agg(F.sum("part").alias("total"), F.count("*").alias("terms"))
-    return out.select("query_id", "id", F.round(-F.col("total"), 6).alias("score"), "terms")
+
+    def collect(ids, need, tiles):
+        for own, doc, q, part in tiles:
+            key, at = np.unique(doc * len(ids) + q, return_inverse=True)
+            total = np.bincount(at, weights=part, minlength=len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[key % len(ids)]), pa.array(own[key // len(ids)]), pa.array(np.round(-total, 6) + 0.0), pa.array(np.bincount(at, minlength=len(key)))], names=["query_id", "id", "score", "terms"])
+
+    schema = "query_id long, id long, score double, terms long"
+    out = _scored(found, asked, schema, collect) if found is not None else None
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text: Column | list[Column] | None = None, all_terms: bool = False, mode=WORDS, keep: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) for ``queries`` (query_id, term), distinct terms of each query.
 
-    ``all_terms`` asks that every term occurs; ``keep`` (id) filters after scoring.
+    ``all_terms`` asks that every term occurs; ``keep`` (id) leaves other documents out, though
+    they count in the statistics.
     """
-    out = scores(docs, queries, id_col, text, mode)
-    if all_terms:
-        need = queries.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("need"))
-        out = out.join(need, "query_id").where("terms = need")
-    if keep is not None:
-        out = out.join(keep, "id", "left_semi")
+    texts = [F.col("text")] if text is None else text if isinstance(text, list) else [text]
+    asked = _asked(queries, mode)
+    found = counted(docs, asked, id_col, texts, mode)
+    schema = "query_id long, id long, score double"
     w = Window.partitionBy("query_id").orderBy("score", "id")
-    return out.select("query_id", "id", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    empty = docs.sparkSession.createDataFrame([], schema + ", rank int")
+    if found is None:
+        return empty
+    if all_terms:  # a question with a word that no document holds has no answers
+        asked_n = asked.groupBy("query_id").agg(F.count("*").alias("need"))
+        known = asked.join(frequencies(found), "term", "left_semi").groupBy("query_id").agg(F.count("*").alias("known"))
+        asked = asked.join(asked_n.join(known, "query_id").where("need = known"), "query_id", "left_semi")
+
+    def collect(ids, need, tiles):
+        best = Best(len(ids), k, 6, None)
+        for own, doc, q, part in tiles:
+            key = q * len(own) + doc
+            total = np.bincount(key, weights=part, minlength=len(ids) * len(own)).reshape(len(ids), len(own))
+            held = np.bincount(key, minlength=len(ids) * len(own)).reshape(len(ids), len(own))
+            best.add(0, own, np.where(held >= (need[:, None] if all_terms else 1), total, -9.0))
+        best.settle()
+        n, docs_, total = best.held
+        yield pa.RecordBatch.from_arrays([pa.array(ids[n]), pa.array(docs_), pa.array(-total + 0.0)], names=["query_id", "id", "score"])
+
+    if keep is not None:
+        kept_ids = keep.select(F.col("id").cast("long").alias("id")).distinct()
+        out = _scored(found, asked, schema, collect, kept_ids)
+    else:
+        out = _scored(found, asked, schema, collect)
+    if out is None:
+        return empty
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -140,7 +140,7 @@ def rare_terms(asks: DataFrame, memories: DataFrame, bits: float) -> DataFrame:
     found = bm25.counted(memories, terms, "id", [F.col("content")], bm25.by_runs(TOKEN.replace("A-Za-z", "a-z")))
     if found is None:
         return terms.withColumn("bits", F.lit(0.0)).limit(0)
-    df = found.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    df = bm25.frequencies(found).withColumnRenamed("n", "df")
     n = memories.agg(F.count("*").alias("n"))
     told = terms.join(df, "term", "left").join(F.broadcast(n))  # one row
     return told.select("query_id", "term", F.round(T.surprisal(F.coalesce("df", F.lit(0)), F.col("n")), 6).alias("bits")).where(F.col("bits") >= bits)

@@ -64,7 +64,7 @@ def _units(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.n
     return np.array([ids[i] for i in keep], np.int64).reshape(-1)[ok], x[ok] / np.where(size > 0, size, 1)[ok][:, None]
 
 
-class _Best:
+class Best:
     """The k best rows of each query so far; ties at ``digits`` places go to smaller ids."""
 
     def __init__(self, queries: int, k: int, digits: int, floor: float | None):
@@ -126,7 +126,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
     def search(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q = sent.value
-            best, step = _Best(len(q_ids), k, digits, floor), max(1, TILE // ROWS)
+            best, step = Best(len(q_ids), k, digits, floor), max(1, TILE // ROWS)
             for b in batches:
                 for at in range(0, b.num_rows, ROWS):
                     ids, unit = _units(b.column(0).slice(at, ROWS), b.column(1).slice(at, ROWS), dim)

@@ -128,8 +128,12 @@ def test_blocks_of_terms_agree_with_one_block(spark, monkeypatch):
     df = spark.createDataFrame(list(corpus(3).items()), "doc_id long, text string")
     q = spark.createDataFrame([(k, t) for k, t in enumerate("running connected banana the x1".split())] + [(9, "the"), (9, "x1")], "query_id long, term string")
     one = sorted(map(tuple, bm25.search(df, q, 50).collect()))
-    monkeypatch.setattr(bm25, "TERMS", 2)
-    assert sorted(map(tuple, bm25.search(df, q, 50).collect())) == one and one
+    both = sorted(map(tuple, bm25.scores(df, q).collect()))
+    for name, bound in (("TERMS", 2), ("PAIRS", 1), ("TILE", 6)):
+        with monkeypatch.context() as m:
+            m.setattr(bm25, name, bound)
+            assert sorted(map(tuple, bm25.search(df, q, 50).collect())) == one and one
+            assert sorted(map(tuple, bm25.scores(df, q).collect())) == both
     assert bm25.search(df, q.limit(0), 5).count() == 0
 
 
