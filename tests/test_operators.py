@@ -85,11 +85,6 @@ def test_bm25_equals_sqlite(spark):
     assert got == pytest.approx(want, abs=2e-6)
 
 
-def test_trigrams_overlap(spark):
-    got = spark.createDataFrame([("aaaa",), ("ab",), (None,), ("x\ny",)], "t string").select(bm25.trigrams(F.col("t")).alias("g")).collect()
-    assert [r.g for r in got] == [["aaa", "aaa"], [], [], ["x\ny"]]
-
-
 def test_topk_blocks_zero_and_null_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = vector.topk(df, df, 2).where("query_id = 1").orderBy("rank").collect()
