@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
+from .alignment import PLAIN, merge_ranks
 from .common import Memo, bounded_batches
 
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -50,6 +51,7 @@ class Template:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ranks = merge_ranks(path)
         self.first = self.tokenizer.get_vocab_size()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.special]
         letters = vocab.byte_letters()
@@ -67,7 +69,8 @@ class Template:
         return self.escaped.sub(lambda m: m[0][0] + m[0][2:], text)
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        plain = self.ranks is not None and PLAIN.fullmatch(text)
+        return np.array(self.ranks.encode_ordinary(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.memo[self.escape((text or "").encode("utf-8", "replace").decode())]

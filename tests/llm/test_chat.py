@@ -24,6 +24,7 @@ def test_escaping_is_undone_and_hides_marks(text):
     assert made.unescape(told) == text
     assert not any(m in told for m in (*C.MARKS, *made.special))
     assert made.decode(made.encode(text)) == told
+    assert made.encode(text).tolist() == made.tokenizer.encode(told, add_special_tokens=False).ids
 
 
 @settings(max_examples=100, deadline=None)
