@@ -5,7 +5,7 @@ and at least 1e-6: negative, smaller is better. N, avgD and n never see filters.
 
 One pass reads the texts: it tells each document's length and counts the asked terms only, one
 row a document with the terms that it holds. The asked terms travel in blocks of at most
-``TERMS``; more take further passes. What a pass finds is a written table, from which document
+``TERMS`` and ``TERM_BYTES``; more take further passes. What a pass finds is a written table, from which document
 counts and lengths are taken; then questions meet it in blocks of at most ``PAIRS`` (question,
 term) pairs. Each partition adds up its documents' scores tile by tile and keeps its k best of
 each question, so no (question, document) pair but those becomes a row.
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.porter import remembered
 from tessera.functions.text import tokens
-from tessera.operators.graph import kept
+from tessera.operators.graph import kept, only, sent
 from tessera.operators.vector import Best
 
-TERMS, PAIRS = 200_000, 1_000_000
+TERMS, TERM_BYTES, PAIRS = 200_000, 16 << 20, 250_000
 TILE = 1 << 21  # numbers added up at once
 WORD = re.compile("[a-z0-9]+")
-SCHEMA = "id long, d long, terms array<string>, fs array<long>"
+SCHEMA = "id long, d long, terms array<string>, fs array<long>, facets array<string>"
 
 
 def postings(docs: DataFrame, id_col: str, text: Column, split=tokens) -> DataFrame:
@@ -84,34 +84,41 @@ def by_runs(pattern: str):
 WORDS, STEMS, TRIGRAM = _by_words, _by_stems, _by_substrings
 
 
-def counted(docs: DataFrame, asked: DataFrame, id_col: str, texts: list[Column], mode=WORDS) -> DataFrame | None:
-    """(id, d, terms, fs) of every document: the asked terms in it and how often they come. None if nothing is asked."""
+def counted(docs: DataFrame, asked: DataFrame, id_col: str, texts: list[Column], mode=WORDS, facets: list[Column] | None = None) -> DataFrame | None:
+    """(id, d, terms, fs, facets) of every document: the asked terms in it and how often they come. None if nothing is asked.
+
+    ``facets`` are strings of the document that questions may ask for.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *[F.lower(t).alias(f"t{i}") for i, t in enumerate(texts)])
+    facet = F.array(*[f.cast("string") for f in facets or []]).cast("array<string>").alias("facets")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), facet, *[F.lower(t).alias(f"t{i}") for i, t in enumerate(texts)])
 
-    def counter(sent):
+    def counter(asked_terms):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count = mode(sent.value)
+            count = mode(asked_terms.value)
             for b in batches:
                 for at in range(0, b.num_rows, 1024):
-                    ids, *cols = [b.column(i).slice(at, 1024).to_pylist() for i in range(b.num_columns)]
+                    ids, _, *cols = [b.column(i).slice(at, 1024).to_pylist() if i != 1 else None for i in range(b.num_columns)]
                     got = [count([p or "" for p in parts]) for parts in zip(*cols, strict=True)]
                     out = (ids, [d for d, _ in got], [list(f) for _, f in got], [list(f.values()) for _, f in got])
                     types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "d", "terms", "fs"])
+                    cols = [*[pa.array(c, t) for c, t in zip(out, types, strict=True)], b.column(1).slice(at, 1024)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["id", "d", "terms", "fs", "facets"])
 
         return run
 
-    parts, block = [], set()
+    parts, block, size = [], set(), 0
 
     def told():
-        parts.append(kept(rows.mapInArrow(counter(spark.sparkContext.broadcast(frozenset(block))), SCHEMA)))
+        parts.append(kept(rows.mapInArrow(counter(sent(spark, frozenset(block))), SCHEMA)))
         block.clear()
 
     for r in asked.select("term").where("term is not null").distinct().toLocalIterator():
         block.add(r["term"])
-        if len(block) >= TERMS:
+        size += len(r["term"])
+        if len(block) >= TERMS or size >= TERM_BYTES:
             told()
+            size = 0
     if block:
         told()
     if not parts:
@@ -121,8 +128,8 @@ def counted(docs: DataFrame, asked: DataFrame, id_col: str, texts: list[Column],
     out = parts[0].withColumn("at", F.lit(0))
     for i, p in enumerate(parts[1:], 1):
         out = out.unionByName(p.withColumn("at", F.lit(i)))
-    found = out.groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("at", "terms", "fs"))).alias("x"))
-    return kept(found.select("id", "d", F.flatten(F.transform("x", lambda p: p["terms"])).alias("terms"), F.flatten(F.transform("x", lambda p: p["fs"])).alias("fs")))
+    found = out.groupBy("id", "d", "facets").agg(F.array_sort(F.collect_list(F.struct("at", "terms", "fs"))).alias("x"))
+    return kept(found.select("id", "d", F.flatten(F.transform("x", lambda p: p["terms"])).alias("terms"), F.flatten(F.transform("x", lambda p: p["fs"])).alias("fs"), "facets"))
 
 
 def frequencies(found: DataFrame) -> DataFrame:
@@ -159,11 +166,31 @@ def _added(batch: pa.RecordBatch, number: dict[str, int], idf: np.ndarray, start
     return np.repeat(doc, n), asks, np.repeat(part, n)
 
 
-def _scored(found: DataFrame, asked: DataFrame, schema: str, collect, keep: DataFrame | None = None) -> DataFrame | None:
-    """Runs ``collect(block, batches)`` for blocks of questions; a block's batches are (ids, document numbers, questions, parts)."""
+def _passing(batch: pa.RecordBatch, wanted: list[tuple[list, np.ndarray]], questions: int) -> np.ndarray | None:
+    """[question, document]: whether the document's facets are among those that the question wants; None if no question wants any."""
+    if not wanted:
+        return None
+    out, lists = np.ones((questions, batch.num_rows), bool), batch.column("facets")
+    n = pa.compute.max(pa.compute.list_value_length(lists)).as_py() or 0
+    facets = [pa.compute.list_element(lists, i).dictionary_encode() for i in range(n)]
+    codes = [f.indices.fill_null(len(f.dictionary)).to_numpy() for f in facets]
+    known = [f.dictionary.to_pylist() for f in facets]
+    for values, which in wanted:
+        ok = np.ones(batch.num_rows, bool)
+        for v, code, names in zip(values, codes, known, strict=True):
+            if v is not None:
+                ok &= np.array([*[x in v for x in names], False])[code]
+        out[which] &= ok
+    return out
+
+
+def _scored(found: DataFrame, asked: DataFrame, schema: str, collect, keep: DataFrame | None = None, wants: DataFrame | None = None, eligible: DataFrame | None = None) -> DataFrame | None:
+    """Runs ``collect(ids, need, tiles)`` for blocks of questions; tiles are (ids, document numbers, questions, parts, passing)."""
     spark = found.sparkSession
     about = found.agg(F.count("*").alias("n"), F.avg("d").alias("d")).first()
-    weighted = asked.join(frequencies(found), "term").select("query_id", "term", "n").orderBy("query_id", "term")
+    weighted = asked.join(frequencies(found), "term").select("query_id", "term", "n")
+    wants = weighted.select("query_id").limit(0).withColumn("wants", F.lit(None).cast("array<array<string>>")) if wants is None else wants
+    weighted = weighted.join(wants, "query_id", "left").select("query_id", "term", "n", "wants").orderBy("query_id", "term")
     parts, rows = [], []
 
     def told():
@@ -172,17 +199,20 @@ def _scored(found: DataFrame, asked: DataFrame, schema: str, collect, keep: Data
         ids = sorted({r[0] for r in rows})
         place = {q: i for i, q in enumerate(ids)}
         idf = np.zeros(len(terms))
-        pairs = np.array([(number[t], place[q]) for q, t, _ in rows], np.int64)
-        for _, t, n in rows:
+        pairs = np.array([(number[t], place[q]) for q, t, _, _ in rows], np.int64)
+        alike: dict = {}
+        for q, t, n, w in rows:
             idf[number[t]] = _weight(about["n"], n)
+            if w is not None:
+                alike.setdefault(tuple(v if v is None else tuple(sorted(v)) for v in w), set()).add(place[q])
+        wanted = [([v if v is None else frozenset(v) for v in k], np.array(sorted(qs))) for k, qs in alike.items()]
         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
         start = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
         need = np.bincount(pairs[:, 1], minlength=len(ids))
-        block = (number, idf, start, pairs[:, 1], np.array(ids, np.int64), need)
-        sent = spark.sparkContext.broadcast(block)
+        block = sent(spark, (number, idf, start, pairs[:, 1], np.array(ids, np.int64), need, wanted))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number, idf, start, of, ids, need = sent.value
+            number, idf, start, of, ids, need, wanted = block.value
 
             def tiles():
                 step = max(1, TILE // max(len(ids), int(np.sqrt(len(of))), 1))
@@ -195,12 +225,12 @@ def _scored(found: DataFrame, asked: DataFrame, schema: str, collect, keep: Data
                             half = cut.num_rows // 2
                             cuts += [cut.slice(half), cut.slice(0, half)]
                         else:
-                            yield (cut.column("id").to_numpy(), *got)
+                            yield (cut.column("id").to_numpy(), *got, _passing(cut, wanted, len(ids)))
 
             yield from collect(ids, need, tiles())
 
-        held = found.where("size(terms) > 0")
-        part = (held if keep is None else held.join(keep, "id", "left_semi")).select("id", "d", "terms", "fs").mapInArrow(run, schema)
+        held = (found if eligible is None else eligible).where("size(terms) > 0")
+        part = (held if keep is None else held.join(keep, "id", "left_semi")).select("id", "d", "terms", "fs", "facets").mapInArrow(run, schema)
         parts.append(part if last else kept(part))
         rows.clear()
 
@@ -218,32 +248,25 @@ def _scored(found: DataFrame, asked: DataFrame, schema: str, collect, keep: Data
     return out
 
 
-def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text: Column | list[Column] | None = None, mode=WORDS) -> DataFrame:
-    """(query_id, id, score, terms) of every document that holds a term of ``queries`` (query_id, term), with how many it holds."""
-    texts = [F.col("text")] if text is None else text if isinstance(text, list) else [text]
-    asked = _asked(queries, mode)
-    found = counted(docs, asked, id_col, texts, mode)
-
-    def collect(ids, need, tiles):
-        for own, doc, q, part in tiles:
-            key, at = np.unique(doc * len(ids) + q, return_inverse=True)
-            total = np.bincount(at, weights=part, minlength=len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[key % len(ids)]), pa.array(own[key // len(ids)]), pa.array(np.round(-total, 6) + 0.0), pa.array(np.bincount(at, minlength=len(key)))], names=["query_id", "id", "score", "terms"])
-
-    schema = "query_id long, id long, score double, terms long"
-    out = _scored(found, asked, schema, collect) if found is not None else None
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text: Column | list[Column] | None = None, all_terms: bool = False, mode=WORDS, keep: DataFrame | None = None) -> DataFrame:
+def search(
+    docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text: Column | list[Column] | None = None, all_terms: bool = False, mode=WORDS, keep: DataFrame | None = None,
+    may: Column | None = None, facets: list[Column] | None = None, wants: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, id, score, rank) for ``queries`` (query_id, term), distinct terms of each query.
 
-    ``all_terms`` asks that every term occurs; ``keep`` (id) leaves other documents out, though
-    they count in the statistics.
+    ``all_terms`` asks that every term occurs. Documents that are not in ``keep`` (id), or for
+    which ``may`` is not true, are left out, though they count in the statistics. ``wants``
+    (query_id, wants) narrows single queries: an array with one array of allowed values for
+    each of the documents' ``facets``, null where any will do.
     """
     texts = [F.col("text")] if text is None else text if isinstance(text, list) else [text]
+    facets = [*(facets or []), *([] if may is None else [F.when(may, "")])]
+    return only(lambda: _searched(docs, queries, k, id_col, texts, all_terms, mode, keep, may is not None, facets, wants))
+
+
+def _searched(docs, queries, k, id_col, texts, all_terms, mode, keep, by_may, facets, wants) -> DataFrame:
     asked = _asked(queries, mode)
-    found = counted(docs, asked, id_col, texts, mode)
+    found = counted(docs, asked, id_col, texts, mode, facets)
     schema = "query_id long, id long, score double"
     w = Window.partitionBy("query_id").orderBy("score", "id")
     empty = docs.sparkSession.createDataFrame([], schema + ", rank int")
@@ -253,23 +276,24 @@ def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id",
         asked_n = asked.groupBy("query_id").agg(F.count("*").alias("need"))
         known = asked.join(frequencies(found), "term", "left_semi").groupBy("query_id").agg(F.count("*").alias("known"))
         asked = asked.join(asked_n.join(known, "query_id").where("need = known"), "query_id", "left_semi")
+    if wants is not None and by_may:
+        wants = wants.select("query_id", F.concat("wants", F.array(F.lit(None).cast("array<string>"))).alias("wants"))
 
     def collect(ids, need, tiles):
         best = Best(len(ids), k, 6, None)
-        for own, doc, q, part in tiles:
+        for own, doc, q, part, passing in tiles:
             key = q * len(own) + doc
             total = np.bincount(key, weights=part, minlength=len(ids) * len(own)).reshape(len(ids), len(own))
             held = np.bincount(key, minlength=len(ids) * len(own)).reshape(len(ids), len(own))
-            best.add(0, own, np.where(held >= (need[:, None] if all_terms else 1), total, -9.0))
+            ok = held >= (need[:, None] if all_terms else 1)
+            best.add(0, own, np.where(ok if passing is None else ok & passing, total, -9.0))
         best.settle()
         n, docs_, total = best.held
         yield pa.RecordBatch.from_arrays([pa.array(ids[n]), pa.array(docs_), pa.array(-total + 0.0)], names=["query_id", "id", "score"])
 
-    if keep is not None:
-        kept_ids = keep.select(F.col("id").cast("long").alias("id")).distinct()
-        out = _scored(found, asked, schema, collect, kept_ids)
-    else:
-        out = _scored(found, asked, schema, collect)
+    held = found.where(F.element_at("facets", -1).isNotNull()) if by_may else found
+    kept_ids = None if keep is None else keep.select(F.col("id").cast("long").alias("id")).distinct()
+    out = _scored(found, asked, schema, collect, kept_ids, wants, held)
     if out is None:
         return empty
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +40,38 @@ def kept(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    if _open.get() is not None:
+        _open.get().append(out)
+    return out
+
+
+#: What the innermost ``only`` of this thread has to take away: tables and broadcasts.
+_open: ContextVar[list | None] = ContextVar("open", default=None)
+
+
+def sent(spark: SparkSession, value: Any):
+    """A broadcast, taken away with the tables of the ``only`` that it is made in."""
+    out = spark.sparkContext.broadcast(value)
+    if _open.get() is not None:
+        _open.get().append(out)
+    return out
+
+
+def only(make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``make()`` as a table; all tables and broadcasts that were made for them are taken away."""
+    outer, inner, out = _open.get(), [], None
+    mark = _open.set(inner)
+    try:
+        out = kept(make())
+    finally:
+        _open.reset(mark)
+        for x in inner:
+            if not isinstance(x, DataFrame):
+                x.destroy()
+            elif x is not out:
+                forgotten(x)
+    if outer is not None:
+        outer.append(out)
     return out
 
 
@@ -52,6 +87,10 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "
 
     The frontier grows from both endpoints of the edges found, whatever the direction.
     """
+    return only(lambda: _neighbors(edges, seeds, depth, direction))
+
+
+def _neighbors(edges: DataFrame, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
     cols = edges.select("id", "subject", "object")
     out = cols.select("id", F.col("subject").alias("node"))
     into = cols.select("id", F.col("object").alias("node"))
@@ -97,6 +136,10 @@ def pageranks(links: DataFrame, seeds: DataFrame, iterations: int = 10, damping:
 
     Each round is a table; mass only stands where a question's walk got to.
     """
+    return only(lambda: _pageranks(links, seeds, iterations, damping))
+
+
+def _pageranks(links: DataFrame, seeds: DataFrame, iterations: int, damping: float) -> DataFrame:
     seeds = seeds.distinct().join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
     share = seeds.groupBy("query_id").agg(F.count("*").alias("n"))
     start = kept(seeds.join(share, "query_id").select("query_id", "node", (F.lit(1.0) / F.col("n")).alias("mass")))

@@ -4,19 +4,22 @@ Roles: ``asks`` (query_id, text, vec_id, embedding; vec_id is the row whose vect
 null), ``memories`` (id, content, type, project, session, created_at, confidence), ``vectors``
 (id, embedding), ``usage`` (memory_id, strength, dormant), ``phrases`` (phrase_id, memory_id,
 text). Every stage takes and returns (query_id, id, ..., rank) rows of at most a pool a
-question; only the searches of the arms read all memories.
+question; only the searches of the arms read all memories. Stages run when they are asked for,
+each once; ``graph.only`` around one keeps its rows and takes the others' tables away.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as X
 from tessera.functions import text as T
-from tessera.operators import bm25, filters, fusion, graph, planning, vector
+from tessera.operators import bm25, filters, fusion, graph, models, planning, vector
 
 # Fixed value: questions about several points in time, which a scorer of single rows would spoil.
 ENDPOINTS = (
@@ -75,11 +78,18 @@ def focus(asks: DataFrame, most: int) -> DataFrame:
     return rows.where(F.col("term").rlike("^[a-z0-9]+$")).select("query_id", "term")
 
 
-def keyword_arm(asks: DataFrame, found: DataFrame, memories: DataFrame, allowed=None) -> DataFrame:
-    """(query_id, id, rank) of the keyword scores ``found``: filters first, then the pool."""
-    rows = found.join(asks.drop("embedding"), "query_id").join(memories, "id").where("type <> 'SYSTEM'")
-    rows = rows.where(allowed) if allowed is not None else rows
-    return best(rows.select("query_id", "id", "score", "pool"), F.col("pool"), "score", "id").select("query_id", "id", "rank")
+def wanted(parts: Column) -> Column:
+    """What a question's inline filters ask of (type, project): an array of allowed values each, null where any will do."""
+    of = lambda key: F.try_element_at(F.filter(parts, lambda p: p["key"] == key), F.lit(-1))["value"]
+    types = F.filter(F.transform(F.split(F.upper(of("type")), ","), F.trim), lambda t: t != "")
+    return F.array(types, F.when(of("project").isNotNull(), F.array(of("project"))))
+
+
+def keyword_arm(asks: DataFrame, terms: DataFrame, memories: DataFrame, parts: Column | None = None, most: int = 80) -> DataFrame:
+    """(query_id, id, rank): the pool of each question by keywords. Filters stand before the pool: the search passes over what they leave out."""
+    facets, wants = ([F.col("type"), F.col("project")], asks.select("query_id", wanted(parts).alias("wants"))) if parts is not None else (None, None)
+    found = bm25.search(memories, terms, most, "id", F.col("content"), may=F.col("type") != "SYSTEM", facets=facets, wants=wants)
+    return found.join(asks.select("query_id", "pool"), "query_id").where("rank <= pool").select("query_id", "id", "rank")
 
 
 def expansion(keyword: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
@@ -168,26 +178,39 @@ class Recall:
     now: str
     settings: Settings = Settings()
     parts: Column | None = None  # inline filters of the asks that narrow the arms
+    embed: Callable[[], Callable] | None = None  # makes a model of texts; its vectors stand for the questions' expansions
+    score: Callable[[], Callable] | None = None  # makes a model of (questions, contents) whose values reorder the head
 
     def __post_init__(self):
-        s = self.settings
         mode, k, pool, floor = planning.plan_columns(F.col("text"))
         self.asks = graph.kept(self.asks.select("*", mode, k, pool, floor))
-        allowed = None if self.parts is None else filters.allowed(self.parts, filters.SEARCH_KEYS, F.col("content"), F.col("created_at"), F.col("type"), F.col("project"))
-        self.terms = graph.kept(focus(self.asks, s.terms))
-        self.found = graph.kept(bm25.scores(self.memories, self.terms, "id", F.col("content")))
-        self.by_vector = graph.kept(vector_arm(self.asks, self.vectors, self.memories, allowed=allowed))
-        self.by_keyword = graph.kept(keyword_arm(self.asks, self.found, self.memories, allowed))
-        extra = self.asks.drop("embedding", "vec_id").join(expansion(self.by_keyword, self.vectors, s.centroid), "query_id").withColumn("vec_id", F.lit(None).cast("long"))
-        self.by_expansion = graph.kept(vector_arm(extra, self.vectors, self.memories, allowed=allowed))
-        self.allowed = allowed
-        self._named = None
-
-    @property
+        self.allowed = None if self.parts is None else filters.allowed(self.parts, filters.SEARCH_KEYS, F.col("content"), F.col("created_at"), F.col("type"), F.col("project"))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return graph.kept(focus(self.asks, self.settings.terms))
+
+    @cached_property
+    def by_vector(self) -> DataFrame:
+        return graph.only(lambda: vector_arm(self.asks, self.vectors, self.memories, allowed=self.allowed))
+
+    @cached_property
+    def by_keyword(self) -> DataFrame:
+        return graph.kept(keyword_arm(self.asks, self.terms, self.memories, self.parts))
+
+    @cached_property
+    def by_expansion(self) -> DataFrame:
+        asks = self.asks.drop("embedding", "vec_id")
+        if self.embed is None:
+            told = asks.join(expansion(self.by_keyword, self.vectors, self.settings.centroid), "query_id")
+        else:
+            told = models.applied(asks, ["text"], self.embed, "embedding", "array<double>").where("embedding is not null").drop("embedding_error")
+        extra = graph.kept(told.withColumn("vec_id", F.lit(None).cast("long")))
+        return graph.only(lambda: vector_arm(extra, self.vectors, self.memories, allowed=self.allowed))
+
+    @cached_property
     def named(self) -> DataFrame:
-        if self._named is None:
-            self._named = graph.kept(members(self.memories, self.settings.max_df))
-        return self._named
+        return graph.kept(members(self.memories, self.settings.max_df))
 
     def narrowed(self, arm: DataFrame) -> DataFrame:
         """An arm's rows that the question's own filters allow, in their order."""
@@ -196,8 +219,12 @@ class Recall:
         rows = arm.withColumnRenamed("rank", "r").join(self.asks.drop("embedding"), "query_id").join(self.memories, "id").where(self.allowed)
         return best(rows.select("query_id", "id", "r"), 2**31 - 1, "r").select("query_id", "id", "rank")
 
+    @cached_property
+    def _fused(self) -> DataFrame:
+        return graph.kept(fusion.rrf([self.by_vector, self.by_expansion, self.by_keyword], self.settings.rrf_k))
+
     def fused(self) -> DataFrame:
-        return fusion.rrf([self.by_vector, self.by_expansion, self.by_keyword], self.settings.rrf_k)
+        return self._fused
 
     def with_phrases(self) -> DataFrame:
         return fusion.fold_arm(self.fused(), self.narrowed(phrase_arm(self.terms, self.phrases, self.memories, self.settings.phrases)), self.settings.rrf_k)
@@ -221,12 +248,20 @@ class Recall:
         return fusion.composite(rows, age, F.col("confidence"), F.col("strength"))
 
     def reranked(self) -> DataFrame:
-        """(query_id, id, composite, rank): the head by how many of the question's terms a row holds, where the question's form allows."""
+        """(query_id, id, composite, rank): the head by a score, where the question's form allows: ``score``'s, or how many of the question's terms a row holds."""
         rows = graph.kept(self.rescored().select("query_id", "id", "composite", F.col("final_rank").alias("rank")))
         text = F.col("text")
+        head = rows.where(F.col("rank") <= self.settings.head).select("query_id", "id")
+        held = self.memories.join(head.select("id").distinct(), "id", "left_semi").select("id", "content")
+        if self.score is None:
+            words = held.select("id", F.explode(F.array_distinct(T.tokens(F.col("content")))).alias("term"))
+            told = head.join(self.terms, "query_id").join(words, ["id", "term"]).groupBy("query_id", "id").agg(F.count("*").alias("value"))
+        else:
+            pairs = head.join(self.asks.select("query_id", F.col("text").alias("question")), "query_id").join(held, "id")
+            told = models.applied(pairs, ["question", "content"], self.score, "value", "double").select("query_id", "id", "value")
         plain = self.asks.select("query_id", (planning.intents(text)["counting"] | planning.has(text, ENDPOINTS)).alias("as_is"))
-        rows = rows.join(plain, "query_id").join(self.found.select("query_id", "id", "terms"), ["query_id", "id"], "left")
-        scorer = F.when(F.col("as_is"), 0).otherwise(F.coalesce("terms", F.lit(0)))
+        rows = rows.join(plain, "query_id").join(told, ["query_id", "id"], "left")
+        scorer = F.when(F.col("as_is"), 0).otherwise(F.coalesce("value", F.lit(0)))
         return fusion.rerank_head(rows, scorer, self.settings.head).select("query_id", "id", "composite", F.col("new_rank").alias("rank"))
 
     def boosted(self) -> DataFrame:

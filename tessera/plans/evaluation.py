@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -294,7 +296,7 @@ def x1(spark, sf_dir):
 
 
 X2 = """with s as (select conv_id, string_agg(text, ' ' order by turn) as whole, arg_max(text, turn) as last from conversations group by 1),
-q as (select conv_id, case when conv_id % 3 = 0 then upper(last) when conv_id % 3 = 1 then last || ' never said' else last end as span, case when conv_id % 7 = 0 then conv_id + 1000000000 else conv_id end as session from s)
+q as (select conv_id, case when conv_id % 3 = 0 then translate(last, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when conv_id % 3 = 1 then last || ' never said' else last end as span, case when conv_id % 7 = 0 then conv_id + 1000000000 else conv_id end as session from s)
 select q.conv_id, s.conv_id is not null as session_exists, coalesce(contains(lower(whole), lower(span)), false) as resolved from q left join s on s.conv_id = q.session"""
 
 
@@ -303,7 +305,7 @@ def x2(spark, sf_dir):
     """Whether a quoted span stands, in any case, in the session that it names; the spans are whole last turns, some of them changed."""
     c = messages(spark, sf_dir).groupBy("session_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("message_index", "text"))), lambda x: x["text"])).alias("whole"), F.max_by("text", "message_index").alias("last"))
     k = F.col("session_id")
-    span = F.when(k % 3 == 0, F.upper("last")).when(k % 3 == 1, F.concat("last", F.lit(" never said"))).otherwise(F.col("last"))
+    span = F.when(k % 3 == 0, F.translate("last", ascii_lowercase, ascii_uppercase)).when(k % 3 == 1, F.concat("last", F.lit(" never said"))).otherwise(F.col("last"))
     q = c.select(k.alias("conv_id"), span.alias("span"), F.when(k % 7 == 0, k + 1000000000).otherwise(k).alias("session_id"))
     j = q.join(c.select("session_id", "whole"), "session_id", "left")
     return j.select("conv_id", F.col("whole").isNotNull().alias("session_exists"), F.coalesce(F.contains(F.lower("whole"), F.lower("span")), F.lit(False)).alias("resolved"))

@@ -13,6 +13,7 @@ from tessera.catalog import query
 from tessera.functions import lexicon as X_
 from tessera.functions import scoring as S
 from tessera.operators import filters as X
+from tessera.operators import graph as G
 from tessera.operators import recall as R
 from tessera.plans.retrieval import AGGREGATING, COUNTING, FOCUS_SQL, said
 from tessera.sources.tables import SQL_MEMORIES, SQL_USAGE, memories, messages, table, usage_events
@@ -140,54 +141,54 @@ FOLDED = "select query_id, id, rrf_score, rank::int as rank from {}"
 @query("r10_rrf_fuse", f"with {SQL} {FOLDED.format('fused')}")
 def r10(spark, sf_dir):
     """The vector arm, the expansion's vector arm and the keyword arm, fused."""
-    return _ranked(of(spark, sf_dir).fused())
+    return G.only(lambda: _ranked(of(spark, sf_dir).fused()))
 
 
 @query("r11_fold_ranked_arm", f"with {SQL} {FOLDED.format('f1')}")
 def r11(spark, sf_dir):
     """Memories whose phrases answer the question, folded in as a further ranked arm."""
-    return _ranked(of(spark, sf_dir).with_phrases())
+    return G.only(lambda: _ranked(of(spark, sf_dir).with_phrases()))
 
 
 @query("r12_session_expand", f"with {SQL} {FOLDED.format('f2')}")
 def r12(spark, sf_dir):
     """Rows of the three sessions that the best rows touch, up to twelve each, folded in."""
-    return _ranked(of(spark, sf_dir).with_sessions())
+    return G.only(lambda: _ranked(of(spark, sf_dir).with_sessions()))
 
 
 @query("r14_bridge_fold", f"with {SQL} {FOLDED.format('f3')}")
 def r14(spark, sf_dir):
     """Memories that share names with the first five, where they were missing."""
-    return _ranked(of(spark, sf_dir).with_bridges())
+    return G.only(lambda: _ranked(of(spark, sf_dir).with_bridges()))
 
 
 @query("r15_ppr_fold", f"with {SQL} {FOLDED.format('f4')}")
 def r15(spark, sf_dir):
     """Memories near the question's names in the graph of names, folded in."""
-    return _ranked(of(spark, sf_dir).with_walks())
+    return G.only(lambda: _ranked(of(spark, sf_dir).with_walks()))
 
 
 @query("r16_composite_rescore", f"with {SQL} select query_id, id, composite, rank::int as final_rank from co")
 def r16(spark, sf_dir):
-    return of(spark, sf_dir).rescored().select("query_id", "id", "composite", "final_rank")
+    return G.only(lambda: of(spark, sf_dir).rescored().select("query_id", "id", "composite", "final_rank"))
 
 
 @query("r18_rerank", f"with {SQL} select query_id, id, rank::int as new_rank from rk")
 def r18(spark, sf_dir):
     """A scorer (how many of the question's words a row holds) reorders the first twenty; the tail stays."""
-    return of(spark, sf_dir).reranked().select("query_id", "id", F.col("rank").alias("new_rank"))
+    return G.only(lambda: of(spark, sf_dir).reranked().select("query_id", "id", F.col("rank").alias("new_rank")))
 
 
 @query("r17_exact_boost", f"with {SQL} select query_id, id, boost, rank::int as new_rank from bo")
 def r17(spark, sf_dir):
     """Rows with rare words of the question move up by their surprisal."""
-    return of(spark, sf_dir).boosted().select("query_id", "id", "boost", F.col("rank").alias("new_rank"))
+    return G.only(lambda: of(spark, sf_dir).boosted().select("query_id", "id", "boost", F.col("rank").alias("new_rank")))
 
 
 @query("r19_hybrid_recall", f"with {SQL} select query_id, id, composite, similarity, rank::int as rank from recalled")
 def r19(spark, sf_dir):
     """The whole recall: three arms, fusion, four folds, rescoring, reranking, dormant rows out, rare words up, the token budget."""
-    return of(spark, sf_dir).recalled().select("query_id", "id", "composite", "similarity", "rank")
+    return G.only(lambda: of(spark, sf_dir).recalled().select("query_id", "id", "composite", "similarity", "rank"))
 
 
 ROUTE_ASKS = "select item_id as query_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, item_id * 20 as vec_id from benchmark"
@@ -207,14 +208,14 @@ def r22(spark, sf_dir):
     text, parts = X.inline_filters(F.concat("text", suffix))
     asks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"), parts.alias("parts"))
     replaced = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") + 1).alias("by")).distinct()
-    return R.route(of(spark, sf_dir, asks, F.col("parts")), replaced, 0.2)
+    return G.only(lambda: R.route(of(spark, sf_dir, asks, F.col("parts")), replaced, 0.2))
 
 
 @query("r25_transcript_pointers", f"with {SQL} select query_id, id, session, session in (select 's' || conv_id::varchar from conversations) as available from recalled join mem using (id) where rank <= 5")
 def r25(spark, sf_dir):
     """A pointer for each recalled row, with whether its session was exported; unavailable ones stay."""
     have = messages(spark, sf_dir).select(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("session"), F.lit(True).alias("available")).distinct()
-    p = of(spark, sf_dir).recalled().where("rank <= 5").select("query_id", "id").join(memories(spark, sf_dir).select("id", "session"), "id")
+    p = G.only(lambda: of(spark, sf_dir).recalled().where("rank <= 5").select("query_id", "id")).join(memories(spark, sf_dir).select("id", "session"), "id")
     return p.join(have, "session", "left").select("query_id", "id", "session", F.coalesce("available", F.lit(False)).alias("available"))
 
 
@@ -223,11 +224,14 @@ def j15(spark, sf_dir):
     """Conflict pairs whose two ends are both in a recalled set."""
     l = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("p"), "l_suppkey").where("p <> l_suppkey")  # noqa: E741
     cf = l.select(F.least("p", "l_suppkey").alias("a"), F.greatest("p", "l_suppkey").alias("b")).distinct()
-    rr = of(spark, sf_dir).fused().select("query_id", "id")
+    rr = G.only(lambda: of(spark, sf_dir).fused().select("query_id", "id"))
     return cf.join(rr.withColumnRenamed("id", "a"), "a").join(rr.withColumnRenamed("id", "b"), ["query_id", "b"]).select("query_id", "a", "b")
 
 
 @query("so1_union_of_arms", f"with {SQL} select query_id, id, count(*)::bigint as arms from (select query_id, id from by_v union all select query_id, id from by_k) group by all")
 def so1(spark, sf_dir):
-    r = of(spark, sf_dir)
-    return r.by_vector.select("query_id", "id").unionByName(r.by_keyword.select("query_id", "id")).groupBy("query_id", "id").agg(F.count("*").alias("arms"))
+    def arms():
+        r = of(spark, sf_dir)
+        return r.by_vector.select("query_id", "id").unionByName(r.by_keyword.select("query_id", "id")).groupBy("query_id", "id").agg(F.count("*").alias("arms"))
+
+    return G.only(arms)

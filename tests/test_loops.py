@@ -128,15 +128,91 @@ def test_blocks_of_terms_agree_with_one_block(spark, monkeypatch):
     df = spark.createDataFrame(list(corpus(3).items()), "doc_id long, text string")
     q = spark.createDataFrame([(k, t) for k, t in enumerate("running connected banana the x1".split())] + [(9, "the"), (9, "x1")], "query_id long, term string")
     one = sorted(map(tuple, bm25.search(df, q, 50).collect()))
-    both = sorted(map(tuple, bm25.scores(df, q).collect()))
-    for name, bound in (("TERMS", 2), ("PAIRS", 1), ("TILE", 6)):
+    for name, bound in (("TERMS", 2), ("TERM_BYTES", 3), ("PAIRS", 1), ("TILE", 6)):
         with monkeypatch.context() as m:
             m.setattr(bm25, name, bound)
             assert sorted(map(tuple, bm25.search(df, q, 50).collect())) == one and one
-            assert sorted(map(tuple, bm25.scores(df, q).collect())) == both
     assert bm25.search(df, q.limit(0), 5).count() == 0
 
 
+def test_filters_of_single_questions_stand_before_the_cut(spark, monkeypatch):
+    rows = [(i, t, "abc"[i % 3] if i % 5 else None, str(i % 2), i % 4 > 0) for i, t in corpus(3).items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, place string, ok boolean")
+    terms = ["running", "connected", "the", "x1"]
+    q = spark.createDataFrame([(k, t) for k in range(6) for t in terms[k % 3 :]], "query_id long, term string")
+    wants = {0: [["a"], None], 1: [["a", "c"], ["1"]], 2: [None, ["0"]], 3: [["z"], None], 4: [None, None]}
+    w = spark.createDataFrame(list(wants.items()), "query_id long, wants array<array<string>>")
+    every = {}
+    for r in bm25.search(df, q, 10_000).collect():
+        every.setdefault(r.query_id, []).append((r.score, r.id))
+    of = {r[0]: r for r in rows}
+    passes = lambda k, d: of[d][4] and all(v is None or of[d][2 + i] in v for i, v in enumerate(wants.get(k, [])))
+    want = sorted((k, d, s, n) for k, found in every.items() for n, (s, d) in enumerate([x for x in sorted(found) if passes(k, x[1])][:4], 1))
+    for tile in (bm25.TILE, 6):
+        monkeypatch.setattr(bm25, "TILE", tile)
+        got = bm25.search(df, q, 4, may=F.col("ok"), facets=[F.col("kind"), F.col("place")], wants=w)
+        assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in got.collect()) == want and len(want) > 10
+
+
+def test_only_takes_tables_away(spark):
+    from pathlib import Path
+
+    from tessera.operators import graph
+
+    folder = Path(graph.shared_folder(spark).removeprefix("file:")) / "tessera"
+    before = set(folder.glob("kept-*")) if folder.exists() else set()
+    df = spark.createDataFrame([(i, f"w{i % 7} the") for i in range(50)], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "the"), (1, "w3")], "query_id long, term string")
+    assert bm25.search(df, q, 3).count() == 6
+    assert len(set(folder.glob("kept-*")) - before) == 1
+    with pytest.raises(ZeroDivisionError):
+        graph.only(lambda: graph.kept(df).limit(1 // 0))
+    assert len(set(folder.glob("kept-*")) - before) == 1
+
+
+def test_models_on_workers(spark):
+    from tessera.operators import models
+
+    def factory():
+        def model(a, b):
+            return [float(x) / float(y) for x, y in zip(a, b, strict=True)]
+
+        return model
+
+    df = spark.createDataFrame([(i, str(i), None if i == 5 else str(i % 4)) for i in range(20)], "id long, a string, b string")
+    got = {int(r.a): r for r in models.applied(df, ["a", "b"], factory, "value", "double", rows=3, size=8).withColumnRenamed("value_error", "error").collect()}
+    assert len(got) == 20
+    for i, r in got.items():
+        if i == 5 or i % 4 == 0:
+            assert r.value is None and r.error.split(":")[0] in ("TypeError", "ZeroDivisionError")
+        else:
+            assert r.value == i / (i % 4) and r.error is None
+
+
+def test_recall_takes_models(spark):
+    """An embedder and a scorer put in: the head goes by the scorer, and the expansion's vector is the embedder's."""
+    from tessera.operators import recall
+
+    m = [(i, f"note {i} about topic{i % 4}", "EN", "p", f"s{i % 5}", "2024-01-01 00:00:00", 0.5) for i in range(40)]
+    memories = spark.createDataFrame(m, "id long, content string, type string, project string, session string, created_at string, confidence double").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    vectors = spark.createDataFrame([(i, [1.0 if j == i % 4 else 0.1 for j in range(4)]) for i in range(40)], "id long, embedding array<double>")
+    asks = spark.createDataFrame([(1, "topic1 notes", 1, [0.0, 1.0, 0.0, 0.0])], "query_id long, text string, vec_id long, embedding array<double>")
+    usage = spark.createDataFrame([], "memory_id long, strength double, dormant boolean")
+    phrases = spark.createDataFrame([], "phrase_id long, memory_id long, text string")
+
+    def embed():
+        return lambda texts: [[0.0, 0.0, 1.0, 0.0] for _ in texts]
+
+    def score():
+        return lambda questions, contents: [float(c.split()[1]) for c in contents]
+
+    r = recall.Recall(asks, memories, vectors, usage, phrases, "2024-06-01 00:00:00", embed=embed, score=score)
+    assert {x.id % 4 for x in r.by_expansion.where("similarity > 0.9").collect()} == {2}
+    rows = sorted(r.reranked().collect(), key=lambda x: x["rank"])
+    head = [x.id for x in rows[:20]]
+    assert head == sorted(head, reverse=True) and len(rows) >= 20
+
+
 def test_places_and_sums_in_a_group_of_most_rows(spark):
     rng = random.Random(4)
     rows = [("hot" if i % 3 else rng.choice("abc"), i, rng.randrange(50)) for i in range(3000)] + [(None, -1, 2), (None, -2, 3)]
