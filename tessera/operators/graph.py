@@ -200,22 +200,49 @@ def derive_transitive(edges: DataFrame, predicate: str = "uses", name: str = "tr
     return e.join(second, "object").where("subject <> then").select("subject", F.lit(name).alias("predicate"), F.col("then").alias("object")).distinct()
 
 
+def _windows(edges: DataFrame, key: list[str], other: str, open_ended: bool) -> DataFrame:
+    end = F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp")) if open_ended else F.col("valid_to")
+    return edges.select("id", *key, other, F.col("valid_from").alias("s"), end.alias("e")).where(F.col(other).isNotNull())
+
+
 def overlapping_conflicts(edges: DataFrame, key: list[str], other: str, open_ended: bool = True, excludes: list[tuple[str, str]] | None = None) -> DataFrame:
     """(a, b): edges with the same key and overlapping belief windows that contradict, a < b.
 
     They contradict if ``other`` differs; with ``excludes``, if it is the same or a pair of
-    those. ``open_ended``: a missing end lasts for ever; otherwise it never overlaps.
+    those. ``open_ended``: a missing end lasts for ever; otherwise it never overlaps. Windows
+    are swept (``intervals``); where only the rows are asked for, ``conflicting`` makes no pairs.
     """
-    end = F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp")) if open_ended else F.col("valid_to")
-    e = edges.select("id", *key, other, F.col("valid_from").alias("s"), end.alias("e"))
-    f = e.select(F.col("id").alias("id2"), *key, F.col(other).alias("other2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    x, y = F.col(other), F.col("other2")
+    from tessera.operators.intervals import overlapping_pairs
+
+    x, y = F.col("other"), F.col("other2")
     clash = x != y
     if excludes is not None:
         clash = x == y
         for p, q in excludes:
             clash = clash | ((x == p) & (y == q)) | ((x == q) & (y == p))
-    return e.join(f, key).where((F.col("id") < F.col("id2")) & clash & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    met = only(lambda: overlapping_pairs(_windows(edges, key, other, open_ended), key, other).where(clash))
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+
+def conflicting(edges: DataFrame, key: list[str], other: str, open_ended: bool = True, excludes: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(id, n): the edges of ``overlapping_conflicts``, with how many others each contradicts, told by counting; no pair becomes a row."""
+    from tessera.operators.intervals import overlap_counts
+
+    def counted():
+        rows = _windows(edges, key, other, open_ended)
+        same = overlap_counts(rows, [*key, other])
+        if excludes is None:
+            found = overlap_counts(rows, key).unionByName(same.select("id", (-F.col("n")).alias("n")))
+        else:
+            found, pairs = same, [p for p in excludes if p[0] != p[1]]
+            sides = [F.struct(F.lit(i).alias("pair"), F.lit(k).alias("side"), F.lit(v).alias("value")) for i, p in enumerate(pairs) for k, v in enumerate(p)]
+            if sides:
+                apart = rows.withColumn("of", F.explode(F.filter(F.array(*sides), lambda v: v["value"] == F.col(other)))).select("*", "of.pair", "of.side")
+                # a value of several pairs stands once in each
+                found = found.unionByName(overlap_counts(apart, [*key, "pair"], "side"))
+        return found.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
+
+    return only(counted)
 
 
 def winners(rows: DataFrame, group: list[str], by: list[str]) -> DataFrame:
@@ -225,9 +252,10 @@ def winners(rows: DataFrame, group: list[str], by: list[str]) -> DataFrame:
 
 def weakest(rows: DataFrame, group: list[str], by: list[str]) -> DataFrame:
     """Exactly one row of each group of two and more, unless its weakest and strongest are alike."""
-    order = Window.partitionBy(*group).orderBy(*by, "id")
-    alike = F.min(F.struct(*by)).over(Window.partitionBy(*group)) == F.max(F.struct(*by)).over(Window.partitionBy(*group))
-    return rows.withColumn("n", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy(*group))).withColumn("alike", alike).where("n = 1 and k >= 2 and not alike").drop("n", "k", "alike")
+    order = F.struct(*by)
+    every = F.struct(*[F.col(c) for c in rows.columns])
+    told = rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in group]).agg(F.min_by(every, F.struct(*by, "id")).alias("row"), F.count("*").alias("k"), F.min(order).alias("low"), F.max(order).alias("high"))
+    return told.where((F.col("k") >= 2) & ~F.col("low").eqNullSafe(F.col("high"))).select("row.*")
 
 
 def bridged(members: DataFrame, seeds: DataFrame, min_shared: int = 2, max_df: int | None = None) -> DataFrame:

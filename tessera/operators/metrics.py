@@ -51,17 +51,6 @@ def accuracy_by(rows: DataFrame, category: str, correct: Column) -> DataFrame:
     return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("category")).alias("category"), "n", "accuracy")
 
 
-def exclusive_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """The percentile at place p (n + 1), between neighbours; groups of fewer than two rows have 0."""
-    w = Window.partitionBy(by).orderBy(value)
-    r = rows.select(by, value).where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(by)))
-    place = p * (F.col("n") + 1)
-    j = F.greatest(F.lit(1), F.least(F.floor(place), F.col("n") - 1))
-    ends = r.withColumn("j", j).withColumn("frac", place - F.col("j")).where("i = j or i = j + 1 or n = 1")
-    out = ends.groupBy(by).agg(F.max("n").alias("n"), F.max("frac").alias("frac"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return out.select(by, F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo")), 6)).alias("percentile"))
-
-
 def promotion_gate(rows: DataFrame, guards: tuple[float, float] = (0.01, 0.005), weight: float = 2.0) -> DataFrame:
     """One row: the differences of two runs' means, five conditions on them, and whether all hold.
 

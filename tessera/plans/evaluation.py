@@ -12,6 +12,7 @@ from tessera.operators import metrics as M
 from tessera.operators import uncertain as U
 from tessera.plans.retrieval import near_sql, vectors
 from tessera.operators.ordered import placed
+from tessera.operators.selection import percentiles
 from tessera.operators.vector import topk
 from tessera.sources.tables import messages, table
 
@@ -46,8 +47,9 @@ LATENCY = "lat as (select percentile_cont(0.5) within group (order by value) as
 @query("e7_run_eval", f"with {METRICS}, {LATENCY} select count(*)::bigint as cases, round(avg(recall), 6) as recall, round(avg(precision), 6) as precision, round(avg(mrr), 6) as mrr, round(avg(ndcg), 6) as ndcg, round((select p50 from lat), 6) as latency_p50, round((select p95 from lat), 6) as latency_p95 from mt")
 def e7(spark, sf_dir):
     """The mean metrics of a run, with its latencies' percentiles (here the values of the view events)."""
-    lat = table(spark, sf_dir, "events").where("event_type = 'view'").agg(*[F.round(F.percentile("value", p), 6).alias(n) for n, p in (("latency_p50", 0.5), ("latency_p95", 0.95))])
-    return metrics(spark, sf_dir).agg(F.count("*").alias("cases"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "mrr", "ndcg")]).join(F.broadcast(lat))
+    lat = percentiles(table(spark, sf_dir, "events").where("event_type = 'view'"), [], "value", {"latency_p50": 0.5, "latency_p95": 0.95})
+    lat = lat.select(*[F.round(c, 6).alias(c) for c in ("latency_p50", "latency_p95")])
+    return metrics(spark, sf_dir).agg(F.count("*").alias("cases"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "mrr", "ndcg")]).join(F.broadcast(lat), F.lit(True), "left")
 
 
 @query("e8_run_recall_by_category", f"with {METRICS} select coalesce('label' || label, 'all') as category, count(*)::bigint as n, round(avg(recall), 6) as recall from mt join embeddings on vec_id = case_id group by rollup(label)")
@@ -144,12 +146,12 @@ def a26(spark, sf_dir):
 
 @query("a27_latency_percentiles", "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1")
 def a27(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    return percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("a27_exclusive_percentile", "with r as (select user_id, value, row_number() over (partition by user_id order by value) as i, count(*) over (partition by user_id) as n from events), p as (select user_id, n, 0.95 * (n + 1) as place, greatest(1, least(floor(0.95 * (n + 1)), n - 1)) as j from r group by all), e as (select p.user_id, p.n, place - j as frac, min(value) filter (i = j) as lo, min(value) filter (i = j + 1) as hi from p join r using (user_id) group by all) select user_id, case when n < 2 then 0.0 else round(lo + frac * (hi - lo), 6) end as percentile from e")
 def a27x(spark, sf_dir):
-    return M.exclusive_percentile(table(spark, sf_dir, "events"), "user_id", "value", 0.95)
+    return percentiles(table(spark, sf_dir, "events"), ["user_id"], "value", {"percentile": 0.95}, exclusive=True).select("user_id", F.round("percentile", 6).alias("percentile"))
 
 
 @query("a33_keep_drop_prf", "with s as (select count(*) filter (quality = 1 and toxic = 0)::double as tp, count(*) filter (quality = 1)::double as kept, count(*) filter (toxic = 0)::double as gold from labels) select round(tp / kept, 6) as precision, round(tp / gold, 6) as recall, round(2 * tp / (kept + gold), 6) as f1 from s")

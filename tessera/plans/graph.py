@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.functions.lexicon import ANTONYMS
 from tessera.operators import graph as G
 from tessera.operators.graph import kept
+from tessera.operators.rules import TRANSITIVE, Rule, derived
 from tessera.sources.tables import SQL_EDGES, edges, table
 
 PLACES = """pl as (select 's' || s_suppkey as subject, 'uses' as predicate, 'n' || s_nationkey as object from supplier
@@ -140,6 +141,28 @@ def g11(spark, sf_dir):
     return G.derive(numbered(places(spark, sf_dir)))
 
 
+WITHIN = "w as (select 'o' || o_orderkey as a, 'o' || (o_orderkey // 10) as b from orders where o_orderkey >= 10)"
+#: Orders are within the order that a tenth of their key names: a chain of one step a digit.
+REACHES = [
+    Rule(("?a", "reaches", "?b"), (("?a", "within", "?b"),)),
+    Rule(("?a", "reaches", "?c"), (("?a", "reaches", "?b"), ("?b", "within", "?c")), unequal=(("?a", "?c"),)),
+    Rule(("?a", "far_within", "?c"), (("?a", "reaches", "?c"),), unless=(("?a", "within", "?c"),)),
+]
+
+
+@query(
+    "g11_user_rules",
+    f"""with recursive {PLACES}, {WITHIN}, r(a, b, round) as (select a, b, 1 from w union select r.a, w.b, round + 1 from r join w on w.a = r.b),
+deep as (select max(round) as k from r)
+select distinct x.subject, 'transitively_uses' as predicate, y.object, 1 as round from pl x join pl y on x.object = y.subject and x.predicate = 'uses' and y.predicate = 'uses' and x.subject <> y.object
+union all select a, 'reaches', b, round from r union all select a, 'far_within', b, k + 1 from r, deep where round > 1""",
+)
+def g11_rules(spark, sf_dir):
+    """A built-in rule, a recursive one, and one that asks for what does not hold, to their fixed point; rounds count through the strata."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey >= 10").select(F.concat(F.lit("o"), "o_orderkey").alias("subject"), F.lit("within").alias("predicate"), F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / 10)).alias("object"))
+    return derived(numbered(places(spark, sf_dir).unionByName(o)), [TRANSITIVE, *REACHES]).select("subject", "predicate", "object", "round")
+
+
 PAIRS = """same as (select 'c' || c_custkey as a, 'c' || (c_custkey + 1) as b from customer where c_custkey % 3 = 0 union all select 'c' || c_custkey, 'c' || (c_custkey + 5) from customer where c_custkey % 10 = 0),
 apart as (select 'c' || (c_custkey + 1) as a, 'c' || c_custkey as b from customer where c_custkey % 12 = 0)"""
 
@@ -197,8 +220,14 @@ def j10(spark, sf_dir):
 
 @query("g12_verify", f"with {J10} select distinct unnest([a, b]) as id from cf")
 def g12(spark, sf_dir):
-    """The conflict core: the ids of all conflicting pairs."""
-    return j10(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """The conflict core: the ids of all conflicting rows, told by counting."""
+    return G.conflicting(spans(spark, sf_dir), ["subject", "object"], "predicate", excludes=ANTONYMS).select("id")
+
+
+@query("g12_conflict_degrees", f"with {J9}, e as (select unnest([a, b]) as id from cf) select id, count(*)::bigint as n from e group by 1")
+def g12_degrees(spark, sf_dir):
+    """With how many others each edge contradicts itself, without a pair."""
+    return G.conflicting(spans(spark, sf_dir), ["subject", "predicate"], "object", open_ended=False)
 
 
 @query("g13_resolve_lww", "select o_custkey as subject, case o_orderstatus when 'F' then 'prefers' when 'O' then 'avoids' else 'causes' end as predicate, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as winner, (count(*) - 1)::bigint as beaten from orders group by all having count(distinct o_orderpriority) > 1")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, scoring, text
-from tessera.operators import bm25, filters, fusion, graph, lifecycle, metrics, transcripts, uncertain, vector
+from tessera.operators import bm25, filters, fusion, graph, lifecycle, metrics, selection, transcripts, uncertain, vector
 
 
 def ranked(spark, *ids):
@@ -139,7 +139,7 @@ def test_exclusive_percentile(spark):
 
     values = [float(v) for v in (3, 1, 4, 1, 5, 9, 2, 6)]
     df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0)], "g string, v double")
-    got = {r.g: r.percentile for r in metrics.exclusive_percentile(df, "g", "v", 0.95).collect()}
+    got = {r.g: round(r.percentile, 6) for r in selection.percentiles(df, ["g"], "v", {"percentile": 0.95}, exclusive=True).collect()}
     assert got["a"] == pytest.approx(statistics.quantiles(values, n=20)[18]) and got["b"] == 0
 
 
