@@ -147,6 +147,7 @@ REACHES = [
     Rule(("?a", "reaches", "?b"), (("?a", "within", "?b"),)),
     Rule(("?a", "reaches", "?c"), (("?a", "reaches", "?b"), ("?b", "within", "?c")), unequal=(("?a", "?c"),)),
     Rule(("?a", "far_within", "?c"), (("?a", "reaches", "?c"),), unless=(("?a", "within", "?c"),)),
+    Rule(("?a", "next_within", "?c"), (("?a", "reaches", "?c"),), unless=(("?a", "far_within", "?c"),)),
 ]
 
 
@@ -155,10 +156,11 @@ REACHES = [
     f"""with recursive {PLACES}, {WITHIN}, r(a, b, round) as (select a, b, 1 from w union select r.a, w.b, round + 1 from r join w on w.a = r.b),
 deep as (select max(round) as k from r)
 select distinct x.subject, 'transitively_uses' as predicate, y.object, 1 as round from pl x join pl y on x.object = y.subject and x.predicate = 'uses' and y.predicate = 'uses' and x.subject <> y.object
-union all select a, 'reaches', b, round from r union all select a, 'far_within', b, k + 1 from r, deep where round > 1""",
+union all select a, 'reaches', b, round from r union all select a, 'far_within', b, round + 1 from r where round > 1
+union all select a, 'next_within', b, k + 2 from r, deep where round = 1""",
 )
 def g11_rules(spark, sf_dir):
-    """A built-in rule, a recursive one, and one that asks for what does not hold, to their fixed point; rounds count through the strata."""
+    """A built-in rule, a recursive one, and two that ask for what does not hold, one of them in a stratum of its own, to their fixed point; rounds count through the strata."""
     o = table(spark, sf_dir, "orders").where("o_orderkey >= 10").select(F.concat(F.lit("o"), "o_orderkey").alias("subject"), F.lit("within").alias("predicate"), F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / 10)).alias("object"))
     return derived(numbered(places(spark, sf_dir).unionByName(o)), [TRANSITIVE, *REACHES]).select("subject", "predicate", "object", "round")
 
