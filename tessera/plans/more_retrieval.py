@@ -24,10 +24,10 @@ def r7(spark, sf_dir):
 
 @query("r27_window_select")
 def r27(spark, sf_dir):
-    """Order-dependent: tests hold it against a plain loop."""
-    m = messages(spark, sf_dir)
-    score = (F.size(F.array_distinct(F.split("text", " "))) % 97).cast("double")
-    return select_windows(m.select(F.col("session_id").cast("long").alias("session"), F.col("message_index").cast("long").alias("start"), (F.col("message_index") + 3).cast("long").alias("stop"), "role", score.alias("score")), most=3, budget=4)
+    """Windows of every session for its own first question. Order-dependent: tests hold it against a plain loop over rendered texts."""
+    m = messages(spark, sf_dir).select(F.col("session_id").alias("session"), F.col("message_index").alias("index"), "role", "text")
+    asked = m.where("role = 'user'").groupBy("session").agg(F.min_by("text", "index").alias("question")).select(F.col("session").alias("query_id"), "session", "question")
+    return select_windows(m, asked)
 
 
 @query("fp7_min_similarity_floor", f"with {near_sql(10)} select query_id, vec_id, similarity from near where similarity >= 0.3")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.porter import stem
 from tessera.operators import bm25, graph, ordered, transcripts, uncertain, vector
-from tessera.operators.windows import select_windows
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -38,26 +37,6 @@ def test_failure_arcs_against_a_loop(spark, seed):
     assert {tuple(r) for r in transcripts.failure_arcs(df, most=9).collect()} == want
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_windows_against_a_loop(spark, seed):
-    rng = random.Random(seed)
-    rows = [(s, a := rng.randrange(60), a + rng.randint(1, 15), rng.choice("ua"), float(rng.randrange(10**6))) for s in range(6) for _ in range(25)]
-    want = set()
-    for s in range(6):
-        chosen = []
-        for _, a, b, role, score in sorted((r for r in rows if r[0] == s), key=lambda r: (-r[4], r[1])):
-            hit = [k for k, (x, y, who, _) in enumerate(chosen) if who == role and a < y and x < b]
-            if hit:
-                x, y, who, best = chosen[hit[0]]
-                if max(y, b) - min(x, a) <= 20:
-                    chosen[hit[0]] = (min(x, a), max(y, b), who, max(best, score))
-            elif len(chosen) < 3:
-                chosen.append((a, b, role, score))
-        want |= {(s, *c, k + 1) for k, c in enumerate(chosen)}
-    df = spark.createDataFrame(rows, "session long, start long, stop long, role string, score double").repartition(4)
-    assert {tuple(r) for r in select_windows(df, most=3, budget=20).collect()} == want
-
-
 @pytest.mark.parametrize("seed", range(2))
 def test_values_told_again_against_a_loop(spark, seed):
     rng = random.Random(seed)

@@ -3,7 +3,6 @@ import sqlite3
 import pandas as pd
 
 from tessera.functions.porter import stem
-from tessera.operators.windows import select_windows
 
 WORDS = """caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky
 relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness
@@ -19,10 +18,3 @@ def test_stems_equal_sqlites():
     db.executemany("insert into t(rowid, w) values (?, ?)", list(enumerate(WORDS)))
     want = {WORDS[r]: s for s, r in db.execute("select term, doc from v")}
     assert {w: stem(w) for w in WORDS} == want
-
-
-def test_windows_merge_within_the_budget(spark):
-    rows = [(1, 0, 10, "u", 5.0), (1, 8, 14, "u", 4.0), (1, 9, 40, "u", 3.0), (1, 8, 14, "a", 2.0), (1, 50, 55, "u", 1.0), (1, 60, 65, "u", 0.5)]
-    got = select_windows(spark.createDataFrame(rows, "session long, start long, stop long, role string, score double"), most=3, budget=20).orderBy("place").collect()
-    assert [(r.start, r.stop, r.role, r.score) for r in got] == [(0, 14, "u", 5.0), (8, 14, "a", 2.0), (50, 55, "u", 1.0)]
-    assert isinstance(pd.DataFrame(got), pd.DataFrame)
