@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.functions import text as T
 from tessera.functions.lexicon import ANTONYMS
+from tessera.operators import entities as EN
 from tessera.operators import graph as G
 from tessera.operators.graph import kept
 from tessera.operators.rules import TRANSITIVE, Rule, derived
@@ -141,6 +142,76 @@ def g11(spark, sf_dir):
     return G.derive(numbered(places(spark, sf_dir)))
 
 
+@query(
+    "g8_containment_to",
+    """with a as (select s_suppkey as ask_id, s_nationkey as n, n_regionkey as r, s_suppkey % 5 as want, n_name, case when s_suppkey % 3 = 0 then (s_suppkey // 3) % 5 end as direct from supplier join nation on s_nationkey = n_nationkey)
+select ask_id, case when ask_id % 11 = 0 or ask_id % 13 = 0 then ask_id % 11 <> 0 when ask_id % 7 = 0 or ask_id % 17 = 0 then false else r = want or coalesce(direct = want, false) end as ratified,
+  case when ask_id % 11 = 0 then 'empty' when ask_id % 13 = 0 then 'same' when ask_id % 17 = 0 then 'source_not_found' when ask_id % 7 = 0 then 'target_not_found' when r = want or coalesce(direct = want, false) then 'path' else 'no_path' end as reason,
+  case when ask_id % 11 = 0 then []::varchar[] when ask_id % 13 = 0 then ['supplier ' || ask_id] when ask_id % 7 = 0 or ask_id % 17 = 0 then []::varchar[] when coalesce(direct = want, false) then ['s' || ask_id, 'r' || want] when r = want then ['s' || ask_id, 'n' || n, 'r' || want] else []::varchar[] end as path from a""",
+)
+def g8_to(spark, sf_dir):
+    """Whether suppliers lie within stated regions, by their nation or, for some, directly: the shorter way, or why there is none."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    key = lambda c, k: F.concat(F.lit(c), k)
+    k = F.col("s_suppkey")
+    up = n.select(key("n", "n_nationkey").alias("child"), key("r", "n_regionkey").alias("parent")).unionByName(s.select(key("s", k).alias("child"), key("n", "s_nationkey").alias("parent")))
+    up = up.unionByName(s.where("s_suppkey % 3 = 0").select(key("s", k).alias("child"), key("r", F.floor(k / 3) % 5).alias("parent")))
+    named = lambda x: F.concat(F.lit("Supplier  "), x.cast("string"))
+    terms = s.select(named(k).alias("term"), key("s", k).alias("node")).unionByName(r.select(F.col("r_name").alias("term"), key("r", "r_regionkey").alias("node")))
+    region = s.withColumn("want", k % 5).join(r, F.col("want") == F.col("r_regionkey"))
+    source = F.when(k % 11 == 0, " ").when(k % 13 == 0, named(k)).when(k % 17 == 0, "nobody").otherwise(named(k))
+    target = F.when(k % 13 == 0, F.upper(named(k))).when(k % 7 == 0, "nowhere").otherwise(F.col("r_name"))
+    return EN.ratified(region.select(k.alias("ask_id"), source.alias("source"), target.alias("target")), terms, up)
+
+
+FACTS = """same as (select 'c' || c_custkey as a, 'c' || (c_custkey + 1) as b from customer where c_custkey % 3 = 0), more as (select 'c' || c_custkey as a, 'c' || (c_custkey + 5) as b from customer where c_custkey % 10 = 0),
+apart as (select 'c' || (c_custkey + 1) as a, 'c' || c_custkey as b from customer where c_custkey % 12 = 0),
+o as (select *, o_orderkey % 8 as k, 'c' || o_custkey as h, 's' || (o_orderkey % 50) as session, 'e' || (o_orderkey // 8 * 8) as ev, strftime(o_orderdate, '%Y-%m-%d') as d from orders)"""
+
+
+def facts(spark, sf_dir):
+    """Orders as facts of their customers: of eight, in turn, an event, what it included, types, prices, names, statuses, actions and dates."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    key = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    k = F.col("k")
+    tie = lambda n, step, kind: c.where(k % n == 0).select(F.lit(kind).alias("predicate"), key("c", k).alias("handle"), key("c", k + step).alias("other"))
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey") % 8)
+    kinds = ["event", "relation", "object_type", "value", "value", "status", "action", "time"]
+    pick = lambda **of: F.coalesce(*[F.when(k == int(i[1:]), v) for i, v in of.items()])
+    event = key("e", F.floor(F.col("o_orderkey") / 8) * 8)
+    said = o.select(
+        F.col("o_orderkey").alias("no"), key("s", F.col("o_orderkey") % 50).alias("session"), F.element_at(F.array(*map(F.lit, kinds)), (k + 1).cast("int")).alias("predicate"),
+        F.when(k <= 1, event).otherwise(key("c", F.col("o_custkey"))).alias("handle"), F.when(k == 1, key("c", F.col("o_custkey"))).alias("other"),
+        pick(k1=F.lit("included"), k3=F.lit("price"), k4=F.lit("Name"), k6=F.lit("ordered")).alias("attribute"),
+        pick(k2=F.col("o_orderpriority"), k3=F.col("o_orderkey").cast("string"), k4=key("name ", F.col("o_orderkey") % 7), k5=F.col("o_orderstatus"), k6=F.col("o_orderstatus")).alias("value"),
+        pick(k3=F.lit("usd")).alias("unit"), pick(k3=F.col("o_totalprice")).alias("usd"), F.when(k.isin(0, 7), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
+    )
+    return said.unionByName(tie(3, 1, "coreference").unionByName(tie(12, 1, "distinct")), allowMissingColumns=True), tie(10, 5, "").select(F.col("handle").alias("a"), F.col("other").alias("b"))
+
+
+@query(
+    "g9_entity_bundles",
+    f"""with recursive {FACTS}, h as (select a as handle from same union select b from same union select a from apart union select b from apart union select case when k <= 1 then ev else h end from o union select h from o where k = 1),
+tied as (select a, b from same union all select a, b from more where a in (select handle from h) and b in (select handle from h)),
+tie as (select a, b from tied s where not exists (select 1 from apart x where least(x.a, x.b) = least(s.a, s.b) and greatest(x.a, x.b) = greatest(s.a, s.b))),
+e as (select a, b from tie union all select b, a from tie), reach(node, seen) as (select handle, handle from h union select e.b, reach.seen from reach join e on e.a = reach.node),
+root as (select node as handle, min(seen) as root from reach group by 1),
+ed as (select ev, arg_max(d, o_orderkey) as d from o where k = 0 group by 1),
+dt as (select case when k = 0 then ev else h end as handle, d from o where k in (0, 7) union select h, ed.d from o join ed using (ev) where k = 1),
+f as (select root, list_sort(list(distinct o_orderpriority) filter (k = 2)) as types, arg_max(o_totalprice, o_orderkey) filter (k = 3) as usd, arg_min('name ' || (o_orderkey % 7), o_orderkey) filter (k = 4) as name,
+  list_sort(list(distinct case k when 3 then 'price|' || o_orderkey || '|usd' else 'Name|name ' || (o_orderkey % 7) || '|' end) filter (k in (3, 4))) as "values", list_sort(list(distinct o_orderstatus) filter (k = 5)) as statuses,
+  list_sort(list(distinct 'included|' || h) filter (k = 1)) as relations, list_sort(list(distinct 'ordered|' || o_orderstatus) filter (k = 6)) as actions, list_sort(list(distinct session)) as sessions from o join root on handle = case when k <= 1 then ev else h end group by 1),
+ds as (select root, list_sort(list(distinct d)) as dates from dt join root using (handle) group by 1),
+mine as (select root, list_sort(list(handle)) as handles from root group by 1)
+select root, handles, coalesce(types, []) as types, usd, name, coalesce("values", []) as "values", coalesce(dates, []) as dates, coalesce(statuses, []) as statuses, coalesce(relations, []) as relations, coalesce(actions, []) as actions, coalesce(sessions, []) as sessions
+from mine left join f using (root) left join ds using (root)""",
+)
+def g9_bundles(spark, sf_dir):
+    """Facts folded over tied handles, with extra ties and event dates passed on to what the events included."""
+    rows, extra = facts(spark, sf_dir)
+    return EN.bundles(rows, extra)
+
+
 WITHIN = "w as (select 'o' || o_orderkey as a, 'o' || (o_orderkey // 10) as b from orders where o_orderkey >= 10)"
 #: Orders are within the order that a tenth of their key names: a chain of one step a digit.
 REACHES = [
