@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,16 +112,16 @@ class Tables:
         return (cell * self.mix[t]).sum(1)[:, None] + shift @ shift_sets(self.m, self.probes).T.astype(np.int64)
 
 
-def unit_rows(ids: list, vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and length-one vectors of the rows that can take part."""
-    keep = [i for i, v in enumerate(vectors) if ids[i] is not None and v is not None and len(v) == dim and None not in v]
-    x = np.array([vectors[i] for i in keep], np.float64).reshape(len(keep), dim)
+    keep = pc.and_(pc.is_valid(ids), pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False))
+    x = vectors.filter(keep).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # nulls become NaN
     with np.errstate(over="ignore", invalid="ignore"):
         scale = np.abs(x).max(1, initial=0)
         x = x / np.where(scale > 0, scale, 1)[:, None]
         norm = np.sqrt((x * x).sum(1))
     ok = np.isfinite(norm) & (norm > 0)
-    return np.array([ids[i] for i in keep], np.int64).reshape(-1)[ok], x[ok] / norm[ok][:, None]
+    return ids.filter(keep).to_numpy(zero_copy_only=False).astype(np.int64)[ok], x[ok] / norm[ok][:, None]
 
 
 def fitted(sample: np.ndarray, rows: int, k: int, h: Hashing) -> Tables:
@@ -196,14 +197,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     asks = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     schema = "query_id long, vec_id long, score double"
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    about = data.where("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    about = data.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not about or not about[0]["dim"]:
         return none
     dim, count = about[0]["dim"], about[0]["count"]
     # One row of about ``every`` by a hash of the id: SAMPLE_BYTES at any size, whatever the order of the rows.
     every = max(1, -(-count * dim * 8 // SAMPLE_BYTES))
     sample = data.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).limit(2 * SAMPLE_BYTES // (8 * dim) + 1).toArrow()
-    sample = unit_rows(sample.column(0).to_pylist(), sample.column(1).to_pylist(), dim)[1]
+    sample = unit_rows(sample.column(0).combine_chunks(), sample.column(1).combine_chunks(), dim)[1]
     if not len(sample):
         return none
     tables = fitted(sample, count, k, hashing)
@@ -223,7 +225,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
             for b in batches:
                 for at in range(0, b.num_rows, 4096):
-                    i, u = unit_rows(b.column(0).slice(at, 4096).to_pylist(), b.column(1).slice(at, 4096).to_pylist(), dim)
+                    i, u = unit_rows(b.column(0).slice(at, 4096), b.column(1).slice(at, 4096), dim)
                     ids.append(i)
                     unit.append(u)
                 if sum(map(len, ids)) >= 2 * per:  # a partition larger than expected is searched in parts
@@ -264,7 +266,7 @@ def usable(dim: int):
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
-                i, u = unit_rows(b.column(0).slice(at, 1024).to_pylist(), b.column(1).slice(at, 1024).to_pylist(), dim)
+                i, u = unit_rows(b.column(0).slice(at, 1024), b.column(1).slice(at, 1024), dim)
                 yield pa.RecordBatch.from_pydict({"ids": pa.array([i.tobytes()], pa.binary()), "unit": pa.array([u.tobytes()], pa.binary())})
 
     return run

@@ -3,7 +3,7 @@
 Texts become words (ASCII letters and digits and anything beyond ASCII, A-Z lower-cased).
 Every ``width`` consecutive words of an item are a window; an item of fewer words, but
 not none, is one window. A training word inside any occurrence of a window is hit. A
-document is contaminated if it has hits and they are at least ``share`` of its words.
+document is contaminated if it has hits and ``times`` times their number is no less than its words.
 
 The items' windows are broadcast as sorted hashes with the items' word numbers, against
 which every hit is verified word by word. What is sent is counted first: ``WORD_BYTES`` for
@@ -168,11 +168,11 @@ def broadcast_windows(docs: DataFrame, benchmark: DataFrame, width: int, max_byt
     return docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in benchmark.select("item_id", "text").toLocalIterator()], width))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.05, max_bytes: int = MAX_BYTES) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, times: int = 20, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per document: words, hit words, items with occurring windows, and the verdict."""
     sent = broadcast_windows(docs, benchmark, width, max_bytes)
     if sent is None:
-        return report_joined(docs, benchmark, width, share)
+        return report_joined(docs, benchmark, width, times)
 
     def task():
         windows = sent.value
@@ -183,7 +183,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: flo
                 words = words_of(text)
                 spans, items = windows.spans(words)
                 hit = sum(b - a for a, b in covered(spans))
-                rows.append((doc, len(words), hit, len(items), digest_of(items), hit > 0 and hit >= share * len(words) - 1e-9))
+                rows.append((doc, len(words), hit, len(items), digest_of(items), hit > 0 and times * hit >= len(words)))
             return dict(zip(("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), map(list, zip(*rows, strict=True)), strict=True))
 
         return each
@@ -258,7 +258,7 @@ def hit_words(where: DataFrame) -> DataFrame:
     return words.groupBy("key").agg(F.count("*").alias("n_hit"), F.first("total").alias("total"))
 
 
-def report_joined(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.05) -> DataFrame:
+def report_joined(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, times: int = 20) -> DataFrame:
     """The same rows where the windows are too many to broadcast: digests are joined."""
     items = item_windows(benchmark, width)
     where = joined_hits(docs, items)
@@ -278,16 +278,16 @@ def report_joined(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
         n_hit.cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit >= share * F.col("n_words") - 1e-9)).alias("contaminated"),
+        ((n_hit > 0) & (times * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.05, max_bytes: int = MAX_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, times: int = 20, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     sent = broadcast_windows(docs, benchmark, width, max_bytes)
     if sent is None:
         key = fresh("key", docs.columns)
-        bad = hit_words(joined_hits(docs, item_windows(benchmark, width))).where(F.col("n_hit") >= share * F.col("total") - 1e-9)
+        bad = hit_words(joined_hits(docs, item_windows(benchmark, width))).where(times * F.col("n_hit") >= F.col("total"))
         return docs.withColumn(key, text_key()).join(bad.select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)
 
     @F.pandas_udf("boolean")
@@ -296,7 +296,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
         for text in texts:
             words = words_of(text)
             hit = sum(b - a for a, b in covered(sent.value.spans(words)[0]))
-            out.append(not (hit > 0 and hit >= share * len(words) - 1e-9))
+            out.append(not (hit > 0 and times * hit >= len(words)))
         return pd.Series(out, dtype=bool)
 
     return docs.where(is_clean("text"))

@@ -103,3 +103,13 @@ def test_search_in_spark_is_the_search_of_all_rows(spark):
         score[q] = -2
         found += len(set(np.argsort(-score)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
     assert found >= 0.9 * 5 * 60
+
+
+def test_the_length_is_that_of_usable_vectors(spark):
+    """Empty, zero and broken vectors, though more of them have one length, don't decide it."""
+    bad = [[], [], [], [0.0] * 3, [0.0] * 3, [float("nan"), 1.0, 1.0], [None, 1.0, 1.0], [float("inf"), 0.0, 0.0], None]
+    good = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.5, 0.5]]
+    df = spark.createDataFrame(list(enumerate(bad + good)), V)
+    got = ann.nearest(df, df)
+    first = {r.query_id: r.vec_id for r in got.where("rank = 1").collect()}
+    assert set(first) == set(range(len(bad), len(bad) + 4)) and first[9] == 10 and first[10] == 9
