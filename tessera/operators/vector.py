@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +54,14 @@ def reembedded(rows: DataFrame, new: Column, dim: int) -> DataFrame:
 
 def _units(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and length-one vectors of the rows that can take part; zero vectors stay zero."""
-    ids, vectors = ids.to_pylist(), vectors.to_pylist()
-    keep = [i for i, v in enumerate(vectors) if ids[i] is not None and v is not None and len(v) == dim and None not in v]
-    x = np.array([vectors[i] for i in keep], np.float64).reshape(len(keep), dim)
+    keep = pc.and_(pc.is_valid(ids), pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False))
+    x = vectors.filter(keep).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # nulls become NaN
     with np.errstate(over="ignore", invalid="ignore"):
         scale = np.abs(x).max(1, initial=0)
         x = x / np.where(scale > 0, scale, 1)[:, None]
         size = np.sqrt((x * x).sum(1))
     ok = np.isfinite(size)
-    return np.array([ids[i] for i in keep], np.int64).reshape(-1)[ok], x[ok] / np.where(size > 0, size, 1)[ok][:, None]
+    return ids.filter(keep).to_numpy(zero_copy_only=False).astype(np.int64)[ok], x[ok] / np.where(size > 0, size, 1)[ok][:, None]
 
 
 class Best:
