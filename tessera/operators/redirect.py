@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import shlex
+import tomllib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,8 +27,50 @@ class Pattern:
     mode: str | None = None
 
 
-# What stands before a program, shells that run a string, and options of a runner that take a value.
-PREFIXES, SHELLS, RUNNER_VALUES = {"sudo", "env", "nohup", "time", "command", "exec"}, {"bash", "sh", "zsh", "dash"}, {"--with", "--python", "-p", "--project", "--directory"}
+# What stands before a program, shells that run a string, endings that programs have, and options of a runner that take a value.
+PREFIXES, SHELLS = {"sudo", "env", "nohup", "time", "command", "exec", "call"}, {"bash", "sh", "zsh", "dash"}
+ENDINGS = (".exe", ".cmd", ".bat", ".ps1")
+#: Wrappers of other systems, with the options behind which their command stands.
+WRAPPERS = {"cmd": {"/c", "/r"}, "powershell": {"-command", "-c", "/c"}, "pwsh": {"-command", "-c", "/c"}}
+RUNNER_VALUES = set(
+    "-p --python --with --with-requirements --with-editable --directory --project --index --extra --group --no-group --only-group --config-file --env-file --python-platform"
+    " --resolution --index-strategy --keyring-provider --link-mode --refresh-package --upgrade-package --no-binary-package --no-build-package".split()
+)
+
+
+def program_name(word: str) -> str:
+    """A program without its folder and ending, in lower case."""
+    name = word.replace("\\", "/").rsplit("/", 1)[-1].lower()
+    return next((name[: -len(e)] for e in ENDINGS if name.endswith(e)), name)
+
+
+def rules_of(*texts: str) -> tuple[list[Pattern], dict[str, str], str]:
+    """(patterns, {program: replacement}, mode) of rule files in TOML, the later ones on top.
+
+    ``[redirect]`` holds ``mode`` and ``enabled``; ``[[redirect.rules]]`` have a ``pattern`` with
+    ``rewrite`` and ``mode``, or a ``program`` with its ``replacement``. A later rule for the same
+    pattern or program takes the earlier one's place, one without effect (``enabled = false``)
+    takes it away; a file that is not TOML says nothing.
+    """
+    mode, on, held = "rewrite", True, {}
+    for text in texts:
+        try:
+            told = tomllib.loads(text).get("redirect", {})
+        except tomllib.TOMLDecodeError:
+            continue
+        mode, on = told.get("mode", mode), told.get("enabled", on)
+        for r in told.get("rules", []):
+            key = ("pattern", r["pattern"]) if r.get("pattern") else ("program", program_name(r.get("program", "")))
+            if not key[1]:
+                continue
+            if r.get("enabled", True):
+                held[key] = r
+            else:
+                held.pop(key, None)
+    if not on:
+        return [], {}, mode
+    patterns = [Pattern(p, r.get("rewrite", ""), r.get("mode")) for (kind, p), r in held.items() if kind == "pattern"]
+    return patterns, {p: r.get("replacement", "") for (kind, p), r in held.items() if kind == "program"}, mode
 
 
 def segments(command: str) -> list[list[str]]:
@@ -48,7 +91,7 @@ def segments(command: str) -> list[list[str]]:
 
 
 def programs(command: str, depth: int = 4) -> list[str]:
-    """The programs that a command runs, in order: behind assignments and prefixes, in strings given to shells, and behind ``uv run``."""
+    """The programs that a command runs, in order: behind assignments and prefixes, in strings given to shells and wrappers, and behind ``uv run``."""
     out = []
     for words in segments(command):
         at = 0
@@ -57,7 +100,11 @@ def programs(command: str, depth: int = 4) -> list[str]:
         words = words[at:]
         if not words:
             continue
-        name = words[0].rsplit("/", 1)[-1]
+        name = program_name(words[0])
+        if name in WRAPPERS and depth:
+            at = next((i for i, w in enumerate(words[:-1]) if i and w.lower() in WRAPPERS[name]), None)
+            out += programs(" ".join(words[at + 1 :]), depth - 1) if at else [name]
+            continue
         inner = next((words[i + 1] for i, w in enumerate(words[:-1]) if i and re.fullmatch(r"-\w*c\w*", w)), None)
         if name in SHELLS and inner is not None and depth:
             out += programs(inner, depth - 1)
@@ -68,7 +115,7 @@ def programs(command: str, depth: int = 4) -> list[str]:
                 rest = rest[2 if rest[0] in RUNNER_VALUES else 1 :]
                 if done:
                     break
-            out.append(rest[0].rsplit("/", 1)[-1] if rest else name)
+            out.append(program_name(rest[0]) if rest else name)
         else:
             out.append(name)
     return out

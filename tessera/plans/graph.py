@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
@@ -11,6 +13,7 @@ from tessera.operators import entities as EN
 from tessera.operators import graph as G
 from tessera.operators.graph import kept
 from tessera.operators.rules import TRANSITIVE, Rule, derived
+from tessera.sources import versions as V
 from tessera.sources.tables import SQL_EDGES, edges, table
 
 PLACES = """pl as (select 's' || s_suppkey as subject, 'uses' as predicate, 'n' || s_nationkey as object from supplier
@@ -343,6 +346,30 @@ def g16(spark, sf_dir):
     return edges(spark, sf_dir).select("id", F.col("valid_to").isNotNull().alias("closed"), F.coalesce(F.datediff("valid_to", "valid_from"), F.lit(-1)).alias("days"))
 
 
+@query(
+    "g16_belief_sink",
+    """with o as (select o_orderkey as id, 'c' || o_custkey as subject, o_orderstatus as predicate, o_orderpriority as object, o_orderdate as valid_from, lead(o_orderdate) over (partition by o_custkey, o_orderstatus order by o_orderkey) as next from orders where o_orderkey % 5 <> 0),
+gone as (select o_orderkey - 4 as id, min(o_orderdate) as since, min(o_orderkey) as seq from orders where o_orderkey % 5 = 0 group by 1),
+n as (select *, lead(id) over (partition by subject, predicate order by id) as next_id from o)
+select n.id, subject, predicate, object, valid_from, case when next_id is null or coalesce(seq < next_id, false) then coalesce(since, next) else next end as valid_to from n left join gone on gone.id = n.id""",
+)
+def g16_sink(spark, sf_dir):
+    """Orders applied to a versioned table in three changes: each supersedes its customer's last of the status, every fifth takes a belief back."""
+    o = table(spark, sf_dir, "orders")
+    old = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("subject"))
+    gone = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") - 4).alias("id"), F.col("o_orderdate").alias("at")).join(old, "id")
+    gone = gone.select("seq", F.lit("invalidate").alias("op"), "id", "subject", F.lit(None).cast("string").alias("predicate"), F.lit(None).cast("string").alias("object"), "at")
+    news = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("seq"), F.lit("supersede").alias("op"), F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("subject"), F.col("o_orderstatus").alias("predicate"), F.col("o_orderpriority").alias("object"), F.col("o_orderdate").alias("at"))
+    changes = kept(news.unionByName(gone))
+    store = V.Versioned(f"{G.shared_folder(spark)}/tessera/beliefs-{uuid.uuid4().hex}", ("subject",), V.BELIEFS)
+    third = changes.agg(F.max("seq")).first()[0] // 3
+    for k, part in enumerate((F.col("seq") <= third, F.col("seq").between(third + 1, 2 * third), F.col("seq") > 2 * third)):
+        V.believe(spark, store, changes.where(part), f"part {k}")
+    G.forgotten(changes)
+    store.vacuum(spark)
+    return store.read(spark)
+
+
 @query("g17_distill", f"with {PLACES}, dv as (select distinct a.subject, b.object from pl a join pl b on a.object = b.subject where a.predicate = 'uses' and b.predicate = 'uses'), have as (select 's' || s_suppkey as subject, 'r' || (s_suppkey % 5) as object from supplier) select subject, object from dv anti join have using (subject, object)")
 def g17(spark, sf_dir):
     """Derived edges that do not hold already are appended."""

@@ -10,7 +10,7 @@ from tessera.functions import lexicon as X_
 from tessera.functions import text as T
 from tessera.operators import filters as X
 from tessera.operators.ordered import placed
-from tessera.operators.redirect import Pattern, decisions
+from tessera.operators.redirect import Pattern, decisions, rules_of
 from tessera.sources.tables import SQL_EDGES, SQL_MEMORIES, SQL_USAGE, edges, memories, messages, table, usage_events
 
 WITH_MEM = f"with {SQL_MEMORIES}"
@@ -218,6 +218,63 @@ def fp13(spark, sf_dir):
     return rows.select("event_id", decisions(F.col("command"), PATTERNS, PROGRAMS).alias("d")).select("event_id", "d.action", "d.rule", "d.command")
 
 
+RULES = (
+    """
+[redirect]
+mode = "rewrite"
+[[redirect.rules]]
+program = "grep"
+replacement = "rg"
+[[redirect.rules]]
+program = "NPM.cmd"
+replacement = "bun"
+[[redirect.rules]]
+pattern = "curl (\\\\S+) \\\\| sh"
+mode = "deny"
+[[redirect.rules]]
+program = "make"
+replacement = "just"
+""",
+    "not [ toml",
+    """
+[[redirect.rules]]
+program = "grep"
+replacement = "ugrep"
+[[redirect.rules]]
+program = "make"
+enabled = false
+[[redirect.rules]]
+pattern = "v(\\\\d+)-old"
+rewrite = "v$1-new"
+""",
+)
+
+
+@query(
+    "sc14_redirect_rules",
+    r"""with c as (select event_id, user_id % 10 as p, case event_id % 6 when 0 then 'cmd /c ' when 1 then 'pwsh -NoProfile -Command ' when 2 then '' when 3 then 'X=1 ' when 4 then '' else 'bash -c ' end as pre,
+  ['grep', 'npm', 'make', 'C:/bin/Grep.EXE', 'ls'][1 + event_id % 5] as prog, event_type as arg, event_id % 7 as old from events),
+f as (select event_id, pre, prog, case when pre = 'bash -c ' then pre || chr(39) || prog || ' ' || arg || chr(39) else pre || prog || ' ' || arg end as plain,
+  case when old = 0 then ' v' || p || '-old' when old = 1 then ' ; curl ' || p || ' | sh' else '' end as tail, old, p from c),
+d as (select event_id, plain || tail as cmd, case lower(replace(replace(prog, 'C:/bin/', ''), '.EXE', '')) when 'grep' then 'ugrep' when 'npm' then 'bun' end as new, lower(replace(replace(prog, 'C:/bin/', ''), '.EXE', '')) as name, pre, prog, plain, tail, old, p from f)
+select event_id, case when old = 1 then 'deny' when old = 0 then 'rewrite' when new is null then null when pre = '' and prog in ('grep', 'npm') then 'rewrite' else 'deny' end as action,
+  case when old = 1 then '1' when old = 0 then '2' when new is not null then name end as rule,
+  case when old = 0 then plain || ' v' || p || '-new' when old <> 1 and new is not null and pre = '' and prog in ('grep', 'npm') then new || substr(plain, length(prog) + 1) end as command from d""",
+)
+def sc14_rules(spark, sf_dir):
+    """Commands made from events, decided by rules of layered TOML files (one of them broken)."""
+    e = table(spark, sf_dir, "events")
+    at = lambda items, k: F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
+    pre = at(["cmd /c ", "pwsh -NoProfile -Command ", "", "X=1 ", "", "bash -c "], F.col("event_id") % 6)
+    said = F.concat(at(["grep", "npm", "make", "C:/bin/Grep.EXE", "ls"], F.col("event_id") % 5), F.lit(" "), F.col("event_type"))
+    plain = F.when(F.col("event_id") % 6 == 5, F.concat(pre, F.lit("'"), said, F.lit("'"))).otherwise(F.concat(pre, said))
+    p = (F.col("user_id") % 10).cast("string")
+    tail = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit(" v"), p, F.lit("-old"))).when(F.col("event_id") % 7 == 1, F.concat(F.lit(" ; curl "), p, F.lit(" | sh"))).otherwise("")
+    patterns, programs, mode = rules_of(*RULES)
+    rows = e.select("event_id", F.concat(plain, tail).alias("command"))
+    return rows.select("event_id", decisions(F.col("command"), patterns, programs, mode).alias("d")).select("event_id", "d.action", "d.rule", "d.command")
+
+
 @query("fp14_field_projection", f"{WITH_MEM} select id, confidence, session from mem")
 def fp14(spark, sf_dir):
     m = memories(spark, sf_dir)
