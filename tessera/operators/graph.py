@@ -209,37 +209,50 @@ def overlapping_conflicts(edges: DataFrame, key: list[str], other: str, open_end
     """(a, b): edges with the same key and overlapping belief windows that contradict, a < b.
 
     They contradict if ``other`` differs; with ``excludes``, if it is the same or a pair of
-    those. ``open_ended``: a missing end lasts for ever; otherwise it never overlaps. Windows
-    are swept (``intervals``); where only the rows are asked for, ``conflicting`` makes no pairs.
+    those. ``open_ended``: a missing end lasts for ever; otherwise it never overlaps. Keys of
+    many rows are swept (``intervals``); where only the rows are asked for, ``conflicting`` makes
+    no pairs of them.
     """
-    from tessera.operators.intervals import overlapping_pairs
+    def found():
+        small, large = intervals.by_size(_windows(edges, key, other, open_ended), key)
+        out = intervals.joined_pairs(small, key, other)
+        if large is not None:
+            out = out.unionByName(intervals.overlapping_pairs(large, key, other))
+        return out.where(_clash(excludes)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
+    from tessera.operators import intervals
+
+    return only(found)
+
+
+def _clash(excludes: list[tuple[str, str]] | None):
     x, y = F.col("other"), F.col("other2")
-    clash = x != y
-    if excludes is not None:
-        clash = x == y
-        for p, q in excludes:
-            clash = clash | ((x == p) & (y == q)) | ((x == q) & (y == p))
-    met = only(lambda: overlapping_pairs(_windows(edges, key, other, open_ended), key, other).where(clash))
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    if excludes is None:
+        return x != y
+    clash = x == y
+    for p, q in excludes:
+        clash = clash | ((x == p) & (y == q)) | ((x == q) & (y == p))
+    return clash
 
 
 def conflicting(edges: DataFrame, key: list[str], other: str, open_ended: bool = True, excludes: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(id, n): the edges of ``overlapping_conflicts``, with how many others each contradicts, told by counting; no pair becomes a row."""
-    from tessera.operators.intervals import overlap_counts
+    """(id, n): the edges of ``overlapping_conflicts``, with how many others each contradicts; where a key has many rows they are counted without pairs."""
+    from tessera.operators import intervals
 
     def counted():
-        rows = _windows(edges, key, other, open_ended)
-        same = overlap_counts(rows, [*key, other])
-        if excludes is None:
-            found = overlap_counts(rows, key).unionByName(same.select("id", (-F.col("n")).alias("n")))
-        else:
-            found, pairs = same, [p for p in excludes if p[0] != p[1]]
-            sides = [F.struct(F.lit(i).alias("pair"), F.lit(k).alias("side"), F.lit(v).alias("value")) for i, p in enumerate(pairs) for k, v in enumerate(p)]
-            if sides:
-                apart = rows.withColumn("of", F.explode(F.filter(F.array(*sides), lambda v: v["value"] == F.col(other)))).select("*", "of.pair", "of.side")
-                # a value of several pairs stands once in each
-                found = found.unionByName(overlap_counts(apart, [*key, "pair"], "side"))
+        small, rows = intervals.by_size(_windows(edges, key, other, open_ended), key)
+        met = intervals.joined_pairs(small, key, other).where(_clash(excludes))
+        found = met.select(F.explode(F.array("id", "id2")).alias("id"), F.lit(1).cast("long").alias("n"))
+        if rows is not None:
+            same = intervals.overlap_counts(rows, [*key, other])
+            if excludes is None:
+                found = found.unionByName(intervals.overlap_counts(rows, key)).unionByName(same.select("id", (-F.col("n")).alias("n")))
+            else:
+                found, pairs = found.unionByName(same), [p for p in excludes if p[0] != p[1]]
+                sides = [F.struct(F.lit(i).alias("pair"), F.lit(k).alias("side"), F.lit(v).alias("value")) for i, p in enumerate(pairs) for k, v in enumerate(p)]
+                if sides:  # a value of several pairs stands once in each
+                    apart = rows.withColumn("of", F.explode(F.filter(F.array(*sides), lambda v: v["value"] == F.col(other)))).select("*", "of.pair", "of.side")
+                    found = found.unionByName(intervals.overlap_counts(apart, [*key, "pair"], "side"))
         return found.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
 
     return only(counted)

@@ -21,6 +21,8 @@ from tessera.operators.graph import kept
 from tessera.operators.ordered import placed
 
 BUCKET = 1024
+#: Keys of at most so many rows are joined with themselves: a task's pairs of a key are bounded by its square.
+SMALL = 1024
 #: Order of events at one time: ends are asked before begins count, and ends count before begins are asked.
 ASK_END, BEGIN, END, ASK_BEGIN = range(4)
 
@@ -32,6 +34,22 @@ def usable(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows
 
 
+def by_size(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The usable rows of keys of at most ``SMALL`` rows, and those of larger ones, None if there are none."""
+    rows = usable(rows, key)
+    large = kept(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select(*key))
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, key, "left_anti"), rows.join(large, key, "left_semi")
+
+
+def joined_pairs(rows: DataFrame, key: list[str], other: str) -> DataFrame:
+    """``overlapping_pairs`` by a plain join, for keys of few rows."""
+    then = rows.select(*key, F.col("id").alias("id2"), F.col(other).alias("other2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    met = rows.join(then, key).where("id < id2 and s < e2 and s2 < e")
+    return met.select("id", "id2", F.col(other).alias("other"), "other2")
+
+
 def _swept(rows: DataFrame, key: list[str], side: str | None) -> DataFrame:
     """Each row's events, with the begins and ends of each side that stand before them in the key."""
     event = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.col(at).alias("at"))

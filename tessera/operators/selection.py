@@ -3,7 +3,8 @@
 A number's 64 bits can be turned so that they sort as the number does. Pass by pass the counts
 of the next ``BITS`` bits tell in which bin a wanted rank falls; only rows of that bin go on. So
 no pass holds or sorts a group: rows are counted where they are read, and what is shuffled is at
-most ``2 ** BITS`` counts a group and wanted rank. After 64 / BITS passes the bits are the value.
+most ``2 ** BITS`` counts a group and wanted rank. Where the bins that are wanted hold at most
+``FEW`` rows each, those are put in order; after 64 / BITS passes the bits are the value.
 
 Nulls and NaN don't count; -0.0 counts as 0.0.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.operators.graph import kept, only
 
 BITS = 16
+FEW = 200_000
 LOW = 0x7FFFFFFFFFFFFFFF
 
 
@@ -50,19 +52,19 @@ def _at_ranks(rows: DataFrame, by: list[str], value: str, ranks) -> DataFrame:
     told = ranks(F.col("n"))
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.greatest(F.lit(1), F.least(r.cast("long"), F.col("n"))).alias("rank")) for k, r in told.items()])
     groups = kept(sizes)
-    now = groups.select(*names, F.explode(wanted).alias("w")).select(*names, F.col("w.name").alias("name"), F.col("w.rank").alias("rank"), F.lit(0).cast("long").alias("prefix"))
-    for shift in range(64 - BITS, -1, -BITS):
-        # the first pass's bins are signed, as the bits are
-        bin_ = F.shiftright("bits", shift)
-        bins = now.select(*names, "prefix").distinct() if shift < 64 - BITS else None
-        read = held.withColumn("prefix", F.shiftright("bits", min(shift + BITS, 63)))
-        read = read.join(bins, [*names, "prefix"], "left_semi") if bins is not None else read.withColumn("prefix", F.lit(0).cast("long"))
-        counts = read.groupBy(*names, "prefix", bin_.alias("bin")).agg(F.count("*").alias("c"))
+    now = groups.select(*names, F.explode(wanted).alias("w"), F.col("n").alias("c")).select(*names, F.col("w.name").alias("name"), F.col("w.rank").alias("rank"), F.lit(0).cast("long").alias("prefix"), "c")
+    read, shift = held.withColumn("prefix", F.lit(0).cast("long")), 64
+    while shift and (now.agg(F.max("c")).first()[0] or 0) > FEW:
+        shift -= BITS
+        counts = read.groupBy(*names, "prefix", F.shiftright("bits", shift).alias("bin")).agg(F.count("*").alias("c"))  # the first pass's bins are signed, as the bits are
         # at most 2 ** BITS bins a group and prefix
         before = F.sum("c").over(Window.partitionBy(*names, "prefix").orderBy("bin")) - F.col("c")
-        counts = counts.withColumn("before", before)
-        met = now.join(counts, [*names, "prefix"]).where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("c")))
-        now = kept(met.select(*names, "name", (F.col("rank") - F.col("before")).alias("rank"), F.col("bin").alias("prefix")))
+        met = now.drop("c").join(counts.withColumn("before", before), [*names, "prefix"]).where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("c")))
+        now = kept(met.select(*names, "name", (F.col("rank") - F.col("before")).alias("rank"), F.col("bin").alias("prefix"), "c"))
+        read = held.withColumn("prefix", F.shiftright("bits", shift)).join(now.select(*names, "prefix").distinct(), [*names, "prefix"], "left_semi")
+    if shift:
+        place = F.row_number().over(Window.partitionBy(*names, "prefix").orderBy("bits"))
+        now = now.join(read.withColumn("place", place), [*names, "prefix"]).where("place = rank").select(*names, "name", F.col("bits").alias("prefix"))
     value_of = F.pandas_udf(_value, "double")
     out = now.join(groups, names)
     return out.select(*[F.col(f"b{i}").alias(b) for i, b in enumerate(by)], "n", "name", value_of("prefix").alias("x"))

@@ -35,6 +35,7 @@ def loop(rows, key, other, open_ended, excludes):
 @pytest.mark.parametrize("open_ended", [True, False])
 def test_pairs_and_counts_against_loops(spark, monkeypatch, seed, key, other, excludes, open_ended):
     monkeypatch.setattr(intervals, "BUCKET", 4)
+    monkeypatch.setattr(intervals, "SMALL", (3, 0)[seed])
     rng = random.Random(seed)
     rows = []
     for i in range(90):
@@ -53,6 +54,7 @@ def test_pairs_and_counts_against_loops(spark, monkeypatch, seed, key, other, ex
 def test_a_subject_of_most_rows_makes_bounded_buckets(spark, monkeypatch):
     """Beliefs that follow each other: every bucket meets few rows, and each conflict is found once."""
     monkeypatch.setattr(intervals, "BUCKET", 16)
+    monkeypatch.setattr(intervals, "SMALL", 60)
     rows = [(i, "hot", str(i % 3), "p", i, i + 2) for i in range(400)] + [(1000 + i, f"s{i}", "a", "p", 0, 5) for i in range(50)]
     got = {tuple(r) for r in graph.overlapping_conflicts(made(spark, rows), ["subject", "predicate"], "object").collect()}
     assert got == {(i, i + 1) for i in range(399)}

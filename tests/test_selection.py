@@ -4,6 +4,7 @@ import statistics
 
 import pytest
 
+from tessera.operators import selection
 from tessera.operators.selection import at_ranks, percentiles
 
 
@@ -21,7 +22,13 @@ def rows(spark, groups):
     return spark.createDataFrame(told, "g string, v double, n string").repartition(5)
 
 
-def test_every_rank(rows, groups):
+@pytest.fixture(params=[selection.FEW, 20, 0])
+def few(request, monkeypatch):
+    """Passes: none, some, all."""
+    monkeypatch.setattr(selection, "FEW", request.param)
+
+
+def test_every_rank(rows, groups, few):
     got = at_ranks(rows, ["g"], "v", lambda n: {"first": n * 0 + 1, "third": n * 0 + 3, "last": n, "beyond": n + 5, "half": n / 2}).collect()
     want = {}
     for g, vs in groups.items():
@@ -30,7 +37,7 @@ def test_every_rank(rows, groups):
     assert {(r.g, r.n, r.name): r.x for r in got} == want and len(got) == len(want)
 
 
-def test_percentiles_of_both_kinds(rows, groups):
+def test_percentiles_of_both_kinds(rows, groups, few):
     ps = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     got = {r.g: r for r in percentiles(rows, ["g"], "v", ps).collect()}
     open_ = {r.g: r.p95 for r in percentiles(rows, ["g"], "v", {"p95": 0.95}, exclusive=True).collect()}
