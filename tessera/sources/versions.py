@@ -126,7 +126,7 @@ class Versioned:
         held, n = {*now["folders"].values(), *now["log"]}, 0
         for pattern in ("data/*/bucket_=*", "log/*"):
             for f in fs.globStatus(at(pattern)) or []:
-                name = f.getPath().toString().split(f"{self.path.rstrip('/')}/")[-1]
+                name = "/".join(f.getPath().toString().split("/")[-1 - pattern.count("/") :])
                 if name not in held:
                     fs.delete(f.getPath(), True)
                     n += 1
