@@ -8,9 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
+from tessera.operators import bm25
 from tessera.operators import metrics as M
 from tessera.operators import uncertain as U
 from tessera.operators.graph import kept
+from tessera.plans.recall import bm25_sql
 from tessera.plans.retrieval import near_sql, vectors
 from tessera.operators.ordered import placed
 from tessera.operators.selection import percentiles
@@ -389,10 +391,12 @@ def x12(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind")).where("kind is not null")
 
 
-X15 = """with facts as (select 1 as section, row_number() over (order by o_orderdate desc, o_orderkey) as place, 'order ' || o_orderkey || ' ' || o_orderpriority as line from orders qualify place <= 5),
-areas as (select 2 as section, row_number() over (order by doc_id) as place, source || ' ' || lang || ' ' || doc_id as line from documents where contains(lower(text), 'license') qualify place <= 3),
+X15 = f"""with terms as (select 0 as query_id, unnest(['license', 'apache', 'mit']) as term), {bm25_sql("found", "select doc_id as id, text from documents")},
+facts as (select 1 as section, row_number() over (order by o_orderdate desc, o_orderkey) as place, 'order ' || o_orderkey || ' ' || o_orderpriority as line from orders qualify place <= 5),
+top as (select id, row_number() over (order by score, id) as rank from found qualify rank <= 50),
+areas as (select 2 as section, row_number() over (order by min(rank)) as place, source || ' by ' || arg_min(doc_id, rank) as line from top join documents on doc_id = id group by source qualify place <= 3),
 sess as (select 3 as section, row_number() over (order by conv_id desc) as place, 'session ' || conv_id || ' of ' || count(*) || ' turns' as line from conversations group by conv_id qualify place <= 3),
-hits as (select 4 as section, row_number() over (order by len(regexp_extract_all(lower(text), 'license')) desc, doc_id) as place, 'hit ' || doc_id as line from documents where contains(lower(text), 'license') qualify place <= 5),
+hits as (select 4 as section, rank as place, 'hit ' || id as line from top where rank <= 5),
 u as (select * from facts union all select * from areas union all select * from sess union all select * from hits),
 c as (select section, place, line, sum(length(line) + 3) over (order by section, place) as upto from u)
 select section, place::int as place, case when upto <= 400 then line else left(line, (length(line) - (upto - 400))::int) end as line from c where upto - length(line) < 400"""
@@ -400,17 +404,20 @@ select section, place::int as place, case when upto <= 400 then line else left(l
 
 @query("x15_project_context", X15)
 def x15(spark, sf_dir):
-    """The sections of a context, five latest facts, three matching areas, three latest sessions and five hits, cut at 400 characters. Limits are the feature."""
+    """The sections of a context, five latest facts, the three areas of the best hits, three latest sessions and five hits of a keyword search, cut at 400 characters. Limits are the feature."""
     o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_orderpriority").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(5)
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.size(F.regexp_extract_all(F.lower("text"), F.lit("license"), F.lit(0))).alias("n")).where("n > 0")
+    docs = table(spark, sf_dir, "documents")
+    asked = spark.createDataFrame([(0, t) for t in ("license", "apache", "mit")], "query_id long, term string")
+    top = bm25.search(docs, asked, 50).select(F.col("id").alias("doc_id"), "rank")
+    areas = docs.select("doc_id", "source").join(top, "doc_id").groupBy("source").agg(F.min("rank").alias("rank"), F.min_by("doc_id", "rank").alias("doc_id"))  # fifty rows at most
     s = messages(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n")).orderBy(F.desc("session_id")).limit(3)
     words = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     c = F.col
     sections = [
         (o, [F.desc("o_orderdate"), c("o_orderkey")], words("order ", c("o_orderkey"), " ", c("o_orderpriority"))),
-        (d.orderBy("doc_id").limit(3), [c("doc_id")], words(c("source"), " ", c("lang"), " ", c("doc_id"))),
+        (areas.orderBy("rank").limit(3), [c("rank")], words(c("source"), " by ", c("doc_id"))),
         (s, [F.desc("session_id")], words("session ", c("session_id"), " of ", c("n"), " turns")),
-        (d.orderBy(F.desc("n"), "doc_id").limit(5), [F.desc("n"), c("doc_id")], words("hit ", c("doc_id"))),
+        (top.where("rank <= 5"), [c("rank")], words("hit ", c("doc_id"))),
     ]
     rows = None
     for i, (df, order, line) in enumerate(sections, 1):  # at most sixteen rows

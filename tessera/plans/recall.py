@@ -25,7 +25,7 @@ NAMES = """list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(
   lambda s: array_to_string(string_split(regexp_replace(regexp_replace(lower(s), '^(the |a |an )', ''), '\\s+', ' ', 'g'), ' ')[1:2], ' ')), lambda k: k <> ''))"""
 
 
-def _bm25(name: str, rows: str) -> str:
+def bm25_sql(name: str, rows: str) -> str:
     """CTEs of the scores of all asked terms over (id, text) rows."""
     return f"""{name}_toks as (select id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as ts from ({rows})),
 {name}_st as (select count(*)::double as nd, avg(len(ts)) as ad from {name}_toks),
@@ -61,7 +61,7 @@ usg as (select memory_id, count(*) filter (kind = 'use') as uses, count(*) filte
 used as (select memory_id, uses < noises as dormant, round(d + (1 - d) * (case when uses = 0 then 0 else 1 - exp(-uses / 5) end), 6) as strength from usg),
 {FOCUS_SQL.format(id="query_id", table="asks", stop=STOP)},
 terms as (select query_id, term from (select id as query_id, lower(term) as term from s qualify row_number() over (partition by id order by salience desc, pos) <= 12) where regexp_matches(term, '^[a-z0-9]+$')),
-{_bm25("found", "select doc_id as id, text from documents")},
+{bm25_sql("found", "select doc_id as id, text from documents")},
 {_near("by_v", "a.embedding::double[]", "asks a", "c.vec_id <> a.vec_id", allowed)},
 by_k as (select f.query_id, f.id, row_number() over (partition by f.query_id order by f.score, f.id) as rank, pool from found f join asks a on a.query_id = f.query_id join mem m on m.id = f.id where type <> 'SYSTEM' and {allowed} qualify rank <= pool),
 x0 as (select query_id, embedding from by_k join embeddings on vec_id = id qualify row_number() over (partition by query_id order by rank) <= 3),
@@ -71,7 +71,7 @@ x2 as (select query_id, list(x order by pos) as v from x1 group by 1),
 un as (select query_id, id, 1 / (20 + rank) as s, 0 as arm, rank from by_v union all select query_id, id, 1 / (20 + rank), 1, rank from by_x union all select query_id, id, 1 / (20 + rank), 2, rank from by_k),
 fu as (select query_id, id, round(sum(s), 6) as rrf_score, min(struct_pack(arm := arm, rank := rank)) as seen from un group by all),
 fused as (select query_id, id, rrf_score, row_number() over (partition by query_id order by rrf_score desc, seen, id) as rank from fu),
-{_bm25("said", "select conv_id * 1000 + turn as id, text from conversations where role = 'user'")},
+{bm25_sql("said", "select conv_id * 1000 + turn as id, text from conversations where role = 'user'")},
 top as (select query_id, id // 1000 as id, row_number() over (partition by query_id order by score, id) as r from said qualify r <= 20),
 phrase as ({n("select query_id, id, row_number() over (partition by query_id order by min(r)) as rank from top where id in (select id from mem where type <> 'SYSTEM') group by query_id, id")}),
 {_fold("f1", "fused", "phrase")},
