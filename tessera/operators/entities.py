@@ -24,8 +24,10 @@ def ratified(asks: DataFrame, terms: DataFrame, up: DataFrame, depth: int = 6) -
     parent) are the holders, several of a node. The shortest way of at most ``depth`` steps from
     any node of the source to any of the target is told, of several the one with the smallest
     nodes from the source on. Both ends are searched at once, a step each in turn, so a frontier
-    is as wide as half the way makes it; a question leaves when its ends have met. Reasons:
-    empty, same, source_not_found, target_not_found, no_path, path.
+    is as wide as half the way makes it. A frontier belongs to a term, not to a question: what lies
+    below a target is told once for all questions that ask for it. A question leaves when its ends
+    have met, and a term with its last question. Reasons: empty, same, source_not_found,
+    target_not_found, no_path, path.
     """
     return only(lambda: _ratified(asks, terms, up, depth))
 
@@ -37,30 +39,31 @@ def _ratified(asks: DataFrame, terms: DataFrame, up: DataFrame, depth: int) -> D
     open_ = asks.where("source <> '' and target <> '' and source <> target")
 
     def ends(side: str) -> DataFrame:
-        return kept(open_.join(names, F.col(side) == F.col("term")).select("ask_id", "node", F.array("node").alias("path")))
+        return kept(open_.select(side).distinct().join(names, F.col(side) == F.col("term")).select(side, "node", F.array("node").alias("path")))
 
     down, back = ends("source"), ends("target")
-    has_source, has_target = down.select("ask_id").distinct(), back.select("ask_id").distinct()
-    seen = [down.select("ask_id", "node"), back.select("ask_id", "node")]
-    both = has_source.join(has_target, "ask_id", "left_semi")
-    down, back, told = down.join(both, "ask_id", "left_semi"), back.join(both, "ask_id", "left_semi"), None
+    seen = [down.select("source", "node"), back.select("target", "node")]
+    has_source, has_target = down.select("source").distinct(), back.select("target").distinct()
+    asked = kept(open_.select("source", "target").distinct().join(has_source, "source", "left_semi").join(has_target, "target", "left_semi"))
+    down, back, told = down.join(asked, "source", "left_semi"), back.join(asked, "target", "left_semi"), None
     for step in range(depth + 1):
         if step % 2:  # the sources go up
-            grown = down.join(links, F.col("node") == F.col("child")).select("ask_id", F.col("parent").alias("node"), F.concat("path", F.array("parent")).alias("path"))
-            down = kept(grown.groupBy("ask_id", "node").agg(F.min("path").alias("path")).join(seen[0], ["ask_id", "node"], "left_anti"))
-            seen[0] = seen[0].unionByName(down.select("ask_id", "node"))
+            grown = down.join(links, F.col("node") == F.col("child")).select("source", F.col("parent").alias("node"), F.concat("path", F.array("parent")).alias("path"))
+            down = kept(grown.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen[0], ["source", "node"], "left_anti"))
+            seen[0] = seen[0].unionByName(down.select("source", "node"))
         elif step:  # the targets go down
-            grown = back.join(links, F.col("node") == F.col("parent")).select("ask_id", F.col("child").alias("node"), F.concat(F.array("child"), "path").alias("path"))
-            back = kept(grown.groupBy("ask_id", "node").agg(F.min("path").alias("path")).join(seen[1], ["ask_id", "node"], "left_anti"))
-            seen[1] = seen[1].unionByName(back.select("ask_id", "node"))
+            grown = back.join(links, F.col("node") == F.col("parent")).select("target", F.col("child").alias("node"), F.concat(F.array("child"), "path").alias("path"))
+            back = kept(grown.groupBy("target", "node").agg(F.min("path").alias("path")).join(seen[1], ["target", "node"], "left_anti"))
+            seen[1] = seen[1].unionByName(back.select("target", "node"))
         rest = F.expr("slice(behind, 2, size(behind))")
-        met = down.join(back.withColumnRenamed("path", "behind"), ["ask_id", "node"]).groupBy("ask_id").agg(F.min(F.concat("path", rest)).alias("path"))
-        met = kept(met)
+        met = asked.join(down, "source").join(back.withColumnRenamed("path", "behind"), ["target", "node"])
+        met = kept(met.groupBy("source", "target").agg(F.min(F.concat("path", rest)).alias("path")))
         told = met if told is None else told.unionByName(met)
-        down, back = kept(down.join(met, "ask_id", "left_anti")), kept(back.join(met, "ask_id", "left_anti"))
+        asked = kept(asked.join(met, ["source", "target"], "left_anti"))
+        down, back = kept(down.join(asked, "source", "left_semi")), kept(back.join(asked, "target", "left_semi"))
         if down.isEmpty() or back.isEmpty():
             break
-    found = asks.join(told, "ask_id", "left").join(has_source.withColumn("s", F.lit(True)), "ask_id", "left").join(has_target.withColumn("t", F.lit(True)), "ask_id", "left")
+    found = asks.join(told, ["source", "target"], "left").join(has_source.withColumn("s", F.lit(True)), "source", "left").join(has_target.withColumn("t", F.lit(True)), "target", "left")
     empty, same = (F.col("source") == "") | (F.col("target") == ""), F.col("source") == F.col("target")
     reason = F.when(empty, "empty").when(same, "same").when(F.col("s").isNull(), "source_not_found").when(F.col("t").isNull(), "target_not_found").when(F.col("path").isNull(), "no_path").otherwise("path")
     path = F.when(empty, F.array().cast("array<string>")).when(same, F.array("source")).otherwise(F.coalesce("path", F.array().cast("array<string>")))

@@ -59,3 +59,22 @@ def test_bundles_by_hand(spark):
     assert got["old lamp"]["handles"] == ["old lamp", "tune-up"] and got["old lamp"]["dates"] == ["April 1", "April 20"] and len(got) == 2
     assert got["old lamp"]["relations"] == ["included|the lamp", "near|old lamp"]
     assert E.bundles(spark.createDataFrame([], E.FACTS)).count() == 0
+
+
+def test_what_lies_below_a_target_is_told_once(spark, monkeypatch):
+    """Questions for one target share its frontier: no table of the search has a row for each question and place."""
+    kept, sizes = E.kept, []
+
+    def counted(df):
+        out = kept(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(E, "kept", counted)
+    n = 60
+    up = spark.createDataFrame([(f"s{i}", "mid") for i in range(n)] + [("mid", "top")] + [(f"b{i}", "other") for i in range(n)], "child string, parent string")
+    terms = spark.createDataFrame([(f"s{i}", f"s{i}") for i in range(n)] + [("top", "top"), ("other", "other")], "term string, node string")
+    asks = spark.createDataFrame([(i, f"s{i}", "top" if i % 2 else "other") for i in range(n)], "ask_id long, source string, target string")
+    got = E.ratified(asks, terms, up).collect()
+    assert {r.ask_id: (r.reason, r.path) for r in got} == {i: ("path", [f"s{i}", "mid", "top"]) if i % 2 else ("no_path", []) for i in range(n)}
+    assert max(sizes) <= 3 * n
