@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,29 @@ from tessera.functions import lexicon as X
 PLANS = {"count": (0.35, 40, 80), "aggregation": (0.35, 80, 80), "broad": (0.28, 8, 40), "precise": (0.35, 3, 20)}
 
 
+_WORD = "[A-Za-z0-9_]"
+_SPACE = r"\t\n\f\r "
+#: What means the same in every version of Java: words, spaces and digits are ASCII, a dot is all but a line feed, the end is the very end.
+PLAIN = {r"\b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))", r"\s": f"[{_SPACE}]", r"\w": _WORD, r"\d": "[0-9]", "$": r"\z", ".": r"[^\n]"}
+#: Letters beyond ASCII that differ from an ASCII one by case alone.
+FOLDS = {"s": "\u017f", "k": "\u212a"}
+
+
+def plain(pattern: str) -> str:
+    """The pattern with words, spaces and case as RE2 has them, where accented letters are none of a word's."""
+    out, in_class = [], False
+    for part in re.findall(r"\\.|.", pattern, re.S):
+        if in_class:
+            out.append({r"\s": _SPACE}.get(part, part + FOLDS.get(part.lower(), "")))
+            in_class = part != "]"
+        else:
+            out.append(f"[{part}{FOLDS[part.lower()]}]" if part.lower() in FOLDS else PLAIN.get(part, part))
+            in_class = part == "["
+    return "".join(out)
+
+
 def has(text: Column, pattern: str) -> Column:
-    return text.rlike("(?i)" + pattern)
+    return text.rlike("(?i)" + plain(pattern))
 
 
 def intents(text: Column) -> dict[str, Column]:
@@ -37,7 +60,7 @@ def plan_columns(text: Column) -> list[Column]:
 
 def triage(text: Column) -> Column:
     """recall, skip or uncertain: narrow self-contained prompts are skipped, cues of memory come first."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(text, f"[{_SPACE}]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
     return (
         F.when(t == "", "skip")
         .when(has(t, X.NEEDS_MEMORY), "recall")

@@ -266,3 +266,17 @@ def test_retold_values_count_once(spark):
     df = spark.createDataFrame(rows, "g long, o int, n double, a string, w array<string>").repartition(3)
     got = {r.grp: (r.total, r.kept, r.seen) for r in uncertain.distinct_value_sums(df, "g", "o", "n", "a", "w").collect()}
     assert got == {1: (20.0, 4, 5), 2: (6.0, 2, 2)}
+
+
+def test_triage_and_intents_read_patterns_as_their_sql_does(spark, tmp_path):
+    """Accented letters bound words, vertical tabs are no space, edges lose all kinds of spaces, and the end is the very end."""
+    import duckdb
+
+    from tessera import catalog
+
+    said = ["échange", "défix", "fix́", "teſt", "ſummarize this", "summariſe", " ok ", "ok\x0b", "ok ", "ok\u0085", " ", "What's\x0bthe time", "　thanks!　", "oK", "\x0b", "Ok\n", None, "préformat", "éhow many", "in totaſ", "over the laſt year", "which été\u0085s did i", "which cats\r did i", "which cats\n did i", "nowé"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("fp12_recall_triage", "r21_query_intent"):
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(catalog.SQL[name]).fetchall())
