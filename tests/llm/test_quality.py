@@ -93,3 +93,20 @@ def test_odd_texts_empty_tables_and_bad_labels(spark, docs_of, rows, prose):
     kept = Q.accepted(docs, model)
     assert kept.columns == docs.columns and kept.count() == got.where("predicted = 1").count()
     assert Q.scores(docs_of([]), model).count() == 0 and Q.accepted(docs_of([]), model).count() == 0
+
+
+def test_all_labelled_rows_and_all_their_pairs_count(spark, docs_of, prose):
+    """The weights are those of the loss of all pairs; a table's fit is that of its rows in memory, though it goes through tasks."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(300) < 0.6).astype(int)
+    x = rng.normal(size=(300, 3)) + y[:, None] * np.array([0.8, 0.0, -0.6])
+    m = Q.fit_pairs(x, y)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -6, 6)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 3)
+    grad = d.T @ (1 / (1 + np.exp(-d @ m.weight)) - 1) / len(d) + 1e-3 * m.weight
+    assert np.abs(grad).max() < 1e-3
+    texts = corpus(prose)
+    labels = spark.createDataFrame([(i, int(i < 120), 0) for i in range(len(texts))], L)
+    mine = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    a, b = Q.fit(docs_of(texts), labels), Q.fit_pairs(np.array([Q.features(texts[i]) for i in mine]), np.array([int(i < 120) for i in mine]))
+    assert np.array_equal(a.weight, b.weight) and a.threshold == b.threshold
