@@ -280,3 +280,18 @@ def test_triage_and_intents_read_patterns_as_their_sql_does(spark, tmp_path):
     con.execute(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
     for name in ("fp12_recall_triage", "r21_query_intent"):
         assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(catalog.SQL[name]).fetchall())
+
+
+def test_shared_counts_takes_more_tasks_for_more_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS", 30)
+    held = {g: [(7 * g + 3 * i) % 20 for i in range(1 + g % 12)] for g in range(40)}
+    rows = sorted({(g, x) for g, xs in held.items() for x in xs})
+    want, sets = {}, {g: sorted(set(xs)) for g, xs in held.items()}
+    for xs in sets.values():
+        for i, a in enumerate(xs):
+            for b in xs[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    out = graph.shared_counts(spark.createDataFrame(rows, "g long, x long"), "g", "x", 3)
+    assert {(r.a, r.b): r.n for r in out.collect()} == {k: n for k, n in want.items() if n >= 3}
+    assert out.rdd.getNumPartitions() == sum(len(x) * (len(x) - 1) // 2 for x in sets.values()) // 30 + 1
+    assert graph.shared_counts(spark.createDataFrame([], "g long, x long"), "g", "x").count() == 0
