@@ -12,6 +12,7 @@ from tessera.catalog import query
 from tessera.functions import lexicon as X_
 from tessera.functions import text as T
 from tessera.operators import bm25, vector
+from tessera.operators import graph as G
 from tessera.sources.tables import messages, table
 
 SIM = "round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6)"
@@ -126,10 +127,20 @@ s as (select *, (case when regexp_matches(term, '[_./\\-0-9]') then 2 else 0 end
 @query("r9_focus_terms", "with " + FOCUS_SQL.format(id="doc_id", table="documents", stop=", ".join(f"'{w}'" for w in X_.STOP_WORDS)) + " select id, term, salience::int as salience, row_number() over (partition by id order by salience desc, pos)::int as rank from s qualify rank <= 12")
 def r9(spark, sf_dir):
     """The twelve most salient words of each text, distinct without case, first spelling kept."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.focus_candidates(F.col("text"))).alias("pos", "term"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    again = G.kept(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("twice")))
+    # A text with an id of its own is told where it is read; only those of a shared id are shuffled by words.
+    own = docs.join(again, docs["id"].eqNullSafe(again["twice"]), "left_anti")
+    words = F.array_sort(F.transform(T.focus_candidates(F.col("text")), lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("pos"), t.alias("term"))))
+    own = own.select("id", words.alias("words"))
+    first = F.filter("words", lambda t, i: ~t["low"].eqNullSafe(F.get("words", i - 1)["low"]))
+    best = F.slice(F.array_sort(F.transform(first, lambda t: F.struct((-T.salience(t["term"])).alias("s"), t["pos"].alias("pos"), t["term"].alias("term")))), 1, 12)
+    own = own.select("id", F.posexplode(best).alias("i", "t")).select("id", "t.term", (-F.col("t.s")).alias("salience"), (F.col("i") + 1).alias("rank"))
+    rows = docs.join(again, docs["id"].eqNullSafe(again["twice"]), "left_semi").select("id", F.posexplode(T.focus_candidates(F.col("text"))).alias("pos", "term"))
     rows = rows.groupBy("id", F.lower("term").alias("low")).agg(F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos"))
     w = Window.partitionBy("id").orderBy(F.desc("salience"), "pos")
-    return rows.select("id", "term", "pos", T.salience(F.col("term")).alias("salience")).withColumn("rank", F.row_number().over(w)).where("rank <= 12").select("id", "term", "salience", "rank")
+    rows = rows.select("id", "term", "pos", T.salience(F.col("term")).alias("salience")).withColumn("rank", F.row_number().over(w)).where("rank <= 12").select("id", "term", "salience", "rank")
+    return own.unionByName(rows)
 
 
 def said(pattern: str) -> str:
