@@ -110,3 +110,23 @@ def test_all_labelled_rows_and_all_their_pairs_count(spark, docs_of, prose):
     mine = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
     a, b = Q.fit(docs_of(texts), labels), Q.fit_pairs(np.array([Q.features(texts[i]) for i in mine]), np.array([int(i < 120) for i in mine]))
     assert np.array_equal(a.weight, b.weight) and a.threshold == b.threshold
+
+
+def test_passes_of_the_fit_take_few_tasks_whatever_the_shuffle_partitions(spark, docs_of, prose):
+    texts = corpus(prose)
+    labels = spark.createDataFrame([(i, int(i < 120), 0) for i in range(len(texts))], L)
+    sets = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in sets}
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    try:
+        for k, v in sets.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("fit", "fit")
+        Q.fit(docs_of(texts), labels)
+        stages = {s for j in tracker.getJobIdsForGroup("fit") for s in tracker.getJobInfo(j).stageIds}
+        tasks = [i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(t >= 61 for t in tasks) <= 4  # shuffles of the features, none of the passes over them
