@@ -8,8 +8,8 @@ Rules are put in strata, so that a predicate that an ``unless`` asks for is comp
 Within a stratum each round joins what the last round found new (the delta) with what is
 known, once for each place of a body where something new can stand: at places before it with
 everything, at places behind it with what was known before, so no combination is met twice.
-Each round is a table; rounds end when nothing new comes. What a round finds is combined to one
-row a triple before it is compared with what is known.
+Each round is a table a predicate; rounds end when nothing new comes. What a round finds is combined
+to one row a triple before it is compared with what is known of its predicate.
 
 Provenance: ``via`` names the triples of the body that gave a triple first, in the order of the
 body (of several bodies in one round the smallest); a given triple is named by its id, a derived
@@ -81,9 +81,8 @@ def checked(rules: list[Rule]) -> list[list[Rule]]:
     return [[r for r in rules if level[r.head[1]] == k] for k in sorted(set(level.values()))]
 
 
-def _matches(triples: DataFrame, atom: Atom, names: dict[str, str], name: str | None) -> DataFrame:
-    """An atom's bindings: a column a variable and, as ``name``, what the triple is called."""
-    rows = triples.where(F.col("predicate") == atom[1])
+def _matches(rows: DataFrame, atom: Atom, names: dict[str, str], name: str | None) -> DataFrame:
+    """An atom's bindings in the (subject, object) rows of its predicate: a column a variable and, as ``name``, what the triple is called."""
     s, _, o = atom
     for term, column in ((s, "subject"), (o, "object")):
         if not term.startswith("?"):
@@ -98,71 +97,90 @@ def _term(term: str, names: dict[str, str]) -> Column:
     return F.col(names[term]) if term.startswith("?") else F.lit(term)
 
 
-def _fired(rule: Rule, sources: list[DataFrame], known: DataFrame) -> DataFrame:
-    """(subject, predicate, object, via) of a rule, each body atom read from its source."""
+def _fired(rule: Rule, sources: list[DataFrame], held: dict[str, DataFrame], provenance: bool) -> DataFrame:
+    """(subject, object) of a rule and, if asked, via; each body atom read from its source, ``held`` by predicate for the conditions."""
     names = {v: f"v{i}" for i, v in enumerate(dict.fromkeys(v for a in rule.body for v in variables(a)))}
     rows = None
     for i, (atom, source) in enumerate(zip(rule.body, sources, strict=True)):
-        got = _matches(source, atom, names, f"via{i}")
+        got = _matches(source, atom, names, f"via{i}" if provenance else None)
         on = [] if rows is None else [c for c in got.columns if c in rows.columns]
         rows = got if rows is None else rows.join(got, on)
     for p, q in rule.unequal:
         rows = rows.where(_term(p, names) != _term(q, names))
     for atom in rule.unless:
-        held = _matches(known, atom, names, None).distinct()
-        if held.columns:
-            rows = rows.join(held, held.columns, "left_anti")
+        if atom[1] not in held:
+            continue
+        stand = _matches(held[atom[1]], atom, names, None).distinct()
+        if stand.columns:
+            rows = rows.join(stand, stand.columns, "left_anti")
         else:  # a fact that stands or not: one row at most
-            rows = rows.join(F.broadcast(held.select(F.lit(1).alias("held")).limit(1)), F.col("held") == 1, "left_anti")
-    s, p, o = rule.head
-    return rows.select(_term(s, names).alias("subject"), F.lit(p).alias("predicate"), _term(o, names).alias("object"), F.array(*[f"via{i}" for i in range(len(rule.body))]).alias("via"))
+            rows = rows.join(F.broadcast(stand.select(F.lit(1).alias("held")).limit(1)), F.col("held") == 1, "left_anti")
+    told = [_term(rule.head[0], names).alias("subject"), _term(rule.head[2], names).alias("object")]
+    if provenance:  # a derived triple is named here, behind the joins, by its own terms
+        told.append(F.array(*[F.coalesce(f"via{i}", F.concat_ws(" ", _term(a[0], names), F.lit(a[1]), _term(a[2], names))) for i, a in enumerate(rule.body)]).alias("via"))
+    return rows.select(*told)
 
 
-def derived(facts: DataFrame, rules: list[Rule], most_rounds: int | None = None) -> DataFrame:
+def derived(facts: DataFrame, rules: list[Rule], most_rounds: int | None = None, provenance: bool = True) -> DataFrame:
     """(subject, predicate, object, via, round) of all triples that the rules add to ``facts`` (id, subject, predicate, object).
 
     ``most_rounds`` bounds the rounds of a stratum, for programs whose fixed point is not wanted.
+    Without ``provenance`` there is no ``via``, and no name of a triple is made, sent or stored.
     """
     strata = checked(rules)
-    return only(lambda: _derived(facts, strata, most_rounds))
+    return only(lambda: _derived(facts, strata, most_rounds, provenance))
 
 
-def _derived(facts: DataFrame, strata: list[list[Rule]], most_rounds: int | None) -> DataFrame:
-    key = ["subject", "predicate", "object"]
+def _derived(facts: DataFrame, strata: list[list[Rule]], most_rounds: int | None, provenance: bool) -> DataFrame:
+    key = ["subject", "object"]
     asked = {a[1] for rules in strata for r in rules for a in (r.head, *r.body, *r.unless)}
-    given = facts.where(F.col("predicate").isin(*asked)).groupBy(*key).agg(F.min(F.col("id").cast("string")).alias("name"))
-    given = kept(given.where("subject is not null and object is not null"))
-    name = F.concat_ws(" ", *key)
+    given = facts.where(F.col("predicate").isin(*asked) & F.col("subject").isNotNull() & F.col("object").isNotNull())
+    if provenance:
+        given = kept(given.groupBy("subject", "predicate", "object").agg(F.min(F.col("id").cast("string")).alias("name")))
+    else:
+        given = kept(given.select("subject", "predicate", "object").distinct())
+    stated = [r["predicate"] for r in given.select("predicate").distinct().collect()]  # those of the rules at most
+    columns = [*key, "name"] if provenance else key
     told: list[DataFrame] = []
-    known, done = [given], 0
+    known, done = {p: [given.where(F.col("predicate") == p).select(*columns)] for p in stated}, 0
     whole = lambda parts: reduce(DataFrame.unionByName, parts)
     for rules in strata:
-        heads, first, rounds = {r.head[1] for r in rules}, True, 0
-        delta = None
+        heads = list(dict.fromkeys(r.head[1] for r in rules))
+        first, rounds = True, 0
+        delta: dict[str, DataFrame] = {}
         while most_rounds is None or rounds < most_rounds:
-            fired = []
-            every = whole(known)
-            before = whole(known[:-1]) if not first and len(known) > 1 else every
+            fired: dict[str, list[DataFrame]] = {}
+            every = {p: whole(parts) for p, parts in known.items()}
+            before = {p: whole(rest) for p, parts in known.items() if (rest := parts[:-1] if p in delta else parts)}
             for r in rules:
-                if first:
-                    fired.append(_fired(r, [every] * len(r.body), every))
-                    continue
-                for k, atom in enumerate(r.body):
-                    if atom[1] in heads:
-                        fired.append(_fired(r, [every] * k + [delta] + [before] * (len(r.body) - k - 1), every))
+                atoms = [a[1] for a in r.body]
+                for k, p in enumerate(atoms[:1] if first else atoms):
+                    source = [every] * len(atoms) if first else [every] * k + [delta] + [before] * (len(atoms) - k - 1)
+                    if all(a in rows for a, rows in zip(atoms, source, strict=True)):
+                        fired.setdefault(r.head[1], []).append(_fired(r, [rows[a] for a, rows in zip(atoms, source, strict=True)], every, provenance))
             if not fired:
                 break
             rounds += 1
-            new = whole(fired).groupBy(*key).agg(F.min("via").alias("via")).join(every.select(*key), key, "left_anti")
-            new = kept(new.withColumn("round", F.lit(done + 1)).withColumn("name", name))
-            if new.isEmpty():
+            delta, first = {}, False
+            for p in heads:
+                if p not in fired:
+                    continue
+                new = whole(fired[p])
+                new = new.groupBy(*key).agg(F.min("via").alias("via")) if provenance else new.distinct()
+                new = kept(new.join(every[p].select(*key), key, "left_anti") if p in every else new)
+                if not new.isEmpty():
+                    delta[p] = new.select(*key, F.lit(None).cast("string").alias("name")) if provenance else new
+                    told.append(new.withColumn("predicate", F.lit(p)).withColumn("round", F.lit(done + 1)))
+            if not delta:
                 break
             done += 1
-            told.append(new)
-            if len(known) > ROUNDS:  # the delta stays apart
-                known = [kept(whole(known[:-1])), known[-1]]
-            known.append(new.select(*key, "name"))
-            delta, first = known[-1], False
-    out = whole(told).drop("name") if told else None
-    types = "subject string, predicate string, object string, via array<string>, round int"
-    return out if out is not None else facts.sparkSession.createDataFrame([], types)
+            for p, new in delta.items():
+                parts = known.setdefault(p, [])
+                if len(parts) > ROUNDS:
+                    parts[:] = [kept(whole(parts))]
+                parts.append(new)
+    columns = ["subject", "predicate", "object", *(["via"] if provenance else []), "round"]
+    if told:
+        return whole(told).select(*columns)
+    types = {"via": "array<string>", "round": "int"}
+    return facts.sparkSession.createDataFrame([], ", ".join(f"{c} {types.get(c, 'string')}" for c in columns))
