@@ -32,10 +32,11 @@ from tessera.functions.porter import remembered
 from tessera.functions.text import tokens
 from tessera.operators.graph import kept, only, sent
 from tessera.operators.vector import Best
+from tessera.session import bounded
 
 TERMS, TERM_BYTES, PAIRS = 200_000, 16 << 20, 250_000
-TILE = 1 << 21  # numbers added up at once
-WORD = re.compile("[a-z0-9]+")
+TILE = 1 << 19  # numbers added up at once
+ALNUM = "abcdefghijklmnopqrstuvwxyz0123456789"
 SCHEMA = "id long, d long, terms array<string>, fs array<long>, facets array<string>"
 
 
@@ -45,12 +46,25 @@ def postings(docs: DataFrame, id_col: str, text: Column, split=tokens) -> DataFr
     return rows.select("id", F.size("ts").alias("d"), F.explode("ts").alias("term")).groupBy("id", "d", "term").agg(F.count("*").alias("f"))
 
 
-def _by_words(asked: set[str], change: Callable[[str], str] | None = None, word: re.Pattern = WORD):
+def _cut(chars: str) -> bytes:
+    """A table that turns all bytes but these characters' into spaces."""
+    return bytes(i if chr(i) in chars and i < 128 else 32 for i in range(256))
+
+
+def _by_words(asked: set[str], change: Callable[[str], str] | None = None):
+    blank = _cut(ALNUM)
+    wanted = None if change else frozenset(t.encode() for t in asked)
+
     def count(texts: list[str]) -> tuple[int, dict[str, int]]:
-        found = [w for t in texts for w in word.findall(t)]
-        if change is not None:
-            found = [change(w) for w in found]
-        return len(found), Counter(filter(asked.__contains__, found))
+        found = [w for t in texts for w in t.encode("utf-8", "replace").translate(blank).split()]
+        if change is None:
+            return len(found), {w.decode(): n for w, n in Counter(filter(wanted.__contains__, found)).items()}
+        out: dict[str, int] = {}
+        for w, n in Counter(found).items():
+            stem = change(w.decode())
+            if stem in asked:
+                out[stem] = out.get(stem, 0) + n
+        return len(found), out
 
     return count
 
@@ -76,9 +90,25 @@ def _by_substrings(asked: set[str]):
     return count
 
 
-def by_runs(pattern: str):
-    """Terms are whole matches of a pattern in the lower-cased text."""
-    return lambda asked: _by_words(asked, word=re.compile(pattern))
+def by_runs(pattern: str, chars: str):
+    """Terms are whole matches of a pattern in the lower-cased text; matches consist of ``chars`` (ASCII), and a match of letters and digits only is one of the pattern."""
+
+    def mode(asked: set[str]):
+        blank, word = _cut(chars), re.compile(pattern)
+
+        def count(texts: list[str]) -> tuple[int, dict[str, int]]:
+            size, out = 0, {}
+            for run, n in Counter(r for t in texts for r in t.encode("utf-8", "replace").translate(blank).split()).items():
+                run = run.decode()
+                for w in (run,) if run.isalnum() else word.findall(run):
+                    size += n
+                    if w in asked:
+                        out[w] = out.get(w, 0) + n
+            return size, out
+
+        return count
+
+    return mode
 
 
 WORDS, STEMS, TRIGRAM = _by_words, _by_stems, _by_substrings
@@ -89,7 +119,7 @@ def counted(docs: DataFrame, asked: DataFrame, id_col: str, texts: list[Column],
 
     ``facets`` are strings of the document that questions may ask for.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     facet = F.array(*[f.cast("string") for f in facets or []]).cast("array<string>").alias("facets")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), facet, *[F.lower(t).alias(f"t{i}") for i, t in enumerate(texts)])
 
@@ -153,7 +183,9 @@ def _added(batch: pa.RecordBatch, number: dict[str, int], idf: np.ndarray, start
     """
     sizes = pa.compute.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(batch.num_rows), sizes)
-    term = np.fromiter((number.get(t, -1) for t in pa.compute.list_flatten(batch.column("terms")).to_pylist()), np.int64)
+    coded = pa.compute.list_flatten(batch.column("terms")).dictionary_encode()  # no string a posting
+    known = np.array([number.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+    term = known[coded.indices.to_numpy()]
     f = pa.compute.list_flatten(batch.column("fs")).to_numpy().astype(np.float64)
     doc, term, f = doc[term >= 0], term[term >= 0], f[term >= 0]
     d = batch.column("d").to_numpy().astype(np.float64)[doc]
@@ -186,7 +218,7 @@ def _passing(batch: pa.RecordBatch, wanted: list[tuple[list, np.ndarray]], quest
 
 def _scored(found: DataFrame, asked: DataFrame, schema: str, collect, keep: DataFrame | None = None, wants: DataFrame | None = None, eligible: DataFrame | None = None) -> DataFrame | None:
     """Runs ``collect(ids, need, tiles)`` for blocks of questions; tiles are (ids, document numbers, questions, parts, passing)."""
-    spark = found.sparkSession
+    spark = bounded(found.sparkSession)
     about = found.agg(F.count("*").alias("n"), F.avg("d").alias("d")).first()
     weighted = asked.join(frequencies(found), "term").select("query_id", "term", "n")
     wants = weighted.select("query_id").limit(0).withColumn("wants", F.lit(None).cast("array<array<string>>")) if wants is None else wants

@@ -147,7 +147,7 @@ def rare_terms(asks: DataFrame, memories: DataFrame, bits: float) -> DataFrame:
     w, low = F.col("word"), F.lower("word")
     shaped = w.rlike(r"[0-9._%]") | w.rlike(r"^..*[A-Z]") | (w.rlike("^[A-Z]{2,}$"))
     terms = rows.where(shaped | ~low.isin(X.STOP_WORDS)).select("query_id", low.alias("term")).distinct()
-    found = bm25.counted(memories, terms, "id", [F.col("content")], bm25.by_runs(TOKEN.replace("A-Za-z", "a-z")))
+    found = bm25.counted(memories, terms, "id", [F.col("content")], bm25.by_runs(TOKEN.replace("A-Za-z", "a-z"), bm25.ALNUM + "%_."))
     if found is None:
         return terms.withColumn("bits", F.lit(0.0)).limit(0)
     df = bm25.frequencies(found).withColumnRenamed("n", "df")
