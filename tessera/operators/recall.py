@@ -5,7 +5,9 @@ null), ``memories`` (id, content, type, project, session, created_at, confidence
 (id, embedding), ``usage`` (memory_id, strength, dormant), ``phrases`` (phrase_id, memory_id,
 text). Every stage takes and returns (query_id, id, ..., rank) rows of at most a pool a
 question; only the searches of the arms read all memories. Stages run when they are asked for,
-each once; ``graph.only`` around one keeps its rows and takes the others' tables away.
+each once; ``graph.only`` around one keeps its rows and takes the others' tables away. Rows of
+pools are tables before they meet the memories: their size is known then, so they are sent to the
+memories while they are small and no content is shuffled.
 """
 
 from __future__ import annotations
@@ -64,8 +66,8 @@ def vector_arm(asks: DataFrame, vectors: DataFrame, memories: DataFrame, floor:
     """
     own = F.coalesce("vec_id", -F.col("query_id") - 1)
     near = vector.topk(asks.select(own.alias("id"), "embedding"), vectors, 3 * most, id_col="id").select(F.col("query_id").alias("own"), F.col("vec_id").alias("id"), "similarity", F.col("rank").alias("r"))
-    near = near.join(asks.drop("embedding").withColumn("own", own), "own").where(F.col("r") <= 3 * F.col("pool"))
-    rows = near.join(memories, "id").where((F.col("type") != "SYSTEM") & (F.col("similarity") >= (F.col("floor") if floor is None else F.lit(floor))))
+    near = graph.kept(near).join(memories, "id").join(asks.drop("embedding").withColumn("own", own), "own").where(F.col("r") <= 3 * F.col("pool"))
+    rows = near.where((F.col("type") != "SYSTEM") & (F.col("similarity") >= (F.col("floor") if floor is None else F.lit(floor))))
     rows = rows.where(allowed) if allowed is not None else rows
     return best(rows.select("query_id", "id", "similarity", "pool"), F.col("pool"), F.desc("similarity"), "id").drop("pool")
 
@@ -102,14 +104,14 @@ def expansion(keyword: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
 def phrase_arm(terms: DataFrame, phrases: DataFrame, memories: DataFrame, limit: int) -> DataFrame:
     """(query_id, id, rank): memories by their best phrase among a question's first ``limit`` phrases."""
     top = bm25.search(phrases, terms, limit, id_col="phrase_id").withColumnRenamed("id", "phrase_id")
-    of = top.join(phrases.select("phrase_id", F.col("memory_id").alias("id")), "phrase_id").groupBy("query_id", "id").agg(F.min("rank").alias("r"))
+    of = graph.kept(top.join(phrases.select("phrase_id", F.col("memory_id").alias("id")), "phrase_id").groupBy("query_id", "id").agg(F.min("rank").alias("r")))
     return best(of.join(memories.where("type <> 'SYSTEM'").select("id"), "id", "left_semi"), 2**31 - 1, "r").select("query_id", "id", "rank")
 
 
 def session_arm(ranked: DataFrame, memories: DataFrame, sessions: int, per_session: int) -> DataFrame:
     """(query_id, id, rank): the first rows of the sessions that the best rows touch, session by session."""
     first = ranked.join(memories.select("id", "session"), "id").where("session <> ''").groupBy("query_id", "session").agg(F.min("rank").alias("r"))
-    first = best(first, sessions, "r").withColumnRenamed("rank", "s")
+    first = graph.kept(best(first, sessions, "r").withColumnRenamed("rank", "s"))
     asked = first.select("session").distinct()
     rows = memories.select("id", "session", "type").join(asked, "session", "left_semi")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("id"))).where(F.col("n") <= per_session)
@@ -216,7 +218,7 @@ class Recall:
         """An arm's rows that the question's own filters allow, in their order."""
         if self.allowed is None:
             return arm
-        rows = arm.withColumnRenamed("rank", "r").join(self.asks.drop("embedding"), "query_id").join(self.memories, "id").where(self.allowed)
+        rows = graph.kept(arm.withColumnRenamed("rank", "r")).join(self.memories, "id").join(self.asks.drop("embedding"), "query_id").where(self.allowed)
         return best(rows.select("query_id", "id", "r"), 2**31 - 1, "r").select("query_id", "id", "rank")
 
     @cached_property
@@ -243,7 +245,7 @@ class Recall:
 
     def rescored(self) -> DataFrame:
         """composite and final_rank over all folded rows."""
-        rows = self.with_walks().join(self.memories.select("id", "created_at", "confidence"), "id").join(self.usage.select(F.col("memory_id").alias("id"), "strength"), "id", "left")
+        rows = graph.kept(self.with_walks()).join(self.memories.select("id", "created_at", "confidence"), "id").join(self.usage.select(F.col("memory_id").alias("id"), "strength"), "id", "left")
         age = (F.unix_micros(F.lit(self.now).cast("timestamp")) - F.unix_micros("created_at")) / 86400e6
         return fusion.composite(rows, age, F.col("confidence"), F.col("strength"))
 
@@ -266,12 +268,12 @@ class Recall:
 
     def boosted(self) -> DataFrame:
         """Dormant rows out, then rows with rare words of the question up."""
-        rows = filters.not_dormant(self.reranked(), self.usage)
+        rows = graph.kept(filters.not_dormant(self.reranked(), self.usage))
         return exact_boost(rows, graph.kept(rare_terms(self.asks, self.memories, self.settings.bits)), self.memories)
 
     def recalled(self) -> DataFrame:
         """(query_id, id, composite, boost, similarity, rank) within the token budget; similarity is 0 for rows of other arms alone."""
-        rows = self.boosted().join(self.memories.select("id", F.length("content").alias("chars")), "id")
+        rows = graph.kept(self.boosted()).join(self.memories.select("id", F.length("content").alias("chars")), "id")
         rows = filters.within_budget(rows, self.settings.budget, F.col("chars"))
         near = self.by_vector.unionByName(self.by_expansion).groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
         rows = rows.join(near, ["query_id", "id"], "left")
@@ -291,5 +293,5 @@ def route(recall: Recall, replaced: DataFrame, threshold: float) -> DataFrame:
     if recall.parts is not None:
         m = recall.memories
         keep = filters.allowed(recall.parts, filters.RESULT_KEYS, F.col("content"), F.col("created_at"), F.col("type"), F.col("project"))
-        rows = rows.join(recall.asks.drop("embedding"), "query_id").join(m, "id").where(keep).select("query_id", "id", "similarity", "rank")
+        rows = graph.kept(rows).join(m, "id").join(recall.asks.drop("embedding"), "query_id").where(keep).select("query_id", "id", "similarity", "rank")
     return superseded_last(rows, replaced).select("query_id", "id", F.round("similarity", 2).alias("similarity"), "superseded_by", "place")
